@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import shared_path, table
+from strandloom.llm.token_blocks import read_token_blocks, write_token_blocks
 from strandloom.llm.token_counts import token_counts
 
 
@@ -15,7 +16,15 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), shared_path(spark, "token-cache"))
 
 
+def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place and checksum of every document's ids, read back from the files."""
+    path = shared_path(spark, "token-blocks")
+    write_token_blocks(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return read_token_blocks(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op10_token_blocks": op10_token_blocks,
 }
 ORACLES: dict[str, str] = {}
