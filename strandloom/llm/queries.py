@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.llm.chat_format import chat_examples, digest_examples
 from strandloom.llm.common import shared_path, table
+from strandloom.llm.sharding import shard_rows
 from strandloom.llm.token_blocks import read_token_blocks, write_token_blocks
 from strandloom.llm.token_counts import token_counts
 
@@ -16,6 +18,24 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), shared_path(spark, "token-cache"))
 
 
+#: A conversation whose texts hold control strings (fixed values).
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op4_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings, formatted and read back."""
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRICKY).alias("text")
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(tricky)
+    return digest_examples(chat_examples(turns))
+
+
+def op8_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents on eight shards whose counts are at most one apart."""
+    return shard_rows(table(spark, sf_dir, "documents"), 8)
+
+
 def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place and checksum of every document's ids, read back from the files."""
     path = shared_path(spark, "token-blocks")
@@ -25,6 +45,28 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op4_chat_examples": op4_chat_examples,
+    "op8_shard_ring": op8_shard_ring,
     "op10_token_blocks": op10_token_blocks,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_chat_examples": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), pieces AS (
+  SELECT *, 15 + 2 * length(role) - length(regexp_replace(role, '[\\<>]', '', 'g')) + 2 * length(text) - length(regexp_replace(text, '[\\<>]', '', 'g')) AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS from_end
+  FROM turns
+), ends AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS stop FROM pieces
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' OR from_end = 1 THEN stop ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM ends GROUP BY conv_id
+""",
+}
