@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.chat_format import chat_examples, digest_examples
 from strandloom.llm.common import shared_path, table
+from strandloom.llm.content_sort import exact_groups
 from strandloom.llm.sharding import shard_rows
 from strandloom.llm.token_blocks import read_token_blocks, write_token_blocks
 from strandloom.llm.token_counts import token_counts
@@ -31,6 +32,11 @@ def op4_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_examples(chat_examples(turns))
 
 
+def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the document that stays for its text."""
+    return exact_groups(table(spark, sf_dir, "documents")).drop("tag")
+
+
 def op8_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents on eight shards whose counts are at most one apart."""
     return shard_rows(table(spark, sf_dir, "documents"), 8)
@@ -46,6 +52,7 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_chat_examples": op4_chat_examples,
+    "op7_content_sort": op7_content_sort,
     "op8_shard_ring": op8_shard_ring,
     "op10_token_blocks": op10_token_blocks,
 }
@@ -68,5 +75,13 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   CAST(sum(CASE WHEN role = 'assistant' OR from_end = 1 THEN stop ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM ends GROUP BY conv_id
+""",
+    "op7_content_sort": r"""
+WITH texts AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
+)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+  doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
+FROM texts
 """,
 }
