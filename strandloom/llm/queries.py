@@ -12,6 +12,7 @@ from strandloom.llm.content_sort import exact_groups
 from strandloom.llm.sharding import shard_rows
 from strandloom.llm.token_blocks import read_token_blocks, write_token_blocks
 from strandloom.llm.token_counts import token_counts
+from strandloom.llm.toxicity import toxicity
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,11 @@ def op4_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_examples(chat_examples(turns))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the document that stays for its text."""
     return exact_groups(table(spark, sf_dir, "documents")).drop("tag")
@@ -52,6 +58,7 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_chat_examples": op4_chat_examples,
+    "op5_toxicity": op5_toxicity,
     "op7_content_sort": op7_content_sort,
     "op8_shard_ring": op8_shard_ring,
     "op10_token_blocks": op10_token_blocks,
