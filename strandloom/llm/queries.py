@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandloom.llm.chat_format import chat_examples, digest_examples
 from strandloom.llm.common import shared_path, table
 from strandloom.llm.content_sort import exact_groups
+from strandloom.llm.near_jaccard import near_components
 from strandloom.llm.sharding import shard_rows
 from strandloom.llm.token_blocks import read_token_blocks, write_token_blocks
 from strandloom.llm.token_counts import token_counts
@@ -38,6 +39,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_near_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarity class of every document at 0.75 of five-word shingles."""
+    return near_components(table(spark, sf_dir, "documents"))
+
+
 def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the document that stays for its text."""
     return exact_groups(table(spark, sf_dir, "documents")).drop("tag")
@@ -59,6 +65,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_chat_examples": op4_chat_examples,
     "op5_toxicity": op5_toxicity,
+    "op6_near_jaccard": op6_near_jaccard,
     "op7_content_sort": op7_content_sort,
     "op8_shard_ring": op8_shard_ring,
     "op10_token_blocks": op10_token_blocks,

@@ -79,6 +79,6 @@ def test_features_are_words_stems_pairs_and_skips():
 
 def test_l1_keeps_the_model_small():
     rng = np.random.default_rng(0)
-    rows = [(np.unique(np.append(rng.integers(0, 5000, 30), [9000] * (i % 4 == 0))), int(i % 4 == 0)) for i in range(1500)]
+    rows = [(np.unique(np.append(rng.integers(0, 5000, 30), np.full(int(i % 4 == 0), 9000))), int(i % 4 == 0)) for i in range(1500)]
     weights = fit(rows, Rates())
     assert weights[9000] > 1 and np.count_nonzero(weights) < 300
