@@ -1,15 +1,49 @@
-"""Corpus pipeline: toxicity, exact duplicates, near duplicates, packing."""
+"""Corpus pipeline: toxicity, exact duplicates, near duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and
+returns a DataFrame that is written as Parquet and read again as the next stage's docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom.llm.common import table, written
+from strandloom.llm.content_sort import drop_exact_duplicates
+from strandloom.llm.near_jaccard import near_components
+from strandloom.llm.packing import pack_documents
+from strandloom.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_exact_duplicates(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each similarity class; rows without an id are in no class and stay."""
+    classes = near_components(docs)
+    stay = classes.where("component_id IS NULL OR component_id = doc_id").select(F.col("doc_id").alias("_stay")).distinct()
+    return docs.join(stay, docs.doc_id.eqNullSafe(stay._stay), "left_semi")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
 
-STAGES: list = []
+STAGES = [("toxicity", toxicity), ("exact_duplicates", exact_duplicates), ("near_duplicates", near_duplicates), ("packing", packing)]
+#: The fitted model of the first stage and best-fit bins are beyond SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage-{name}")
     return docs

@@ -10,12 +10,18 @@ from strandloom.llm.chat_format import chat_examples, digest_examples
 from strandloom.llm.common import shared_path, table
 from strandloom.llm.content_sort import exact_groups
 from strandloom.llm.near_jaccard import near_components
+from strandloom.llm.packing import pack_documents
 from strandloom.llm.sharding import shard_rows
 from strandloom.llm.token_blocks import read_token_blocks, write_token_blocks
 from strandloom.llm.token_counts import token_counts
 from strandloom.llm.toxicity import toxicity
 
 
+def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of 8192 bytes in which no source and no text occurs twice."""
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document with a cache of its own, which the run fills and then reads."""
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), shared_path(spark, "token-cache"))
@@ -62,6 +68,7 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit": op1_best_fit,
     "op3_token_counts": op3_token_counts,
     "op4_chat_examples": op4_chat_examples,
     "op5_toxicity": op5_toxicity,

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandloom.llm.common import text_or_empty
 from strandloom.llm.word_ids import chunks
@@ -109,10 +110,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 40_000, shar
     return [(r.coordinate, r.weight) for r in mean.collect()]  # 2**BITS + 1 rows at most, and few after L1
 
 
-def score(docs: DataFrame, model: list[tuple[int, float]], *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """doc_id, score and predicted of every row; null and empty texts get the bias's score."""
-    at, w = np.array([m[0] for m in model], np.int64), np.array([m[1] for m in model])
-    shipped = docs.sparkSession.sparkContext.broadcast((at, w))
+def score(docs: DataFrame, model: list[tuple[int, float]], *, text_col: str = "text") -> DataFrame:
+    """(row, score): every row of docs as a struct and its score; null and empty texts get the bias's score."""
+    shipped = docs.sparkSession.sparkContext.broadcast((np.array([m[0] for m in model], np.int64), np.array([m[1] for m in model])))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.zeros((1 << BITS) + 1)
@@ -124,11 +124,10 @@ def score(docs: DataFrame, model: list[tuple[int, float]], *, id_col: str = "doc
                 owner, spot = distinct_rows(owner[live], spot[live])
                 out[row : row + size] += np.bincount(owner, weights[spot], size)
             value = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value)], ["row", "score"])
 
-    kind = dict(docs.dtypes)[id_col]
-    scored = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(apply, f"doc_id {kind}, score double")
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = docs.select(F.struct("*").alias("row"), text_or_empty(text_col).alias("text"))
+    return rows.mapInArrow(apply, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -136,6 +135,10 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
+def known_labels(labels: DataFrame, label_col: str = "toxic") -> DataFrame:
+    return labels.select("doc_id", F.col(label_col).alias("label")).where(~held_out())
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", threshold: float = 0.7, **settings) -> DataFrame:
     """doc_id, held_out, score, predicted for every document.
 
@@ -143,6 +146,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", th
     of a score. A null text is empty. Null ids are scored and not learned from; repeated rows are scored
     each; without labels every score is one half. An empty table gives no rows.
     """
-    known = labels.select("doc_id", F.col(label_col).alias("label")).where(~held_out())
-    model = train(docs, known, **settings)
-    return score(docs, model, threshold=threshold).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    model = train(docs, known_labels(labels, label_col), **settings)
+    scored = score(docs.select("doc_id", "text"), model).select("row.doc_id", "score")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, label_col: str = "toxic", threshold: float = 0.7, **settings) -> DataFrame:
+    """The rows of docs whose score is below the threshold, with all their columns; cases as in toxicity."""
+    model = train(docs, known_labels(labels, label_col), **settings)
+    return score(docs, model).where(F.col("score") < threshold).select("row.*")

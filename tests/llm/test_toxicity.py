@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from strandloom.llm.toxicity import BITS, Rates, distinct_rows, features, fit, score, toxicity, train
+from strandloom.llm.toxicity import BITS, Rates, distinct_rows, drop_toxic, features, fit, toxicity
 
 
 def corpus(n, seed=1):
@@ -47,6 +47,8 @@ def test_nulls_repeats_and_empty_tables(spark):
     odd = spark.createDataFrame([(1, None), (None, 1), (4, 3), (4, 1), (4, 1)], "doc_id long, toxic int")
     assert toxicity(docs, odd).count() == 5
     assert toxicity(docs.limit(0), none).count() == 0
+    wide = docs.selectExpr("*", "1 AS score", "'x' AS row")
+    assert sorted(map(str, drop_toxic(wide, none).collect())) == sorted(map(str, wide.collect()))
 
 
 def brute_features(text):
