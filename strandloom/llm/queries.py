@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm.chat_format import chat_examples, digest_examples
-from strandloom.llm.common import shared_path, table
+from strandloom.llm.common import shared_path, table, text_or_empty, written
 from strandloom.llm.content_sort import exact_groups
 from strandloom.llm.near_jaccard import near_components
 from strandloom.llm.packing import pack_documents
@@ -15,6 +15,7 @@ from strandloom.llm.sharding import shard_rows
 from strandloom.llm.token_blocks import read_token_blocks, write_token_blocks
 from strandloom.llm.token_counts import token_counts
 from strandloom.llm.toxicity import toxicity
+from strandloom.llm.transport_stream import parse_column, write_column
 
 
 def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,39 @@ def op8_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), 8)
 
 
+def media_digests(docs: DataFrame) -> DataFrame:
+    """Texts padded with spaces to a positive multiple of 192 bytes, stored as transport streams, read back and digested."""
+    text = text_or_empty("text")
+    size = F.octet_length(text)
+    pad = F.greatest(F.ceil(size / 192), F.lit(1)).cast("int") * 192 - size
+    stored = written(write_column(docs.select("doc_id", size.cast("long").alias("n_bytes"), F.encode(F.concat(text, F.repeat(F.lit(" "), pad)), "UTF-8").alias("payload"))), "media")
+    read = parse_column(stored)
+    units = F.col("units")
+    feature = F.concat_ws(
+        ",",
+        F.concat(F.lit("units="), F.size(units)),
+        F.concat(F.lit("random_access="), F.size(F.filter(units, lambda u: u.random_access))),
+        F.concat(F.lit("last_pts="), F.element_at(units, -1).pts),
+        F.concat(F.lit("continuity_errors="), F.col("continuity_errors")),
+    )
+    lengths = read.withColumn("payload_bytes", F.octet_length("data").cast("long"))
+    return lengths.select(
+        "doc_id",
+        "n_bytes",
+        "payload_bytes",
+        F.sha2("data", 256).alias("payload_sha256"),
+        F.crc32(F.substring("data", -16, 16)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+    )
+
+
+def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a transport stream."""
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place and checksum of every document's ids, read back from the files."""
     path = shared_path(spark, "token-blocks")
@@ -75,6 +109,7 @@ QUERIES = {
     "op6_near_jaccard": op6_near_jaccard,
     "op7_content_sort": op7_content_sort,
     "op8_shard_ring": op8_shard_ring,
+    "op9_transport_stream": op9_transport_stream,
     "op10_token_blocks": op10_token_blocks,
 }
 ORACLES: dict[str, str] = {
