@@ -11,6 +11,7 @@ from strandloom.llm.common import shared_path, table, text_or_empty, written
 from strandloom.llm.content_sort import exact_groups
 from strandloom.llm.near_jaccard import near_components
 from strandloom.llm.packing import pack_documents
+from strandloom.llm.piece_model import decode_pieces, encode_pieces
 from strandloom.llm.sharding import shard_rows
 from strandloom.llm.token_blocks import read_token_blocks, write_token_blocks
 from strandloom.llm.token_counts import token_counts
@@ -23,6 +24,14 @@ def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, decoded again: checksums of both and parity with the sentencepiece library."""
+    docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    rows = encode_pieces(docs.select("doc_id", "text"), path)
+    back = decode_pieces(rows.select("doc_id", "n_tokens", "parity", F.crc32("ids").alias("ids_crc32"), "ids"), path)
+    return back.select("doc_id", "n_tokens", "ids_crc32", "parity", F.octet_length("text").cast("long").alias("decoded_bytes"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every document with a cache of its own, which the run fills and then reads."""
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), shared_path(spark, "token-cache"))
@@ -103,6 +112,7 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit": op1_best_fit,
+    "op2_pieces": op2_pieces,
     "op3_token_counts": op3_token_counts,
     "op4_chat_examples": op4_chat_examples,
     "op5_toxicity": op5_toxicity,
