@@ -1,4 +1,6 @@
 """Every query of the library with its DuckDB counterpart, by the names of the blueprint."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from strandloom.plans import reads
+
+QUERIES = {**reads.QUERIES}
+ORACLES = {**reads.ORACLES}
