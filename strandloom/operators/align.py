@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 
@@ -43,9 +44,7 @@ def align_batch(queries: list[str], targets: list[str], match: int = 5, mismatch
 
 def align(pairs: DataFrame, query: str = "query", target: str = "target", **scores: int) -> DataFrame:
     """pairs with score, query_end and target_end. Pairs are sorted by size within a batch, so short ones aren't padded to long ones."""
-    schema = pairs.schema
-    for name in ("score", "query_end", "target_end"):
-        schema = schema.add(name, "integer")
+    schema = T.StructType([*pairs.schema.fields, *(T.StructField(name, T.IntegerType()) for name in ("score", "query_end", "target_end"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -138,7 +138,7 @@ def _line(spark, d):
     return vertices, lines
 
 
-@query("merge_unambiguous", f"SELECT CAST(id * 12 AS BIGINT) AS chain, 6 AS n, 120 AS len, 6 AS nsr FROM ({G}) g UNION ALL SELECT CAST(id * 12 + 11 AS BIGINT), 6, 120, 6 FROM ({G}) g2")
+@query("merge_unambiguous", f"SELECT CAST(id * 12 AS BIGINT) AS chain, 6::BIGINT AS n, 120::BIGINT AS len, 6::BIGINT AS nsr FROM ({G}) g UNION ALL SELECT CAST(id * 12 + 11 AS BIGINT), 6, 120, 6 FROM ({G}) g2")
 def merge_unambiguous(spark, d):
     return Gr.merge_unambiguous(*_line(spark, d))
 
