@@ -8,6 +8,8 @@ from strandloom.operators import graph as Gr
 from strandloom.operators import overlaps as O
 from strandloom.operators.align import align
 from strandloom.operators.chains import unitigs
+from strandloom.operators.cleaning import pop_bubbles
+from strandloom.operators.matches import smem
 from strandloom.operators.suffixes import both_strands
 from strandloom.plans.fixtures import duck, fixture
 from strandloom.session import cut_lineage
@@ -160,3 +162,27 @@ def sw_align(spark, d):
     gapped = F.concat(F.substring("s", 1, 29), F.substring("s", 31, 30))
     pairs = fixture(spark, d, "G").select("id", F.substring("s", 1, 60).alias("query"), F.when(F.col("id") % 2 == 0, changed).otherwise(gapped).alias("target"))
     return align(pairs).select("id", "score", "query_end", "target_end")
+
+
+@query("smem", f"SELECT rid AS query, 0 AS beg, 29 AS stop, 1::BIGINT AS n FROM ({H}) h UNION ALL SELECT rid, 30, 60, 1::BIGINT FROM ({H}) h2")
+def smem_query(spark, d):
+    """Reads with base 30 changed against their genomes: a match on either side of it."""
+    changed = F.concat(F.substring("s", 1, 29), F.translate(F.substring("s", 30, 1), "ACGT", "CGTA"), F.substring("s", 31, 30))
+    queries = fixture(spark, d, "H").select(F.col("rid").alias("query"), changed.alias("seq"))
+    strings = both_strands(fixture(spark, d, "G"), "id")
+    return smem(queries, strings, 19).select("query", "beg", F.col("end").alias("stop"), "n")
+
+
+@query("bubble_simple", f"SELECT id * 10 + 2 AS id FROM ({G}) g")
+def bubble_simple(spark, d):
+    """Two haplotypes of each genome that differ in a base: the arm with fewer reads goes."""
+    g = fixture(spark, d, "G")
+    arm = lambda at: F.substring("s", at[0], at[1])
+    changed = F.concat(F.substring("s", 31, 33), F.translate(F.substring("s", 64, 1), "ACGT", "CGTA"), F.substring("s", 65, 34))
+    parts = [(0, arm((1, 60)), 9), (1, arm((31, 68)), 9), (2, changed, 1), (3, arm((69, 60)), 9)]
+    rows = F.array(*(F.struct((F.col("id") * 10 + k).alias("id"), s.alias("seq"), F.lit(n).cast("long").alias("nsr")) for k, s, n in parts))
+    vertices = g.select(F.explode(rows).alias("v")).select("v.*").withColumn("len", F.length("seq").cast("long"))
+    ties = F.array(*(F.struct((F.col("id") * 20 + a).alias("a"), (F.col("id") * 20 + b).alias("b"), F.lit(30).alias("ovlp")) for a, b in ((0, 2), (0, 4), (2, 6), (4, 6), (3, 1), (5, 1), (7, 3), (7, 5))))
+    edges = g.select(F.explode(ties).alias("e")).select("e.*")
+    kept, _ = pop_bubbles(vertices, edges)
+    return vertices.select("id").join(kept.select("id"), "id", "left_anti")
