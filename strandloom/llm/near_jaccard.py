@@ -35,13 +35,17 @@ from strandloom.llm.words import BLANK, Words, mix
 from strandloom.operators.components import connected_components
 
 #: Up to this size every shingle is a segment of its own.
-SINGLE = 40
+SINGLE = 400
 WIDE = 1 << 32
 ROLE_LARGE = -(1 << 31)
 ODD = np.uint64(0x9E3779B97F4A7C15)
 JOINED = "kind int, doc_id long, print long, size long, spare int, sig long, seg long, n_exact int, n_deleted int"
 #: Up to so many ids are broadcast to pick their documents; beyond, the documents are shuffled.
 BROADCAST_IDS = 1_000_000
+#: Words of 64 bits in a set's sketch.
+SKETCH = 8
+#: And so many bytes of shingle sets are broadcast to verify their pairs.
+BROADCAST_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -50,7 +54,7 @@ class Scheme:
 
     words: int = 5
     percent: int = 75
-    roomy: float = 1.3
+    roomy: float = 1.6
     deleted_every: int = 16
 
     def largest_partner(self, size: int) -> int:
@@ -215,7 +219,7 @@ def meetings(bucket: int, blobs: list[memoryview], buckets: int) -> pa.RecordBat
 
 
 def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    for row, part in chunks(texts, 8 << 20):
+    for row, part in chunks(texts, 4 << 20):
         words = word_runs(part, size)
         yield row, [shingles(words, i, size) for i in range(len(part))]
 
@@ -291,7 +295,11 @@ def picked(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets link."""
+    """The pairs (a, b) whose shingle sets link.
+
+    Sets of documents in no pair stay where they are. Many pairs share a pivot, so the pivots' sets are
+    broadcast where their total size, which is checked, allows it.
+    """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,53 +311,78 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (sets.select(F.col("doc_id").alias(k), F.col("data").alias(f"set_{k}")) for k in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long").distinct()
+    left, right = (picked(sets, pairs.select(F.col(k).alias("wanted_id")).distinct(), "doc_id").select(F.col("doc_id").alias(k), F.col("data").alias(f"set_{k}")) for k in "ab")
+    if (left.agg(F.sum(F.octet_length("set_a"))).first()[0] or 0) <= BROADCAST_BYTES:
+        left = F.broadcast(left)
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long").distinct()
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of how many hashes fall on each of 64 * SKETCH bits: two sets differ in as many shingles as bits, at least."""
+    odd = np.bincount((hashes % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, data, k0, k1, ...): sorted shingle hashes and their sketch."""
+    bits = [f"k{i}" for i in range(SKETCH)]
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, sets in _sets(batch.column(1), size):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["doc_id", "data"])
+                marks = np.array([sketch(s) for s in sets]).reshape(len(sets), SKETCH)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), *(pa.array(np.ascontiguousarray(marks[:, i])) for i in range(SKETCH))], ["doc_id", "data", *bits])
 
-    return docs.mapInArrow(build, "doc_id long, data binary")
+    return docs.mapInArrow(build, "doc_id long, data binary, " + ", ".join(f"{b} long" for b in bits))
 
 
-def linked_components(members: DataFrame, sets: DataFrame, percent: int, at_once: int = 8) -> DataFrame | None:
-    """(node, component) from members (sig, doc_id, size, probe) of signatures, verifying pairs until none is open.
+def linked_components(members: DataFrame, sets: DataFrame, scheme: Scheme, at_once: int = 16) -> DataFrame | None:
+    """(node, component) from members (sig, doc_id, size, lone, probe) of signatures, verifying pairs until none is open.
 
-    Each round compares some pivots of a signature, twice as many as the round before, with those of its
-    members that are in other components, and then takes the pivots out. Signatures of up to at_once members are
-    finished in one round. Pairs of sizes too far apart and pairs of which neither is a probe need no look.
+    Each round compares some pivots of a signature, after two rounds sixteen times as many as before, with those of its
+    members that are in other components, and then takes the pivots out. Probes of the fewest lone shingles come first: of
+    near copies they are the closest to the others. Once the first pivots have settled what they can,
+    signatures of up to at_once open members are finished in one round. Pairs of sizes too far apart, pairs of which neither is a probe, and
+    pairs whose lone shingles or sketches alone show more differences than a link allows need no look.
     """
-    edges, labels, pivots = None, None, 1
+    percent, single = scheme.percent, max((top for top, cells in scheme.bands(SINGLE) if cells == WIDE), default=0)
+    allowed = lambda total: F.floor(total * (100 - percent) / (100 + percent))
+    edges, labels, pivots, turn = None, None, 1, 0
     spark, tested = members.sparkSession, None
     members = members.withColumn("comp", F.col("doc_id"))
+    group = Window.partitionBy("sig")
+    bits = [f"k{i}" for i in range(SKETCH)]
+    marks = sets.select("doc_id", *bits).dropDuplicates(["doc_id", *bits])
     while True:
-        group = Window.partitionBy("sig")
-        ranked = members.withColumn("rank", F.row_number().over(group.orderBy("doc_id"))).withColumn("n", F.count("*").over(group))
-        ranked = written(ranked, "near-members")
-        chosen = ranked.where((F.col("rank") <= pivots) | (F.col("n") <= at_once))
-        a, b = (t.select("sig", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "size", "probe", "comp", "rank"))) for t, k in ((chosen, "a"), (ranked, "b")))
+        # A member that even the set of the fewest lone shingles can't link with is out.
+        reach = F.col("size") + F.floor(100 * F.col("size") / percent)
+        members = members.withColumn("fewest", F.min("lone").over(group)).where((F.col("size") > single) | (F.col("lone") + F.col("fewest") <= allowed(reach)))
+        ranked = members.withColumn("rank", F.row_number().over(group.orderBy(F.desc("probe"), "lone", "doc_id"))).withColumn("n", F.count("*").over(group))
+        ranked = written(ranked.select("sig", "doc_id", "size", "lone", "probe", "comp", "rank", "n"), "near-members")
+        finish = F.lit(turn > 1) & (F.col("n") <= at_once)
+        chosen = ranked.where((F.col("rank") <= pivots) | finish)
+        a, b = (t.join(marks, "doc_id").select("sig", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "size", "lone", "probe", "comp", "rank", *bits))) for t, k in ((chosen, "a"), (ranked, "b")))
         open_ = (F.col("rank_a") < F.col("rank_b")) & (F.col("doc_id_a") != F.col("doc_id_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.col("probe_a") | F.col("probe_b"))
         near = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-        pairs = a.join(b, "sig").where(open_ & near).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+        few = (F.least("size_a", "size_b") > single) | (F.col("lone_a") + F.col("lone_b") <= allowed(F.col("size_a") + F.col("size_b")))
+        apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits), F.lit(0))
+        pairs = a.join(b, "sig").where(open_ & near & few & (apart <= allowed(F.col("size_a") + F.col("size_b")))).select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "near-pairs")
-        if pairs.isEmpty() and ranked.where((F.col("n") > at_once) & (F.col("rank") > pivots)).isEmpty():
+        if pairs.isEmpty() and ranked.where(~finish & (F.col("rank") > pivots)).isEmpty():
             break
         tested = pairs if tested is None else tested.unionAll(pairs)
         fresh = written(similar(pairs, sets, percent), "near-links")
         if not fresh.isEmpty():
             edges = fresh if edges is None else edges.unionAll(fresh)
             labels = written(connected_components(edges), "near-components")
-        left = ranked.where((F.col("rank") > pivots) & (F.col("n") > at_once)).select("sig", "doc_id", "size", "probe")
-        left = left.join(labels, left.doc_id == labels.node, "left").select("sig", "doc_id", "size", "probe", F.coalesce("component", "doc_id").alias("comp")) if labels is not None else left.withColumn("comp", F.col("doc_id"))
+        left = ranked.where(~finish & (F.col("rank") > pivots)).select("sig", "doc_id", "size", "lone", "probe")
+        left = left.join(labels, left.doc_id == labels.node, "left").select("sig", "doc_id", "size", "lone", "probe", F.coalesce("component", "doc_id").alias("comp")) if labels is not None else left.withColumn("comp", F.col("doc_id"))
         unsettled = left.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("probe").alias("any")).where("low <> high AND any").select("sig")
         members = left.join(unsettled, "sig", "left_semi")
-        pivots *= 2
+        turn += 1
+        pivots *= 1 if turn < 2 else 16
     return labels
 
 
@@ -370,12 +403,16 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         met = met.unionAll(signature_meetings(marked, scheme, finest=True).where("kind >= 0"))
     wanted = written(probes(met), "near-probes").withColumn("probe", F.lit(True))
     sigs = wanted.select("sig").distinct()
-    members = met.select("sig", "doc_id", "size").distinct().join(sigs, "sig", "left_semi")
+    # Shingles of a set that no partner of the same cut has; each is a difference to any of them.
+    large = (F.col("spare") == ROLE_LARGE).alias("large")
+    shared = met.where("kind = 0").groupBy("doc_id", large).agg(F.count("*").alias("n_shared"))
+    members = met.select("sig", "doc_id", "size", large).distinct().join(sigs, "sig", "left_semi").join(shared, ["doc_id", "large"], "left")
+    members = members.select("sig", "doc_id", "size", F.greatest(F.col("size") - F.coalesce("n_shared", F.lit(0)), F.lit(0)).alias("lone"))
     members = written(members.join(wanted, ["sig", "doc_id"], "left").withColumn("probe", F.coalesce("probe", F.lit(False))), "near-candidates")
     labels = None
     if not members.isEmpty():
         sets = written(shingle_sets(picked(own, members.select(F.col("doc_id").alias("wanted_id")).distinct(), "doc_id"), scheme.words), "near-sets")
-        labels = linked_components(members, sets, scheme.percent)
+        labels = linked_components(members, sets, scheme)
     equal = meta.where("size > 0 AND doc_id IS NOT NULL").groupBy("print", "size").agg(F.min("doc_id").alias("representative"))
     rows = meta.select("doc_id", "size", F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("print")).alias("print"))
     rows = rows.join(equal, ["print", "size"], "left").withColumnRenamed("size", "n_shingles").withColumn("representative", F.coalesce("representative", "doc_id"))
