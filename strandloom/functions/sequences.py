@@ -28,9 +28,18 @@ def canonical(seq: Column) -> Column:
     return F.least(seq, revcomp(seq))
 
 
-def windows(seq: Column, k: int) -> Column:
-    """All substrings of length k as an array; none where seq is shorter."""
-    return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1)), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+def windows(seq: Column, k: int, block: int = 256) -> Column:
+    """All substrings of length k as an array; none where seq is shorter.
+
+    A substring is found by walking from the start of its string, so long strings are cut into overlapping blocks first.
+    """
+
+    def short(s: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(s) - (k - 1)), lambda i: F.substring(s, i, F.lit(k)))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(seq) - k) / block).cast("int")), lambda j: F.substring(seq, j * block + 1, F.lit(block + k - 1)))
+    found = F.when(F.length(seq) <= 2 * block, short(seq)).otherwise(F.flatten(F.transform(blocks, short)))
+    return F.when(F.length(seq) >= k, found).otherwise(F.array().cast("array<string>"))
 
 
 def palindrome_trim(seq: Column) -> Column:

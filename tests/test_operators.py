@@ -157,3 +157,11 @@ def test_streamed_counts(spark, tmp_path):
     stream.count_stream(source, str(tmp_path / "counts"), str(tmp_path / "state"), k=15).awaitTermination()
     got = stream.stream_counts(spark, str(tmp_path / "counts"))
     assert got.exceptAll(kmer_counts(reads, 15)).isEmpty() and got.count() == kmer_counts(reads, 15).count()
+
+
+def test_windows_of_long_strings(spark):
+    rng = random.Random(5)
+    for size in (20, 21, 512, 513, 532, 533, 1500):
+        text = "".join(rng.choice("ACGT") for _ in range(size))
+        got = spark.createDataFrame([(text,)], "s string").select(S.windows(F.col("s"), 21).alias("w")).first().w
+        assert got == [text[i : i + 21] for i in range(size - 20)]
