@@ -219,7 +219,7 @@ def meetings(bucket: int, blobs: list[memoryview], buckets: int) -> pa.RecordBat
 
 
 def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    for row, part in chunks(texts, 4 << 20):
+    for row, part in chunks(texts, 2 << 20):
         words = word_runs(part, size)
         yield row, [shingles(words, i, size) for i in range(len(part))]
 
@@ -354,9 +354,10 @@ def linked_components(members: DataFrame, sets: DataFrame, scheme: Scheme, at_on
     bits = [f"k{i}" for i in range(SKETCH)]
     marks = sets.select("doc_id", *bits).dropDuplicates(["doc_id", *bits])
     while True:
-        # A member that even the set of the fewest lone shingles can't link with is out.
+        # A member that even the partner of the fewest lone shingles can't link with is out; one that is no probe needs a probe.
         reach = F.col("size") + F.floor(100 * F.col("size") / percent)
-        members = members.withColumn("fewest", F.min("lone").over(group)).where((F.col("size") > single) | (F.col("lone") + F.col("fewest") <= allowed(reach)))
+        partner = F.when(F.col("probe"), F.min("lone").over(group)).otherwise(F.min(F.when(F.col("probe"), F.col("lone"))).over(group))
+        members = members.withColumn("fewest", partner).where((F.col("size") > single) | (F.col("lone") + F.col("fewest") <= allowed(reach)))
         ranked = members.withColumn("rank", F.row_number().over(group.orderBy(F.desc("probe"), "lone", "doc_id"))).withColumn("n", F.count("*").over(group))
         ranked = written(ranked.select("sig", "doc_id", "size", "lone", "probe", "comp", "rank", "n"), "near-members")
         finish = F.lit(turn > 1) & (F.col("n") <= at_once)

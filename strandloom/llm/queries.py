@@ -57,7 +57,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_near_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The similarity class of every document at 0.75 of five-word shingles."""
-    return near_components(table(spark, sf_dir, "documents"))
+    return near_components(table(spark, sf_dir, "documents")).drop("representative")
 
 
 def op7_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,6 +141,19 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   CAST(sum(CASE WHEN role = 'assistant' OR from_end = 1 THEN stop ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM ends GROUP BY conv_id
+""",
+    "op6_near_jaccard": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM words WHERE len(w) > 0) x
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_n FROM shingles x JOIN shingles y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN sizes na ON na.doc_id = a JOIN sizes nb ON nb.doc_id = b WHERE 100 * both_n >= 75 * (na.n + nb.n - both_n)
+), reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id
+FROM words LEFT JOIN sizes USING (doc_id)
 """,
     "op7_content_sort": r"""
 WITH texts AS (
