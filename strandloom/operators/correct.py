@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.sequences import revcomp, windows
+from strandloom.session import cut_lineage
 
 #: Penalties of the search (fixed values): per unit of difference, for a ratio, for a context that isn't known; states held; score gap.
 DIFFERENCE, RATIO, MISS, STATES, GAP = 13, 10, 10, 256, 60
@@ -21,11 +21,14 @@ BROADCAST_KMERS = 2_000_000
 FLIP = str.maketrans("ACGTacgt", "TGCAtgca")
 
 
-def search(seq: str, qual: list[int], solid: dict, w: int) -> tuple[str, list[int], int, int, bool]:
+def search(seq: str, qual: list[int], solid: dict, w: int, asks: dict | None = None) -> tuple[str, list[int], int, int, bool]:
     """One pass from left to right: (sequence, qualities, quality sum of changes, score difference, any context known).
 
     The context is the w bases before a position. A context's most frequent next base is free, keeping another base
     or going on without a known context has a price, and the cheapest way through the read wins.
+
+    With asks, solid holds only some contexts (None for one that isn't solid). Others that the search meets are put into asks, with those that
+    follow them along the read, and priced as a miss for now; the result holds where asks stays empty.
     """
     start = next((i for i in range(w, len(seq) + 1) if "N" not in seq[i - w : i]), None)
     if start is None or start >= len(seq):
@@ -42,6 +45,9 @@ def search(seq: str, qual: list[int], solid: dict, w: int) -> tuple[str, list[in
             continue
         base, q = seq[at], min(40, max(3, qual[at] - 33))
         steps, found = [], solid.get(context)
+        if asks is not None and found is None and context not in solid and context not in asks:
+            ahead = context + seq[at : len(seq) - 1]
+            asks.update((c, None) for i in range(len(ahead) - w + 1) if (c := ahead[i : i + w]) not in solid)
         if found is None:
             steps.append((base, score + MISS + 40 - q, False))
         else:
@@ -77,12 +83,12 @@ def search(seq: str, qual: list[int], solid: dict, w: int) -> tuple[str, list[in
     return "".join(bases), quals, changed, gap, known
 
 
-def correct_one(seq: str, qual: str | None, solid: dict, w: int, max_changed: float, default: int) -> tuple[str, str, int, int, int, bool]:
+def correct_one(seq: str, qual: str | None, solid: dict, w: int, max_changed: float, default: int, asks: dict | None = None) -> tuple[str, str, int, int, int, bool]:
     """(sequence with changed bases in lower case, qualities, bases changed, quality sum, score difference, bad)."""
     seq = seq.upper()
     quals = [ord(c) for c in qual] if qual else [default + 33] * len(seq)
-    back, quals_back, sum1, gap1, known1 = search(seq[::-1].translate(FLIP), quals[::-1], solid, w)
-    new, quals_new, sum2, gap2, known2 = search(back[::-1].translate(FLIP), quals_back[::-1], solid, w)
+    back, quals_back, sum1, gap1, known1 = search(seq[::-1].translate(FLIP), quals[::-1], solid, w, asks)
+    new, quals_new, sum2, gap2, known2 = search(back[::-1].translate(FLIP), quals_back[::-1], solid, w, asks)
     differs = [a != b for a, b in zip(seq, new, strict=True)]
     n = sum(differs)
     bad = not seq or n / len(seq) > max_changed or min(gap1, gap2) <= 10 or not (known1 or known2)
@@ -93,15 +99,14 @@ def correct_one(seq: str, qual: str | None, solid: dict, w: int, max_changed: fl
 def correct_reads(reads: DataFrame, solid: DataFrame, w: int, *, id_col: str = "rid", seq_col: str = "s", qual_col: str | None = None, max_changed: float = 0.3, default_quality: int = 15) -> DataFrame:
     """(read_id, seq, qual, n_changed, quality_sum, difference, bad) of every read.
 
-    solid: (kmer, best, ratio, rest). A table of up to BROADCAST_KMERS is broadcast. A larger one is joined to each read's own contexts and
-    those one base away, so that each read carries what it may need; contexts that several changes make are then unknown, at the price of a miss.
+    solid: (kmer, best, ratio, rest). A table of up to BROADCAST_KMERS is broadcast. A larger one stays where it is: each read asks for the contexts
+    its search meets, they are joined to it, and reads that met new ones are searched again, until none does. The results are the same.
     """
     out = "read_id long, seq string, qual string, n_changed int, quality_sum int, difference int, bad boolean"
     rows = reads.select(F.col(id_col).cast("long").alias("read_id"), F.col(seq_col).alias("seq"), (F.col(qual_col) if qual_col else F.lit(None).cast("string")).alias("qual"))
     names = [f.split()[0] for f in out.split(", ")]
 
-    def fix(ids, seqs, quals, tables) -> pa.RecordBatch:
-        found = [correct_one(s or "", q, t, w, max_changed, default_quality) for s, q, t in zip(seqs, quals, tables, strict=True)]
+    def as_batch(ids: pa.Array, found: list[tuple]) -> pa.RecordBatch:
         columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()))]
         return pa.RecordBatch.from_arrays([ids, *columns], names)
 
@@ -111,21 +116,36 @@ def correct_reads(reads: DataFrame, solid: DataFrame, w: int, *, id_col: str = "
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield fix(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), [shipped.value] * batch.num_rows)
+                rows_in = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+                yield as_batch(batch.column(0), [correct_one(s or "", q, shipped.value, w, max_changed, default_quality) for s, q in rows_in])
 
         return rows.mapInArrow(run, out)
 
-    own = rows.select("read_id", F.explode(F.array_union(windows(F.col("seq"), w), windows(revcomp(F.col("seq")), w))).alias("kmer"))
-    places = F.sequence(F.lit(1), F.lit(w))
-    near = F.flatten(F.transform(places, lambda i: F.transform(F.array(*map(F.lit, "ACGT")), lambda b: F.concat(F.substring("kmer", F.lit(1), i - 1), b, F.substring("kmer", i + 1, F.lit(w))))))
-    known = own.select("read_id", F.explode(near).alias("kmer")).distinct().join(table, "kmer").groupBy("read_id").agg(F.collect_list(F.struct("kmer", "best", "ratio", "rest")).alias("table"))
+    table = cut_lineage(table)
+    held = "array<struct<kmer: string, best: string, ratio: int, rest: int>>"
+    open_reads = cut_lineage(rows.select(F.monotonically_increasing_id().alias("row"), "*", F.array().cast(held).alias("table")))
+    done = None
 
     def run_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tables = [{e["kmer"]: (e["best"], e["ratio"], e["rest"]) for e in t or []} for t in batch.column(3).to_pylist()]
-            yield fix(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), tables)
-
-    return rows.join(known, "read_id", "left").mapInArrow(run_own, out)
+            columns, found, asked = [c.to_pylist() for c in batch.columns[2:]], [], []
+            for s, q, known in zip(*columns, strict=True):
+                asks: dict = {}
+                solid_here = {e["kmer"]: None if e["best"] is None else (e["best"], e["ratio"], e["rest"]) for e in known}
+                found.append(correct_one(s or "", q, solid_here, w, max_changed, default_quality, asks))
+                asked.append(list(asks))
+            fixed = as_batch(batch.column(1), found)
+            yield pa.RecordBatch.from_arrays([*fixed.columns, batch.column(0), pa.array(asked, pa.list_(pa.string()))], [*names, "row", "asks"])
+
+    while True:
+        tried = cut_lineage(open_reads.mapInArrow(run_own, f"{out}, row long, asks array<string>"))
+        settled = tried.where(F.size("asks") == 0).select(*names)
+        done = settled if done is None else done.unionAll(settled)
+        asks = tried.where(F.size("asks") > 0).select("row", F.explode("asks").alias("kmer"))
+        if asks.isEmpty():
+            return done
+        more = asks.join(table, "kmer", "left").groupBy("row").agg(F.collect_list(F.struct("kmer", "best", "ratio", "rest")).alias("more"))
+        open_reads = cut_lineage(open_reads.join(more, "row").select("row", "read_id", "seq", "qual", F.concat("table", "more").alias("table")))
 
 
 def keep_good(corrected: DataFrame, paired: bool = False) -> DataFrame:

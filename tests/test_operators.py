@@ -84,6 +84,25 @@ def test_correction_with_a_table_too_large_to_broadcast(spark, monkeypatch):
     assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.98 * len(want)
 
 
+def test_correction_is_the_same_on_both_paths(spark, monkeypatch):
+    from strandloom.operators import correct
+
+    # Two haplotypes that differ in two bases, and reads with two, three and five errors within w bases.
+    rng = random.Random(4)
+    change = lambda s, places: "".join(c.translate(str.maketrans("ACGT", "CGTA")) if k in places else c for k, c in enumerate(s))
+    g = "".join(rng.choice("ACGT") for _ in range(128))
+    whole = [(k, g if k < 12 else change(g, {44, 50})) for k in range(16)]
+    spoilt = [(100 + k, change(g[20:80], set(rng.sample(range(22, 39), (2, 3, 5)[k % 3])))) for k in range(90)]
+    solid = next_base_table(spark.createDataFrame(whole, "rid long, s string"), 17).checkpoint()
+    every = spark.createDataFrame(whole + spoilt + [(300, "ACGNT" * 9), (301, "ACG"), (None, g[3:70])], "rid long, s string")
+    columns = ["read_id", "seq", "qual", "n_changed", "quality_sum", "difference", "bad"]
+    run = lambda: sorted(map(tuple, correct_reads(every, solid, 17).select(*columns).collect()), key=str)
+    want = run()
+    assert len(want) == 109 and {2, 3, 5} <= {r[3] for r in want}
+    monkeypatch.setattr(correct, "BROADCAST_KMERS", 0)
+    assert run() == want
+
+
 def test_bubbles_and_tips(spark):
     vertices = spark.createDataFrame([(0, 100, 9), (1, 80, 5), (2, 80, 2), (3, 100, 9), (4, 60, 1)], "id long, len long, nsr long")
     one_way = [(0, 2, 40), (0, 4, 40), (2, 6, 40), (4, 6, 40), (6, 8, 40)]
