@@ -1,13 +1,13 @@
 """Merging and cleaning of assembly graphs in synchronous rounds.
 
-vertices: (id, len, nsr, seq); edges: (a, b, ovlp) between oriented vertices 2 * id + strand, in both directions.
+vertices: (id, len, nsr, seq) and cov, if known: a character of 33 + depth for each base, as in MAG records; edges: (a, b, ovlp) between oriented vertices 2 * id + strand, in both directions.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators import graph as Gr
@@ -15,6 +15,8 @@ from strandloom.operators.align import align
 from strandloom.operators.chains import chain_positions, cut_cycles, unambiguous
 from strandloom.session import cut_lineage
 
+#: The deepest that a coverage character tells.
+MOST_DEEP = 93
 
 
 @dataclass(frozen=True)
@@ -32,8 +34,19 @@ class Cleaning:
     aggressive: bool = False
 
 
+def with_coverage(vertices: DataFrame) -> DataFrame:
+    """Vertices with cov; bases of a vertex without one are one read deep, as the reference reads records without qualities."""
+    known = F.col("cov") if "cov" in vertices.columns else F.lit(None).cast("string")
+    return vertices.withColumn("cov", F.coalesce(known, F.repeat(F.lit('"'), F.length("seq"))))
+
+
+def depths(cov: Column) -> Column:
+    return F.transform(F.filter(F.split(cov, ""), lambda c: c != ""), lambda c: F.ascii(c) - 33)
+
+
 def merge_graph(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every maximal unambiguous path as one vertex, named by its first; nsr adds up and sequences are joined over their overlaps."""
+    """Every maximal unambiguous path as one vertex, named by its first; nsr and, base by base, cov (up to MOST_DEEP) add up, sequences are joined over their overlaps."""
+    vertices = with_coverage(vertices)
     one = F.lit(1).cast("long")
     steps = cut_lineage(unambiguous(edges.where("floor(a / 2) <> floor(b / 2)")).select("a", "b", F.col("ovlp").alias("step")))
     placed = chain_positions(cut_cycles(steps)).select("node", "chain", "position")
@@ -50,6 +63,13 @@ def merge_graph(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     merged = parts.groupBy(F.col("new_id").alias("id")).agg(F.sum("len").alias("len"), F.sum("nsr").alias("nsr"), F.array_sort(F.collect_list("p")).alias("ps"))
     merged = merged.select("id", "len", "nsr", F.array_join(F.transform("ps", lambda p: p["part"]), "").alias("seq"))
     new = F.col("id") * 2
+    reach = F.sum(F.col("len") - over).over(Window.partitionBy("new_id").orderBy("position"))
+    turned = F.when(F.col("node") % 2 == 0, F.col("cov")).otherwise(F.reverse("cov"))
+    starts = own.select("new_id", (reach - F.col("len")).alias("start"), turned.alias("cov"))
+    bases = starts.select("new_id", "start", F.posexplode(depths(F.col("cov"))).alias("at", "depth"))
+    deep = bases.groupBy("new_id", (F.col("start") + F.col("at")).alias("at")).agg(F.least(F.sum("depth"), F.lit(MOST_DEEP)).alias("depth"))
+    cov = deep.groupBy(F.col("new_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("at", F.char(F.col("depth") + 33).alias("c")))).alias("cs"))
+    merged = merged.join(cov.select("id", F.array_join("cs.c", "").alias("cov")), "id", "left")
     sources = kept.select(F.explode(F.array(F.struct(F.col("last").alias("old"), new.alias("new")), F.struct(F.col("chain").bitwiseXOR(one).alias("old"), (new + 1).alias("new")))).alias("x")).select("x.*").distinct()
     targets = kept.select(F.explode(F.array(F.struct(F.col("chain").alias("old"), new.alias("new")), F.struct(F.col("last").bitwiseXOR(one).alias("old"), (new + 1).alias("new")))).alias("x")).select("x.*").distinct()
     left = edges.join(sources.withColumnRenamed("old", "a").withColumnRenamed("new", "na"), "a").join(targets.withColumnRenamed("old", "b").withColumnRenamed("new", "nb"), "b")
@@ -63,13 +83,15 @@ def remove_tips(vertices: DataFrame, edges: DataFrame, max_len: int, max_nsr: in
 
 
 def pop_bubbles(vertices: DataFrame, edges: DataFrame, rules: Cleaning = Cleaning()) -> tuple[DataFrame, DataFrame]:
-    """Of two similar arms between the same ends, the one with fewer reads for each base goes; of equal ones the second.
+    """Of two similar arms between the same ends, the one whose own part is less deep goes; of equal ones the second.
 
     Similar: (5 * shorter - score) / 9 below 2.01 (4.02 if aggressive) or below a tenth of the mean length of the arms' own parts. Unless
-    aggressive, the arm must also have less than bubble_cov and less than bubble_share of both.
+    aggressive, its mean depth must also be below bubble_cov and below bubble_share of both. The own part lies between an arm's overlaps; where
+    these meet or cross, it is what both cover.
     """
+    vertices = with_coverage(vertices)
     arms = Gr.bubbles(vertices, edges)
-    shown = vertices.select("id", "len", "nsr", "seq")
+    shown = vertices.select("id", "len", "seq", "cov")
     into, past = edges.select(F.col("a").alias("source"), F.col("b").alias("arm"), F.col("ovlp").alias("o_in")), edges.select(F.col("a").alias("arm"), F.col("b").alias("sink"), F.col("ovlp").alias("o_out"))
 
     def side(k: int) -> DataFrame:
@@ -77,7 +99,10 @@ def pop_bubbles(vertices: DataFrame, edges: DataFrame, rules: Cleaning = Cleanin
         turned = F.when(F.col("arm") % 2 == 0, F.col("seq")).otherwise(F.reverse(F.translate("seq", "ACGT", "TGCA")))
         size = F.col("len") - F.col("o_in") - F.col("o_out")
         inner = F.when(size > 0, F.substring(turned, F.col("o_in") + 1, size.cast("int"))).otherwise("")
-        return rows.select("source", "sink", "arm1", F.col("id").alias(f"id{k}"), size.alias(f"size{k}"), (F.col("nsr") / F.col("len")).alias(f"cov{k}"), inner.alias(f"inner{k}"))
+        first, last = (F.when(F.col("arm") % 2 == 0, F.col(x)).otherwise(F.col(y)) for x, y in (("o_in", "o_out"), ("o_out", "o_in")))
+        part = depths(F.substring("cov", (F.least(first, F.col("len") - last) + 1).cast("int"), F.greatest(F.abs(size), F.lit(1)).cast("int")))
+        depth = F.aggregate(part, F.lit(0).cast("double"), lambda s, x: s + x) / F.greatest(F.size(part), F.lit(1))
+        return rows.select("source", "sink", "arm1", F.col("id").alias(f"id{k}"), size.alias(f"size{k}"), depth.alias(f"cov{k}"), inner.alias(f"inner{k}"))
 
     both = align(side(1).join(side(2), ["source", "sink", "arm1"]), "inner1", "inner2", match=5, mismatch=-4, gap_open=5, gap_extend=2)
     whole = (F.col("size1") > 0) & (F.col("size2") > 0)

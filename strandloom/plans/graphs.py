@@ -181,7 +181,7 @@ def bubble_simple(spark, d):
     changed = F.concat(F.substring("s", 31, 33), F.translate(F.substring("s", 64, 1), "ACGT", "CGTA"), F.substring("s", 65, 34))
     parts = [(0, arm((1, 60)), 9), (1, arm((31, 68)), 9), (2, changed, 1), (3, arm((69, 60)), 9)]
     rows = F.array(*(F.struct((F.col("id") * 10 + k).alias("id"), s.alias("seq"), F.lit(n).cast("long").alias("nsr")) for k, s, n in parts))
-    vertices = g.select(F.explode(rows).alias("v")).select("v.*").withColumn("len", F.length("seq").cast("long"))
+    vertices = g.select(F.explode(rows).alias("v")).select("v.*").withColumn("len", F.length("seq").cast("long")).withColumn("cov", F.expr("repeat(char(33 + nsr), length(seq))"))
     ties = F.array(*(F.struct((F.col("id") * 20 + a).alias("a"), (F.col("id") * 20 + b).alias("b"), F.lit(30).alias("ovlp")) for a, b in ((0, 2), (0, 4), (2, 6), (4, 6), (3, 1), (5, 1), (7, 3), (7, 5))))
     edges = g.select(F.explode(ties).alias("e")).select("e.*")
     kept, _ = pop_bubbles(vertices, edges)

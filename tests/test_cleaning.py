@@ -54,3 +54,36 @@ def test_smem(spark):
     got = sorted(map(tuple, smem(queries, strings, 11).collect()))
     assert got == [(1, 0, 29, 1, False, False), (1, 30, 60, 1, False, False), (2, 0, 30, 2, True, False)]
     assert [r.query for r in smem(queries, strings, 11, min_hits=2).collect()] == [2]
+
+
+def bubble(spark, deep, shallow):
+    """Two arms that differ in a base; their overlaps are 90 deep, their own parts as given."""
+    g = genome(160, 7)
+    arm = g[31:99]
+    alt = arm[:33] + arm[33].translate(RC) + arm[34:]
+    cov = lambda n: chr(33 + 90) * 30 + chr(33 + n) * 8 + chr(33 + 90) * 30
+    rows = [(0, g[:61], 300, chr(123) * 61), (1, arm, 40, cov(deep)), (2, alt, 6, cov(shallow)), (3, g[69:160], 300, chr(123) * 91)]
+    vertices = spark.createDataFrame(rows, "id long, seq string, nsr long, cov string").withColumn("len", F.length("seq").cast("long"))
+    one_way = [(0, 2, 30), (0, 4, 30), (2, 6, 30), (4, 6, 30)]
+    return vertices, spark.createDataFrame(one_way + [(b ^ 1, a ^ 1, o) for a, b, o in one_way], "a long, b long, ovlp int")
+
+
+def test_bubble_arms_go_by_the_depth_of_their_own_parts(spark):
+    left = lambda deep, shallow: sorted(r.id for r in pop_bubbles(*bubble(spark, deep, shallow))[0].collect())
+    assert left(80, 12) == [0, 1, 2, 3]
+    assert left(80, 9) == [0, 1, 3]
+    assert left(9, 80) == [0, 2, 3]
+
+
+def test_merging_adds_coverage(spark):
+    g = genome(40, 8)
+    rows = [(0, g[:20], "#" * 20), (1, g[8:28][::-1].translate(RC), "$" * 15 + "%" * 5), (2, g[16:40], "~" * 24)]
+    vertices = spark.createDataFrame(rows, "id long, seq string, cov string").withColumn("len", F.length("seq").cast("long")).withColumn("nsr", F.lit(1).cast("long"))
+    one_way = [(0, 3, 12), (3, 4, 12)]
+    v, _ = merge_graph(vertices, spark.createDataFrame(one_way + [(b ^ 1, a ^ 1, o) for a, b, o in one_way], "a long, b long, ovlp int"))
+    want = [0] * 40
+    for start, cov in ((0, rows[0][2]), (8, rows[1][2][::-1]), (16, rows[2][2])):
+        for k, c in enumerate(cov):
+            want[start + k] = min(93, want[start + k] + ord(c) - 33)
+    row = v.first()
+    assert (row.seq, [ord(c) - 33 for c in row.cov]) in ((g, want), (g[::-1].translate(RC), want[::-1]))
