@@ -116,15 +116,23 @@ def pop_bubbles(vertices: DataFrame, edges: DataFrame, rules: Cleaning = Cleanin
     return tuple(map(cut_lineage, Gr.drop_vertices(vertices, edges, gone)))
 
 
+def drop_weak(vertices: DataFrame, edges: DataFrame, min_overlap: int, ratio: float, rules: Cleaning) -> DataFrame:
+    """Edges without the weak ones, by the tips of the graph as it is."""
+    tips = Gr.tips(vertices, edges, rules.tip_len, rules.tip_nsr)
+    ends = tips.select(F.explode(F.array(F.col("id") * 2, F.col("id") * 2 + 1)).alias("end"))
+    return cut_lineage(Gr.weak_edges(edges, min_overlap, ratio, ends, oriented=True))
+
+
 def clean(vertices: DataFrame, edges: DataFrame, rules: Cleaning = Cleaning()) -> tuple[DataFrame, DataFrame]:
-    """The schedule: tips, ramped rounds of weak edges, tips and merging, more rounds of tips and merging, bubbles, weak inner vertices.
+    """The schedule: tips, ramped rounds of weak edges, tips and merging, more rounds of tips and merging, bubbles, weak inner vertices and, unless
+    aggressive, tips and merging once more.
 
     Each step looks at the whole graph at once, so the result does not depend on an order of vertices.
     """
     v, e = remove_tips(vertices, edges, rules.tip_len, min(rules.tip_nsr, 3))
     for k in range(rules.rounds):
         ramp = 0.5 + 0.5 * k / (rules.rounds - 1) if rules.rounds > 1 else 1.0
-        e = cut_lineage(Gr.weak_edges(e, int(rules.min_overlap * ramp), rules.ratio * ramp))
+        e = drop_weak(v, e, int(rules.min_overlap * ramp), rules.ratio * ramp, rules)
         v, e = remove_tips(v, e, int(rules.tip_len * ramp), max(2, int(rules.tip_nsr * ramp)))
         v, e = merge_graph(v, e)
     for _ in range(rules.rounds):
@@ -133,6 +141,8 @@ def clean(vertices: DataFrame, edges: DataFrame, rules: Cleaning = Cleaning()) -
     if rules.inner_nsr >= 2:
         weak = v.where((F.col("len") < rules.tip_len) & (F.col("nsr") < rules.inner_nsr))
         v, e = map(cut_lineage, Gr.bridge_vertices(v, e, weak, rules.min_overlap))
-        e = cut_lineage(Gr.weak_edges(e, rules.min_overlap, rules.ratio))
+        e = drop_weak(v, e, rules.min_overlap, rules.ratio, rules)
+        v, e = merge_graph(*remove_tips(v, e, rules.tip_len, rules.tip_nsr))
+    if not rules.aggressive:
         v, e = merge_graph(*remove_tips(v, e, rules.tip_len, rules.tip_nsr))
     return v, e

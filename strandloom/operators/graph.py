@@ -42,11 +42,12 @@ def relative_edges(edges: DataFrame, ratio: float) -> DataFrame:
     return edges.withColumn("second", second).where(F.col("ovlp") >= ratio * F.col("second")).select("a", "b", "ovlp")
 
 
-def weak_edges(edges: DataFrame, min_overlap: int, ratio: float, tips: DataFrame | None = None) -> DataFrame:
+def weak_edges(edges: DataFrame, min_overlap: int, ratio: float, tips: DataFrame | None = None, oriented: bool = False) -> DataFrame:
     """What stays of edges once weak ones are gone in both directions.
 
     Weak: below min_overlap, or below ratio times the end's reference: its longest overlap, min_overlap at least, and
-    min_overlap where the longest leads to a tip (tips: end). Of equal longest edges the smallest target decides.
+    min_overlap where the longest leads to a tip (tips: end). Of equal longest edges the smallest target decides. The edges
+    that start at a tip are not looked at from there. The other direction of (a, b) is (b, a), or (b ^ 1, a ^ 1) of oriented vertices.
     """
     longest = edges.groupBy("a").agg(F.max(F.struct("ovlp", (-F.col("b")).alias("order"))).alias("top")).select("a", F.col("top.ovlp").alias("top"), (-F.col("top.order")).alias("target"))
     if tips is not None:
@@ -54,7 +55,10 @@ def weak_edges(edges: DataFrame, min_overlap: int, ratio: float, tips: DataFrame
         longest = longest.join(flags, "target", "left").withColumn("top", F.when(F.col("tip"), F.lit(min_overlap)).otherwise(F.col("top")))
     reference = longest.select("a", F.greatest("top", F.lit(min_overlap)).alias("reference"))
     weak = edges.join(reference, "a").where((F.col("ovlp") < min_overlap) | (F.col("ovlp") / F.col("reference") < ratio)).select("a", "b")
-    gone = weak.unionAll(weak.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    if tips is not None:
+        weak = weak.join(tips.select(F.col("end").alias("a")).distinct(), "a", "left_anti")
+    flip = F.lit(1 if oriented else 0).cast("long")
+    gone = weak.unionAll(weak.select(F.col("b").bitwiseXOR(flip).alias("a"), F.col("a").bitwiseXOR(flip).alias("b"))).distinct()
     return edges.join(gone, ["a", "b"], "left_anti").select("a", "b", "ovlp")
 
 

@@ -112,6 +112,22 @@ def tips(spark, d):
     return Gr.tips(fixture(spark, d, "VERTICES"), _edges(spark, d), 900, 20).select("id")
 
 
+TIPPED = f"""WITH e AS (SELECT a, b, ovlp FROM ({EDGES}) x UNION ALL SELECT b, a, ovlp FROM ({EDGES}) y),
+  t AS (SELECT id * 2 + unnest([0, 1]) AS node FROM ({VERTICES}) v LEFT JOIN (SELECT a // 2 AS i, count(DISTINCT a % 2) AS n FROM e GROUP BY 1) s ON s.i = v.id WHERE len < 2100 AND nsr < 37 AND coalesce(n, 0) < 2),
+  m AS (SELECT a, CASE WHEN b IN (SELECT node FROM t) THEN 10 ELSE greatest(10, ovlp) END AS m FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY ovlp DESC, b) AS k FROM e) r WHERE k = 1),
+  w AS (SELECT e.a, e.b FROM e JOIN m USING (a) WHERE (ovlp < 10 OR ovlp / m < 0.8) AND a NOT IN (SELECT node FROM t))
+  SELECT * FROM e WHERE (a, b) NOT IN (SELECT (a, b) FROM w UNION SELECT (b, a) FROM w)"""
+
+
+@query("weak_edges_tips", TIPPED)
+def weak_edges_tips(spark, d):
+    """weak_edges by the tip rule."""
+    edges = _edges(spark, d)
+    edges = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "ovlp"))
+    ends = Gr.tips(fixture(spark, d, "VERTICES"), edges, 2100, 37).select(F.explode(F.array(F.col("id") * 2, F.col("id") * 2 + 1)).alias("end"))
+    return Gr.weak_edges(edges, 10, 0.8, ends)
+
+
 def _rdist_sql() -> str:
     one = "SELECT sum(own) / sum(nsr) AS rdist FROM (SELECT own, nsr, coalesce(sum(nsr) OVER (ORDER BY nsr DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM {src}) w WHERE before < 0.5 * (SELECT sum(nsr) FROM v)"
     return f"v AS (SELECT *, len - maxo AS own FROM ({VERTICES}) x), r1 AS ({one.format(src='v')}), v2 AS (SELECT v.* FROM v, r1 WHERE own / rdist - nsr * 0.6931471805599453 >= 20), r2 AS ({one.format(src='v2')})"

@@ -1,7 +1,8 @@
 import random
 
+from strandloom.operators import graph as Gr
 from strandloom.operators import overlaps as O
-from strandloom.operators.cleaning import Cleaning, clean, merge_graph, pop_bubbles
+from strandloom.operators.cleaning import Cleaning, clean, drop_weak, merge_graph, pop_bubbles
 from strandloom.operators.matches import smem
 from strandloom.operators.suffixes import both_strands
 from pyspark.sql import functions as F
@@ -87,3 +88,28 @@ def test_merging_adds_coverage(spark):
             want[start + k] = min(93, want[start + k] + ord(c) - 33)
     row = v.first()
     assert (row.seq, [ord(c) - 33 for c in row.cov]) in ((g, want), (g[::-1].translate(RC), want[::-1]))
+
+
+def linked(spark, sizes, one_way):
+    vertices = spark.createDataFrame([(k, n, r, "A" * n) for k, (n, r) in enumerate(sizes)], "id long, len long, nsr long, seq string")
+    return vertices, spark.createDataFrame(one_way + [(b ^ 1, a ^ 1, o) for a, b, o in one_way], "a long, b long, ovlp int")
+
+
+def test_a_tip_with_the_longest_overlap_does_not_make_edges_weak(spark):
+    # 0 leads to the tip 1 by 95 bases, to 2 by 64 and to 3 by 62; 2 and 3 go on.
+    v, e = linked(spark, [(400, 9), (100, 1), (400, 9), (400, 9), (400, 9)], [(0, 2, 95), (0, 4, 64), (0, 6, 62), (4, 8, 70), (6, 8, 50)])
+    left = {tuple(r)[:2] for r in drop_weak(v, e, 60, 0.8, Cleaning()).collect()}
+    assert left == {(0, 2), (3, 1), (0, 4), (5, 1), (0, 6), (7, 1), (4, 8), (9, 5)}
+
+
+def test_edges_are_not_looked_at_from_a_tip(spark):
+    # The tip 0 has edges of 90 and 61 bases; from 2, which has another edge of 61, the second is fine.
+    v, e = linked(spark, [(100, 1), (400, 9), (400, 9), (400, 9)], [(0, 2, 90), (0, 4, 61), (2, 6, 90), (4, 6, 61)])
+    ends = Gr.tips(v, e, 300, 4).select(F.explode(F.array(F.col("id") * 2, F.col("id") * 2 + 1)).alias("end"))
+    assert {tuple(r)[:2] for r in Gr.weak_edges(e, 60, 0.8, ends, oriented=True).collect()} >= {(0, 4), (5, 1), (0, 2)}
+
+
+def test_tips_that_bubbles_expose_are_removed(spark):
+    v, e = bubble(spark, 80, 5)
+    v = v.withColumn("nsr", F.lit(3).cast("long"))
+    assert clean(v, e, Cleaning(min_overlap=20, tip_len=200, tip_nsr=20, rounds=0, inner_nsr=0))[0].count() == 0
