@@ -113,3 +113,14 @@ def test_tips_that_bubbles_expose_are_removed(spark):
     v, e = bubble(spark, 80, 5)
     v = v.withColumn("nsr", F.lit(3).cast("long"))
     assert clean(v, e, Cleaning(min_overlap=20, tip_len=200, tip_nsr=20, rounds=0, inner_nsr=0))[0].count() == 0
+
+
+def test_smem_of_shared_runs_and_whole_strings(spark):
+    g = genome(200, 11)
+    queries = spark.createDataFrame([(1, g[20:90])], "query long, seq string")
+    strings = spark.createDataFrame([(0, g[20:70]), (2, g[30:80]), (4, g[40:60]), (6, g[:100])], "oriented_id long, seq string")
+    every = sorted(map(tuple, smem(queries, strings, 11).collect()))
+    assert every == [(1, 0, 50, 1, True, True), (1, 0, 70, 1, False, False), (1, 10, 60, 1, True, True), (1, 20, 40, 1, True, True)]
+    two = smem(queries, strings.where("oriented_id < 4"), 11, min_hits=2)
+    assert [tuple(r) for r in two.collect()] == [(1, 10, 50, 2, True, True)]
+    assert [tuple(r) for r in smem(queries, strings, 11, min_hits=4).collect()] == [(1, 20, 40, 4, True, True)]
