@@ -417,6 +417,12 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     equal = meta.where("size > 0 AND doc_id IS NOT NULL").groupBy("print", "size").agg(F.min("doc_id").alias("representative"))
     rows = meta.select("doc_id", "size", F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("print")).alias("print"))
     rows = rows.join(equal, ["print", "size"], "left").withColumnRenamed("size", "n_shingles").withColumn("representative", F.coalesce("representative", "doc_id"))
+    # An id of several rows ties the sets of all of them together.
+    repeated = meta.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    ties = written(rows.join(repeated, "doc_id", "left_semi").where("doc_id <> representative").select(F.col("doc_id").alias("a"), F.col("representative").alias("b")).distinct(), "near-ties")
+    if not ties.isEmpty():
+        links = ties if labels is None else ties.unionAll(labels.select("node", "component"))
+        labels = written(connected_components(links), "near-components")
     if labels is None:
         return rows.select("doc_id", "n_shingles", F.col("representative").alias("component_id"), "representative")
     return rows.join(labels, rows.representative == labels.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "representative").alias("component_id"), "representative")

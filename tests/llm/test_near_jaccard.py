@@ -123,3 +123,13 @@ def test_packing_is_lossless():
     mask = (1 << 48) - 1
     want = [(int(s % np.uint64(7)), int(s // np.uint64(7)) & mask, int(g), bool(d), int(ids[r]), int(prints[r]), int(sizes[r]), int(o)) for r, o, s, g, d in zip(rows, spare, sig, segment, deleted, strict=True)]
     assert sorted(got) == sorted(want)
+
+
+def test_rows_of_one_id_are_one_node(spark):
+    text = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    one, two, three = text("x", 60), text("y", 60), text("z", 60)
+    rows = [(5, one), (5, two), (3, two), (7, one + " x60"), (9, three), (9, ""), (8, three), (11, text("w", 60))]
+    got = N.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (7, 3), (8, 8), (9, 8), (9, 8), (11, 11)]
+    same = N.near_components(spark.createDataFrame([(5, one), (5, two), (3, two)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in same) == [(3, 3), (5, 3), (5, 3)]
