@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -27,6 +28,8 @@ def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a local one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="strandloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -42,5 +45,42 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: later reads neither repeat the work nor need the executors that did it."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Named tables of a loop in the shared folder.
+
+    A table that takes the name of an older one replaces it, so disk holds one of each name. Shuffle files of
+    finished jobs are let go as well: Spark removes them once the driver collects its garbage.
+    """
+
+    def __init__(self, spark: SparkSession, title: str):
+        self.spark, self.title, self.paths = spark, title, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        path = shared_path(self.spark, f"{self.title}-{name}")
+        df.write.parquet(path)
+        self.drop(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        jvm, context = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc
+        for name in names:
+            if name in self.paths:
+                path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+                path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
+
+    def keep_only(self, *names: str) -> None:
+        self.drop(*(set(self.paths) - set(names)))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
