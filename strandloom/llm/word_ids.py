@@ -11,6 +11,8 @@ library whole, so every result is the library's.
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,8 @@ from tokenizers import Tokenizer
 
 #: Classes of bytes. Letters hold the lead and continuation bytes of U+00C0 to U+024F.
 PUNCT, LETTER, DIGIT, SPACE, BREAK, ODD = range(6)
+#: A space between two characters that are no white space; it belongs to the word after it.
+LONE_SPACE = re.compile(r"\S(?= \S)")
 #: Contractions of the pattern that byte-level BPE splits by (fixed values).
 SHORT, LONG = b"stmd", (b"re", b"ve", b"ll")
 
@@ -47,7 +51,7 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def chunks(texts: pa.Array, limit: int = 4 << 20):
+def chunks(texts: pa.Array, limit: int = 1 << 20):
     """(first row, slice) of at most `limit` bytes each, a longer text alone."""
     ends = np.cumsum(np.diff(utf8(texts)[1])) if len(texts) else np.zeros(0, np.int64)
     row = 0
@@ -110,15 +114,19 @@ def byte_letters() -> dict[int, str]:
 
 
 class Gather:
-    """A bounded table of what is known of distinct words: an array of ids for each."""
+    """A table of what is known of distinct words: an array of ids for each.
 
-    def __init__(self, encode_words, limit: int = 800_000):
-        self.encode_words, self.limit = encode_words, limit
+    It is emptied before a chunk once it holds `limit` words or `limit_bytes` of them, so it holds no more
+    than that and one chunk's words.
+    """
+
+    def __init__(self, encode_words, limit: int = 150_000, limit_bytes: int = 8 << 20):
+        self.encode_words, self.limit, self.limit_bytes = encode_words, limit, limit_bytes
         self.clear()
 
     def clear(self) -> None:
         self.slot: dict[bytes, int] = {}
-        self.flat, self.first, self.used = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0
+        self.flat, self.first, self.used, self.bytes = np.zeros(1 << 18, np.uint32), np.zeros(1 << 16, np.int64), 0, 0
 
     def add(self, words: list[bytes]) -> None:
         found = self.encode_words(words)
@@ -132,11 +140,12 @@ class Gather:
         self.flat[self.used : self.used + len(ids)] = ids
         self.first[base + 1 : base + len(words) + 1] = self.used + np.cumsum(sizes)
         self.used += len(ids)
+        self.bytes += sum(map(len, words))
         self.slot.update(zip(words, range(base, base + len(words)), strict=True))
 
     def look_up(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The slot of each word of a chunk."""
-        if len(self.slot) > self.limit:
+        if len(self.slot) > self.limit or self.bytes > self.limit_bytes:
             self.clear()
         ends = np.append(starts, len(data)).astype(np.int32)
         words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
@@ -167,6 +176,7 @@ class ByteBpe:
             and not before.get("add_prefix_space")
             and spec.get("normalizer") is None
         )
+        self.cuttable = self.by_words and not any(re.search(rb"\s", t) for t in self.added)
         self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
         self.words = Gather(self._encode_words)
 
@@ -178,12 +188,23 @@ class ByteBpe:
             found.append([t.id for t in split(text)])
         return found
 
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        found = []
-        for text in texts:  # one at a time: an Encoding holds far more than its ids
-            found.append(self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def _whole(self, text: str) -> list[int]:
+        """The ids of a text by the library, part by part: an Encoding holds far more than its ids."""
+        found: list[int] = []
+        for part in self._parts(text) if self.cuttable else [text]:
+            found += self.tokenizer.encode(part, add_special_tokens=False).ids
         return found
 
+    @staticmethod
+    def _parts(text: str, size: int = 1 << 15) -> Iterator[str]:
+        """Cuts before a single space between two characters that are no white space: a word always starts there."""
+        begin = 0
+        while begin < len(text):
+            cut = LONE_SPACE.search(text, begin + size) if begin + size < len(text) else None
+            end = cut.start() + 1 if cut else len(text)
+            yield text[begin:end]
+            begin = end
+
     def _words_of(self, texts: pa.Array):
         data, at = utf8(texts)
         odd = odd_texts(data, at, self.added) if self.by_words else np.ones(len(texts), bool)
@@ -204,7 +225,7 @@ class ByteBpe:
         for row, part in chunks(texts):
             odd, _, n = self._words_of(part)
             for i in np.flatnonzero(odd):
-                n[i] = len(self._whole([part[int(i)].as_py()])[0])
+                n[i] = len(self._whole(part[int(i)].as_py()))
             out[row : row + len(part)] = n
         return out
 
@@ -216,7 +237,7 @@ class ByteBpe:
             if odd.any():
                 ends, pieces = np.cumsum(n), []
                 for i in range(len(part)):
-                    pieces.append(np.asarray(self._whole([part[i].as_py()])[0], np.uint32) if odd[i] else ids[ends[i] - n[i] : ends[i]])
+                    pieces.append(np.asarray(self._whole(part[i].as_py()), np.uint32) if odd[i] else ids[ends[i] - n[i] : ends[i]])
                 n, ids = np.fromiter(map(len, pieces), np.int64, len(pieces)), np.concatenate(pieces)
             yield n, ids
 

@@ -22,6 +22,23 @@ def test_words_give_the_library_ids(texts):
     assert got == [i for x in want for i in x]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=40).map("".join), st.integers(1, 6))
+def test_parts_of_a_long_text_give_the_library_ids(text, size):
+    parts = list(ENCODER._parts(text, size))
+    assert "".join(parts) == text
+    assert [i for p in parts for i in LIBRARY.encode(p, add_special_tokens=False).ids] == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_table_of_words_stays_bounded():
+    small = ByteBpe(open(PATH, encoding="utf-8").read())
+    small.words.limit, small.words.limit_bytes = 50, 1 << 12
+    texts = pa.array([" ".join(f"w{i}{k}" for i in range(40)) for k in range(30)] + ["x" * 9000, "y"])
+    for k in range(0, 32, 2):
+        assert small.counts(texts[k : k + 2]).tolist() == [len(LIBRARY.encode(t, add_special_tokens=False).ids) for t in texts[k : k + 2].to_pylist()]
+        assert len(small.words.slot) <= 50 + 2 * 81
+
+
 def test_cache_encodes_only_misses(spark, tmp_path):
     rows = [(1, "one two"), (2, None), (3, "one two"), (3, "one two"), (None, "x" * 5000), (5, "")]
     docs = spark.createDataFrame([(k, t, 7) for k, t in rows], "doc_id long, text string, n_tokens int")
