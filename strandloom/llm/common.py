@@ -5,12 +5,12 @@ from __future__ import annotations
 import hashlib
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.session import cut_lineage, shared_path, table
+from strandloom.session import Scratch, cut_lineage, shared_path, table, written
 
-__all__ = ["cut_lineage", "partitions", "shared_path", "table", "text_or_empty", "tokenizer_file", "written"]
+__all__ = ["Scratch", "cut_lineage", "partitions", "shared_path", "table", "text_or_empty", "tokenizer_file", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -21,13 +21,6 @@ def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: later reads neither repeat the work nor need the executors that did it."""
-    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def tokenizer_file(path: str) -> tuple[bytes, str]:
     """The definition, read once on the driver and shipped to the executors, and its version digest."""
     raw = Path(path).read_bytes()

@@ -11,11 +11,13 @@ is verified on whole shingle sets.
 
 Verified links are used at once: of a signature's documents some are pivots in each round, and only
 documents that aren't yet in one component are compared, so a large group of near copies takes about
-as many comparisons as it has members.
+as many comparisons as it has members. What all members of a signature have to know of each other
+is aggregated before the shuffle, and the join with its pivots can be split, so none needs one task.
 
-Signatures are packed in NumPy arrays, one for each reducer and chunk of texts. A signature keeps 48
+Signatures are packed in NumPy arrays, one for each reducer and chunk of texts. A signature keeps 40
 bits beside its bucket: a clash costs a comparison and changes no result. Shingles are compared as
-64-bit hashes of their words.
+64-bit hashes of their words, so a pair of s distinct shingles is misjudged with a probability below
+s * s / 2**64; equal sets are told by their size and 128 bits of their hashes' sums.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import partitions, text_or_empty, written
+from strandloom.llm.common import Scratch, partitions, text_or_empty
 from strandloom.llm.word_ids import chunks
 from strandloom.llm.words import BLANK, Words, mix
 from strandloom.operators.components import connected_components
@@ -37,15 +39,17 @@ from strandloom.operators.components import connected_components
 #: Up to this size every shingle is a segment of its own.
 SINGLE = 400
 WIDE = 1 << 32
-ROLE_LARGE = -(1 << 31)
 ODD = np.uint64(0x9E3779B97F4A7C15)
-JOINED = "kind int, doc_id long, print long, size long, spare int, sig long, seg long, n_exact int, n_deleted int"
+MET = "kind int, doc_id long, print long, print2 long, size int, spare int, sig long, seg long, large boolean, n_exact int, n_deleted int"
+FIELDS = [f.split()[0] for f in MET.split(", ")]
 #: Up to so many ids are broadcast to pick their documents; beyond, the documents are shuffled.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 #: Words of 64 bits in a set's sketch.
 SKETCH = 8
 #: And so many bytes of shingle sets are broadcast to verify their pairs.
 BROADCAST_BYTES = 8 << 20
+#: Pivots of a signature in each round, the last for all further ones: Spark limits so few before its shuffle.
+PIVOTS = (1, 4, 32, 256, 900)
 
 
 @dataclass(frozen=True)
@@ -99,18 +103,29 @@ def word_runs(texts: pa.Array, size: int) -> Words:
     return words
 
 
-def _six(values: np.ndarray) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _five(values: np.ndarray) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
 
-def _from_six(data: memoryview, n: int, at: int) -> np.ndarray:
+def _from_five(data: memoryview, n: int, at: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8, 6 * n, at).reshape(n, 6)
+    out[:, :5] = np.frombuffer(data, np.uint8, 5 * n, at).reshape(n, 5)
     return out.reshape(-1).view("<u8")
 
 
+def _narrow(values: np.ndarray) -> bytes:
+    """Unsigned integers by the fewest whole bytes that hold the largest, after their number of bytes."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(values.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def _from_narrow(data: memoryview, n: int, at: int) -> tuple[np.ndarray, int]:
+    width = data[at]
+    return np.frombuffer(data, f"<u{width}", n, at + 1).astype(np.uint64), at + 1 + width * n
+
+
 def signatures(sets: list[np.ndarray], small: np.ndarray, scheme: Scheme, finest: bool = False):
-    """Signature rows of sets: (set, spare units or ROLE_LARGE, signature, segment or -1, deleted?) as arrays, and each set's spare units.
+    """Signature rows of sets: (set, only as the larger of a pair?, signature, segment or -1, deleted?) as arrays, and each set's spare units.
 
     A set has rows for its own band, as the smaller or larger of a pair, and for the band below where a
     partner may be, as the larger. Segment -1 marks rows without a neighbourhood. finest: every shingle is a segment.
@@ -147,18 +162,21 @@ def signatures(sets: list[np.ndarray], small: np.ndarray, scheme: Scheme, finest
     spare = np.bincount(of[start], minlength=len(entry)) + np.bincount(of[start][near], minlength=len(entry)) - units[entry]
     of_set = np.zeros(len(sets), np.int64)
     of_set[entry[: int((sizes > 0).sum())]] = spare[: int((sizes > 0).sum())]
-    return entry[rows], np.where(as_small, np.maximum(spare, 0), ROLE_LARGE)[rows], sig, segment, deleted, of_set
+    return entry[rows], ~as_small[rows], sig, segment, deleted, of_set
+
 
+def pack(ids, prints, rows, large, sig, segment, deleted, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Rows of a chunk by bucket: heads (a set in one role, with or without neighbourhoods) and five bytes for each signature, more for those with a neighbourhood.
 
-def pack(ids, prints, sizes, rows, spare, sig, segment, deleted, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Rows of a chunk by bucket: a table of documents, six bytes for each plain signature, more for those with a neighbourhood."""
+    Ids are stored less the smallest of the blob, by as few bytes as they need, so a blob stays small when buckets are many.
+    """
     bucket = (sig % np.uint64(buckets)).astype(np.int64)
     plain = segment < 0
-    key = 2 * bucket + ~plain
-    order = np.argsort(key.astype(np.uint16) if 2 * buckets < 1 << 16 else key, kind="stable")
-    bucket, plain, rows, spare, sig, segment, deleted = (x[order] for x in (bucket, plain, rows, spare, sig // np.uint64(buckets), segment, deleted))
+    key = 4 * bucket + 2 * ~plain + large
+    order = np.argsort(key.astype(np.uint16) if 4 * buckets < 1 << 16 else key, kind="stable")
+    bucket, plain, rows, large, sig, segment, deleted = (x[order] for x in (bucket, plain, rows, large, sig // np.uint64(buckets), segment, deleted))
     change = np.ones(len(rows), bool)
-    change[1:] = (rows[1:] != rows[:-1]) | (spare[1:] != spare[:-1]) | (plain[1:] != plain[:-1]) | (bucket[1:] != bucket[:-1])
+    change[1:] = (rows[1:] != rows[:-1]) | (large[1:] != large[:-1]) | (plain[1:] != plain[:-1]) | (bucket[1:] != bucket[:-1])
     heads = np.flatnonzero(change)
     counts = np.diff(np.append(heads, len(rows)))
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -166,30 +184,35 @@ def pack(ids, prints, sizes, rows, spare, sig, segment, deleted, buckets: int) -
     for b in np.flatnonzero(np.diff(edges)):
         own, head, n = slice(edges[b], edges[b + 1]), heads[at[b] : at[b + 1]], counts[at[b] : at[b + 1]]
         n_plain, doc = int(plain[own].sum()), rows[head]
+        low = int(ids[doc].min())
         yield int(b), b"".join([
-            np.array([len(head), n_plain, edges[b + 1] - edges[b] - n_plain], "<u4").tobytes(),
-            ids[doc].astype("<i8").tobytes(), prints[doc].astype("<u8").tobytes(), sizes[doc].astype("<u4").tobytes(), spare[head].astype("<i4").tobytes(), n.astype("<u4").tobytes(),
-            _six(sig[own]), segment[own][n_plain:].astype("<u4").tobytes(), deleted[own][n_plain:].astype(np.uint8).tobytes(),
+            np.array([len(head), n_plain, edges[b + 1] - edges[b] - n_plain], "<u4").tobytes(), np.array([low], "<i8").tobytes(),
+            _narrow(ids[doc].view(np.uint64) - np.array([low]).view(np.uint64)), _narrow(n.astype(np.uint64)), prints[doc].astype("<u8").tobytes(), np.packbits(large[head]).tobytes(),
+            _five(sig[own]), segment[own][n_plain:].astype("<u4").tobytes(), deleted[own][n_plain:].astype(np.uint8).tobytes(),
         ])
 
 
 def unpack(data: memoryview) -> list[np.ndarray]:
+    """Signature, segment, deleted?, id, print and large? of each row of a blob."""
     docs, n_plain, n_near = (int(x) for x in np.frombuffer(data, "<u4", 3))
-    at, fields = 12, []
-    for kind in ("<i8", "<u8", "<u4", "<i4", "<u4"):
-        fields.append(np.frombuffer(data, kind, docs, at))
-        at += docs * fields[-1].itemsize
-    n, which = n_plain + n_near, np.repeat(np.arange(docs), fields[4])
-    sig = _from_six(data, n, at)
-    at += 6 * n
+    low = np.frombuffer(data, "<i8", 1, 12)
+    ids, at = _from_narrow(data, docs, 20)
+    counts, at = _from_narrow(data, docs, at)
+    prints = np.frombuffer(data, "<u8", docs, at)
+    at += 8 * docs
+    large = np.unpackbits(np.frombuffer(data, np.uint8, -(-docs // 8), at), count=docs).astype(bool)
+    at += -(-docs // 8)
+    n, which = n_plain + n_near, np.repeat(np.arange(docs), counts.astype(np.int64))
+    sig = _from_five(data, n, at)
+    at += 5 * n
     segment = np.concatenate((np.full(n_plain, -1, np.int64), np.frombuffer(data, "<u4", n_near, at).astype(np.int64)))
     deleted = np.concatenate((np.zeros(n_plain, bool), np.frombuffer(data, np.uint8, n_near, at + 4 * n_near).astype(bool)))
-    return [sig, segment, deleted, *(f[which] for f in fields[:4])]
+    return [sig, segment, deleted, (ids + low.view(np.uint64)).view(np.int64)[which], prints[which], large[which]]
 
 
 def meetings(bucket: int, blobs: list[memoryview], buckets: int) -> pa.RecordBatch | None:
-    """Rows of the signatures of a bucket that documents with different sets share. Equal sets stand for one: the smallest id."""
-    sig, segment, deleted, ids, prints, sizes, spare = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
+    """MET rows of the signatures of a bucket that documents with different sets share. Equal sets stand for one: the smallest id."""
+    sig, segment, deleted, ids, prints, large = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
     order = np.argsort(sig, kind="stable")
     sig = sig[order]
     same = sig[1:] == sig[:-1]
@@ -197,25 +220,25 @@ def meetings(bucket: int, blobs: list[memoryview], buckets: int) -> pa.RecordBat
     keep[1:] |= same
     keep[:-1] |= same
     order, sig = order[keep], sig[keep]
-    segment, deleted, ids, prints, sizes, spare = (x[order] for x in (segment, deleted, ids, prints, sizes, spare))
-    order = np.lexsort((ids, deleted, sizes, prints, sig))
-    sig, segment, deleted, ids, prints, sizes, spare = (x[order] for x in (sig, segment, deleted, ids, prints, sizes, spare))
+    segment, deleted, ids, prints, large = (x[order] for x in (segment, deleted, ids, prints, large))
+    order = np.lexsort((ids, deleted, prints, sig))
+    sig, segment, deleted, ids, prints, large = (x[order] for x in (sig, segment, deleted, ids, prints, large))
     first = np.ones(len(sig), bool)
-    first[1:] = (sig[1:] != sig[:-1]) | (prints[1:] != prints[:-1]) | (sizes[1:] != sizes[:-1]) | (deleted[1:] != deleted[:-1])
-    sig, segment, deleted, ids, prints, sizes, spare = (x[first] for x in (sig, segment, deleted, ids, prints, sizes, spare))
+    first[1:] = (sig[1:] != sig[:-1]) | (prints[1:] != prints[:-1]) | (deleted[1:] != deleted[:-1])
+    sig, segment, deleted, ids, prints, large = (x[first] for x in (sig, segment, deleted, ids, prints, large))
     if not len(sig):
         return None
     start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
     n = np.diff(np.append(start, len(sig)))
     exact = np.add.reduceat((~deleted).astype(np.int64), start)
-    live = (n > 1) & (exact > 0) & np.logical_or.reduceat(spare != ROLE_LARGE, start)
+    live = (n > 1) & (exact > 0) & np.logical_or.reduceat(~large, start)
     keep = np.repeat(live, n)
     if not keep.any():
         return None
     n_exact, n_deleted = np.repeat(exact, n)[keep], np.repeat(n - exact, n)[keep]
-    whole = (sig[keep] * np.uint64(buckets) + np.uint64(bucket)).view(np.int64)
-    columns = [deleted[keep].astype(np.int32), ids[keep], prints[keep].view(np.int64), sizes[keep].astype(np.int64), spare[keep].astype(np.int32), whole, segment[keep], n_exact.astype(np.int32), n_deleted.astype(np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "doc_id", "print", "size", "spare", "sig", "seg", "n_exact", "n_deleted"])
+    whole, none = (sig[keep] * np.uint64(buckets) + np.uint64(bucket)).view(np.int64), int(keep.sum())
+    columns = [pa.array(deleted[keep].astype(np.int32)), pa.array(ids[keep]), pa.array(prints[keep].view(np.int64)), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.int32()), pa.array(whole), pa.array(segment[keep]), pa.array(large[keep]), pa.array(n_exact.astype(np.int32)), pa.array(n_deleted.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, FIELDS)
 
 
 def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -225,11 +248,11 @@ def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 
 def signature_meetings(docs: DataFrame, scheme: Scheme, finest: bool) -> DataFrame:
-    """(doc_id, text, small) to JOINED rows: kind -1 for each input row, 0 or 1 for its exact or deleted signatures that others share."""
+    """(doc_id, text, small) to MET rows: kind -1 for each input row, 0 or 1 for its exact or deleted signatures that others share."""
     buckets = partitions(docs.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "data", "doc_id", "print", "size", "spare"]
+        names = ["bucket", "data", "doc_id", "print", "print2", "size", "spare"]
         for batch in batches:
             ids = batch.column(0)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
@@ -237,15 +260,15 @@ def signature_meetings(docs: DataFrame, scheme: Scheme, finest: bool) -> DataFra
             small = batch.column(2).to_numpy(zero_copy_only=False)
             for row, sets in _sets(batch.column(1), scheme.words):
                 part = slice(row, row + len(sets))
-                prints = np.fromiter((mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s))]))[0] for s in sets), np.uint64, len(sets))
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+                prints, second = (mix(np.fromiter((f(s).sum(dtype=np.uint64) for s in sets), np.uint64, len(sets)) + sizes.astype(np.uint64)) for f in (lambda s: s, lambda s: mix(s ^ ODD)))
                 linked = [s if known[row + i] else s[:0] for i, s in enumerate(sets)]
-                rows, spare, sig, segment, deleted, of_set = signatures(linked, small[part], scheme, finest)
-                where = (number[part] % buckets).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(where), pa.nulls(len(sets), pa.binary()), ids.slice(row, len(sets)), pa.array(prints.view(np.int64)), pa.array(sizes), pa.array(of_set.astype(np.int32))], names)
-                blobs = list(pack(number[part], prints, sizes, rows, spare, sig, segment, deleted, buckets))
+                rows, large, sig, segment, deleted, of_set = signatures(linked, small[part], scheme, finest)
+                where = (mix(number[part].view(np.uint64) + prints) % np.uint64(buckets)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(where), pa.nulls(len(sets), pa.binary()), ids.slice(row, len(sets)), pa.array(prints.view(np.int64)), pa.array(second.view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(of_set.astype(np.int32))], names)
+                blobs = list(pack(number[part], prints, rows, large, sig, segment, deleted, buckets))
                 if blobs:
-                    empty = [pa.nulls(len(blobs), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]
+                    empty = [pa.nulls(len(blobs), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blobs], pa.int32()), pa.array([d for _, d in blobs], pa.binary()), *empty], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,8 +277,8 @@ def signature_meetings(docs: DataFrame, scheme: Scheme, finest: bool) -> DataFra
             data = batch.column(1)
             rows = batch.filter(data.is_null())
             if n := rows.num_rows:
-                none = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(-1, pa.int32()), n), rows.column(2), rows.column(3), rows.column(4), rows.column(5), *none], ["kind", "doc_id", "print", "size", "spare", "sig", "seg", "n_exact", "n_deleted"])
+                none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(-1, pa.int32()), n), *(rows.column(k) for k in range(2, 7)), *none], FIELDS)
             packed = batch.filter(data.is_valid())
             for bucket, blob in zip(packed.column(0).to_pylist(), packed.column(1), strict=True):
                 held.setdefault(bucket, []).append(memoryview(blob.as_buffer()))
@@ -264,27 +287,86 @@ def signature_meetings(docs: DataFrame, scheme: Scheme, finest: bool) -> DataFra
             if found is not None:
                 yield found
 
-    dealt = docs.mapInArrow(emit, "bucket int, data binary, doc_id long, print long, size long, spare int").repartition(buckets, "bucket")
-    return written(dealt.mapInArrow(meet, JOINED), "near-signatures")
-
-
-def probes(met: DataFrame) -> DataFrame:
-    """(sig, doc_id) of the rows whose partners must be verified: each set's cheapest units beyond the free ones."""
-    mine = met.where(F.col("spare") != ROLE_LARGE)
-    exact = mine.where("kind = 0 AND n_exact > 1")
-    one = exact.select("doc_id", "spare", F.when(F.col("seg") >= 0, F.col("seg")).alias("seg"), F.when(F.col("seg") < 0, F.col("sig")).alias("plain"), F.lit(1).alias("level"), (F.col("n_exact") - 1).alias("cost"), "sig")
-    near = mine.where("seg >= 0").groupBy("doc_id", "spare", "seg").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("n_exact") - 1 + F.col("n_deleted")).otherwise(F.col("n_exact"))).alias("cost")
-    ).where("cost > 0")
-    two = near.select("doc_id", "spare", "seg", F.lit(None).cast("long").alias("plain"), F.lit(2).alias("level"), "cost", F.lit(None).cast("long").alias("sig"))
-    # A second unit costs no less than the first, so the first is always taken with it.
-    each = Window.partitionBy("doc_id", "spare")
-    units = one.unionAll(two).withColumn("cost", F.max("cost").over(Window.partitionBy("doc_id", "spare", "seg", "plain")) * (F.col("level") == 2).cast("int") + F.col("cost") * (F.col("level") == 1).cast("int"))
-    ranked = units.withColumn("rank", F.row_number().over(each.orderBy("cost", "level", "seg", "plain"))).withColumn("n", F.count("*").over(each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    taken = ranked.where(F.col("rank") <= F.col("n") - F.col("spare"))
-    first = taken.where("level = 1").select("sig", "doc_id")
-    second = taken.where("level = 2").select("doc_id", "spare", "seg").join(mine.select("doc_id", "spare", "seg", "sig"), ["doc_id", "spare", "seg"]).select("sig", "doc_id")
-    return first.unionAll(second).distinct()
+    dealt = docs.mapInArrow(emit, "bucket int, data binary, doc_id long, print long, print2 long, size int, spare int").repartition(buckets, "bucket")
+    return dealt.mapInArrow(meet, MET)
+
+
+def _units(kind, of, size, spare, sig, seg, large, n_exact, n_deleted) -> tuple[np.ndarray, np.ndarray]:
+    """For signature rows of the sets `of` (ascending): how many shingles of the set no partner has, at least, and which rows must be verified.
+
+    size and spare are those of each set. A set takes its cheapest units beyond its spare ones; units that cost
+    nothing have no row here. A second unit of a segment costs no less than the first, so the first is always taken with it.
+    """
+    shared = np.zeros((len(size), 2), np.int64)
+    np.add.at(shared, (of[kind == 0], large[kind == 0].astype(np.int64)), 1)
+    lone = np.maximum(size[of] - shared[of, large.astype(np.int64)], 0)
+    probe = np.zeros(len(of), bool)
+    one = np.flatnonzero(~large & (kind == 0) & (n_exact > 1))
+    near = np.flatnonzero(~large & (seg >= 0))
+    near = near[np.lexsort((seg[near], of[near]))]
+    start = np.ones(len(near), bool)
+    start[1:] = (of[near][1:] != of[near][:-1]) | (seg[near][1:] != seg[near][:-1])
+    group, heads = np.cumsum(start) - 1, near[start]
+    cost = np.bincount(group, np.where(kind[near] == 0, n_exact[near] - 1 + n_deleted[near], n_exact[near]), len(heads)).astype(np.int64) if len(near) else np.zeros(0, np.int64)
+    two = np.flatnonzero(cost > 0)
+    owner = np.concatenate((of[one], of[heads[two]]))
+    price = np.concatenate((n_exact[one].astype(np.int64) - 1, cost[two]))
+    level = np.repeat([1, 2], [len(one), len(two)])
+    spot = np.concatenate((seg[one], seg[heads[two]]))
+    tie = np.concatenate((np.where(seg[one] < 0, sig[one], 0), np.zeros(len(two), np.int64)))
+    order = np.lexsort((tie, spot, level, price, owner))
+    owned = owner[order]
+    rank = np.arange(len(order)) - np.searchsorted(owned, owned)
+    taken = np.zeros(len(order), bool)
+    taken[order] = rank < (np.bincount(owner, minlength=len(size)) - np.maximum(spare, 0))[owned]
+    probe[one[taken[: len(one)]]] = True
+    wide = np.zeros(len(heads), bool)
+    wide[two[taken[len(one) :]]] = True
+    probe[near[wide[group]]] = True
+    return lone, probe
+
+
+def candidates(met: DataFrame) -> DataFrame:
+    """(sig, doc_id, size, lone, probe): members of signatures; a pair has to be verified where one of the two is a probe.
+
+    The rows of a document lie together, and each document's units are chosen by itself.
+    """
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            rows = rows.combine_chunks()
+            doc, mark, kind = (rows[c].to_numpy() for c in ("doc_id", "print", "kind"))
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])
+            of, meta = np.cumsum(new) - 1, kind < 0
+            size, spare = np.zeros(int(new.sum()), np.int64), np.zeros(int(new.sum()), np.int64)
+            size[of[meta]], spare[of[meta]] = (rows[c].to_numpy()[meta] for c in ("size", "spare"))
+            own = np.flatnonzero(~meta)
+            if not len(own):
+                return
+            part = rows.take(pa.array(own)).combine_chunks()
+            sig, seg, large, n_exact, n_deleted = (part[c].to_numpy() for c in ("sig", "seg", "large", "n_exact", "n_deleted"))
+            lone, probe = _units(kind[own], of[own], size, spare, sig, seg, large, n_exact, n_deleted)
+            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(doc[own]), pa.array(size[of[own]].astype(np.int32)), pa.array(lone.astype(np.int32)), pa.array(probe)], ["sig", "doc_id", "size", "lone", "probe"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(batch.schema.names.index("doc_id")).to_numpy()
+            cut = int(np.searchsorted(ids, ids[-1]))  # the last document may go on in the next batch
+            if held and (cut or held[0].column(held[0].schema.names.index("doc_id"))[0].as_py() != ids[0]):
+                yield from done(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield from done(pa.Table.from_batches([batch.slice(0, cut)]))
+            held.append(batch.slice(cut))
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    rows = met.where("doc_id IS NOT NULL").drop("print2").repartition(partitions(met.sparkSession), "doc_id").sortWithinPartitions("doc_id", "print", "kind")
+    return rows.mapInArrow(choose, "sig long, doc_id long, size int, lone int, probe boolean")
 
 
 def picked(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
@@ -336,54 +418,58 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(build, "doc_id long, data binary, " + ", ".join(f"{b} long" for b in bits))
 
 
-def linked_components(members: DataFrame, sets: DataFrame, scheme: Scheme, at_once: int = 16) -> DataFrame | None:
+def linked_components(members: DataFrame, docs: DataFrame, scheme: Scheme, scratch: Scratch) -> DataFrame | None:
     """(node, component) from members (sig, doc_id, size, lone, probe) of signatures, verifying pairs until none is open.
 
-    Each round compares some pivots of a signature, after two rounds sixteen times as many as before, with those of its
-    members that are in other components, and then takes the pivots out. Probes of the fewest lone shingles come first: of
-    near copies they are the closest to the others. Once the first pivots have settled what they can,
-    signatures of up to at_once open members are finished in one round. Pairs of sizes too far apart, pairs of which neither is a probe, and
+    Each round compares some pivots of a signature, in later rounds more, with those of its members that are in other
+    components, and then takes the pivots out. Probes of the fewest lone shingles come first: of
+    near copies they are the closest to the others. Pairs of sizes too far apart, pairs of which neither is a probe, and
     pairs whose lone shingles or sketches alone show more differences than a link allows need no look.
     """
     percent, single = scheme.percent, max((top for top, cells in scheme.bands(SINGLE) if cells == WIDE), default=0)
     allowed = lambda total: F.floor(total * (100 - percent) / (100 + percent))
-    edges, labels, pivots, turn = None, None, 1, 0
-    spark, tested = members.sparkSession, None
-    members = members.withColumn("comp", F.col("doc_id"))
-    group = Window.partitionBy("sig")
     bits = [f"k{i}" for i in range(SKETCH)]
-    marks = sets.select("doc_id", *bits).dropDuplicates(["doc_id", *bits])
-    while True:
-        # A member that even the partner of the fewest lone shingles can't link with is out; one that is no probe needs a probe.
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        """Members of signatures that span components and hold a probe, less those that even the partner of the fewest lone shingles can't link with."""
+        lows = rows.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("probe").alias("any"), F.min("lone").alias("fewest"), F.min(F.when(F.col("probe"), F.col("lone"))).alias("fewest_probe"))
+        sigs = scratch.put("open", lows.where("low <> high AND any").select("sig", "fewest", "fewest_probe"))
+        partner = F.when(F.col("probe"), F.col("fewest")).otherwise(F.col("fewest_probe"))
         reach = F.col("size") + F.floor(100 * F.col("size") / percent)
-        partner = F.when(F.col("probe"), F.min("lone").over(group)).otherwise(F.min(F.when(F.col("probe"), F.col("lone"))).over(group))
-        members = members.withColumn("fewest", partner).where((F.col("size") > single) | (F.col("lone") + F.col("fewest") <= allowed(reach)))
-        ranked = members.withColumn("rank", F.row_number().over(group.orderBy(F.desc("probe"), "lone", "doc_id"))).withColumn("n", F.count("*").over(group))
-        ranked = written(ranked.select("sig", "doc_id", "size", "lone", "probe", "comp", "rank", "n"), "near-members")
-        finish = F.lit(turn > 1) & (F.col("n") <= at_once)
-        chosen = ranked.where((F.col("rank") <= pivots) | finish)
-        a, b = (t.join(marks, "doc_id").select("sig", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "size", "lone", "probe", "comp", "rank", *bits))) for t, k in ((chosen, "a"), (ranked, "b")))
-        open_ = (F.col("rank_a") < F.col("rank_b")) & (F.col("doc_id_a") != F.col("doc_id_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.col("probe_a") | F.col("probe_b"))
+        return rows.join(sigs, "sig").where((F.col("size") > single) | (F.col("lone") + partner <= allowed(reach))).drop("fewest", "fewest_probe")
+
+    members = scratch.put("members", still_open(members.withColumn("comp", F.col("doc_id"))))
+    if members.isEmpty():
+        return None
+    scratch.drop("candidates")
+    sets = scratch.put("sets", shingle_sets(picked(docs, members.select(F.col("doc_id").alias("wanted_id")).distinct(), "doc_id"), scheme.words))
+    members = scratch.put("members", members.join(sets.select("doc_id", *bits).dropDuplicates(["doc_id", *bits]), "doc_id"))
+    turn, labels, tested = 0, None, None
+    while not members.isEmpty():
+        # rank and not row_number: an id of several sets has a row for each sketch, which go together.
+        order = Window.partitionBy("sig").orderBy(F.desc("probe"), "lone", "doc_id")
+        pivots = scratch.put("pivots", members.withColumn("rank", F.rank().over(order)).where(F.col("rank") <= PIVOTS[min(turn, len(PIVOTS) - 1)]).drop("rank"))
+        a, b = (t.select("sig", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "size", "lone", "probe", "comp", *bits))) for t, k in ((pivots, "a"), (members, "b")))
+        open_ = (F.col("doc_id_a") != F.col("doc_id_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.col("probe_a") | F.col("probe_b"))
         near = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
         few = (F.least("size_a", "size_b") > single) | (F.col("lone_a") + F.col("lone_b") <= allowed(F.col("size_a") + F.col("size_b")))
         apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits), F.lit(0))
-        pairs = a.join(b, "sig").where(open_ & near & few & (apart <= allowed(F.col("size_a") + F.col("size_b")))).select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
+        pairs = b.join(a, "sig").where(open_ & near & few & (apart <= allowed(F.col("size_a") + F.col("size_b")))).select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "near-pairs")
-        if pairs.isEmpty() and ranked.where(~finish & (F.col("rank") > pivots)).isEmpty():
-            break
+        pairs = scratch.put(f"pairs{turn}", pairs)
         tested = pairs if tested is None else tested.unionAll(pairs)
-        fresh = written(similar(pairs, sets, percent), "near-links")
-        if not fresh.isEmpty():
-            edges = fresh if edges is None else edges.unionAll(fresh)
-            labels = written(connected_components(edges), "near-components")
-        left = ranked.where(~finish & (F.col("rank") > pivots)).select("sig", "doc_id", "size", "lone", "probe")
-        left = left.join(labels, left.doc_id == labels.node, "left").select("sig", "doc_id", "size", "lone", "probe", F.coalesce("component", "doc_id").alias("comp")) if labels is not None else left.withColumn("comp", F.col("doc_id"))
-        unsettled = left.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("probe").alias("any")).where("low <> high AND any").select("sig")
-        members = left.join(unsettled, "sig", "left_semi")
+        links = scratch.put("links", similar(pairs, sets, percent))
+        if not links.isEmpty():
+            known = links if labels is None else links.unionAll(labels.select("node", "component"))
+            labels = scratch.put("labels", connected_components(known, scratch=scratch))
+            scratch.drop("stars")
+        left = members.join(pivots.select("sig", "doc_id"), ["sig", "doc_id"], "left_anti")
+        if labels is not None:
+            left = left.drop("comp").join(labels.select(F.col("node").alias("doc_id"), F.col("component").alias("comp")), "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+        members = scratch.put("members", still_open(scratch.put("left", left)))
+        scratch.drop("left", "pivots", "links")
         turn += 1
-        pivots *= 1 if turn < 2 else 16
     return labels
 
 
@@ -392,37 +478,38 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     component_id is the smallest id that links reach; representative the smallest id with an equal set.
     Empty and null texts have no shingles and are alone; rows with a null id get a null component and link with nothing;
-    rows that repeat an id are one node with all their sets; an empty table gives no rows; other columns are ignored.
+    rows that repeat an id are one node with all their sets; a very long text is one chunk of its task and has as many
+    signatures as its band has segments; an empty table gives no rows; other columns are ignored.
     """
+    scratch = Scratch(docs.sparkSession, "near")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    found = signature_meetings(own.withColumn("small", F.lit(True)), scheme, finest=False)
-    meta, met = found.where("kind < 0"), found.where("kind >= 0")
+    met = scratch.put("met", signature_meetings(own.withColumn("small", F.lit(True)), scheme, finest=False))
+    meta = scratch.put("meta", met.where("kind < 0").select("doc_id", "print", "print2", "size", "spare"))
+    members = scratch.put("candidates", candidates(met))
+    scratch.drop("met")
     # Where the segments that hold a set's shingles can't take all its units, a cut into single shingles can.
-    short = meta.where("spare < 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("short_id")).distinct()
+    short = meta.where("spare < 0 AND doc_id IS NOT NULL")
     if not short.isEmpty():
-        marked = own.join(short, own.doc_id == short.short_id, "left").select("doc_id", "text", F.col("short_id").isNotNull().alias("small"))
-        met = met.unionAll(signature_meetings(marked, scheme, finest=True).where("kind >= 0"))
-    wanted = written(probes(met), "near-probes").withColumn("probe", F.lit(True))
-    sigs = wanted.select("sig").distinct()
-    # Shingles of a set that no partner of the same cut has; each is a difference to any of them.
-    large = (F.col("spare") == ROLE_LARGE).alias("large")
-    shared = met.where("kind = 0").groupBy("doc_id", large).agg(F.count("*").alias("n_shared"))
-    members = met.select("sig", "doc_id", "size", large).distinct().join(sigs, "sig", "left_semi").join(shared, ["doc_id", "large"], "left")
-    members = members.select("sig", "doc_id", "size", F.greatest(F.col("size") - F.coalesce("n_shared", F.lit(0)), F.lit(0)).alias("lone"))
-    members = written(members.join(wanted, ["sig", "doc_id"], "left").withColumn("probe", F.coalesce("probe", F.lit(False))), "near-candidates")
-    labels = None
-    if not members.isEmpty():
-        sets = written(shingle_sets(picked(own, members.select(F.col("doc_id").alias("wanted_id")).distinct(), "doc_id"), scheme.words), "near-sets")
-        labels = linked_components(members, sets, scheme)
-    equal = meta.where("size > 0 AND doc_id IS NOT NULL").groupBy("print", "size").agg(F.min("doc_id").alias("representative"))
-    rows = meta.select("doc_id", "size", F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col("print")).alias("print"))
-    rows = rows.join(equal, ["print", "size"], "left").withColumnRenamed("size", "n_shingles").withColumn("representative", F.coalesce("representative", "doc_id"))
+        # Only sets within reach of a short one's size are cut again; sizes fall into few classes, a factor of two wide.
+        of_size = F.floor(F.log2(F.col("size").cast("double"))).cast("int")
+        sizes = short.select(of_size.alias("class")).distinct().select(F.explode(F.array(*(F.col("class") + k for k in (-1, 0, 1)))).alias("class")).distinct()
+        again = meta.where("size > 0 AND doc_id IS NOT NULL").withColumn("class", of_size).join(F.broadcast(sizes), "class", "left_semi")
+        again = again.groupBy(F.col("doc_id").alias("again_id")).agg(F.max(F.col("spare") < 0).alias("small"))
+        marked = own.join(again, own.doc_id == again.again_id).select("doc_id", "text", "small")
+        met = scratch.put("met", signature_meetings(marked, scheme, finest=True))
+        members = scratch.put("both", members.unionAll(candidates(met)))
+        scratch.drop("met", "candidates")
+    labels = linked_components(members, own, scheme, scratch)
+    equal = meta.where("size > 0 AND doc_id IS NOT NULL").groupBy("print", "print2", "size").agg(F.min("doc_id").alias("representative"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = meta.select("doc_id", "size", *(F.when((F.col("size") > 0) & F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("print", "print2")))
+    rows = rows.join(scratch.put("equal", equal), ["print", "print2", "size"], "left").select("doc_id", F.col("size").cast("long").alias("n_shingles"), F.coalesce("representative", "doc_id").alias("representative"))
     # An id of several rows ties the sets of all of them together.
     repeated = meta.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    ties = written(rows.join(repeated, "doc_id", "left_semi").where("doc_id <> representative").select(F.col("doc_id").alias("a"), F.col("representative").alias("b")).distinct(), "near-ties")
+    ties = scratch.put("ties", rows.join(repeated, "doc_id", "left_semi").where("doc_id <> representative").select(F.col("doc_id").alias("a"), F.col("representative").alias("b")).distinct())
     if not ties.isEmpty():
         links = ties if labels is None else ties.unionAll(labels.select("node", "component"))
-        labels = written(connected_components(links), "near-components")
+        labels = scratch.put("labels", connected_components(links, scratch=scratch))
+    scratch.keep_only("meta", "equal", "labels")
     if labels is None:
         return rows.select("doc_id", "n_shingles", F.col("representative").alias("component_id"), "representative")
     return rows.join(labels, rows.representative == labels.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "representative").alias("component_id"), "representative")

@@ -103,26 +103,26 @@ def test_every_similar_pair_meets():
             both = len(np.intersect1d(a, b))
             if 100 * both < 75 * (len(a) + len(b) - both):
                 continue
-            rows, spare, sig, segment, deleted, _ = N.signatures([a, b], np.array([True, True]), scheme)
+            rows, large, sig, segment, deleted, _ = N.signatures([a, b], np.array([True, True]), scheme)
             low = 0 if len(a) <= len(b) else 1
             mine = rows == low
             exact = set(sig[(rows != low) & ~deleted].tolist())
             free = ~np.isin(sig, list(exact))
-            assert (mine & ~deleted & (spare != N.ROLE_LARGE) & free).sum() < scheme.units(min(len(a), len(b)))
+            assert (mine & ~deleted & ~large & free).sum() < scheme.units(min(len(a), len(b)))
 
 
 def test_packing_is_lossless():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (0, 1, 7, 50, 300)]
-    rows, spare, sig, segment, deleted, _ = N.signatures(sets, np.ones(5, bool), N.Scheme())
-    ids, prints, sizes = np.arange(5) * 11, np.arange(5).astype(np.uint64), np.array([len(s) for s in sets])
-    got = []
-    for bucket, blob in N.pack(ids, prints, sizes, rows, spare, sig, segment, deleted, 7):
-        s, seg, gone, doc, mark, size, own = N.unpack(memoryview(blob))
-        got += list(zip([bucket] * len(s), s.tolist(), seg.tolist(), gone.tolist(), doc.tolist(), mark.tolist(), size.tolist(), own.tolist(), strict=True))
-    mask = (1 << 48) - 1
-    want = [(int(s % np.uint64(7)), int(s // np.uint64(7)) & mask, int(g), bool(d), int(ids[r]), int(prints[r]), int(sizes[r]), int(o)) for r, o, s, g, d in zip(rows, spare, sig, segment, deleted, strict=True)]
-    assert sorted(got) == sorted(want)
+    rows, large, sig, segment, deleted, _ = N.signatures(sets, np.ones(5, bool), N.Scheme())
+    prints, mask = np.arange(5).astype(np.uint64), (1 << 40) - 1
+    for ids in (np.arange(5) * 11, np.array([-(1 << 63), 5, -7, (1 << 63) - 1, 0])):
+        got = []
+        for bucket, blob in N.pack(ids, prints, rows, large, sig, segment, deleted, 7):
+            s, seg, gone, doc, mark, own = N.unpack(memoryview(blob))
+            got += list(zip([bucket] * len(s), s.tolist(), seg.tolist(), gone.tolist(), doc.tolist(), mark.tolist(), own.tolist(), strict=True))
+        want = [(int(s % np.uint64(7)), int(s // np.uint64(7)) & mask, int(g), bool(d), int(ids[r]), int(prints[r]), bool(o)) for r, o, s, g, d in zip(rows, large, sig, segment, deleted, strict=True)]
+        assert sorted(got) == sorted(want)
 
 
 def test_rows_of_one_id_are_one_node(spark):
