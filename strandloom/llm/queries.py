@@ -14,9 +14,9 @@ from strandloom.llm.packing import pack_documents
 from strandloom.llm.piece_model import decode_pieces, encode_pieces
 from strandloom.llm.sharding import shard_rows
 from strandloom.llm.token_blocks import read_token_blocks, write_token_blocks
-from strandloom.llm.token_counts import token_counts
+from strandloom.llm.token_counts import fill_cache, token_counts
 from strandloom.llm.toxicity import toxicity
-from strandloom.llm.transport_stream import parse_column, write_column
+from strandloom.llm.transport_stream import parse_column, unit_index, write_column
 
 
 def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +33,10 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of every document with a cache of its own, which the run fills and then reads."""
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), shared_path(spark, "token-cache"))
+    """Counts of every document: a first pass fills the cache, the second, returned, finds every content there."""
+    docs, path, cache = table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), shared_path(spark, "token-cache")
+    fill_cache(docs, path, cache)
+    return token_counts(docs, path, cache)
 
 
 #: A conversation whose texts hold control strings (fixed values).
@@ -71,31 +73,34 @@ def op8_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Texts padded with spaces to a positive multiple of 192 bytes, stored as transport streams, read back and digested."""
+    """Texts padded with spaces to a positive multiple of 192 bytes, stored as transport streams, read back and digested.
+
+    The streams, and an index of their access units with timestamps and random-access points, are tables in the shared folder; features come from that index.
+    """
     text = text_or_empty("text")
     size = F.octet_length(text)
     pad = F.greatest(F.ceil(size / 192), F.lit(1)).cast("int") * 192 - size
     stored = written(write_column(docs.select("doc_id", size.cast("long").alias("n_bytes"), F.encode(F.concat(text, F.repeat(F.lit(" "), pad)), "UTF-8").alias("payload"))), "media")
-    read = parse_column(stored)
-    units = F.col("units")
-    feature = F.concat_ws(
-        ",",
-        F.concat(F.lit("units="), F.size(units)),
-        F.concat(F.lit("random_access="), F.size(F.filter(units, lambda u: u.random_access))),
-        F.concat(F.lit("last_pts="), F.element_at(units, -1).pts),
-        F.concat(F.lit("continuity_errors="), F.col("continuity_errors")),
-    )
-    lengths = read.withColumn("payload_bytes", F.octet_length("data").cast("long"))
-    return lengths.select(
-        "doc_id",
-        "n_bytes",
-        "payload_bytes",
-        F.sha2("data", 256).alias("payload_sha256"),
-        F.crc32(F.substring("data", -16, 16)).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        feature.alias("feature"),
+    parsed = written(
+        parse_column(stored).select(
+            F.monotonically_increasing_id().alias("media_id"),
+            "doc_id",
+            "n_bytes",
+            F.octet_length("data").cast("long").alias("payload_bytes"),
+            F.sha2("data", 256).alias("payload_sha256"),
+            F.crc32(F.substring("data", -16, 16)).alias("tail_crc32"),
+            F.octet_length("media").cast("long").alias("media_bytes"),
+            F.sha2("media", 256).alias("media_sha256"),
+            "continuity_errors",
+            "units",
+        ),
+        "media-rows",
     )
+    index = written(unit_index(parsed, "media_id"), "media-index")
+    found = index.groupBy("media_id").agg(F.count("*").alias("n"), F.count_if("random_access").alias("points"), F.max("pts").alias("last"))
+    rows = parsed.drop("units").join(found, "media_id", "left")
+    feature = F.format_string("units=%d,random_access=%d,last_pts=%d,continuity_errors=%d", F.coalesce("n", F.lit(0)), F.coalesce("points", F.lit(0)), F.coalesce("last", F.lit(0)), "continuity_errors")
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
 
 
 def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Writing: bytes become the access units of one private stream, with a program association and a
 program map table, PES headers with timestamps, continuity counters and random-access flags.
 Reading: tables are parsed and their checksums verified, continuity is checked for each PID, PES
-packets are put together, and each access unit's timestamp, place and random-access flag are stored.
+packets are put together, and each access unit's timestamps, clock reference, place and random-access flag are stored.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fixed values of the format.
@@ -91,6 +92,7 @@ class Stream:
     last: bytes = b""
     pes: list[bytes] = field(default_factory=list)
     key: bool = False
+    clock: int | None = None
     whole: bool = False
     data: list[bytes] = field(default_factory=list)
     size: int = 0
@@ -128,11 +130,11 @@ def parse_stream(media: bytes) -> dict:
         if not s.whole or len(pes) < 9 or pes[:3] != b"\x00\x00\x01" or (size and size + 6 != len(pes)) or len(pes) < 9 + pes[8]:
             bad["pes"] += 1
             return
-        pts = None
-        if pes[7] & 0x80 and pes[8] >= 5:
-            pts = ((pes[9] >> 1) & 7) << 30 | pes[10] << 22 | (pes[11] >> 1) << 15 | pes[12] << 7 | pes[13] >> 1
+        ticks = lambda at: ((pes[at] >> 1) & 7) << 30 | pes[at + 1] << 22 | (pes[at + 2] >> 1) << 15 | pes[at + 3] << 7 | pes[at + 4] >> 1
+        pts = ticks(9) if pes[7] & 0x80 and pes[8] >= 5 else None
+        dts = ticks(14) if pes[7] & 0xC0 == 0xC0 and pes[8] >= 10 else pts
         data = pes[9 + pes[8] :]
-        units.append({"pid": pid, "pts": pts, "offset": s.size, "size": len(data), "random_access": s.key})
+        units.append({"pid": pid, "pts": pts, "dts": dts, "pcr": s.clock, "offset": s.size, "size": len(data), "random_access": s.key})
         s.data.append(data)
         s.size += len(data)
 
@@ -185,7 +187,10 @@ def parse_stream(media: bytes) -> dict:
                 s.whole = False
             if first:
                 finish(pid)
-                s.key, s.whole = bool(flags & 0x40), True
+                s.key, s.whole, s.clock = bool(flags & 0x40), True, None
+                if flags & 0x10 and packet[4] >= 7:  # 33 bits of 90 kHz, six reserved, nine of 27 MHz
+                    clock = int.from_bytes(packet[6:12], "big")
+                    s.clock = (clock >> 15) * 300 + (clock & 0x1FF)
             if first or s.pes:
                 s.pes.append(payload)
     for pid in streams:
@@ -204,13 +209,13 @@ def parse_stream(media: bytes) -> dict:
 
 PARSED = (
     "programs array<struct<program:int,pid:int>>, streams array<struct<pid:int,type:int,bytes:long>>, "
-    "units array<struct<pid:int,pts:long,offset:long,size:long,random_access:boolean>>, "
+    "units array<struct<pid:int,pts:long,dts:long,pcr:long,offset:long,size:long,random_access:boolean>>, "
     "bad_packets long, continuity_errors long, bad_tables long, bad_pes long, data binary"
 )
 ARROW = {
     "programs": pa.list_(pa.struct([("program", pa.int32()), ("pid", pa.int32())])),
     "streams": pa.list_(pa.struct([("pid", pa.int32()), ("type", pa.int32()), ("bytes", pa.int64())])),
-    "units": pa.list_(pa.struct([("pid", pa.int32()), ("pts", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("random_access", pa.bool_())])),
+    "units": pa.list_(pa.struct([("pid", pa.int32()), ("pts", pa.int64()), ("dts", pa.int64()), ("pcr", pa.int64()), ("offset", pa.int64()), ("size", pa.int64()), ("random_access", pa.bool_())])),
     **dict.fromkeys(("bad_packets", "continuity_errors", "bad_tables", "bad_pes"), pa.int64()),
     "data": pa.binary(),
 }
@@ -232,15 +237,23 @@ def _with(rows: DataFrame, column: str, kept: bool, new: str, make) -> DataFrame
 
 
 def write_column(rows: DataFrame) -> DataFrame:
-    """rows with `media` in place of the binary column `payload`; a null payload is empty: tables without access units. Other columns and empty tables pass through."""
+    """rows with `media` in place of the binary column `payload`; a null payload is empty: tables without access units.
+
+    Very long values are streams as long as themselves and are held one batch of 256 at a time; other columns, repeated rows and empty tables pass through.
+    """
     return _with(rows, "payload", False, "media binary", lambda values: [pa.array([write_stream(v) for v in values], pa.binary())])
 
 
 def parse_column(rows: DataFrame) -> DataFrame:
-    """rows with the columns of PARSED after the binary column `media`. A null is an empty stream; any bytes parse, with errors counted; other columns and empty tables pass through."""
+    """rows with the columns of PARSED after the binary column `media`. A null is an empty stream; any bytes parse, with errors counted; other columns, repeated rows and empty tables pass through."""
 
     def parse(values: list[bytes]) -> list[pa.Array]:
         found = [parse_stream(v) for v in values]
         return [pa.array([f[k] for f in found], t) for k, t in ARROW.items()]
 
     return _with(rows, "media", True, PARSED, parse)
+
+
+def unit_index(parsed: DataFrame, *keys: str) -> DataFrame:
+    """(keys, unit, pid, pts, dts, pcr, offset, size, random_access): a row for each access unit, counted from 0; to seek, take the last random-access unit up to a timestamp."""
+    return parsed.select(*keys, F.posexplode("units").alias("unit", "u")).select(*keys, "unit", "u.*")

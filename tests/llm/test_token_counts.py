@@ -4,7 +4,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from strandloom.llm.token_counts import open_cache, token_counts
+from strandloom.llm import token_counts as C
+from strandloom.llm.token_counts import fill_cache, open_cache, token_counts
 from strandloom.llm.word_ids import ByteBpe
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -58,3 +59,17 @@ def test_other_tokenizers_are_other_versions(spark, tmp_path):
         path = public_tokenizers.path(name)
         assert token_counts(docs, path, cache).first().n_tokens == len(Tokenizer.from_file(path).encode("Some WORDS here", add_special_tokens=False).ids)
     assert open_cache(spark, cache).count() == 2
+
+
+def test_hot_contents_and_few_misses(spark, tmp_path, monkeypatch):
+    rows = [(k, "the same text" if k % 3 else f"text {k}") for k in range(300)]
+    docs, cache = spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "cache")
+    want = sorted((k, len(t), len(LIBRARY.encode(t).ids), False) for k, t in rows)
+    monkeypatch.setattr(C, "BROADCAST_DIGESTS", 10)  # contents are grouped first, then met with the misses
+    fill_cache(docs.where("doc_id < 200"), PATH, cache)
+    before = open_cache(spark, cache).count()
+    monkeypatch.undo()
+    assert sorted(map(tuple, token_counts(docs, PATH, cache).collect())) == want
+    after = open_cache(spark, cache).count()
+    assert (before, after) == (68, 101)
+    assert sorted(map(tuple, token_counts(docs, PATH, cache).collect())) == want and open_cache(spark, cache).count() == after
