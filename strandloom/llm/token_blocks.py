@@ -174,10 +174,13 @@ def write_token_blocks(docs: DataFrame, tokenizer_path: str, path: str, *, id_co
         if keys:
             yield close()
 
+    # Splitters hold a hash of the text and a row number beside the id, so rows of one id, or without any, are spread too.
+    text = text_or_empty(text_col)
     ordered = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-        .repartitionByRange(partitions(spark), "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row"))
+        .repartitionByRange(partitions(spark), "doc_id", "hash", "row")
+        .sortWithinPartitions("doc_id", "hash", "text", "row")
+        .select("doc_id", "text")
     )
     ordered.mapInArrow(encode, SEGMENT_SCHEMA).write.parquet(path)
 
