@@ -109,9 +109,11 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of equal normalised texts, that of the smallest id, with all columns of docs.
 
-    Nulls and ties are as in exact_groups; of rows that repeat an id and its text, any one stays.
+    Nulls and ties are as in exact_groups; of rows that repeat an id and its text, any one stays. Columns of any name pass through; an empty table gives no rows.
     """
-    stay = exact_groups(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_keep_sha"))
-    marked = docs.withColumn("_sha", F.sha2(normalise(text_or_empty(text_col)), 256))
-    kept = marked.join(stay, (marked["_sha"] == stay["_keep_sha"]) & marked[id_col].eqNullSafe(stay["_keep"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_sha"]).drop("_sha")
+    id_ = F.col("doc_id")
+    key = lambda: [id_.isNull().alias("no_id"), F.coalesce(id_, F.lit(0)).alias("id")]
+    stay = exact_groups(docs, id_col=id_col, text_col=text_col).where("kept").select(*key(), F.col("text_sha256").alias("sha"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.sha2(normalise(text_or_empty(text_col)), 256).alias("sha")).select("row", *key(), "sha")
+    # One shuffle of the rows serves the join and the choice among repeated rows.
+    return rows.join(stay, ["no_id", "id", "sha"], "left_semi").groupBy("no_id", "id", "sha").agg(F.first("row").alias("row")).select("row.*")

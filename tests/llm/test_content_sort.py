@@ -45,3 +45,12 @@ def test_kept_rows_keep_their_columns(spark):
     frame = spark.createDataFrame([(2, "a  b", "s1"), (1, "a b", "s2"), (3, "c", None), (3, "c", None), (None, "c", "s"), (None, "d", "s")], "doc_id long, text string, source string")
     assert sorted(map(tuple, drop_exact_duplicates(frame).collect()), key=str) == [(1, "a b", "s2"), (3, "c", None), (None, "d", "s")]
     assert drop_exact_duplicates(frame.limit(0)).count() == 0
+
+
+def test_columns_of_any_name_pass_through(spark):
+    rows = [(2, "a  b", 1, "x", 5), (1, "a b", 2, "y", 6), (None, "c", 3, "z", 7), (None, "c", 4, "z", 8), (3, None, 5, None, 9), (4, " ", 6, None, 9), (4, " ", 6, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _sha int, _keep string, row int").withColumnRenamed("_sha", "sha")
+    got = drop_exact_duplicates(docs).collect()
+    assert drop_exact_duplicates(docs).columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text, r.sha, r._keep) for r in got if r.doc_id in (1, 3, 4)) == [(1, "a b", 2, "y"), (3, None, 5, None), (4, " ", 6, None)] and len(got) == 4
+    assert drop_exact_duplicates(docs.limit(0)).count() == 0
