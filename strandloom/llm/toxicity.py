@@ -75,13 +75,14 @@ def fit(examples: list[tuple[np.ndarray, int]], rates: Rates) -> np.ndarray:
     return weights(np.arange((1 << BITS) + 1))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 40_000, shards: int = 2, rates: Rates = Rates()) -> list[tuple[int, float]]:
+def train(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", sample_rows: int = 40_000, shards: int = 2, rates: Rates = Rates()) -> list[tuple[int, float]]:
     """The non-zero weights (coordinate, weight) from labelled rows.
 
-    docs: doc_id, text; labels: doc_id, label 0 or 1 (rows with nulls are left out). About sample_rows
+    docs: doc_id and the text column; labels: doc_id, label 0 or 1 (rows with nulls are left out). About sample_rows
     labelled ids at most are used, those of the smallest hashes: a bounded table that is broadcast to
     the documents. They are dealt by the hash of the id to a fixed number of shards, each fitted
-    alone; the weights are averaged. No labelled row at all gives no weights.
+    alone, from the coordinates of its texts, which are hashed where the texts lie; the weights are averaged. No labelled
+    row at all gives no weights.
     """
     usable = labels.select(F.col("doc_id").alias("_id"), F.col("label").cast("int").alias("_label")).where("_id IS NOT NULL AND _label IN (0, 1)").groupBy("_id").agg(F.max("_label").alias("_label"))
     n = usable.count()
@@ -90,21 +91,26 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 40_000, shar
     share = min(1.0, sample_rows / n)
     spread = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 30))
     sampled = usable.where(spread < int(share * (1 << 30)))  # sample_rows expected: its size is bounded, so it is broadcast
-    known = docs.select("doc_id", text_or_empty("text").alias("text")).join(F.broadcast(sampled), F.col("doc_id") == F.col("_id"))
+    known = docs.select("doc_id", text_or_empty(text_col).alias("text")).join(F.broadcast(sampled), F.col("doc_id") == F.col("_id"))
     dealt = known.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "doc_id", "_label", "text")
 
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, size, owner, spot in features(batch.column(3)):
+                owner, spot = distinct_rows(owner, spot)
+                edge, raw = np.searchsorted(owner, np.arange(size + 1)), spot.astype("<i4").tobytes()
+                at = pa.array([raw[4 * a : 4 * b] for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(row, size) for k in range(3)), at], ["shard", "doc_id", "_label", "at"])
+
     def fit_shard(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
-        examples, labels_ = [], table["_label"].to_pylist()
-        for row, size, owner, spot in features(table["text"].combine_chunks()):
-            owner, spot = distinct_rows(owner, spot)
-            edge = np.searchsorted(owner, np.arange(size + 1))
-            examples += [(spot[edge[i] : edge[i + 1]].astype(np.int32), labels_[row + i]) for i in range(size)]
+        table = table.sort_by([("doc_id", "ascending"), ("at", "ascending")]).combine_chunks()
+        examples = [(np.frombuffer(at.as_buffer(), "<i4"), label) for at, label in zip(table["at"], table["_label"].to_pylist(), strict=True)]
         order = np.random.default_rng(0).permutation(len(examples))
         w = fit([examples[i] for i in order], rates)
         at = np.flatnonzero(w)
         return pa.table({"coordinate": pa.array(at, pa.int64()), "weight": pa.array(w[at])})
 
+    dealt = dealt.mapInArrow(hashed, "shard int, doc_id long, _label int, at binary")
     found = dealt.groupBy("shard").applyInArrow(fit_shard, "coordinate long, weight double")
     mean = found.groupBy("coordinate").agg((F.sum("weight") / shards).alias("weight"))
     return [(r.coordinate, r.weight) for r in mean.collect()]  # 2**BITS + 1 rows at most, and few after L1

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -84,3 +85,34 @@ def test_l1_keeps_the_model_small():
     rows = [(np.unique(np.append(rng.integers(0, 5000, 30), np.full(int(i % 4 == 0), 9000))), int(i % 4 == 0)) for i in range(1500)]
     weights = fit(rows, Rates())
     assert weights[9000] > 1 and np.count_nonzero(weights) < 300
+
+
+def brute_fit(rows, rates, bias):
+    """FTRL-proximal, coordinate by coordinate, as published."""
+    z, n = {}, {}
+
+    def weight(i):
+        own = z.get(i, 0.0)
+        if abs(own) <= rates.l1:
+            return 0.0
+        return -(own - math.copysign(rates.l1, own)) / ((rates.beta + math.sqrt(n.get(i, 0.0))) / rates.alpha + rates.l2)
+
+    for _ in range(rates.epochs):
+        for spots, label in rows:
+            at = [*map(int, spots), bias]
+            w = [weight(i) for i in at]
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w))))) - label
+            for i, own in zip(at, w, strict=True):
+                before = n.get(i, 0.0)
+                n[i] = before + g * g
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n[i]) - math.sqrt(before)) / rates.alpha * own
+    return {i: w for i in z if (w := weight(i))}
+
+
+def test_updates_match_brute_force():
+    rng = np.random.default_rng(3)
+    rows = [(np.unique(rng.integers(0, 60, 8)), int(rng.random() < 0.4)) for _ in range(200)]
+    for rates in (Rates(), Rates(alpha=0.3, beta=0.5, l1=0.7, l2=0.2, epochs=3)):
+        got, want = fit(rows, rates), brute_fit(rows, rates, 1 << BITS)
+        assert set(np.flatnonzero(got).tolist()) == set(want)
+        assert all(math.isclose(got[i], w, rel_tol=1e-9) for i, w in want.items())
