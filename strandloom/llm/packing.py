@@ -78,7 +78,7 @@ def pack_documents(
     (defaults: source, and the text itself with its white space folded). A document longer than the capacity is cut: full pieces
     have bins of their own and the rest is packed. Items go in by length, longest first, then id and piece.
     Null texts have length 0 and are placed like any item; null ids are packed, those of equal rows in any order; a null
-    source conflicts with nothing; rows that repeat get places of their own; an empty table gives no rows.
+    source, or none of that name, conflicts with nothing; rows that repeat get places of their own; an empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit("")) if "text" in docs.columns else F.lit("")
@@ -86,7 +86,7 @@ def pack_documents(
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(size, F.lit(0)).cast("long").alias("units"),
-        (F.col("source") if source is None else source).cast("string").alias("source"),
+        (source if source is not None else F.col("source") if "source" in docs.columns else F.lit(None)).cast("string").alias("source"),
         (F.xxhash64(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")) if cluster is None else cluster).cast("string").alias("cluster"),
     )
     pieces = F.greatest(F.ceil(F.col("units") / capacity), F.lit(1)).cast("int")
