@@ -17,21 +17,40 @@ from strandloom.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents below the toxicity threshold, fitted on the labels that aren't held out.
+
+    Null texts are empty, empty ones get the bias's score; rows with a null id are scored and kept or rejected like any; repeated rows go
+    together; very long texts are hashed in chunks; all columns pass through; an empty table, or one without labelled rows, loses nothing.
+    """
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of texts that are equal up to white space.
+
+    Null and empty texts are equal; null ids sort last, so such a row stays only where no other has its text; of repeated rows one stays;
+    very long texts are compared whole; all columns pass through; an empty table gives none.
+    """
     return drop_exact_duplicates(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each similarity class; rows without an id are in no class and stay."""
+    """The document with the smallest id of each similarity class; rows without an id are in no class and stay.
+
+    Null and empty texts link with nothing and stay; repeated rows are in one class and stay or go together; very long texts are compared
+    whole; all columns pass through; an empty table gives none.
+    """
     classes = near_components(docs)
     stay = classes.where("component_id IS NULL OR component_id = doc_id").select(F.col("doc_id").alias("_stay")).distinct()
     return docs.join(stay, docs.doc_id.eqNullSafe(stay._stay), "left_semi")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of 8192 bytes for every part of every document.
+
+    Null texts have length 0 and a place; null ids and sources are packed, the latter without conflicts; repeated rows get a place each; texts
+    longer than a bin are cut into pieces; other columns are ignored; an empty table gives no rows.
+    """
     return pack_documents(docs)
 
 
