@@ -63,6 +63,11 @@ def unitigs(collection: DataFrame, edges: DataFrame) -> DataFrame:
     placed = placed.join(sizes, "node").join(new, "node", "left").select("node", "chain", "position", F.when(F.col("position") == 0, F.col("len")).otherwise(F.col("new")).alias("new"))
     alone = collection.select(F.col("oriented_id").alias("node")).join(placed, "node", "left_anti").join(sizes, "node")
     rows = placed.unionAll(alone.select("node", F.col("node").alias("chain"), F.lit(0).cast("long"), F.col("len")))
-    found = spell(rows, collection)
+    # Both strands of a path are chains, as are both of a cycle, which start at the same string's strands: one stands for both.
+    one = F.lit(1).cast("long")
+    ends = rows.groupBy("chain").agg(F.max_by("node", "position").alias("last"))
+    mates = ends.select(F.col("chain").bitwiseXOR(one).alias("chain"), F.lit(True).alias("same_string"))
+    stands = F.when(F.col("same_string"), F.col("chain") % 2 == 0).otherwise(F.col("chain") < F.col("last").bitwiseXOR(one))
+    found = spell(rows, collection).join(ends.join(mates, "chain", "left").where(stands).select("chain"), "chain", "left_semi")
     both = F.least("seq", F.reverse(F.translate("seq", "ACGT", "TGCA")))
-    return found.select(both.alias("seq"), "len", F.col("n").alias("nsr")).dropDuplicates(["seq"])
+    return found.select(both.alias("seq"), "len", F.col("n").alias("nsr"))

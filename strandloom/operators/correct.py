@@ -9,15 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.session import cut_lineage
+from strandloom.functions.sequences import revcomp, windows
+from strandloom.session import Scratch
 
 #: Penalties of the search (fixed values): per unit of difference, for a ratio, for a context that isn't known; states held; score gap.
 DIFFERENCE, RATIO, MISS, STATES, GAP = 13, 10, 10, 256, 60
 #: The score difference of a read that can't be searched.
 NO_SEARCH = 0
 RAISED, CHANGED = 37, 36
-#: So many solid k-mers are broadcast; more are joined to the reads.
-BROADCAST_KMERS = 2_000_000
 FLIP = str.maketrans("ACGTacgt", "TGCAtgca")
 
 
@@ -43,6 +42,17 @@ def search(seq: str, qual: list[int], solid: dict, w: int, asks: dict | None = N
             if len(done) == 2:
                 break
             continue
+        if not heap:
+            # One way is left: go on as long as the table agrees with the read, which is free.
+            begin = at
+            while at < len(seq) and (found := solid.get(context)) is not None and found[0] == seq[at]:
+                context = context[1:] + seq[at]
+                at += 1
+            if at > begin:
+                known, path = True, (path, begin, at)
+            if at == len(seq):
+                done.append((score, path))
+                break
         base, q = seq[at], min(40, max(3, qual[at] - 33))
         steps, found = [], solid.get(context)
         if asks is not None and found is None and context not in solid and context not in asks:
@@ -74,6 +84,11 @@ def search(seq: str, qual: list[int], solid: dict, w: int, asks: dict | None = N
         return seq, qual, 0, gap, known
     bases, quals, changed = list(seq), list(qual), 0
     while path is not None:
+        if len(path) == 3:
+            path, begin, end = path
+            for at in range(begin, end):
+                quals[at] = max(quals[at], RAISED)
+            continue
         path, at, new, supported = path
         if new != seq[at]:
             changed += qual[at] - 33
@@ -99,53 +114,52 @@ def correct_one(seq: str, qual: str | None, solid: dict, w: int, max_changed: fl
 def correct_reads(reads: DataFrame, solid: DataFrame, w: int, *, id_col: str = "rid", seq_col: str = "s", qual_col: str | None = None, max_changed: float = 0.3, default_quality: int = 15) -> DataFrame:
     """(read_id, seq, qual, n_changed, quality_sum, difference, bad) of every read.
 
-    solid: (kmer, best, ratio, rest). A table of up to BROADCAST_KMERS is broadcast. A larger one stays where it is: each read asks for the contexts
-    its search meets, they are joined to it, and reads that met new ones are searched again, until none does. The results are the same.
+    solid: (kmer, best, ratio, rest). The table stays where it is, whatever its size: the contexts of each read, on both strands, are
+    joined to it, and the read is searched with what was found. A read whose search meets a context that it has not
+    looked up, because of a changed base, asks for it and is searched again, until no read asks. A read without a sequence is bad.
     """
     out = "read_id long, seq string, qual string, n_changed int, quality_sum int, difference int, bad boolean"
-    rows = reads.select(F.col(id_col).cast("long").alias("read_id"), F.col(seq_col).alias("seq"), (F.col(qual_col) if qual_col else F.lit(None).cast("string")).alias("qual"))
-    names = [f.split()[0] for f in out.split(", ")]
-
-    def as_batch(ids: pa.Array, found: list[tuple]) -> pa.RecordBatch:
-        columns = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()))]
-        return pa.RecordBatch.from_arrays([ids, *columns], names)
-
-    table = solid.select("kmer", "best", F.col("ratio").cast("int").alias("ratio"), F.col("rest").cast("int").alias("rest"))
-    if table.limit(BROADCAST_KMERS + 1).count() <= BROADCAST_KMERS:
-        shipped = reads.sparkSession.sparkContext.broadcast({r.kmer: (r.best, r.ratio, r.rest) for r in table.toLocalIterator()})
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows_in = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
-                yield as_batch(batch.column(0), [correct_one(s or "", q, shipped.value, w, max_changed, default_quality) for s, q in rows_in])
-
-        return rows.mapInArrow(run, out)
-
-    table = cut_lineage(table)
+    scratch, names = Scratch(reads.sparkSession, "correct"), [f.split()[0] for f in out.split(", ")]
     held = "array<struct<kmer: string, best: string, ratio: int, rest: int>>"
-    open_reads = cut_lineage(rows.select(F.monotonically_increasing_id().alias("row"), "*", F.array().cast(held).alias("table")))
-    done = None
+    rows = reads.select(F.col(id_col).cast("long").alias("read_id"), F.col(seq_col).alias("seq"), (F.col(qual_col) if qual_col else F.lit(None).cast("string")).alias("qual"))
+    rows = scratch.put("rows", rows.select(F.monotonically_increasing_id().alias("row"), "*"))
+    table = scratch.put("table", solid.select("kmer", "best", F.col("ratio").cast("int").alias("ratio"), F.col("rest").cast("int").alias("rest")))
+    upper = F.upper(F.coalesce("seq", F.lit("")))
+    own = rows.select("row", F.explode(F.array_distinct(F.concat(windows(upper, w), windows(revcomp(upper), w)))).alias("kmer")).where(~F.col("kmer").contains("N"))
 
-    def run_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns, found, asked = [c.to_pylist() for c in batch.columns[2:]], [], []
             for s, q, known in zip(*columns, strict=True):
-                asks: dict = {}
-                solid_here = {e["kmer"]: None if e["best"] is None else (e["best"], e["ratio"], e["rest"]) for e in known}
-                found.append(correct_one(s or "", q, solid_here, w, max_changed, default_quality, asks))
+                s, asks = (s or "").upper(), {}
+                both = (s, s[::-1].translate(FLIP))
+                here = {x[i : i + w]: None for x in both for i in range(len(s) - w + 1)}  # looked up, and not solid unless it was found
+                here.update((e["kmer"], None if e["best"] is None else (e["best"], e["ratio"], e["rest"])) for e in known or ())
+                found.append(correct_one(s, q, here, w, max_changed, default_quality, asks))
                 asked.append(list(asks))
-            fixed = as_batch(batch.column(1), found)
-            yield pa.RecordBatch.from_arrays([*fixed.columns, batch.column(0), pa.array(asked, pa.list_(pa.string()))], [*names, "row", "asks"])
+            fixed = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *fixed, batch.column(0), pa.array(asked, pa.list_(pa.string()))], [*names, "row", "asks"])
 
+    shown = F.collect_list(F.struct("kmer", "best", "ratio", "rest")).cast(held)
+    open_reads = rows.join(own.join(table, "kmer").groupBy("row").agg(shown.alias("known")), "row", "left")
+    done, turn = None, 0
     while True:
-        tried = cut_lineage(open_reads.mapInArrow(run_own, f"{out}, row long, asks array<string>"))
+        if turn:
+            open_reads = scratch.put("open", open_reads)
+        tried = scratch.put(f"tried{turn}", open_reads.mapInArrow(run, f"{out}, row long, asks array<string>"))
         settled = tried.where(F.size("asks") == 0).select(*names)
         done = settled if done is None else done.unionAll(settled)
         asks = tried.where(F.size("asks") > 0).select("row", F.explode("asks").alias("kmer"))
         if asks.isEmpty():
+            scratch.drop("rows", "table", "open")
             return done
-        more = asks.join(table, "kmer", "left").groupBy("row").agg(F.collect_list(F.struct("kmer", "best", "ratio", "rest")).alias("more"))
-        open_reads = cut_lineage(open_reads.join(more, "row").select("row", "read_id", "seq", "qual", F.concat("table", "more").alias("table")))
+        if not turn:  # what the reads that go on have found so far
+            open_reads = rows.join(asks.select("row").distinct(), "row", "left_semi")
+            first = own.join(asks.select("row").distinct(), "row", "left_semi").join(table, "kmer").groupBy("row").agg(shown.alias("known"))
+            open_reads = open_reads.join(first, "row", "left").withColumn("known", F.coalesce("known", F.array().cast(held)))
+        more = asks.join(table, "kmer", "left").groupBy("row").agg(shown.alias("more"))
+        open_reads = open_reads.join(more, "row").select("row", "read_id", "seq", "qual", F.concat("known", "more").alias("known"))
+        turn += 1
 
 
 def keep_good(corrected: DataFrame, paired: bool = False) -> DataFrame:

@@ -14,10 +14,18 @@ def full_length_hits(contigs: DataFrame, reads: DataFrame, seed: int) -> DataFra
     An equi-join on a read's first `seed` bases, verified on the rest, for both strands.
     """
     strands = reads.select("read_id", F.posexplode(F.array("seq", revcomp(F.col("seq")))).alias("strand", "seq")).where(F.length("seq") >= seed)
-    heads = strands.withColumn("m", F.substring("seq", 1, seed))
-    spots = contigs.select("contig", F.col("seq").alias("whole"), F.posexplode(windows(F.col("seq"), seed)).alias("beg", "m"))
-    same = F.substring("whole", F.col("beg") + 1, F.length("seq")) == F.col("seq")
-    return spots.join(heads, "m").where(same).select("contig", "read_id", "strand", "beg", (F.col("beg") + F.length("seq")).alias("end"))
+    heads = strands.select("read_id", "strand", F.length("seq").alias("size"), F.substring("seq", 1, seed).alias("m"))
+    spots = contigs.select("contig", F.length("seq").alias("whole"), F.posexplode(windows(F.col("seq"), seed)).alias("beg", "m"))
+    # Candidates carry ids and places; strings come in by id to be compared, the contig's cut to the read's length at once.
+    found = spots.join(heads, "m").where("beg + size <= whole").select("contig", "read_id", "strand", "beg", "size")
+    found = found.join(contigs.select("contig", F.col("seq").alias("contig_seq")), "contig").select("contig", "read_id", "strand", "beg", "size", F.expr("substring(contig_seq, beg + 1, size)").alias("part"))
+    turned = F.when(F.col("strand") == 0, F.col("seq")).otherwise(revcomp(F.col("seq")))
+    return found.join(reads.select("read_id", "seq"), "read_id").where(F.col("part") == turned).select("contig", "read_id", "strand", "beg", (F.col("beg") + F.col("size")).alias("end"))
+
+
+def supporting_reads(hits: DataFrame) -> DataFrame:
+    """(contig, n_supp): reads that lie in a contig whole; a read counts once for a contig, wherever and however often it lies there."""
+    return hits.groupBy("contig").agg(F.count_distinct("read_id").alias("n_supp"))
 
 
 def mate_pairs(hits: DataFrame, max_dist: int) -> DataFrame:

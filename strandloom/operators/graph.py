@@ -36,10 +36,10 @@ def neighbor_cap(edges: DataFrame, most: int) -> DataFrame:
 
 
 def relative_edges(edges: DataFrame, ratio: float) -> DataFrame:
-    """Edges that reach ratio times the second longest of their end (the longest where there is one alone)."""
+    """Edges that reach ratio times the second longest of their end (the longest where there is one alone), rounded to a whole number of bases."""
     order = Window.partitionBy("a").orderBy(F.desc("ovlp")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     second = F.coalesce(F.nth_value("ovlp", 2).over(order), F.col("ovlp"))
-    return edges.withColumn("second", second).where(F.col("ovlp") >= ratio * F.col("second")).select("a", "b", "ovlp")
+    return edges.withColumn("second", second).where(F.col("ovlp") >= F.floor(ratio * F.col("second") + 0.499)).select("a", "b", "ovlp")
 
 
 def weak_edges(edges: DataFrame, min_overlap: int, ratio: float, tips: DataFrame | None = None, oriented: bool = False) -> DataFrame:

@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 from strandloom.functions.sequences import windows
 
 
+def with_strings(rows: DataFrame, strings: DataFrame, id_col: str, name: str) -> DataFrame:
+    """rows with the string of id_col as a column; strings: (oriented_id, seq). Candidates carry ids and places, and get strings only to be compared."""
+    return rows.join(strings.select(F.col("oriented_id").alias(id_col), F.col("seq").alias(name)), id_col)
+
+
 def contained_reads(collection: DataFrame, seed: int) -> DataFrame:
     """(oriented_id): strings that are part of a longer one, and all but the first of equal strings.
 
     A string's first `seed` bases are looked up among all positions of the others (an equi-join), then the rest is
     compared. Strings shorter than the seed must be looked up with a smaller one.
     """
-    heads = collection.where(F.length("seq") >= seed).select("oriented_id", "seq", F.substring("seq", 1, seed).alias("m"))
-    spots = collection.select(F.col("oriented_id").alias("in_id"), F.col("seq").alias("in_seq"), F.posexplode(windows(F.col("seq"), seed)).alias("at", "m"))
-    longer = (F.length("in_seq") > F.length("seq")) | ((F.length("in_seq") == F.length("seq")) & (F.col("in_id") < F.col("oriented_id")))
-    same = F.substring("in_seq", F.col("at") + 1, F.length("seq")) == F.col("seq")
-    return heads.join(spots, "m").where(longer & same).select("oriented_id").distinct()
+    heads = collection.where(F.length("seq") >= seed).select("oriented_id", F.length("seq").alias("size"), F.substring("seq", 1, seed).alias("m"))
+    spots = collection.select(F.col("oriented_id").alias("in_id"), F.length("seq").alias("in_size"), F.posexplode(windows(F.col("seq"), seed)).alias("at", "m"))
+    longer = (F.col("in_size") > F.col("size")) | ((F.col("in_size") == F.col("size")) & (F.col("in_id") < F.col("oriented_id")))
+    found = heads.join(spots, "m").where(longer & (F.col("at") + F.col("size") <= F.col("in_size"))).drop("m")
+    found = with_strings(found, collection, "in_id", "in_seq").select("oriented_id", F.expr("substring(in_seq, at + 1, size)").alias("part"))
+    return with_strings(found, collection, "oriented_id", "seq").where("part = seq").select("oriented_id").distinct()
 
 
 def overlaps(collection: DataFrame, min_overlap: int) -> DataFrame:
@@ -26,11 +32,11 @@ def overlaps(collection: DataFrame, min_overlap: int) -> DataFrame:
 
     An equi-join on b's first min_overlap bases, verified on the rest; all overlaps of a pair are kept.
     """
-    heads = collection.where(F.length("seq") > min_overlap).select(F.col("oriented_id").alias("b"), F.col("seq").alias("b_seq"), F.substring("seq", 1, min_overlap).alias("m"))
-    spots = collection.select(F.col("oriented_id").alias("a"), F.col("seq").alias("a_seq"), F.posexplode(windows(F.col("seq"), min_overlap)).alias("at", "m")).where("at > 0")
-    size = F.length("a_seq") - F.col("at")
-    fits = (F.col("a") != F.col("b")) & (size < F.length("b_seq")) & (F.substring("a_seq", F.col("at") + 1, size) == F.substring("b_seq", F.lit(1), size))
-    return spots.join(heads, "m").where(fits).select("a", "b", size.cast("int").alias("ovlp"))
+    heads = collection.where(F.length("seq") > min_overlap).select(F.col("oriented_id").alias("b"), F.length("seq").alias("b_size"), F.substring("seq", 1, min_overlap).alias("m"))
+    spots = collection.select(F.col("oriented_id").alias("a"), F.length("seq").alias("a_size"), F.posexplode(windows(F.col("seq"), min_overlap)).alias("at", "m")).where("at > 0")
+    found = spots.join(heads, "m").where("a <> b AND a_size - at < b_size").select("a", "b", (F.col("a_size") - F.col("at")).alias("ovlp"))
+    found = with_strings(found, collection, "a", "a_seq").select("a", "b", "ovlp", F.expr("right(a_seq, ovlp)").alias("part"))
+    return with_strings(found, collection, "b", "b_seq").where("part = left(b_seq, ovlp)").select("a", "b", F.col("ovlp").cast("int").alias("ovlp"))
 
 
 def longest_overlaps(edges: DataFrame) -> DataFrame:

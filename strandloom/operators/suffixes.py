@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.sequences import revcomp, sort_key, windows
 from strandloom.operators.ranking import global_rank
+from strandloom.session import cut_lineage
 
 SYMBOLS = "$ACGTN"
 
@@ -28,25 +29,32 @@ def suffixes(collection: DataFrame) -> DataFrame:
 
 def bwt(collection: DataFrame) -> DataFrame:
     """(row, sym): the transform of all strings, ends ordered by string id."""
-    return global_rank(suffixes(collection), "suffix", "oriented_id", name="row").select("row", "sym")
+    return global_rank(suffixes(collection), "suffix", "oriented_id", name="row", keep=["sym"])
+
+
+def _joined(pieces: DataFrame, size: int | None) -> DataFrame:
+    """Pieces (start, sym, len) that follow each other with the same symbol as one, within blocks of `size` rows; edge marks a block's first and last."""
+    pieces = pieces.withColumn("block", F.floor(F.col("start") / size) if size else F.lit(0))
+    own = Window.partitionBy("block").orderBy("start") if size else Window.orderBy("start")
+    goes_on = (F.lag("sym").over(own) == F.col("sym")) & (F.lag(F.col("start") + F.col("len")).over(own) == F.col("start"))
+    runs = pieces.withColumn("head", ~F.coalesce(goes_on, F.lit(False))).withColumn("run", F.sum(F.col("head").cast("int")).over(own))
+    found = runs.groupBy("block", "run", "sym").agg(F.min("start").alias("start"), F.sum("len").alias("len"))
+    return found.withColumn("edge", (F.col("run") == 1) | (F.col("run") == F.max("run").over(Window.partitionBy("block"))))
 
 
 def bwt_runs(rows: DataFrame) -> DataFrame:
-    """(start, sym, len): runs of equal symbols. Runs are found within ranges of rows and put together at the ranges' ends."""
-    size = 1 << 16
-    block = F.floor(F.col("row") / size)
-    own = Window.partitionBy("block").orderBy("row")
-    marked = rows.withColumn("block", block).withColumn("head", F.coalesce(F.lag("sym").over(own) != F.col("sym"), F.lit(True)))
-    pieces = marked.withColumn("piece", F.sum(F.col("head").cast("int")).over(own)).groupBy("block", "piece", "sym").agg(F.min("row").alias("start"), F.count("*").alias("len"))
-    # One row for each piece: what goes on over a block's end joins the piece before it, block by block.
-    edge = pieces.withColumn("last", F.max("piece").over(Window.partitionBy("block")))
-    ends = edge.where("piece = 1 OR piece = last")
-    order = Window.orderBy("start")
-    chain = ends.withColumn("prev_sym", F.lag("sym").over(order)).withColumn("joins", (F.col("piece") == 1) & (F.col("prev_sym") == F.col("sym")) & (F.col("block") > 0))
-    groups = chain.withColumn("grp", F.sum((~F.coalesce("joins", F.lit(False))).cast("int")).over(order))
-    whole = groups.groupBy("grp").agg(F.min("start").alias("start"), F.first("sym").alias("sym"), F.sum("len").alias("len")).select("start", "sym", "len")
-    inner = edge.where("piece > 1 AND piece < last").select("start", "sym", "len")
-    return inner.unionAll(whole)
+    """(start, sym, len): runs of equal symbols.
+
+    Runs are found within blocks of rows; only the first and last run of a block can go on beyond it, so these alone
+    are looked at again in blocks of blocks, and the window at the end goes over two rows for each 2**32.
+    """
+    pieces, out = rows.select(F.col("row").alias("start"), "sym", F.lit(1).cast("long").alias("len")), []
+    for size in (1 << 16, 1 << 32):
+        found = cut_lineage(_joined(pieces, size).select("start", "sym", "len", "edge"))
+        out.append(found.where("NOT edge"))
+        pieces = found.where("edge").drop("edge")
+    out.append(_joined(pieces, None))
+    return out[0].select("start", "sym", "len").unionAll(out[1].select("start", "sym", "len")).unionAll(out[2].select("start", "sym", "len"))
 
 
 def symbol_counts(collection: DataFrame) -> DataFrame:
@@ -63,27 +71,42 @@ def rank_errors(rows: DataFrame, marginal: DataFrame) -> DataFrame:
 
 
 def occurrences(collection: DataFrame, patterns: DataFrame, key: str = "pattern") -> DataFrame:
-    """(pattern, n): how often each pattern occurs; an equi-join for each length among the patterns."""
-    lengths = [r.k for r in patterns.select(F.length(key).alias("k")).distinct().collect()]
-    found = None
-    for k in sorted(lengths):
-        own = patterns.where(F.length(key) == k).select(key).distinct()
-        hits = collection.select(F.explode(windows(F.col("seq"), k)).alias(key)).join(own, key, "left_semi").groupBy(key).agg(F.count("*").alias("hits"))
-        each = own.join(hits, key, "left").select(key, F.coalesce("hits", F.lit(0)).cast("long").alias("n"))
-        found = each if found is None else found.unionAll(each)
-    return found if found is not None else patterns.select(key, F.lit(0).cast("long").alias("n"))
+    """(pattern, n): how often each pattern occurs: one equi-join with the strings' windows of all lengths among the patterns, one row for each of which is collected."""
+    lengths = sorted(r.k for r in patterns.select(F.length(key).alias("k")).distinct().collect() if r.k)
+    if not lengths:
+        return patterns.select(key, F.lit(0).cast("long").alias("n")).distinct()
+    own = patterns.select(key).distinct()
+    cuts = F.concat(*(windows(F.col("seq"), k) for k in lengths)) if len(lengths) > 1 else windows(F.col("seq"), lengths[0])
+    hits = collection.select(F.explode(cuts).alias(key)).join(own, key, "left_semi").groupBy(key).agg(F.count("*").alias("hits"))
+    return own.join(hits, key, "left").select(key, F.coalesce("hits", F.lit(0)).cast("long").alias("n"))
+
+
+def occurrences_by_source(collection: DataFrame, patterns: DataFrame, source: str, key: str = "pattern") -> DataFrame:
+    """(source, pattern, n): occurrences of each pattern in each of several collections kept in one table, zeros included."""
+    lengths = sorted(r.k for r in patterns.select(F.length(key).alias("k")).distinct().collect() if r.k)
+    own, sources = patterns.select(key).distinct(), collection.select(source).distinct()
+    every = own.join(F.broadcast(sources))  # one row for each collection
+    if not lengths:
+        return every.select(source, key, F.lit(0).cast("long").alias("n"))
+    cuts = F.concat(*(windows(F.col("seq"), k) for k in lengths)) if len(lengths) > 1 else windows(F.col("seq"), lengths[0])
+    hits = collection.select(source, F.explode(cuts).alias(key)).join(own, key, "left_semi").groupBy(source, key).agg(F.count("*").alias("hits"))
+    return every.join(hits, [source, key], "left").select(source, key, F.coalesce("hits", F.lit(0)).cast("long").alias("n"))
 
 
 def intervals(collection: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern, lo, n): the suffix-array interval of each pattern. Patterns are ranked among the suffixes by one sort."""
+    """(pattern, lo, n): the suffix-array interval of each pattern. Patterns are ranked among the suffixes by one sort, and among themselves by another."""
     marks = patterns.select("pattern").distinct().select(F.lit(-1).cast("long").alias("oriented_id"), sort_key("pattern").alias("suffix"), "pattern")
     both = suffixes(collection).select("oriented_id", "suffix", F.lit(None).cast("string").alias("pattern")).unionAll(marks)
-    ranked = global_rank(both, "suffix", "oriented_id").where("pattern IS NOT NULL")
-    place = Window.orderBy("rank")  # one row for each pattern
-    lows = ranked.select("pattern", (F.col("rank") - F.row_number().over(place) + 1).alias("lo"))
+    ranked = global_rank(both, "suffix", "oriented_id", keep=["pattern"]).where("pattern IS NOT NULL")
+    lows = global_rank(ranked, "rank", name="before").select("pattern", (F.col("rank") - F.col("before")).alias("lo"))
     return lows.join(occurrences(collection, patterns), "pattern")
 
 
+def rank_tallies(ranked: DataFrame) -> DataFrame:
+    """(n, n_contained, n_dup) of a sequence_rank with its flags."""
+    return ranked.agg(F.count("*").alias("n"), F.count_if("contained").alias("n_contained"), F.count_if("dup").alias("n_dup"))
+
+
 def sequence_rank(collection: DataFrame, contained: DataFrame | None = None) -> DataFrame:
     """(rank, oriented_id, contained, dup): strings in lexicographic order; of equal strings all but the first are dup."""
     ranked = global_rank(collection.withColumn("key", sort_key("seq")), "key", "oriented_id")

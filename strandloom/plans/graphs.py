@@ -81,7 +81,7 @@ TWO_WAY = f"SELECT a, b, ovlp FROM ({EDGES}) e1 UNION ALL SELECT b, a, CASE WHEN
 ENDS = "SELECT DISTINCT o_orderkey AS e FROM orders WHERE o_orderkey % 10 <> 3"
 
 
-@query("amend_edges", f"WITH e AS ({TWO_WAY}) SELECT * FROM e WHERE b IN ({ENDS}) AND EXISTS (SELECT 1 FROM e x WHERE x.a = e.b AND x.b = e.a AND x.ovlp = e.ovlp)")
+@query("amend_edges", f"WITH e AS ({TWO_WAY}) SELECT e.* FROM e SEMI JOIN ({ENDS}) n ON n.e = e.b SEMI JOIN (SELECT DISTINCT b AS a, a AS b, ovlp FROM e) x ON x.a = e.a AND x.b = e.b AND x.ovlp = e.ovlp")
 def amend_edges(spark, d):
     from strandloom.session import table
 
@@ -96,7 +96,7 @@ def neighbor_cap(spark, d):
     return Gr.neighbor_cap(_edges(spark, d), 3)
 
 
-@query("relative_edges", f"SELECT a, b, ovlp FROM (SELECT *, nth_value(ovlp, 2) OVER (PARTITION BY a ORDER BY ovlp DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS t FROM ({EDGES}) e) x WHERE ovlp >= 0.7 * coalesce(t, ovlp)")
+@query("relative_edges", f"SELECT a, b, ovlp FROM (SELECT *, nth_value(ovlp, 2) OVER (PARTITION BY a ORDER BY ovlp DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS t FROM ({EDGES}) e) x WHERE ovlp >= CAST(floor(0.7 * coalesce(t, ovlp) + 0.499) AS INT)")
 def relative_edges(spark, d):
     return Gr.relative_edges(_edges(spark, d), 0.7)
 

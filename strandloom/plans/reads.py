@@ -203,7 +203,7 @@ def seq_rank(spark, d):
     return X.sequence_rank(X.both_strands(rows))
 
 
-@query("length_quantile", f"SELECT 0.25 AS q, CAST(len AS BIGINT) AS len FROM (SELECT length(s) AS len, row_number() OVER (ORDER BY length(s)) - 1 AS i, count(*) OVER () AS n FROM ({T}) t) x WHERE i = floor(n * 0.25)")
+@query("length_quantile", f"SELECT 0.25::DOUBLE AS q, CAST(len AS BIGINT) AS len FROM (SELECT length(s) AS len, row_number() OVER (ORDER BY length(s)) - 1 AS i, count(*) OVER () AS n FROM ({T}) t) x WHERE i = floor(n * 0.25)")
 def length_quantile(spark, d):
     return X.length_quantile(fixture(spark, d, "T"), 0.25)
 

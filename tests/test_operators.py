@@ -2,6 +2,7 @@
 
 import gzip
 import math
+import heapq
 import random
 
 import pytest
@@ -12,6 +13,7 @@ from strandloom.operators import coverage as C
 from strandloom.operators import graph as Gr
 from strandloom.operators.align import align, align_batch
 from strandloom.operators.components import connected_components
+from strandloom.operators import correct
 from strandloom.operators.correct import correct_reads, keep_good
 from strandloom.operators.kmers import kmer_counts, next_base_table
 from strandloom.operators.pairs import split_joined
@@ -73,34 +75,93 @@ def test_correction_restores_reads(spark):
     assert keep_good(fixed, paired=True).groupBy(F.shiftright("read_id", 1)).count().where("count <> 2").count() == 0
 
 
-def test_correction_with_a_table_too_large_to_broadcast(spark, monkeypatch):
-    from strandloom.operators import correct
-
-    reads = fixture(spark, SF, "E").where("id < 8")
-    solid = next_base_table(reads, 17)
-    want = sorted(map(tuple, correct_reads(reads, solid, 17).select("read_id", "seq").collect()))
-    monkeypatch.setattr(correct, "BROADCAST_KMERS", 0)
-    got = sorted(map(tuple, correct_reads(reads, solid, 17).select("read_id", "seq").collect()))
-    assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.98 * len(want)
-
-
-def test_correction_is_the_same_on_both_paths(spark, monkeypatch):
-    from strandloom.operators import correct
-
-    # Two haplotypes that differ in two bases, and reads with two, three and five errors within w bases.
-    rng = random.Random(4)
+def plain_search(seq, qual, solid, w, asks=None):
+    """Every step by the heap, without walking over stretches that agree."""
+    from strandloom.operators.correct import DIFFERENCE, GAP, MISS, NO_SEARCH, RAISED, RATIO, STATES
+    start = next((i for i in range(w, len(seq) + 1) if "N" not in seq[i - w : i]), None)
+    if start is None or start >= len(seq):
+        return seq, qual, 0, NO_SEARCH, False
+    heap, order, done, known = [(0, 0, start, seq[start - w : start], None)], 1, [], False
+    while heap:
+        score, _, at, context, path = heapq.heappop(heap)
+        if done and score > done[0][0] + GAP:
+            break
+        if at == len(seq):
+            done.append((score, path))
+            if len(done) == 2:
+                break
+            continue
+        base, q = seq[at], min(40, max(3, qual[at] - 33))
+        steps, found = [], solid.get(context)
+        if found is None:
+            steps.append((base, score + MISS + 40 - q, False))
+        else:
+            known = True
+            best, ratio, rest = found
+            if best == base:
+                steps.append((base, score, True))
+            else:
+                whole = rest * ratio if rest else ratio
+                keep = max(1, min(DIFFERENCE * (whole - rest) if whole - rest >= 1 else 1, RATIO * ratio if rest else 10_000, DIFFERENCE * (7 - rest)))
+                steps.append((best, score + q, True))
+                if base != "N":
+                    steps.append((base, score + keep, True))
+                if len(heap) + len(steps) > STATES:
+                    steps = [min(steps, key=lambda s: s[1])]
+        for new, price, hit in steps:
+            heapq.heappush(heap, (price, order, at + 1, (context + new)[-w:], (path, at, new, hit and new == base)))
+            order += 1
+    if not done:
+        return seq, qual, 0, NO_SEARCH, known
+    gap = min(GAP, done[1][0] - done[0][0]) if len(done) > 1 else GAP
+    score, path = done[0]
+    if not score:
+        return seq, qual, 0, gap, known
+    bases, quals, changed = list(seq), list(qual), 0
+    while path is not None:
+        path, at, new, supported = path
+        if new != seq[at]:
+            changed += qual[at] - 33
+            bases[at] = new
+        elif supported:
+            quals[at] = max(quals[at], RAISED)
+    return "".join(bases), quals, changed, gap, known
+
+
+def haplotypes(seed=4):
+    """Two haplotypes that differ in two bases, and reads with two, three and five errors within w bases."""
+    rng = random.Random(seed)
     change = lambda s, places: "".join(c.translate(str.maketrans("ACGT", "CGTA")) if k in places else c for k, c in enumerate(s))
     g = "".join(rng.choice("ACGT") for _ in range(128))
     whole = [(k, g if k < 12 else change(g, {44, 50})) for k in range(16)]
     spoilt = [(100 + k, change(g[20:80], set(rng.sample(range(22, 39), (2, 3, 5)[k % 3])))) for k in range(90)]
+    return whole, [*whole, *spoilt, (300, "ACGNT" * 9), (301, "ACG"), (302, None), (303, ""), (None, g[3:70])]
+
+
+def test_reads_that_look_up_their_contexts_get_what_the_whole_table_gives(spark):
+    whole, every = haplotypes()
     solid = next_base_table(spark.createDataFrame(whole, "rid long, s string"), 17).checkpoint()
-    every = spark.createDataFrame(whole + spoilt + [(300, "ACGNT" * 9), (301, "ACG"), (None, g[3:70])], "rid long, s string")
+    table = {r.kmer: (r.best, r.ratio, r.rest) for r in solid.collect()}
+    want = sorted(((k, *correct.correct_one(s or "", None, table, 17, 0.3, 15)) for k, s in every), key=str)
     columns = ["read_id", "seq", "qual", "n_changed", "quality_sum", "difference", "bad"]
-    run = lambda: sorted(map(tuple, correct_reads(every, solid, 17).select(*columns).collect()), key=str)
-    want = run()
-    assert len(want) == 109 and {2, 3, 5} <= {r[3] for r in want}
-    monkeypatch.setattr(correct, "BROADCAST_KMERS", 0)
-    assert run() == want
+    got = sorted(map(tuple, correct_reads(spark.createDataFrame(every, "rid long, s string"), solid, 17).select(*columns).collect()), key=str)
+    assert {2, 3, 5} <= {r[3] for r in got}
+    assert got == want
+
+
+def test_walking_over_what_agrees_changes_nothing():
+    for seed in range(12):
+        rng = random.Random(seed)
+        _, every = haplotypes(seed)
+        table = {}
+        for _, s in every[:16]:
+            for i in range(len(s) - 9):
+                if rng.random() < 0.9:
+                    table[s[i : i + 9]] = (s[i + 9] if rng.random() < 0.95 else rng.choice("ACGT"), rng.randrange(1, 32), rng.randrange(8))
+        for _, s in every:
+            if s:
+                qual = [rng.randrange(35, 74) for _ in s]
+                assert correct.search(s, qual, table, 9) == plain_search(s, qual, table, 9)
 
 
 def test_bubbles_and_tips(spark):
