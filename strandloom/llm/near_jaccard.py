@@ -438,10 +438,13 @@ def linked_components(members: DataFrame, docs: DataFrame, scheme: Scheme, scrat
         reach = F.col("size") + F.floor(100 * F.col("size") / percent)
         return rows.join(sigs, "sig").where((F.col("size") > single) | (F.col("lone") + partner <= allowed(reach))).drop("fewest", "fewest_probe")
 
-    members = scratch.put("members", still_open(members.withColumn("comp", F.col("doc_id"))))
+    # Most signatures have no probe at all and are gone before anything is aggregated.
+    probed = scratch.put("probed", members.where("probe").select("sig").distinct())
+    members = scratch.put("members", members.join(probed, "sig", "left_semi").withColumn("comp", F.col("doc_id")))
+    scratch.drop("candidates", "both", "probed")
+    members = scratch.put("members", still_open(members))
     if members.isEmpty():
         return None
-    scratch.drop("candidates")
     sets = scratch.put("sets", shingle_sets(picked(docs, members.select(F.col("doc_id").alias("wanted_id")).distinct(), "doc_id"), scheme.words))
     members = scratch.put("members", members.join(sets.select("doc_id", *bits).dropDuplicates(["doc_id", *bits]), "doc_id"))
     turn, labels, tested = 0, None, None
