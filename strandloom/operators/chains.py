@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.operators.components import connected_components
-from strandloom.session import cut_lineage
+from strandloom.session import Scratch
 
 
 def unambiguous(edges: DataFrame) -> DataFrame:
@@ -16,58 +15,36 @@ def unambiguous(edges: DataFrame) -> DataFrame:
     return edges.join(out, "a", "left_semi").join(into, "b", "left_semi")
 
 
-def cut_cycles(edges: DataFrame) -> DataFrame:
-    """Unambiguous edges without those that lead into the smallest node of a cycle."""
-    labels = connected_components(edges)
-    heads = edges.select(F.col("a").alias("node")).join(edges.select(F.col("b").alias("node")), "node", "left_anti")
-    with_head = labels.join(heads, "node", "left_semi").select("component").distinct()
-    cyclic = labels.join(with_head, "component", "left_anti").select("component").distinct()
-    return edges.where("a <> b").join(cyclic, edges.b == cyclic.component, "left_anti")
+def _cycle_starts(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(b): the smallest node of each cycle; edges hold cycles alone. Minima over doubled stretches are final once no node's changes."""
+    now = scratch.put("cycles", edges.select(F.col("b").alias("node"), F.col("a").alias("up"), F.least("a", "b").alias("low"), F.lit(True).alias("changed")))
+    while not now.where("changed").isEmpty():
+        far = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("low").alias("low2"))
+        now = scratch.put("cycles", now.join(far, "up").select("node", F.col("up2").alias("up"), F.least("low", "low2").alias("low"), (F.col("low2") < F.col("low")).alias("changed")))
+    return now.where("node = low").select(F.col("node").alias("b"))
 
 
-def chain_positions(edges: DataFrame) -> DataFrame:
+def chain_positions(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, chain, position, shift) of paths of unambiguous edges (a, b, step).
 
-    chain is the path's first node, position counts from 0 and shift sums the edges' steps from the first node. The
-    number of rounds is the logarithm of the longest path; each is one equi-join.
+    chain is the path's first node, position counts from 0 and shift sums the edges' steps from the first node; a cycle
+    starts at its smallest node. The number of rounds is the logarithm of the longest path; each is one equi-join. In every
+    round fewer nodes of a path are still on their way, so those left when their number stays the same are on cycles.
     """
-    back = edges.select(F.col("b").alias("node"), F.col("a").alias("up"), F.lit(1).cast("long").alias("hops"), F.col("step").cast("long").alias("shift"))
+    scratch = scratch or Scratch(edges.sparkSession, "chains")
+    edges = scratch.put("edges", edges.where("a <> b").select("a", "b", F.col("step").cast("long").alias("step")))
+    back = edges.select(F.col("b").alias("node"), F.col("a").alias("up"), F.lit(1).cast("long").alias("hops"), F.col("step").alias("shift"))
     heads = edges.select(F.col("a").alias("node")).join(edges.select(F.col("b").alias("node")), "node", "left_anti")
-    now = cut_lineage(back.unionAll(heads.select("node", F.col("node").alias("up"), F.lit(0).cast("long"), F.lit(0).cast("long"))))
-    while True:
+    now = scratch.put("now", back.unionAll(heads.select("node", F.col("node").alias("up"), F.lit(0).cast("long"), F.lit(0).cast("long"))))
+    left, before = -1, None
+    while left and left != before:
         far = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"), F.col("shift").alias("shift2"))
-        now = cut_lineage(now.join(far, "up").select("node", F.col("up2").alias("up"), (F.col("hops") + F.col("hops2")).alias("hops"), (F.col("shift") + F.col("shift2")).alias("shift"), (F.col("up") != F.col("up2")).alias("moved")))
-        if now.where("moved").isEmpty():
-            return now.select("node", F.col("up").alias("chain"), F.col("hops").alias("position"), "shift")
-        now = now.drop("moved")
-
-
-def spell(placed: DataFrame, sequences: DataFrame) -> DataFrame:
-    """(chain, seq, len, n) of chains of strings (node, chain, position, new) where `new` bases of a string's end are its own."""
-    own = placed.join(sequences.select(F.col("oriented_id").alias("node"), "seq"), "node").select("chain", "position", F.expr("right(seq, new)").alias("part"))
-    rows = own.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("position", "part"))).alias("parts"), F.count("*").alias("n"))
-    return rows.select("chain", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("seq"), "n").withColumn("len", F.length("seq").cast("long"))
-
-
-def unitigs(collection: DataFrame, edges: DataFrame) -> DataFrame:
-    """(seq, len, nsr): maximal unambiguous paths of strings, one of both strands; strings without such edges stand alone.
-
-    collection holds both strands of reads that aren't contained in others; edges are irreducible, with ovlp.
-    """
-    lengths = collection.select(F.col("oriented_id").alias("b"), F.length("seq").alias("len"))
-    steps = unambiguous(edges).join(lengths, "b").select("a", "b", (F.col("len") - F.col("ovlp")).alias("step"))
-    steps = cut_lineage(steps)
-    placed = chain_positions(cut_cycles(steps))
-    new = steps.select(F.col("b").alias("node"), F.col("step").alias("new"))
-    sizes = lengths.withColumnRenamed("b", "node")
-    placed = placed.join(sizes, "node").join(new, "node", "left").select("node", "chain", "position", F.when(F.col("position") == 0, F.col("len")).otherwise(F.col("new")).alias("new"))
-    alone = collection.select(F.col("oriented_id").alias("node")).join(placed, "node", "left_anti").join(sizes, "node")
-    rows = placed.unionAll(alone.select("node", F.col("node").alias("chain"), F.lit(0).cast("long"), F.col("len")))
-    # Both strands of a path are chains, as are both of a cycle, which start at the same string's strands: one stands for both.
-    one = F.lit(1).cast("long")
-    ends = rows.groupBy("chain").agg(F.max_by("node", "position").alias("last"))
-    mates = ends.select(F.col("chain").bitwiseXOR(one).alias("chain"), F.lit(True).alias("same_string"))
-    stands = F.when(F.col("same_string"), F.col("chain") % 2 == 0).otherwise(F.col("chain") < F.col("last").bitwiseXOR(one))
-    found = spell(rows, collection).join(ends.join(mates, "chain", "left").where(stands).select("chain"), "chain", "left_semi")
-    both = F.least("seq", F.reverse(F.translate("seq", "ACGT", "TGCA")))
-    return found.select(both.alias("seq"), "len", F.col("n").alias("nsr"))
+        now = now.join(far, "up").select("node", F.col("up2").alias("up"), (F.col("hops") + F.col("hops2")).alias("hops"), (F.col("shift") + F.col("shift2")).alias("shift"), (F.col("hops2") > 0).alias("moved"))
+        now = scratch.put("now", now)
+        before, left = left, now.where("moved").count()
+    placed = now.where("NOT moved").select("node", F.col("up").alias("chain"), F.col("hops").alias("position"), "shift")
+    if left:
+        round_ = edges.join(now.where("moved").select(F.col("node").alias("b")), "b", "left_semi")
+        opened = round_.join(_cycle_starts(round_, scratch), "b", "left_anti")
+        placed = placed.unionAll(chain_positions(opened, Scratch(edges.sparkSession, "opened")))
+    return placed

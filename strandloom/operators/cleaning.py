@@ -5,15 +5,17 @@ vertices: (id, len, nsr, seq) and cov, if known: a character of 33 + depth for e
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.operators import graph as Gr
 from strandloom.operators.align import align
-from strandloom.operators.chains import chain_positions, cut_cycles, unambiguous
-from strandloom.session import cut_lineage
+from strandloom.operators.chains import chain_positions, unambiguous
+from strandloom.session import Scratch, cut_lineage
 
 #: The deepest that a coverage character tells.
 MOST_DEEP = 93
@@ -28,6 +30,10 @@ class Cleaning:
     min_overlap: int = 60
     tip_nsr: int = 4
     inner_nsr: int = 3
+    bubble_vertices: int = 64
+    bubble_dist: int = 512
+    simplify: bool = True
+    reference_ramp: bool = False
     ratio: float = 0.8
     bubble_cov: float = 10.0
     bubble_share: float = 0.15
@@ -44,17 +50,37 @@ def depths(cov: Column) -> Column:
     return F.transform(F.filter(F.split(cov, ""), lambda c: c != ""), lambda c: F.ascii(c) - 33)
 
 
+def summed_coverage(placed: DataFrame) -> DataFrame:
+    """(id, cov) of coverage strings placed at a start (new_id, start, cov): depths add up base by base, up to MOST_DEEP.
+
+    Runs of one depth are two changes each, so an even string of any length is two rows; a running sum gives the depth between changes.
+    """
+    each = depths(F.col("cov"))
+    heads = F.filter(F.transform(each, lambda d, i: F.struct(i.alias("at"), d.alias("d"), F.when(i == 0, d).otherwise(d - F.get(each, i - 1)).alias("step"))), lambda x: x["step"] != 0)
+    last = F.array(F.struct(F.size(each).alias("at"), F.lit(0).alias("d"), (-F.element_at(each, -1)).alias("step")))
+    steps = placed.where(F.length("cov") > 0).select("new_id", "start", F.explode(F.concat(heads, last)).alias("x"))
+    events = steps.groupBy("new_id", (F.col("start") + F.col("x.at")).alias("at")).agg(F.sum("x.step").alias("step"))
+    order = Window.partitionBy("new_id").orderBy("at")
+    runs = events.select("new_id", "at", F.sum("step").over(order).alias("depth"), (F.lead("at").over(order) - F.col("at")).alias("n")).where("n IS NOT NULL")
+    shown = F.expr(f"repeat(char(33 + least(depth, {MOST_DEEP})), cast(n AS int))")
+    joined = runs.groupBy(F.col("new_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("at", shown.alias("part")))).alias("ps"))
+    return joined.select("id", F.array_join("ps.part", "").alias("cov"))
+
+
 def merge_graph(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every maximal unambiguous path as one vertex, named by its first; nsr and, base by base, cov (up to MOST_DEEP) add up, sequences are joined over their overlaps."""
     vertices = with_coverage(vertices)
     one = F.lit(1).cast("long")
     steps = cut_lineage(unambiguous(edges.where("floor(a / 2) <> floor(b / 2)")).select("a", "b", F.col("ovlp").alias("step")))
-    placed = chain_positions(cut_cycles(steps)).select("node", "chain", "position")
+    placed = chain_positions(steps).select("node", "chain", "position")
     every = vertices.select(F.explode(F.array(F.col("id") * 2, F.col("id") * 2 + 1)).alias("node"))
     alone = every.join(placed, "node", "left_anti").select("node", F.col("node").alias("chain"), F.lit(0).cast("long").alias("position"))
     placed = cut_lineage(placed.unionAll(alone))
     ends = placed.groupBy("chain").agg(F.max_by("node", "position").alias("last"))
-    kept = cut_lineage(ends.where((F.col("chain") < F.col("last").bitwiseXOR(one)) | ((F.col("chain") == F.col("last").bitwiseXOR(one)))).withColumn("id", F.floor(F.col("chain") / 2)))
+    # Both strands of a path are chains, as are both of a cycle, which start at one vertex's strands: one stands for both.
+    mates = ends.select(F.col("chain").bitwiseXOR(one).alias("chain"), F.lit(True).alias("same_vertex"))
+    stands = F.when(F.col("same_vertex"), F.col("chain") % 2 == 0).otherwise(F.col("chain") <= F.col("last").bitwiseXOR(one))
+    kept = cut_lineage(ends.join(mates, "chain", "left").where(stands).select("chain", "last", F.floor(F.col("chain") / 2).alias("id")))
     own = placed.join(kept.select("chain", F.col("id").alias("new_id")), "chain").join(steps.select(F.col("b").alias("node"), F.col("step").alias("ovlp")), "node", "left")
     own = own.join(vertices, F.floor(F.col("node") / 2) == F.col("id"))
     over = F.when(F.col("position") == 0, 0).otherwise(F.coalesce("ovlp", F.lit(0)))
@@ -66,14 +92,13 @@ def merge_graph(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     reach = F.sum(F.col("len") - over).over(Window.partitionBy("new_id").orderBy("position"))
     turned = F.when(F.col("node") % 2 == 0, F.col("cov")).otherwise(F.reverse("cov"))
     starts = own.select("new_id", (reach - F.col("len")).alias("start"), turned.alias("cov"))
-    bases = starts.select("new_id", "start", F.posexplode(depths(F.col("cov"))).alias("at", "depth"))
-    deep = bases.groupBy("new_id", (F.col("start") + F.col("at")).alias("at")).agg(F.least(F.sum("depth"), F.lit(MOST_DEEP)).alias("depth"))
-    cov = deep.groupBy(F.col("new_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("at", F.char(F.col("depth") + 33).alias("c")))).alias("cs"))
-    merged = merged.join(cov.select("id", F.array_join("cs.c", "").alias("cov")), "id", "left")
+    merged = merged.join(summed_coverage(starts), "id", "left")
     sources = kept.select(F.explode(F.array(F.struct(F.col("last").alias("old"), new.alias("new")), F.struct(F.col("chain").bitwiseXOR(one).alias("old"), (new + 1).alias("new")))).alias("x")).select("x.*").distinct()
     targets = kept.select(F.explode(F.array(F.struct(F.col("chain").alias("old"), new.alias("new")), F.struct(F.col("last").bitwiseXOR(one).alias("old"), (new + 1).alias("new")))).alias("x")).select("x.*").distinct()
     left = edges.join(sources.withColumnRenamed("old", "a").withColumnRenamed("new", "na"), "a").join(targets.withColumnRenamed("old", "b").withColumnRenamed("new", "nb"), "b")
-    inner = steps.select("a", "b").distinct()
+    # The edges within kept paths, in both directions; a cycle's last edge isn't among them and stays, as an edge of the vertex to itself.
+    used = steps.join(placed.where("position > 0").join(kept.select("chain"), "chain", "left_semi").select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
+    inner = used.unionAll(used.select(F.col("b").bitwiseXOR(one).alias("a"), F.col("a").bitwiseXOR(one).alias("b"))).distinct()
     left = left.join(inner, ["a", "b"], "left_anti").select(F.col("na").alias("a"), F.col("nb").alias("b"), "ovlp")
     return cut_lineage(merged), cut_lineage(Gr.dedupe_edges(left))
 
@@ -116,6 +141,118 @@ def pop_bubbles(vertices: DataFrame, edges: DataFrame, rules: Cleaning = Cleanin
     return tuple(map(cut_lineage, Gr.drop_vertices(vertices, edges, gone)))
 
 
+def turned(node: Column, seq: Column) -> Column:
+    return F.when(node % 2 == 0, seq).otherwise(F.reverse(F.translate(seq, "ACGT", "TGCA")))
+
+
+def pop_open(vertices: DataFrame, edges: DataFrame, max_len: int) -> tuple[DataFrame, DataFrame]:
+    """Without short dead ends that look like a sibling.
+
+    A vertex shorter than max_len with one edge in all, whose neighbour has others on that side, goes where its l bases beyond the overlap align to
+    the first 2 * l beyond the overlap of one of these: a score of 5 * l // 2 at least, and (5 * l - score) / 9 below 2.01 or below l / 10.
+    """
+    alone = edges.groupBy(F.shiftright("a", 1).alias("id")).agg(F.count("*").alias("n")).where("n = 1").select("id").join(vertices.where(F.col("len") < max_len).select("id"), "id", "left_semi")
+    # Seen from the neighbour: hub -> arm, the dead end, and hub -> sibling.
+    arms = edges.select(F.col("a").alias("hub"), F.col("b").alias("arm"), F.col("ovlp").alias("o_arm"), F.shiftright("b", 1).alias("id")).join(alone, "id", "left_semi").where(F.shiftright("hub", 1) != F.col("id"))
+    pairs = arms.join(edges.select(F.col("a").alias("hub"), F.col("b").alias("sibling"), F.col("ovlp").alias("o_sibling")), "hub").where("sibling <> arm")
+    shown = vertices.select("id", "seq")
+    rows = pairs.join(shown, "id").withColumn("query", turned(F.col("arm"), F.col("seq"))).withColumn("query", F.expr("substring(query, o_arm + 1)")).drop("seq")
+    rows = rows.withColumn("l", F.length("query")).where("l > 0").join(shown.withColumnRenamed("id", "sibling_id"), F.shiftright("sibling", 1) == F.col("sibling_id"))
+    rows = rows.withColumn("target", turned(F.col("sibling"), F.col("seq"))).withColumn("target", F.expr("substring(target, o_sibling + 1, 2 * l)"))
+    n = (5 * F.col("l") - F.col("score")) / 9
+    like = (F.col("score") >= F.floor(5 * F.col("l") / 2)) & ((n < 2.01) | (n / F.col("l") < 0.1))
+    gone = align(rows.select("id", "l", "query", "target"), match=5, mismatch=-4, gap_open=5, gap_extend=2).where(like).select("id").distinct()
+    return tuple(map(cut_lineage, Gr.drop_vertices(vertices, edges, gone)))
+
+
+@dataclass
+class Ways:
+    """What a bubble's search knows: for each oriented vertex its best two ways from the start as (reads, distance, vertex before, its way), and how many predecessors came."""
+
+    start: int
+    ways: dict
+    came: dict
+    waiting: int = 0
+    sink: int | None = None
+    failed: bool = False
+
+
+def settle(state: Ways, ready: list[int], arcs: pd.DataFrame, max_vertices: int, max_dist: int) -> list[int]:
+    """Passes the ways of the ready vertices on along their arcs (a, b, ovlp, len, nsr, n_in); the vertices that are ready now."""
+    now = []
+    if len({v >> 1 for v in state.ways}) > max_vertices or any(w[1] > max_dist for v in ready for w in state.ways[v]) or set(ready) - set(arcs["a"]):
+        state.failed = True  # too many, too far, or a dead end
+        return now
+    for a, b, ovlp, size, reads, n_in in sorted(arcs.itertuples(index=False)):
+        if b >> 1 == state.start >> 1:
+            state.failed = True
+            return []
+        own = [(0, -ovlp, a, 0)] if a == state.start else [(n + reads, d + size - ovlp, a, k) for k, (n, d, _, _) in enumerate(state.ways[a])]
+        if b not in state.ways:
+            state.ways[b], state.came[b] = [], 0
+            state.waiting += 1
+        state.ways[b] = sorted([*state.ways[b], *own], key=lambda w: -w[0])[:2]
+        state.came[b] += 1
+        if state.came[b] == n_in:
+            now.append(b)
+            state.waiting -= 1
+    if len(now) == 1 and not state.waiting:
+        state.sink = now[0]
+        return []
+    return now
+
+
+def off_the_ways(state: Ways) -> list[int]:
+    """Vertices of a bubble that are on neither of its two best ways."""
+    kept = {state.start >> 1, state.sink >> 1}
+    for reads, dist, node, which in state.ways[state.sink]:
+        while node != state.start:
+            kept.add(node >> 1)
+            _, _, node, which = state.ways[node][which]
+    return sorted({v >> 1 for v in state.ways} - kept)
+
+
+def simplify_bubbles(vertices: DataFrame, edges: DataFrame, max_vertices: int = 64, max_dist: int = 512) -> tuple[DataFrame, DataFrame]:
+    """Without what lies off the two ways of most reads through a bubble of any shape.
+
+    From an end with two edges or more, vertices are settled once all their predecessors are, each with its best and second-best
+    number of reads, distance and way back. A bubble ends where one settled vertex is left and nothing waits; a dead end, a way back to the start, more
+    than max_vertices or a way longer than max_dist is none. All starts take a step at once: a join fetches the arcs of the vertices that are ready, and
+    each start's state, of max_vertices vertices at most, moves on. A bubble is found from both its ends; the smaller one decides.
+    """
+    scratch = Scratch(vertices.sparkSession, "bubbles")
+    size = vertices.select(F.col("id").alias("of"), "len", "nsr")
+    arcs = edges.join(edges.groupBy("b").agg(F.count("*").alias("n_in")), "b").join(size, F.shiftright("a", 1) == F.col("of"))
+    arcs = scratch.put("arcs", arcs.select("a", "b", F.col("ovlp").cast("long").alias("ovlp"), F.col("len").cast("long").alias("len"), F.col("nsr").cast("long").alias("nsr"), F.col("n_in").cast("long").alias("n_in")))
+    starts = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select(F.col("a").alias("start"))
+    now = scratch.put("states", starts.select("start", F.lit(None).cast("binary").alias("state"), F.array("start").alias("ready"), F.array().cast("array<long>").alias("gone")))
+    arc = ["a", "b", "ovlp", "len", "nsr", "n_in"]
+
+    def step(batches):
+        for pdf in batches:
+            out = []
+            for start, state, ready, found in zip(pdf["start"], pdf["state"], pdf["ready"], pdf["arcs"], strict=True):
+                own = pickle.loads(state) if state is not None else Ways(int(start), {int(start): [(0, 0, int(start), 0)]}, {})
+                rows = pd.DataFrame([tuple(int(x[c]) for c in arc) for x in (found if found is not None else [])], columns=arc)
+                after = settle(own, [int(x) for x in ready], rows, max_vertices, max_dist)
+                bubble = own.sink is not None and own.start < own.sink ^ 1
+                out.append((start, pickle.dumps(own), [] if own.failed else after, off_the_ways(own) if bubble else []))
+            yield pd.DataFrame(out, columns=["start", "state", "ready", "gone"])
+
+    turn, gone = 0, None
+    while not now.isEmpty():
+        front = now.select("start", F.explode("ready").alias("a")).join(arcs, "a").groupBy("start").agg(F.collect_list(F.struct(*arc)).alias("arcs"))
+        rows = now.select("start", "state", "ready").join(front, "start", "left")
+        after = scratch.put(f"after{turn}", rows.mapInPandas(step, "start long, state binary, ready array<long>, gone array<long>"))
+        found = after.select(F.explode("gone").alias("id"))
+        gone = found if gone is None else gone.unionAll(found)
+        now = scratch.put("states", after.where(F.size("ready") > 0))
+        turn += 1
+    if gone is None:
+        return vertices, edges
+    return tuple(map(cut_lineage, Gr.drop_vertices(vertices, edges, gone.distinct())))
+
+
 def drop_weak(vertices: DataFrame, edges: DataFrame, min_overlap: int, ratio: float, rules: Cleaning) -> DataFrame:
     """Edges without the weak ones, by the tips of the graph as it is."""
     tips = Gr.tips(vertices, edges, rules.tip_len, rules.tip_nsr)
@@ -124,8 +261,10 @@ def drop_weak(vertices: DataFrame, edges: DataFrame, min_overlap: int, ratio: fl
 
 
 def clean(vertices: DataFrame, edges: DataFrame, rules: Cleaning = Cleaning()) -> tuple[DataFrame, DataFrame]:
-    """The schedule: tips, ramped rounds of weak edges, tips and merging, more rounds of tips and merging, bubbles, weak inner vertices and, unless
-    aggressive, tips and merging once more.
+    """The schedule: tips, ramped rounds of weak edges, tips and merging, more rounds of tips and merging, open bubbles if aggressive, bubbles of any shape and
+    simple ones, weak inner vertices, and at last open bubbles again if aggressive, else tips and merging.
+
+    With reference_ramp, the reads a tip may have in a ramped round follow the reference, where a slip makes them 1 once four times the ramp is above two, else 2.
 
     Each step looks at the whole graph at once, so the result does not depend on an order of vertices.
     """
@@ -133,16 +272,23 @@ def clean(vertices: DataFrame, edges: DataFrame, rules: Cleaning = Cleaning()) -
     for k in range(rules.rounds):
         ramp = 0.5 + 0.5 * k / (rules.rounds - 1) if rules.rounds > 1 else 1.0
         e = drop_weak(v, e, int(rules.min_overlap * ramp), rules.ratio * ramp, rules)
-        v, e = remove_tips(v, e, int(rules.tip_len * ramp), max(2, int(rules.tip_nsr * ramp)))
+        reads = (1 if rules.tip_nsr * ramp > 2 else 2) if rules.reference_ramp else max(2, int(rules.tip_nsr * ramp))
+        v, e = remove_tips(v, e, int(rules.tip_len * ramp), reads)
         v, e = merge_graph(v, e)
     for _ in range(rules.rounds):
         v, e = merge_graph(*remove_tips(v, e, rules.tip_len, rules.tip_nsr))
+    if rules.aggressive:
+        v, e = merge_graph(*pop_open(v, e, rules.tip_len))
+    if rules.simplify:
+        v, e = merge_graph(*simplify_bubbles(v, e, rules.bubble_vertices, rules.bubble_dist))
     v, e = merge_graph(*pop_bubbles(v, e, rules))
     if rules.inner_nsr >= 2:
         weak = v.where((F.col("len") < rules.tip_len) & (F.col("nsr") < rules.inner_nsr))
         v, e = map(cut_lineage, Gr.bridge_vertices(v, e, weak, rules.min_overlap))
         e = drop_weak(v, e, rules.min_overlap, rules.ratio, rules)
         v, e = merge_graph(*remove_tips(v, e, rules.tip_len, rules.tip_nsr))
-    if not rules.aggressive:
+    if rules.aggressive:
+        v, e = merge_graph(*pop_open(v, e, rules.tip_len))
+    else:
         v, e = merge_graph(*remove_tips(v, e, rules.tip_len, rules.tip_nsr))
     return v, e

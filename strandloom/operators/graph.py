@@ -89,16 +89,9 @@ def bridge_vertices(vertices: DataFrame, edges: DataFrame, gone: DataFrame, min_
     return kept, dedupe_edges(left.unionAll(live.select("a", "b", "ovlp")))
 
 
-def merge_unambiguous(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(chain, n, len, nsr) of maximal unambiguous paths of oriented vertices; nsr adds up, len without the overlaps."""
-    from strandloom.operators.chains import chain_positions, cut_cycles, unambiguous
-    from strandloom.session import cut_lineage
-
-    steps = cut_lineage(unambiguous(edges.where("a <> b")).select("a", "b", F.col("ovlp").alias("step")))
-    placed = chain_positions(cut_cycles(steps))
-    own = placed.join(steps.select(F.col("b").alias("node"), F.col("step").alias("ovlp")), "node", "left").join(vertices.select("id", "len", "nsr"), F.floor(F.col("node") / 2) == F.col("id"))
-    overlap = F.when(F.col("position") == 0, 0).otherwise(F.coalesce("ovlp", F.lit(0)))
-    return own.groupBy("chain").agg(F.count("*").alias("n"), F.sum(F.col("len") - overlap).alias("len"), F.sum("nsr").alias("nsr"))
+def likely_unique(vertices: DataFrame, floor: float = 20.0) -> DataFrame:
+    """Vertices whose A-statistic says that they are there once."""
+    return vertices.join(a_statistic(vertices).where(F.col("a") >= floor), "id")
 
 
 def read_distance(vertices: DataFrame, passes: int = 2, floor: float = 20.0) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.operators.chains import chain_positions, cut_cycles
+from strandloom.operators.chains import chain_positions
 from strandloom.session import cut_lineage
 
 
@@ -75,7 +75,7 @@ def scaftigs(contigs: DataFrame, links: DataFrame, insert: int) -> DataFrame:
     # Leaving by an end is walking the contig so that it comes last; entering by an end, so that it comes first.
     walk = both.select(F.col("end_a").bitwiseXOR(one).alias("a"), F.col("end_b").alias("b"), F.greatest(insert - F.col("avg_dist"), F.lit(1)).alias("step"))
     walk = cut_lineage(walk)
-    placed = cut_lineage(chain_positions(cut_cycles(walk)))
+    placed = cut_lineage(chain_positions(walk))
     gaps = walk.select(F.col("b").alias("node"), F.col("step").alias("gap"))
     rows = placed.join(gaps, "node", "left").join(contigs, F.floor(F.col("node") / 2) == F.col("contig"))
     turned = F.when(F.col("node") % 2 == 0, F.col("seq")).otherwise(F.reverse(F.translate("seq", "ACGT", "TGCA")))

@@ -15,9 +15,9 @@ from strandloom.session import cut_lineage
 SYMBOLS = "$ACGTN"
 
 
-def both_strands(reads: DataFrame, id_col: str = "rid", seq_col: str = "s") -> DataFrame:
+def both_strands(reads: DataFrame, id_col: str = "rid", seq_col: str = "s", *others: str) -> DataFrame:
     both = F.array(F.struct(F.lit(0).alias("strand"), F.col(seq_col).alias("seq")), F.struct(F.lit(1).alias("strand"), revcomp(F.col(seq_col)).alias("seq")))
-    return reads.select(F.col(id_col).alias("read_id"), F.explode(both).alias("x")).select((F.col("read_id") * 2 + F.col("x.strand")).alias("oriented_id"), "x.seq")
+    return reads.select(F.col(id_col).alias("read_id"), *others, F.explode(both).alias("x")).select((F.col("read_id") * 2 + F.col("x.strand")).alias("oriented_id"), "x.seq", *others)
 
 
 def suffixes(collection: DataFrame) -> DataFrame:

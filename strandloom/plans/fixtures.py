@@ -23,6 +23,11 @@ SQL = {
     "HP": "SELECT id * 5 + w AS pid, id, w, substr(s, 1 + 4 * w, 40) AS r1, reverse(translate(substr(s, 61 + 4 * w, 40), 'ACGT', 'TGCA')) AS r2 FROM (SELECT id, s, [U]([SEQ](0, 4)) AS w FROM ([G]) g) x",
     # Dense reads, some with a substitution at base 30; s0 is the truth.
     "E": "SELECT id * 16 + w AS rid, id, w, CASE WHEN (id * 16 + w) % 17 = 0 THEN concat(substr(s0, 1, 29), translate(substr(s0, 30, 1), 'ACGT', 'CGTA'), substr(s0, 31, 30)) ELSE s0 END AS s, s0 FROM (SELECT id, w, substr(s, 1 + w * 4, 60) AS s0 FROM (SELECT id, s, [U]([SEQ](0, 15)) AS w FROM ([G]) g) x) y",
+    # Genomes that branch (two haplotypes that part), close to a circle, or hold a repeat longer than a read, by turns.
+    "GR": f"SELECT id, 0 AS k, CASE id % 3 WHEN 0 THEN s WHEN 1 THEN concat(s, substr(s, 1, 60)) ELSE concat(substr(s, 1, 40), substr(t, 1, 70), substr(s, 41, 40), substr(t, 1, 70), substr(s, 81, 40)) END AS g FROM ([GT]) a UNION ALL SELECT id, 1, concat(substr(s, 1, 64), substr(t, 1, 64)) FROM ([GT]) b WHERE id % 3 = 0",
+    "GT": f"SELECT c_custkey AS id, translate({_md5s('c_custkey', '0 1 2 3')}, {HEX}, 'ACGTACGTACGTACGT') AS s, translate({_md5s('c_custkey', '4 5 6 7')}, {HEX}, 'ACGTACGTACGTACGT') AS t FROM [customer]",
+    # Reads of 60 bases, 8 apart, of those genomes.
+    "R": "SELECT id * 64 + k * 32 + w AS rid, id, substr(g, 1 + 8 * w, 60) AS s FROM (SELECT id, k, g, [U]([SEQ](0, 31)) AS w FROM ([GR]) g) x WHERE 8 * w + 60 <= length(g)",
     # Whole documents as DNA, rich in repeats; and with N for what is no letter.
     "T": "SELECT doc_id, translate(regexp_replace(lower(text), '[^a-z]', ''[g]), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS s FROM [documents]",
     "TN": "SELECT doc_id, translate(regexp_replace(lower(text), '[^a-z]', 'N'[g]), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS s FROM [documents]",

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from strandloom.operators import graph as Gr
 from strandloom.operators import overlaps as O
 from strandloom.operators.align import align
-from strandloom.operators.chains import unitigs
-from strandloom.operators.cleaning import pop_bubbles
+from strandloom.operators import assembly as A
+from strandloom.operators.cleaning import Cleaning, clean, merge_graph, pop_bubbles, pop_open, simplify_bubbles
 from strandloom.operators.matches import smem
 from strandloom.operators.suffixes import both_strands
 from strandloom.plans.fixtures import duck, fixture
-from strandloom.session import cut_lineage
+from strandloom.session import cut_lineage, shared_path
+from strandloom.sources.graph_text import mag_text, read_mag
 
 QUERIES, ORACLES = {}, {}
-H, G, EDGES, VERTICES = (duck(n) for n in ("H", "G", "EDGES", "VERTICES"))
+H, G, EDGES, VERTICES, R = (duck(n) for n in ("H", "G", "EDGES", "VERTICES", "R"))
 RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 
 
@@ -62,10 +63,45 @@ def irreducible_edges(spark, d):
     return O.irreducible(edges, both.select("oriented_id", F.length("seq").alias("len")))
 
 
-@query("unitigs", f"SELECT least(s, {RC.format('s')}) AS seq, CAST(120 AS BIGINT) AS len, CAST(6 AS BIGINT) AS nsr FROM (SELECT substr(s, 1, 120) AS s FROM ({G}) g) x")
+#: Unitigs of the reads of R, walked step by step: overlaps, irreducible ones, unambiguous ones, paths from their heads, cycles from their smallest node.
+WALKED = f"""WITH RECURSIVE rd AS ({R}), two AS (SELECT rid * 2 AS oid, s AS seq FROM rd UNION ALL SELECT rid * 2 + 1, {RC.format('s')} FROM rd),
+  dup AS (SELECT DISTINCT oid // 2 AS r FROM (SELECT oid, row_number() OVER (PARTITION BY seq ORDER BY oid) AS k FROM two) x WHERE k > 1),
+  own AS MATERIALIZED (SELECT oid, seq FROM two WHERE oid // 2 NOT IN (SELECT r FROM dup)),
+  ov AS MATERIALIZED (SELECT a, b, max(60 - pos + 1) AS ovlp FROM (SELECT oid AS a, seq AS sa, unnest(generate_series(2, 30)) AS pos FROM own) p JOIN (SELECT oid AS b, seq AS sb FROM own) q
+    ON substr(sa, pos, 31) = substr(sb, 1, 31) WHERE a <> b AND substr(sa, pos) = substr(sb, 1, 61 - pos) GROUP BY 1, 2),
+  irr AS MATERIALIZED (SELECT ov.* FROM ov ANTI JOIN (SELECT DISTINCT x.a, y.b, x.ovlp + y.ovlp - 60 AS ovlp FROM ov x JOIN ov y ON x.b = y.a WHERE x.ovlp + y.ovlp > 60) t ON t.a = ov.a AND t.b = ov.b AND t.ovlp = ov.ovlp),
+  una AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY a) AS na, count(*) OVER (PARTITION BY b) AS nb FROM irr WHERE a // 2 <> b // 2) x WHERE na = 1 AND nb = 1),
+  heads AS (SELECT oid FROM own ANTI JOIN una ON una.b = own.oid),
+  reached AS (SELECT oid AS node FROM heads UNION ALL SELECT una.b FROM reached JOIN una ON una.a = reached.node),
+  ring AS MATERIALIZED (SELECT oid FROM own ANTI JOIN reached ON reached.node = own.oid),
+  around AS (SELECT oid AS start, oid AS node FROM ring UNION SELECT around.start, una.b FROM around JOIN una ON una.a = around.node),
+  first AS MATERIALIZED (SELECT oid FROM heads UNION ALL SELECT start FROM around GROUP BY 1 HAVING min(node) = start),
+  steps AS MATERIALIZED (SELECT una.* FROM una ANTI JOIN first ON first.oid = una.b),
+  walk AS (SELECT own.oid AS head, own.oid AS node, 1 AS n, own.seq AS seq FROM own SEMI JOIN first ON first.oid = own.oid
+    UNION ALL SELECT head, steps.b, n + 1, walk.seq || substr(own.seq, steps.ovlp + 1) FROM walk JOIN steps ON steps.a = walk.node JOIN own ON own.oid = steps.b),
+  path AS (SELECT head, max(n) AS n, arg_max(node, n) AS last, arg_max(seq, n) AS seq FROM walk GROUP BY 1),
+  stands AS (SELECT * FROM path WHERE CASE WHEN xor(head, 1) IN (SELECT head FROM path) THEN head % 2 = 0 ELSE head <= xor(last, 1) END),
+  nei AS (SELECT head, (SELECT count(*) FROM irr WHERE irr.a = stands.last) + (SELECT count(*) FROM irr WHERE irr.b = stands.head) AS nei FROM stands)
+"""
+
+
+@query("unitigs", f"{WALKED} SELECT least(seq, {RC.format('seq')}) AS seq, CAST(length(seq) AS BIGINT) AS len, CAST(n AS BIGINT) AS nsr, nei FROM stands JOIN nei USING (head)")
 def unitig_query(spark, d):
-    both, edges = _overlaps(spark, d)
-    return unitigs(both, O.irreducible(edges, both.select("oriented_id", F.length("seq").alias("len"))))
+    """Sequences, lengths, reads and neighbours of the unitigs of genomes with branches, circles and repeats."""
+    vertices, edges = A.unitig_graph(fixture(spark, d, "R"), 31)
+    near = edges.groupBy(F.shiftright("a", 1).alias("id")).agg(F.count("*").alias("nei"))
+    return vertices.join(near, "id", "left").select(F.least("seq", F.reverse(F.translate("seq", "ACGT", "TGCA"))).alias("seq"), "len", "nsr", F.coalesce("nei", F.lit(0)).alias("nei"))
+
+
+@query("mag_roundtrip", f"{WALKED} SELECT CAST(2 * (head // 2) AS BIGINT) AS k0, CAST(n AS BIGINT) AS nsr, CAST(length(seq) AS BIGINT) AS len, nei, CAST(60 * n AS BIGINT) AS depth FROM stands JOIN nei USING (head)")
+def mag_roundtrip(spark, d):
+    """The unitigs written as MAG text to the shared folder, read back, turned into a graph again: neighbours and depth, summed over bases, of each."""
+    path = shared_path(spark, "mag")
+    mag_text(A.mag_records(*A.unitig_graph(fixture(spark, d, "R"), 31))).write.text(path)
+    vertices, edges = A.mag_graph(read_mag(spark, path))
+    near = edges.groupBy(F.shiftright("a", 1).alias("id")).agg(F.count("*").alias("nei"))
+    depth = F.aggregate(F.transform(F.filter(F.split("cov", ""), lambda c: c != ""), lambda c: F.ascii(c) - 33), F.lit(0), lambda x, y: x + y).cast("long")
+    return vertices.select("id", F.col("id").alias("k0"), "nsr", "len", depth.alias("depth")).join(near, "id", "left").select("k0", "nsr", "len", F.coalesce("nei", F.lit(0)).alias("nei"), "depth")
 
 
 def _edges(spark, d):
@@ -156,9 +192,9 @@ def _line(spark, d):
     return vertices, lines
 
 
-@query("merge_unambiguous", f"SELECT CAST(id * 12 AS BIGINT) AS chain, 6::BIGINT AS n, 120::BIGINT AS len, 6::BIGINT AS nsr FROM ({G}) g UNION ALL SELECT CAST(id * 12 + 11 AS BIGINT), 6, 120, 6 FROM ({G}) g2")
+@query("merge_unambiguous", f"{WALKED} SELECT CAST(head // 2 AS BIGINT) AS id, CAST(length(seq) AS BIGINT) AS len, CAST(n AS BIGINT) AS nsr FROM stands")
 def merge_unambiguous(spark, d):
-    return Gr.merge_unambiguous(*_line(spark, d))
+    return merge_graph(*A.read_graph(fixture(spark, d, "R"), 31))[0].select("id", "len", "nsr")
 
 
 @query(
@@ -202,3 +238,61 @@ def bubble_simple(spark, d):
     edges = g.select(F.explode(ties).alias("e")).select("e.*")
     kept, _ = pop_bubbles(vertices, edges)
     return vertices.select("id").join(kept.select("id"), "id", "left_anti")
+
+
+def _graph(g, parts, ties):
+    """Vertices (k, sequence, reads) and one-way edges (from, to, overlap) of each genome of g as a graph; ids are 16 * id + k."""
+    rows = F.array(*(F.struct((F.col("id") * 16 + k).alias("id"), s.alias("seq"), n.cast("long").alias("nsr")) for k, s, n in parts))
+    vertices = g.select(F.explode(rows).alias("v")).select("v.*").withColumn("len", F.length("seq").cast("long")).withColumn("cov", F.expr("repeat(char(33 + least(nsr, 93)), length(seq))"))
+    both = [t for a, b, o in ties for t in ((2 * a, 2 * b, o), (2 * b + 1, 2 * a + 1, o))]
+    edges = g.select(F.explode(F.array(*(F.struct((F.col("id") * 32 + a).alias("a"), (F.col("id") * 32 + b).alias("b"), F.lit(o).alias("ovlp")) for a, b, o in both))).alias("e")).select("e.*")
+    return vertices, edges
+
+
+#: Reads of the inner vertices of a bubble of four ways: 0 -> 1 -> (2 | 3) -> 5, 0 -> 4 -> 5 and 0 -> 6 -> 5, then 7.
+WAYS = """SELECT id, r1 + r2 AS n, [1, 2] AS way FROM b UNION ALL SELECT id, r1 + r3, [1, 3] FROM b UNION ALL SELECT id, r4, [4] FROM b UNION ALL SELECT id, r6, [6] FROM b"""
+READS = {k: f"(2 + (id * {m}) % {p})" for k, m, p in ((1, 7, 11), (2, 5, 13), (3, 3, 17), (4, 11, 23), (6, 13, 29))}
+
+
+@query(
+    "bubble_complex",
+    f"WITH b AS (SELECT id, {', '.join(f'{v} AS r{k}' for k, v in READS.items())} FROM ({G}) g), w AS ({WAYS}), best AS (SELECT id, unnest(way) AS k FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC) AS place, max(c) OVER (PARTITION BY id) AS most FROM (SELECT *, count(*) OVER (PARTITION BY id, n) AS c FROM w) y) x WHERE place <= 2) "
+    f"SELECT id * 16 + k AS id FROM (SELECT id, unnest([1, 2, 3, 4, 6]) AS k FROM b) a WHERE (id, k) NOT IN (SELECT (id, k) FROM best) AND id NOT IN (SELECT id FROM (SELECT id, n, count(*) AS c FROM w GROUP BY 1, 2) t WHERE c > 1)",
+)
+def bubble_complex(spark, d):
+    """What the two ways of most reads through a bubble leave over; bubbles with ways of equal reads, whose choice is free, are not shown."""
+    g = fixture(spark, d, "G")
+    spot = lambda a, n: F.substring("s", a, n)
+    reads = {k: F.expr(v) for k, v in READS.items()}
+    seqs = {0: spot(1, 40), 1: spot(11, 40), 2: spot(21, 50), 3: spot(22, 50), 4: spot(12, 60), 5: spot(41, 40), 6: spot(13, 60), 7: spot(61, 40)}
+    vertices, edges = _graph(g, [(k, s, reads.get(k, F.lit(50))) for k, s in seqs.items()], [(0, 1, 30), (1, 2, 30), (1, 3, 30), (2, 5, 30), (3, 5, 30), (0, 4, 30), (4, 5, 30), (0, 6, 30), (6, 5, 30), (5, 7, 20)])
+    kept, _ = simplify_bubbles(vertices, edges)
+    n = {k: reads[k] for k in reads}
+    ways = F.array(n[1] + n[2], n[1] + n[3], n[4], n[6])
+    clear = g.where(F.size(F.array_distinct(ways)) == 4).select("id")
+    gone = vertices.select("id").join(kept.select("id"), "id", "left_anti")
+    return gone.join(clear.select(F.col("id").alias("of")), F.floor(F.col("id") / 16) == F.col("of"), "left_semi")
+
+
+@query("open_bubble", f"SELECT id * 16 + 2 AS id FROM ({G}) g WHERE id % 3 < 2")
+def open_bubble(spark, d):
+    """A dead end beside its sibling: the same but for a base, the same but for a base left out, or another sequence, by turns."""
+    g = fixture(spark, d, "G")
+    like = F.when(F.col("id") % 3 == 0, F.concat(F.substring("s", 31, 60), F.translate(F.substring("s", 91, 1), "ACGT", "CGTA"), F.substring("s", 92, 9)))
+    like = like.when(F.col("id") % 3 == 1, F.concat(F.substring("s", 31, 40), F.substring("s", 72, 29))).otherwise(F.concat(F.substring("s", 31, 30), F.reverse(F.substring("s", 61, 40))))
+    parts = [(0, F.substring("s", 1, 60), F.lit(9)), (1, F.substring("s", 31, 98), F.lit(9)), (2, like, F.lit(1))]
+    vertices, edges = _graph(g, parts, [(0, 1, 30), (0, 2, 30)])
+    kept, _ = pop_open(vertices, edges, 98)
+    return vertices.select("id").join(kept.select("id"), "id", "left_anti")
+
+
+@query("clean", f"SELECT least(s, {RC.format('s')}) AS seq, 128::BIGINT AS len FROM ({G}) g")
+def clean_query(spark, d):
+    """Each genome in four pieces, with a tip, a bubble of one differing base and a weak edge from the tip: the schedule leaves one vertex."""
+    g = fixture(spark, d, "G")
+    changed = F.concat(F.substring("s", 31, 33), F.translate(F.substring("s", 64, 1), "ACGT", "CGTA"), F.substring("s", 65, 34))
+    tip = F.concat(F.substring("s", 60, 37), F.reverse(F.substring("s", 1, 20)))
+    parts = [(0, F.substring("s", 1, 60), F.lit(20)), (1, F.substring("s", 31, 68), F.lit(20)), (2, changed, F.lit(1)), (3, F.substring("s", 69, 60), F.lit(20)), (4, tip, F.lit(1))]
+    vertices, edges = _graph(g, parts, [(0, 1, 30), (0, 2, 30), (1, 3, 30), (2, 3, 30), (1, 4, 37)])
+    kept, _ = clean(vertices, edges, Cleaning(rounds=2, tip_len=60, min_overlap=20, tip_nsr=3, inner_nsr=2))
+    return kept.select(F.least("seq", F.reverse(F.translate("seq", "ACGT", "TGCA"))).alias("seq"), "len")

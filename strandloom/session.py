@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,9 +57,11 @@ class Scratch:
     """Named tables of a loop in the shared folder.
 
     A table that takes the name of an older one replaces it, so disk holds one of each name. Shuffle files of
-    finished jobs are let go as well: Spark removes them once the driver collects its garbage.
+    finished jobs are let go as well: Spark removes them once the driver collects its garbage, which is done every few seconds at most.
     """
 
+    EVERY, last = 3.0, 0.0
+
     def __init__(self, spark: SparkSession, title: str):
         self.spark, self.title, self.paths = spark, title, {}
 
@@ -75,8 +78,10 @@ class Scratch:
             if name in self.paths:
                 path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
                 path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        jvm.System.gc()
+        if time.monotonic() - Scratch.last > self.EVERY:
+            gc.collect()
+            jvm.System.gc()
+            Scratch.last = time.monotonic()
 
     def keep_only(self, *names: str) -> None:
         self.drop(*(set(self.paths) - set(names)))
