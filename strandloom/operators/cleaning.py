@@ -55,11 +55,10 @@ def summed_coverage(placed: DataFrame) -> DataFrame:
 
     Runs of one depth are two changes each, so an even string of any length is two rows; a running sum gives the depth between changes.
     """
-    each = depths(F.col("cov"))
-    heads = F.filter(F.transform(each, lambda d, i: F.struct(i.alias("at"), d.alias("d"), F.when(i == 0, d).otherwise(d - F.get(each, i - 1)).alias("step"))), lambda x: x["step"] != 0)
-    last = F.array(F.struct(F.size(each).alias("at"), F.lit(0).alias("d"), (-F.element_at(each, -1)).alias("step")))
-    steps = placed.where(F.length("cov") > 0).select("new_id", "start", F.explode(F.concat(heads, last)).alias("x"))
-    events = steps.groupBy("new_id", (F.col("start") + F.col("x.at")).alias("at")).agg(F.sum("x.step").alias("step"))
+    each, none = depths(F.col("cov")), F.array(F.lit(0))
+    changes = F.zip_with(F.concat(each, none), F.concat(none, each), lambda now, before: now - before)
+    steps = placed.where(F.length("cov") > 0).select("new_id", "start", F.posexplode(changes).alias("at", "step")).where("step <> 0")
+    events = steps.groupBy("new_id", (F.col("start") + F.col("at")).alias("at")).agg(F.sum("step").alias("step"))
     order = Window.partitionBy("new_id").orderBy("at")
     runs = events.select("new_id", "at", F.sum("step").over(order).alias("depth"), (F.lead("at").over(order) - F.col("at")).alias("n")).where("n IS NOT NULL")
     shown = F.expr(f"repeat(char(33 + least(depth, {MOST_DEEP})), cast(n AS int))")
@@ -72,6 +71,8 @@ def merge_graph(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
     vertices = with_coverage(vertices)
     one = F.lit(1).cast("long")
     steps = cut_lineage(unambiguous(edges.where("floor(a / 2) <> floor(b / 2)")).select("a", "b", F.col("ovlp").alias("step")))
+    if steps.isEmpty():
+        return vertices.select("id", "len", "nsr", "seq", "cov"), cut_lineage(Gr.dedupe_edges(edges))
     placed = chain_positions(steps).select("node", "chain", "position")
     every = vertices.select(F.explode(F.array(F.col("id") * 2, F.col("id") * 2 + 1)).alias("node"))
     alone = every.join(placed, "node", "left_anti").select("node", F.col("node").alias("chain"), F.lit(0).cast("long").alias("position"))
@@ -104,7 +105,8 @@ def merge_graph(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
 
 
 def remove_tips(vertices: DataFrame, edges: DataFrame, max_len: int, max_nsr: int) -> tuple[DataFrame, DataFrame]:
-    return tuple(map(cut_lineage, Gr.drop_vertices(vertices, edges, Gr.tips(vertices, edges, max_len, max_nsr))))
+    gone = cut_lineage(Gr.tips(vertices, edges, max_len, max_nsr).select("id"))
+    return (vertices, edges) if gone.isEmpty() else tuple(map(cut_lineage, Gr.drop_vertices(vertices, edges, gone)))
 
 
 def pop_bubbles(vertices: DataFrame, edges: DataFrame, rules: Cleaning = Cleaning()) -> tuple[DataFrame, DataFrame]:
@@ -115,7 +117,9 @@ def pop_bubbles(vertices: DataFrame, edges: DataFrame, rules: Cleaning = Cleanin
     these meet or cross, it is what both cover.
     """
     vertices = with_coverage(vertices)
-    arms = Gr.bubbles(vertices, edges)
+    arms = cut_lineage(Gr.bubbles(vertices, edges))
+    if arms.isEmpty():
+        return vertices, edges
     shown = vertices.select("id", "len", "seq", "cov")
     into, past = edges.select(F.col("a").alias("source"), F.col("b").alias("arm"), F.col("ovlp").alias("o_in")), edges.select(F.col("a").alias("arm"), F.col("b").alias("sink"), F.col("ovlp").alias("o_out"))
 
@@ -154,7 +158,9 @@ def pop_open(vertices: DataFrame, edges: DataFrame, max_len: int) -> tuple[DataF
     alone = edges.groupBy(F.shiftright("a", 1).alias("id")).agg(F.count("*").alias("n")).where("n = 1").select("id").join(vertices.where(F.col("len") < max_len).select("id"), "id", "left_semi")
     # Seen from the neighbour: hub -> arm, the dead end, and hub -> sibling.
     arms = edges.select(F.col("a").alias("hub"), F.col("b").alias("arm"), F.col("ovlp").alias("o_arm"), F.shiftright("b", 1).alias("id")).join(alone, "id", "left_semi").where(F.shiftright("hub", 1) != F.col("id"))
-    pairs = arms.join(edges.select(F.col("a").alias("hub"), F.col("b").alias("sibling"), F.col("ovlp").alias("o_sibling")), "hub").where("sibling <> arm")
+    pairs = cut_lineage(arms.join(edges.select(F.col("a").alias("hub"), F.col("b").alias("sibling"), F.col("ovlp").alias("o_sibling")), "hub").where("sibling <> arm"))
+    if pairs.isEmpty():
+        return vertices, edges
     shown = vertices.select("id", "seq")
     rows = pairs.join(shown, "id").withColumn("query", turned(F.col("arm"), F.col("seq"))).withColumn("query", F.expr("substring(query, o_arm + 1)")).drop("seq")
     rows = rows.withColumn("l", F.length("query")).where("l > 0").join(shown.withColumnRenamed("id", "sibling_id"), F.shiftright("sibling", 1) == F.col("sibling_id"))
@@ -220,11 +226,13 @@ def simplify_bubbles(vertices: DataFrame, edges: DataFrame, max_vertices: int =
     than max_vertices or a way longer than max_dist is none. All starts take a step at once: a join fetches the arcs of the vertices that are ready, and
     each start's state, of max_vertices vertices at most, moves on. A bubble is found from both its ends; the smaller one decides.
     """
+    starts = cut_lineage(edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select(F.col("a").alias("start")))
+    if starts.isEmpty():
+        return vertices, edges
     scratch = Scratch(vertices.sparkSession, "bubbles")
     size = vertices.select(F.col("id").alias("of"), "len", "nsr")
     arcs = edges.join(edges.groupBy("b").agg(F.count("*").alias("n_in")), "b").join(size, F.shiftright("a", 1) == F.col("of"))
     arcs = scratch.put("arcs", arcs.select("a", "b", F.col("ovlp").cast("long").alias("ovlp"), F.col("len").cast("long").alias("len"), F.col("nsr").cast("long").alias("nsr"), F.col("n_in").cast("long").alias("n_in")))
-    starts = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select(F.col("a").alias("start"))
     now = scratch.put("states", starts.select("start", F.lit(None).cast("binary").alias("state"), F.array("start").alias("ready"), F.array().cast("array<long>").alias("gone")))
     arc = ["a", "b", "ovlp", "len", "nsr", "n_in"]
 
@@ -276,7 +284,10 @@ def clean(vertices: DataFrame, edges: DataFrame, rules: Cleaning = Cleaning()) -
         v, e = remove_tips(v, e, int(rules.tip_len * ramp), reads)
         v, e = merge_graph(v, e)
     for _ in range(rules.rounds):
-        v, e = merge_graph(*remove_tips(v, e, rules.tip_len, rules.tip_nsr))
+        without = remove_tips(v, e, rules.tip_len, rules.tip_nsr)
+        if without[0] is v:  # nothing to remove, and what could be merged was
+            break
+        v, e = merge_graph(*without)
     if rules.aggressive:
         v, e = merge_graph(*pop_open(v, e, rules.tip_len))
     if rules.simplify:
