@@ -107,3 +107,15 @@ def cigar_counts(cigar: Column) -> Column:
 def auto_k(size: Column, shift: float, low: int, high: int) -> Column:
     """A k-mer length for an input of a given size: int(log4(size) + shift), bounded."""
     return F.greatest(F.lit(low), F.least(F.lit(high), F.floor(F.log(size.cast("double")) / F.log(F.lit(4.0)) + shift).cast("int")))
+
+
+def replace_ambiguous(seq: Column, key: Column) -> Column:
+    """seq with each N as a base that depends on the key and its place alone, so every run gives the same; the reference draws at random."""
+    place = lambda i: F.substring(F.md5(F.concat(key.cast("string"), F.lit(":"), (i + 1).cast("string"))), 1, 1)
+    letters = F.filter(F.split(seq, ""), lambda c: c != "")
+    return F.array_join(F.transform(letters, lambda c, i: F.when(c == "N", F.translate(place(i), "0123456789abcdef", "ACGT" * 4)).otherwise(c)), "")
+
+
+def corrected_name(read_id: Column, quality_sum: Column, difference: Column, separator: str = "_") -> Column:
+    """The name of a corrected read: its id, the quality sum of its changes and its score difference."""
+    return F.concat_ws(separator, read_id.cast("string"), quality_sum.cast("string"), difference.cast("string"))

@@ -57,19 +57,31 @@ def truncated_mean_column(avg: pd.Series, std: pd.Series, limit: pd.Series) -> p
 
 
 def link_p_values(distances: DataFrame, avg: float, std: float, reach: int, most_df: int = 50) -> DataFrame:
-    """(end_a, end_b, n, p) of link distances (end_a, end_b, dist): how well they agree with the insert size, by a t-test; two pairs at least."""
-    rows = distances.groupBy("end_a", "end_b").agg(F.count("*").alias("n"), F.avg("dist").alias("mean"), F.var_pop("dist").alias("var")).where("n >= 2")
-    expected = truncated_mean_column(F.lit(float(avg)), F.lit(float(std)), F.lit(float(2 * reach)))
-    t = (F.col("mean") - expected) / F.sqrt(F.greatest("var", F.lit(1e-9)) / (F.col("n") - 1))
+    """(end_a, end_b, n, p) of link distances (end_a, end_b, dist): how well they agree with the insert size, by a t-test; two pairs at least.
+
+    With a column patch, the length of what lies between the two ends (less than 0 where they overlap), distances and the limit that inserts must span grow by it.
+    """
+    rows = distances if "patch" in distances.columns else distances.withColumn("patch", F.lit(0))
+    rows = rows.groupBy("end_a", "end_b").agg(F.count("*").alias("n"), F.avg("dist").alias("mean"), F.var_pop("dist").alias("var"), F.max("patch").alias("patch")).where("n >= 2")
+    expected = truncated_mean_column(F.lit(float(avg)), F.lit(float(std)), F.lit(float(2 * reach)) + F.col("patch"))
+    t = (F.col("mean") + F.col("patch") - expected) / F.sqrt(F.greatest("var", F.lit(1e-9)) / (F.col("n") - 1))
     return rows.select("end_a", "end_b", "n", student_p_column(t, F.least(F.col("n") - 1, F.lit(most_df)).cast("double")).alias("p"))
 
 
-def scaftigs(contigs: DataFrame, links: DataFrame, insert: int) -> DataFrame:
-    """(seq, n_unitigs): contigs (contig, seq) joined along links (end_a, end_b, avg_dist) between their ends.
+def scaftigs(contigs: DataFrame, links: DataFrame, insert: int, min_a: float = 20.0, min_p: float = 1e-20) -> DataFrame:
+    """(seq, n_unitigs, nsr): contigs (contig, seq) joined along links (end_a, end_b, avg_dist) between their ends.
 
     An end is 2 * contig for the left and 2 * contig + 1 for the right. A gap of insert - avg_dist bases is filled
-    with N (one at least); of both directions of a path the one from its smaller end is kept.
+    with N (one at least); of both directions of a path the one from its smaller end is kept. Where links have a P-value p or contigs an A-statistic a, links
+    below min_p and contigs below min_a join nothing; nsr, the contigs' reads, adds up, or is null where contigs have none.
     """
+    if "p" in links.columns:
+        links = links.where(F.col("p") >= min_p)
+    if "a" in contigs.columns:
+        sure = contigs.where(F.col("a") >= min_a).select("contig")
+        for end in ("end_a", "end_b"):
+            links = links.join(sure.withColumnRenamed("contig", "sure"), F.floor(F.col(end) / 2) == F.col("sure"), "left_semi")
+    contigs = contigs.select("contig", "seq", (F.col("nsr") if "nsr" in contigs.columns else F.lit(None)).cast("long").alias("nsr"))
     both = links.select("end_a", "end_b", "avg_dist").unionAll(links.select(F.col("end_b").alias("end_a"), F.col("end_a").alias("end_b"), "avg_dist"))
     one = F.lit(1).cast("long")
     # Leaving by an end is walking the contig so that it comes last; entering by an end, so that it comes first.
@@ -80,8 +92,8 @@ def scaftigs(contigs: DataFrame, links: DataFrame, insert: int) -> DataFrame:
     rows = placed.join(gaps, "node", "left").join(contigs, F.floor(F.col("node") / 2) == F.col("contig"))
     turned = F.when(F.col("node") % 2 == 0, F.col("seq")).otherwise(F.reverse(F.translate("seq", "ACGT", "TGCA")))
     part = F.concat(F.when(F.col("position") == 0, "").otherwise(F.repeat(F.lit("N"), F.coalesce(F.col("gap").cast("int"), F.lit(1)))), turned)
-    whole = rows.select("chain", "position", "node", part.alias("part")).groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("position", "part"))).alias("parts"), F.max_by("node", "position").alias("last"), F.count("*").alias("n_unitigs"))
+    whole = rows.select("chain", "position", "node", "nsr", part.alias("part")).groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("position", "part"))).alias("parts"), F.max_by("node", "position").alias("last"), F.count("*").alias("n_unitigs"), F.sum("nsr").alias("nsr"))
     kept = whole.where(F.col("chain") < F.col("last").bitwiseXOR(one))
-    joined = kept.select(F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("seq"), "n_unitigs")
+    joined = kept.select(F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("seq"), "n_unitigs", "nsr")
     used = placed.select(F.floor(F.col("node") / 2).alias("contig")).distinct()
-    return joined.unionAll(contigs.join(used, "contig", "left_anti").select("seq", F.lit(1).cast("long").alias("n_unitigs")))
+    return joined.unionAll(contigs.join(used, "contig", "left_anti").select("seq", F.lit(1).cast("long").alias("n_unitigs"), "nsr"))

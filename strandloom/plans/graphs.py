@@ -184,6 +184,12 @@ def a_statistic(spark, d):
     return Gr.a_statistic(fixture(spark, d, "VERTICES")).select("id", F.round("a", 6).alias("a"))
 
 
+@query("unique_unitigs", f"WITH {_rdist_sql()} SELECT id FROM v, r2 WHERE own / rdist - nsr * 0.6931471805599453 >= 0")
+def unique_unitigs(spark, d):
+    """Vertices whose A-statistic is 0 at least: the usual 20 asks for deeper vertices than these."""
+    return Gr.likely_unique(fixture(spark, d, "VERTICES"), 0.0).select("id")
+
+
 def _line(spark, d):
     """A path of oriented vertices for each genome: six vertices of 60 bases with overlaps of 48."""
     both, edges = _overlaps(spark, d)

@@ -95,7 +95,51 @@ def reciprocal_best(spark, d):
 
 @query("scaftigs", f"SELECT concat(substr(s, 1, 58), 'NN', substr(s, 61, 68)) AS seq, 2::BIGINT AS n_unitigs FROM ({G}) g")
 def scaftigs(spark, d):
-    return S.scaftigs(_halves(spark, d), C.reciprocal_best(_links(spark, d)), 100)
+    return S.scaftigs(_halves(spark, d), C.reciprocal_best(_links(spark, d)), 100).select("seq", "n_unitigs")
+
+
+SURE = f"SELECT id * 2 + h AS contig, CASE WHEN (id + h) % 5 = 0 THEN 19.5 ELSE 25.0 END AS a, 3 + id % 4 + h AS nsr, id FROM ({G}) g, (SELECT unnest([0, 1]) AS h) u"
+
+
+@query(
+    "scaftigs_sure",
+    f"WITH c AS ({SURE}), joined AS (SELECT id FROM c GROUP BY id HAVING min(a) >= 20 AND id % 7 <> 3) SELECT concat(substr(s, 1, 58), 'NN', substr(s, 61, 68)) AS seq, 2::BIGINT AS n_unitigs, (SELECT CAST(sum(nsr) AS BIGINT) FROM c WHERE c.id = g.id) AS nsr FROM ({G}) g WHERE id IN (SELECT id FROM joined) "
+    f"UNION ALL SELECT CASE WHEN contig % 2 = 0 THEN substr(s, 1, 58) ELSE substr(s, 61, 68) END, 1::BIGINT, CAST(nsr AS BIGINT) FROM c JOIN ({G}) g USING (id) WHERE id NOT IN (SELECT id FROM joined)",
+)
+def scaftigs_sure(spark, d):
+    """Joined only where both contigs are surely there once and the link agrees with the insert size."""
+    halves = _halves(spark, d)
+    i, h = F.floor(F.col("contig") / 2), F.col("contig") % 2
+    contigs = halves.withColumn("a", F.when((i + h) % 5 == 0, 19.5).otherwise(25.0)).withColumn("nsr", 3 + i % 4 + h)
+    links = C.reciprocal_best(_links(spark, d)).withColumn("p", F.when(F.floor(F.col("end_a") / 4) % 7 == 3, 1e-21).otherwise(0.5))
+    return S.scaftigs(contigs, links, 100)
+
+
+@query("supporting_reads", f"SELECT id AS contig, 2 * count(*) AS n_supp FROM ({HP}) p GROUP BY 1")
+def supporting_reads(spark, d):
+    return C.supporting_reads(_hits(spark, d))
+
+
+#: The mean of a normal insert size (500, 50), each size weighted by how much it exceeds a limit, by Simpson's rule up to ten deviations.
+MEANS = """SELECT lim, sum(w * x * (x - lim) * exp(-power((x - 500) / 50, 2) / 2)) / sum(w * (x - lim) * exp(-power((x - 500) / 50, 2) / 2)) AS mean FROM (
+  SELECT lim, lim + i * (1000 - lim) / 4000 AS x, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM (SELECT DISTINCT CAST(lim AS DOUBLE) AS lim FROM limits) l, (SELECT unnest(generate_series(0, 4000)) AS i) k) z GROUP BY lim"""
+LINKS_SQL = "SELECT l_orderkey AS end_a, l_linenumber % 2 AS end_b, CAST(l_quantity * 8 AS BIGINT) AS dist, CAST(l_orderkey % 5 AS BIGINT) * 6 - 12 AS patch FROM {lineitem}"
+
+
+@query(
+    "link_p_values",
+    f"WITH d AS ({LINKS_SQL.format(lineitem='lineitem')}), limits AS (SELECT DISTINCT 300 + patch AS lim FROM d), m AS ({MEANS}), g AS (SELECT end_a, end_b, count(*) AS n, avg(dist) AS mean, var_pop(dist) AS var, max(patch) AS patch FROM d GROUP BY 1, 2 HAVING count(*) >= 2), "
+    "t AS (SELECT end_a, end_b, n, abs(g.mean + patch - m.mean) / sqrt(greatest(var, 1e-9) / (n - 1)) AS t FROM g JOIN m ON m.lim = 300 + patch), "
+    "u AS (SELECT *, n - 1 AS df, t / sqrt(n - 1 + t * t) AS s, sqrt((n - 1) / (n - 1 + t * t)) AS c, atan(t / sqrt(n - 1)) AS h FROM t) "
+    "SELECT end_a, end_b, n, round(1 - CASE df WHEN 1 THEN 2 / pi() * h WHEN 2 THEN s WHEN 3 THEN 2 / pi() * (h + s * c) WHEN 4 THEN s * (1 + c * c / 2) WHEN 5 THEN 2 / pi() * (h + s * (c + 2 * c ** 3 / 3)) "
+    "WHEN 6 THEN s * (1 + c * c / 2 + 3 * c ** 4 / 8) WHEN 7 THEN 2 / pi() * (h + s * (c + 2 * c ** 3 / 3 + 8 * c ** 5 / 15)) WHEN 8 THEN s * (1 + c * c / 2 + 3 * c ** 4 / 8 + 5 * c ** 6 / 16) END, 6) AS p FROM u",
+)
+def link_p_values(spark, d):
+    """Links of a few pairs, for which Student's distribution has a closed form."""
+    from strandloom.session import table
+
+    rows = spark.sql(LINKS_SQL, lineitem=table(spark, d, "lineitem"))
+    return S.link_p_values(rows, 500.0, 50.0, 150).select("end_a", "end_b", "n", F.round("p", 6).alias("p"))
 
 
 @query("n50", f"SELECT n, total, n50 FROM (SELECT count(*) AS n, CAST(sum(len) AS BIGINT) AS total FROM ({VERTICES}) v) a, (SELECT max(len) AS n50 FROM (SELECT len, sum(len) OVER (ORDER BY len DESC) AS upto, sum(len) OVER () AS t FROM ({VERTICES}) v) w WHERE upto * 2 >= t) b")
@@ -111,7 +155,7 @@ def beta_pvalue(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("x"), F.round(S.student_p_column(F.col("p_size") / 10.0, F.lit(1.0)), 6).alias("p"))
 
 
-@query("mean_correct")
+@query("mean_correct", f"WITH v AS ({VERTICES}), limits AS (SELECT maxo * 10 AS lim FROM v), m AS ({MEANS}) SELECT id, round(mean, 6) AS mean FROM v JOIN m ON m.lim = v.maxo * 10")
 def mean_correct(spark, d):
     return fixture(spark, d, "VERTICES").select("id", F.round(S.truncated_mean_column(F.lit(500.0), F.lit(50.0), F.col("maxo").cast("double") * 10), 6).alias("mean"))
 

@@ -8,9 +8,12 @@ from strandloom.functions import sequences as S
 from strandloom.operators import kmers as K
 from strandloom.operators import suffixes as X
 from strandloom.plans.fixtures import duck, fixture
+from strandloom.session import shared_path
+from strandloom.sources import fastx
 
 QUERIES, ORACLES = {}, {}
 H, HQ, HP, E, T, TN, G = (duck(n) for n in ("H", "HQ", "HP", "E", "T", "TN", "G"))
+DUPS_EARLY = f"SELECT rid, substr(s, 1, 20 + rid % 41) AS s FROM ({H}) h0"
 RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 
 
@@ -49,6 +52,34 @@ def complement(spark, d):
     return fixture(spark, d, "H").select(F.col("rid").alias("read_id"), S.complement(F.col("s")).alias("out"))
 
 
+@query("replace_ambiguous", f"SELECT doc_id AS read_id, array_to_string(list_transform(generate_series(1, length(s)), lambda i: CASE WHEN substr(s, i, 1) = 'N' THEN translate(substr(md5(concat(CAST(doc_id AS VARCHAR), ':', CAST(i AS VARCHAR))), 1, 1), '0123456789abcdef', 'ACGTACGTACGTACGT') ELSE substr(s, i, 1) END), '') AS seq FROM ({TN}) t")
+def replace_ambiguous(spark, d):
+    return fixture(spark, d, "TN").select(F.col("doc_id").alias("read_id"), S.replace_ambiguous(F.col("s"), F.col("doc_id")).alias("seq"))
+
+
+@query("fastq_scan", f"SELECT concat('r', CAST(rid AS VARCHAR)) AS name, s AS seq, q AS qual FROM ({HQ}) h")
+def fastq_scan(spark, d):
+    """Reads written as FASTQ files to the shared folder and read back from their splits."""
+    path = shared_path(spark, "fastq")
+    fastx.write_fastx(fixture(spark, d, "HQ").select(F.concat(F.lit("r"), F.col("rid").cast("string")).alias("name"), F.col("s").alias("seq"), F.col("q").alias("qual")), path)
+    return fastx.read_fastq(spark, path).select("name", "seq", "qual")
+
+
+@query("fasta_scan", f"SELECT concat('d', CAST(doc_id AS VARCHAR)) AS name, 'whole text' AS comment, s AS seq FROM ({T}) t")
+def fasta_scan(spark, d):
+    """Documents as FASTA records of lines of 70 bases, written to the shared folder and read back from splits."""
+    path = shared_path(spark, "fasta")
+    rows = fixture(spark, d, "T").select(F.concat(F.lit(">d"), F.col("doc_id").cast("string"), F.lit(" whole text\n"), F.regexp_replace("s", "(.{70})(?=.)", "$1\n")).alias("value"))
+    rows.write.text(path)
+    return fastx.read_fasta(spark, path).select("name", "comment", "seq")
+
+
+@query("end_offset_names", f"SELECT CAST(sum(length(s) + 1) OVER (ORDER BY rid) AS VARCHAR) AS name, s AS seq FROM ({DUPS_EARLY}) h")
+def end_offset_names(spark, d):
+    rows = fixture(spark, d, "H").select("rid", F.expr("substring(s, 1, cast(20 + rid % 41 AS int))").alias("seq"))
+    return fastx.end_offset_names(rows, "rid").select("name", "seq")
+
+
 PAL = "SELECT rid, CASE WHEN rid % 3 = 0 THEN concat(s, reverse(translate(s, 'ACGT', 'TGCA'))) ELSE s END AS s FROM ({}) h"
 
 
@@ -192,6 +223,18 @@ def backward_search(spark, d):
     return X.intervals(X.both_strands(reads), reads.select(F.substring("s", 9, 12).alias("pattern")).distinct())
 
 
+@query(
+    "multi_search",
+    f"WITH suf AS (SELECT (rid // 6) % 3 AS source, s AS seq FROM ({H}) h1 UNION ALL SELECT (rid // 6) % 3, {RC.format('s')} FROM ({H}) h2), pat AS ({PAT} UNION SELECT DISTINCT substr(s, 20, 17) FROM ({H}) h3), w AS (SELECT source, substr(seq, pos, k) AS pattern FROM (SELECT source, seq, k, unnest(generate_series(1, 61 - k)) AS pos FROM suf, (SELECT unnest([12, 17]) AS k) l) x), "
+    "hits AS (SELECT source, pattern, count(*) AS n FROM w WHERE pattern IN (SELECT pattern FROM pat) GROUP BY 1, 2) SELECT s.source, pat.pattern, coalesce(n, 0) AS n FROM pat CROSS JOIN (SELECT unnest([0, 1, 2]) AS source) s LEFT JOIN hits ON hits.source = s.source AND hits.pattern = pat.pattern",
+)
+def multi_search(spark, d):
+    """Patterns of two lengths counted in each of three collections."""
+    reads = fixture(spark, d, "H").withColumn("source", (F.floor(F.col("rid") / 6) % 3).cast("int"))
+    patterns = reads.select(F.explode(F.array(F.substring("s", 9, 12), F.substring("s", 20, 17))).alias("pattern")).distinct()
+    return X.occurrences_by_source(X.both_strands(reads, "rid", "s", "source"), patterns, "source")
+
+
 DUPS = f"SELECT rid, substr(s, 1, CASE WHEN rid % 7 = 1 THEN 0 ELSE 60 END) || CASE WHEN rid % 7 = 1 THEN p ELSE '' END AS s FROM (SELECT a.rid, a.s, coalesce(b.s, a.s) AS p FROM ({H}) a LEFT JOIN ({H}) b ON b.rid = a.rid - 1) j"
 
 
@@ -203,6 +246,15 @@ def seq_rank(spark, d):
     return X.sequence_rank(X.both_strands(rows))
 
 
+@query("seq_rank_tallies", f"WITH b AS (SELECT rid * 2 AS oid, s AS seq FROM ({DUPS}) h1 UNION ALL SELECT rid * 2 + 1, {RC.format('s')} FROM ({DUPS}) h2) SELECT count(*) AS n, count(*) FILTER (oid % 9 = 4) AS n_contained, count(*) - count(DISTINCT seq) AS n_dup FROM b")
+def seq_rank_tallies(spark, d):
+    reads = fixture(spark, d, "H")
+    before = reads.select((F.col("rid") + 1).alias("rid"), F.col("s").alias("p"))
+    rows = reads.join(before, "rid", "left").select("rid", F.when(F.col("rid") % 7 == 1, F.coalesce("p", "s")).otherwise(F.col("s")).alias("s"))
+    both = X.both_strands(rows)
+    return X.rank_tallies(X.sequence_rank(both, both.where("oriented_id % 9 = 4").select("oriented_id")))
+
+
 @query("length_quantile", f"SELECT 0.25::DOUBLE AS q, CAST(len AS BIGINT) AS len FROM (SELECT length(s) AS len, row_number() OVER (ORDER BY length(s)) - 1 AS i, count(*) OVER () AS n FROM ({T}) t) x WHERE i = floor(n * 0.25)")
 def length_quantile(spark, d):
     return X.length_quantile(fixture(spark, d, "T"), 0.25)

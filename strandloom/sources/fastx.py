@@ -6,9 +6,12 @@ import gzip
 import io
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandloom.operators.ranking import running_total
+from strandloom.session import cut_lineage
+
 SCHEMA = "name string, comment string, seq string, qual string"
 
 
@@ -62,6 +65,45 @@ def read_fastx(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, f"{SCHEMA}, file string, ord long")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files, counted from 0 in each. Files are split like any text: a split counts its own lines, and starts after those of the splits before it."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
+    rows = cut_lineage(spark.read.text(path).select(place.alias("p"), "value", F.monotonically_increasing_id().alias("at")).select("p.*", "value", "at"))
+    own = rows.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
+    starts = own.select("file", "split", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return rows.join(F.broadcast(starts), ["file", "split"]).select("file", (F.col("base") + F.col("at") - F.col("first")).alias("line"), "value")
+
+
+def _head(line: Column) -> list[Column]:
+    parts = F.split(F.trim(F.substring(line, 2, 1 << 30)), r"\s+", 2)
+    return [parts[0].alias("name"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("comment")]
+
+
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """(name, comment, seq, qual, file, ord) of FASTQ with four lines a record, from splits of files of any size; a truncated last record is left out."""
+    lines = numbered_lines(spark, path)
+    rows = lines.groupBy("file", F.floor(F.col("line") / 4).alias("ord")).agg(*(F.max(F.when(F.col("line") % 4 == k, F.col("value"))).alias(f"l{k}") for k in (0, 1, 3)))
+    return rows.where("l3 IS NOT NULL AND length(l1) = length(l3)").select(*_head(F.col("l0")), F.col("l1").alias("seq"), F.col("l3").alias("qual"), "file", "ord")
+
+
+def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+    """(name, comment, seq, file, ord) of FASTA with sequences over any number of lines, from splits of files of any size; a record is a row, put together in one task."""
+    lines = numbered_lines(spark, path)
+    heads = cut_lineage(lines.where(F.col("value").startswith(">")).withColumn("ord", F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1))
+    # A line belongs to the last head before it: blocks of lines hold a bounded number of heads, and a block knows the last head before it.
+    size = 1 << 12
+    block = F.floor(F.col("line") / size)
+    marked = lines.withColumn("block", block).withColumn("head", F.col("value").startswith(">"))
+    in_block = F.max(F.when(F.col("head"), F.col("line"))).over(Window.partitionBy("file", "block").orderBy("line"))
+    last = marked.groupBy("file", "block").agg(F.max(F.when(F.col("head"), F.col("line"))).alias("last"))
+    earlier = last.select("file", "block", F.last("last", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    placed = marked.withColumn("own", in_block).join(earlier, ["file", "block"]).select("file", "line", "value", F.coalesce("own", "earlier").alias("of")).where("line <> of")
+    body = placed.groupBy("file", "of").agg(F.array_sort(F.collect_list(F.struct("line", F.regexp_replace("value", r"\s", "").alias("part")))).alias("ps"))
+    rows = heads.join(body.withColumnRenamed("of", "line"), ["file", "line"], "left")
+    return rows.select(*_head(F.col("value")), F.coalesce(F.array_join("ps.part", ""), F.lit("")).alias("seq"), "file", "ord")
+
+
 def with_quality(reads: DataFrame, default: int = 20) -> DataFrame:
     """reads with a quality everywhere."""
     return reads.withColumn("qual", F.coalesce("qual", F.repeat(F.lit(chr(33 + default)), F.length("seq"))))
@@ -72,5 +114,10 @@ def fastx_line(name: Column, seq: Column, qual: Column, comment: Column | None =
     return F.when(F.coalesce(F.length(qual), F.lit(0)) > 0, F.concat(F.lit("@"), head, F.lit("\n"), seq, F.lit("\n+\n"), qual)).otherwise(F.concat(F.lit(">"), head, F.lit("\n"), seq))
 
 
+def end_offset_names(reads: DataFrame, *order: Column | str, seq_col: str = "seq") -> DataFrame:
+    """reads with the name that a packed buffer gives them: the offset of their end, each read one symbol longer than it is."""
+    return running_total(reads, (F.length(seq_col) + 1).cast("long"), *order, name="end_offset").withColumn("name", F.col("end_offset").cast("string"))
+
+
 def write_fastx(reads: DataFrame, path: str, compression: str = "none") -> None:
     reads.select(fastx_line(F.col("name"), F.col("seq"), F.col("qual"), F.col("comment") if "comment" in reads.columns else None).alias("value")).write.option("compression", compression).text(path)

@@ -6,7 +6,6 @@ import pytest
 from strandloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"kmer_spectrum", "bwt_runs", "backward_search"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +20,7 @@ def plain(v):
     return None if v is None or v != v else round(float(v), 5) if isinstance(v, float) else int(v) if hasattr(v, "__index__") and not isinstance(v, bool) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_same_rows(spark, duck, name):
     frame = catalog.QUERIES[name](spark, SF)
     columns = sorted(frame.columns)
