@@ -132,7 +132,9 @@ LINKS_SQL = "SELECT l_orderkey AS end_a, l_linenumber % 2 AS end_b, CAST(l_quant
     "t AS (SELECT end_a, end_b, n, abs(g.mean + patch - m.mean) / sqrt(greatest(var, 1e-9) / (n - 1)) AS t FROM g JOIN m ON m.lim = 300 + patch), "
     "u AS (SELECT *, n - 1 AS df, t / sqrt(n - 1 + t * t) AS s, sqrt((n - 1) / (n - 1 + t * t)) AS c, atan(t / sqrt(n - 1)) AS h FROM t) "
     "SELECT end_a, end_b, n, round(1 - CASE df WHEN 1 THEN 2 / pi() * h WHEN 2 THEN s WHEN 3 THEN 2 / pi() * (h + s * c) WHEN 4 THEN s * (1 + c * c / 2) WHEN 5 THEN 2 / pi() * (h + s * (c + 2 * c ** 3 / 3)) "
-    "WHEN 6 THEN s * (1 + c * c / 2 + 3 * c ** 4 / 8) WHEN 7 THEN 2 / pi() * (h + s * (c + 2 * c ** 3 / 3 + 8 * c ** 5 / 15)) WHEN 8 THEN s * (1 + c * c / 2 + 3 * c ** 4 / 8 + 5 * c ** 6 / 16) END, 6) AS p FROM u",
+    "WHEN 6 THEN s * (1 + c * c / 2 + 3 * c ** 4 / 8) WHEN 7 THEN 2 / pi() * (h + s * (c + 2 * c ** 3 / 3 + 8 * c ** 5 / 15)) WHEN 8 THEN s * (1 + c * c / 2 + 3 * c ** 4 / 8 + 5 * c ** 6 / 16) "
+    "WHEN 9 THEN 2 / pi() * (h + s * (c + 2 * c ** 3 / 3 + 8 * c ** 5 / 15 + 16 * c ** 7 / 35)) WHEN 10 THEN s * (1 + c * c / 2 + 3 * c ** 4 / 8 + 5 * c ** 6 / 16 + 35 * c ** 8 / 128) "
+    "WHEN 11 THEN 2 / pi() * (h + s * (c + 2 * c ** 3 / 3 + 8 * c ** 5 / 15 + 16 * c ** 7 / 35 + 128 * c ** 9 / 315)) WHEN 12 THEN s * (1 + c * c / 2 + 3 * c ** 4 / 8 + 5 * c ** 6 / 16 + 35 * c ** 8 / 128 + 63 * c ** 10 / 256) END, 6) AS p FROM u",
 )
 def link_p_values(spark, d):
     """Links of a few pairs, for which Student's distribution has a closed form."""
