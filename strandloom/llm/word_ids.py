@@ -51,7 +51,7 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def chunks(texts: pa.Array, limit: int = 1 << 20):
+def chunks(texts: pa.Array, limit: int = 2 << 20):
     """(first row, slice) of at most `limit` bytes each, a longer text alone."""
     ends = np.cumsum(np.diff(utf8(texts)[1])) if len(texts) else np.zeros(0, np.int64)
     row = 0
@@ -120,7 +120,7 @@ class Gather:
     than that and one chunk's words.
     """
 
-    def __init__(self, encode_words, limit: int = 150_000, limit_bytes: int = 8 << 20):
+    def __init__(self, encode_words, limit: int = 350_000, limit_bytes: int = 16 << 20):
         self.encode_words, self.limit, self.limit_bytes = encode_words, limit, limit_bytes
         self.clear()
 
