@@ -120,6 +120,9 @@ class Model:
         built.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         return built
 
+#: Of so many texts of a chunk, one is compared with the library whole.
+WHOLE_EVERY = 64
+
 
 class PieceEncoder:
     """Ids of whole texts, texts of ids, and whether words agreed with the sentencepiece library."""
@@ -179,6 +182,10 @@ class PieceEncoder:
         keep = np.ones(len(ids), bool)
         keep[head] = False
         ids = ids[keep]
+        ends = np.cumsum(n)
+        for i in range(0, len(texts), WHOLE_EVERY):  # a share of the texts is compared whole, beside all distinct words
+            if not marked[i]:
+                same[i] = same[i] and ids[ends[i] - n[i] : ends[i]].tolist() == self.library.encode(texts[i].as_py())
         if marked.any():  # a marker in the text itself: such texts are encoded whole
             ends, pieces = np.cumsum(n), []
             for i in range(len(texts)):
