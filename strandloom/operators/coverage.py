@@ -117,6 +117,29 @@ def reciprocal_best(best: DataFrame, min_n: int = 5) -> DataFrame:
     return rows.select("end_a", "end_b", "n", "avg_dist")
 
 
+def resolve_contained(best: DataFrame, contigs: DataFrame, avg: float, std: float) -> DataFrame:
+    """best_links without those that a contig between their ends explains.
+
+    A contig (contig, len) with one partner on each end lies between these two ends where they also have each other as first or second partner, each has
+    a second one, and the gap between them, avg less their mean distance, is that over the contig within std. Their link goes and the other one of each is its best.
+    """
+    only = best.withColumn("n_partners", F.count("*").over(Window.partitionBy("end_a"))).where("n_partners = 1")
+    left, right = (only.where(F.col("end_a") % 2 == s).select(F.floor(F.col("end_a") / 2).alias("contig"), F.col("end_b").alias(f"e{s}"), F.col("avg_dist").alias(f"d{s}")) for s in (0, 1))
+    between = left.join(right, "contig").join(contigs.select("contig", "len"), "contig")
+    links = best.select(F.col("end_a").alias("e0"), F.col("end_b").alias("e1"), F.col("avg_dist").alias("over"))
+    found = between.join(links, ["e0", "e1"]).join(links.select(F.col("e0").alias("e1"), F.col("e1").alias("e0")), ["e0", "e1"], "left_semi")
+    two = best.where("rank = 2").select(F.col("end_a").alias("end"))
+    for end in ("e0", "e1"):
+        found = found.join(two.withColumnRenamed("end", end), end, "left_semi")
+    whole = lambda x: x.cast("long")
+    long_, short = whole(avg - F.col("over") + 0.499), whole(2 * avg - F.col("d0") - F.col("d1") + F.col("len") + 0.499)
+    gone = found.where(F.abs(long_ - short) < std).select("e0", "e1")
+    gone = gone.unionAll(gone.select(F.col("e1").alias("e0"), F.col("e0").alias("e1"))).distinct().select(F.col("e0").alias("end_a"), F.col("e1").alias("end_b"))
+    kept = best.join(gone, ["end_a", "end_b"], "left_anti")
+    freed = gone.select("end_a", F.lit(True).alias("freed")).distinct()
+    return kept.join(freed, "end_a", "left").select("end_a", "end_b", "n", "avg_dist", F.when(F.col("freed"), 1).otherwise(F.col("rank")).alias("rank"))
+
+
 def length_stats(lengths: DataFrame, column: str = "len") -> DataFrame:
     """(n, total, n50). Running sums go over one row for each length."""
     groups = lengths.groupBy(F.col(column).alias("len")).agg(F.count("*").alias("k"))

@@ -181,3 +181,60 @@ def sam_identity(spark, d):
     fields = ["concat('q', k)", "'0'", "'chr1'", "'100'", "'60'", CIGAR, "'*'", "'0'", "'0'", "'*'", "'*'", "concat('NM:i:', 1 + i + 1 + dl + 3)"]
     lines = rows.select(F.concat_ws("\t", *(F.expr(f) for f in fields)).alias("value"))
     return X.identities(X.parse_sam(lines)).select("qname", F.round("with_gaps", 6).alias("with_gaps"), F.round("without_gaps", 6).alias("without_gaps"))
+
+
+#: Two mapped parts of each order as a contig: (k, part, chromosome, place, strand, mapping quality, clip, length).
+PARTS = """SELECT o_orderkey AS k, e AS part, (o_orderkey + e * (o_orderkey % 3)) % 2 AS chr, 1000 + o_custkey * 10 + e * (200 + (o_orderkey * 7) % 900) AS pos, CASE WHEN o_orderkey % 11 = e THEN 16 ELSE 0 END AS flag,
+  5 + (o_orderkey * (3 + e)) % 40 AS mapq, e * (60 + (o_orderkey * 5) % 500) AS clip, 90 + (o_orderkey * (2 + e)) % 600 AS len FROM (SELECT o_orderkey, o_custkey, [U]([SEQ](0, 1)) AS e FROM {o}) x"""
+BREAK_SQL = """WITH p AS ({parts}), c AS (SELECT *, CASE WHEN flag = 16 THEN 7 ELSE clip END AS beg FROM p WHERE clip + 7 + len >= 150), n AS (SELECT k, count(*) AS n FROM c GROUP BY 1),
+  a AS (SELECT k, max(CASE WHEN part = 0 THEN c END) AS x, max(CASE WHEN part = 1 THEN c END) AS y FROM (SELECT k, part, c FROM c) z GROUP BY 1),
+  d AS (SELECT a.k, n.n, x, y, n.n = 2 AND least(x.beg + x.len, y.beg + y.len) - greatest(x.beg, y.beg) > y.len * 0.5 AS lost FROM a JOIN n USING (k)),
+  kept AS (SELECT k, n, unnest(CASE WHEN n = 1 THEN [coalesce(x, y)] WHEN lost THEN [x] ELSE [x, y] END) AS r, lost FROM d),
+  b AS (SELECT k, n, bool_or(lost) AS lost, count(*) AS c0, count(*) FILTER (r.mapq >= 10) AS c1, count(*) FILTER (r.mapq >= 10 AND r.len >= 100) AS c2, count(*) FILTER (r.mapq >= 10 AND r.len >= 200) AS c3, count(*) FILTER (r.mapq >= 10 AND r.len >= 500) AS c4, sum(r.len) AS mapped FROM kept GROUP BY 1, 2),
+  o AS (SELECT k, CASE WHEN swap THEN y ELSE x END AS f, CASE WHEN swap THEN x ELSE y END AS g FROM (SELECT *, y.chr < x.chr OR (y.chr = x.chr AND y.pos < x.pos) AS swap FROM d WHERE n = 2 AND NOT lost) s),
+  j AS (SELECT k, f.chr = g.chr AND f.flag = g.flag AND abs(g.pos - f.pos - f.len) < 500 AND abs(g.clip - f.clip - f.len) < 500 AS joined, g.clip + g.len - f.clip AS len, g.mapq AS mapq FROM o)
+SELECT concat('q', CAST(k AS VARCHAR)) AS qname, c0 AS kept, CAST(lost AS BIGINT) AS dropped, CAST(mapped AS BIGINT) AS mapped, {b}, {g} FROM b LEFT JOIN j USING (k)"""
+_B = ", ".join(f"CASE WHEN n = 2 THEN greatest(c{i} - 1, 0) ELSE 0 END AS b{i}" for i in range(5))
+_G = ", ".join(f"CASE WHEN coalesce(joined, false) OR c0 < 2 THEN 0 ELSE greatest(c{i} - 1, 0) END AS g{i}" for i in range(5))
+
+
+@query("contig_breaks", BREAK_SQL.format(parts=PARTS.format(o="orders").replace("[U]", "unnest").replace("[SEQ]", "generate_series"), b=_B, g=_G))
+def contig_breaks(spark, d):
+    from strandloom.session import table
+
+    rows = spark.sql(PARTS.replace("[U]", "explode").replace("[SEQ]", "sequence"), o=table(spark, d, "orders"))
+    cigar = F.concat(F.when(F.col("clip") > 0, F.concat(F.col("clip").cast("string"), F.lit("S"))).otherwise(""), F.col("len").cast("string"), F.lit("M7S"))
+    line = F.concat_ws("\t", F.concat(F.lit("q"), "k"), F.col("flag").cast("string"), F.concat(F.lit("chr"), "chr"), F.col("pos").cast("string"), F.col("mapq").cast("string"), cigar, F.lit("*\t0\t0\t*\t*"))
+    return X.contig_breaks(rows.select((F.col("k") * 2 + F.col("part")).alias("ord"), line.alias("value")))
+
+
+@query("remap_roundtrip", f"SELECT concat(CAST(4 * id + 2 * h AS VARCHAR), ':', CAST(4 * id + 2 * h + 1 AS VARCHAR)) AS name, 2 * pid + h AS read_id, greatest(4 * w - 4, 0) AS beg, 4 * w + 36 AS stop FROM ({HP}) p, (SELECT unnest([0, 1]) AS h) u")
+def remap_roundtrip(spark, d):
+    """Hits on half genomes written as remapped FASTQ to the shared folder and read back: places of reads whose mates lie elsewhere, once the ends that one read covers are cut off."""
+    from strandloom.session import shared_path
+    from strandloom.sources.fastx import read_fastq
+
+    halves, path = _halves(spark, d), shared_path(spark, "remapped")
+    hits = C.full_length_hits(halves, _reads(spark, d), 31)
+    contigs = halves.select("contig", F.concat((F.col("contig") * 2).cast("string"), F.lit(":"), (F.col("contig") * 2 + 1).cast("string")).alias("name"), "seq", F.lit(".\t.").alias("rest"))
+    X.remapped_text(contigs, hits, C.mate_pairs(hits, 1000)).write.text(path)
+    return X.parse_remapped(read_fastq(spark, path))[1].withColumnRenamed("end", "stop")
+
+
+#: Three contigs of each genome, A - P - B, with links A-P, P-B and A-B whose distances may or may not agree: (end, partner, pairs, mean distance, rank).
+TRIPLES = """SELECT id, 6 * id + 1 AS a, 6 * id + 2 AS p0, 6 * id + 3 AS p1, 6 * id + 4 AS b, 60 + id % 40 AS len, 200 + (id * 7) % 150 AS d1, 220 + (id * 11) % 130 AS d2, 100 + (id * 13) % 300 AS d3, CASE WHEN id % 2 = 0 THEN 1 ELSE 2 END AS r FROM {g}"""
+LINK_ROWS = " UNION ALL ".join(
+    f"SELECT {x} AS end_a, {y} AS end_b, CAST({n} AS BIGINT) AS n, CAST({dist} AS BIGINT) AS avg_dist, {rank} AS rank FROM t"
+    for x, y, n, dist, rank in (("p0", "a", 9, "d1", "1"), ("p1", "b", 9, "d2", "1"), ("a", "p0", 9, "d1", "3 - r"), ("b", "p1", 9, "d2", "3 - r"), ("a", "b", "12 - 5 * (r - 1)", "d3", "r"), ("b", "a", "12 - 5 * (r - 1)", "d3", "r"))
+)
+
+
+@query(
+    "resolve_contained",
+    f"WITH t AS ({TRIPLES.format(g=f'({G}) g')}), links AS ({LINK_ROWS}), hit AS (SELECT * FROM t WHERE abs(CAST(trunc(500 - d3 + 0.499) AS BIGINT) - CAST(trunc(1000 - d1 - d2 + len + 0.499) AS BIGINT)) < 50) "
+    "SELECT end_a, end_b, links.n, avg_dist, CASE WHEN end_a IN (SELECT a FROM hit UNION ALL SELECT b FROM hit) THEN 1 ELSE rank END AS rank FROM links WHERE NOT ((end_a, end_b) IN (SELECT (a, b) FROM hit) OR (end_b, end_a) IN (SELECT (a, b) FROM hit))",
+)
+def resolve_contained(spark, d):
+    g = spark.sql(TRIPLES, g=fixture(spark, d, "G"))
+    links = spark.sql(LINK_ROWS.replace("FROM t", "FROM {t}"), t=g)
+    return C.resolve_contained(links, g.select(F.floor(F.col("p0") / 2).alias("contig"), "len"), 500.0, 50.0)

@@ -52,11 +52,11 @@ def read_asqg(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return vertices, edges.where(whole).select("a", "b", "ovlp", (F.col("beg_a") > 0).cast("int").alias("end_a"), (F.col("beg_b") > 0).cast("int").alias("end_b"))
 
 
-def parse_sam(lines: DataFrame) -> DataFrame:
-    """(qname, flag, rname, pos, mapq, cigar, seq_len, nm, m, i, d, n, clip_left, clip_right) of SAM lines (value) of mapped reads."""
+def parse_sam(lines: DataFrame, *others: str) -> DataFrame:
+    """(others, qname, flag, rname, pos, mapq, cigar, seq_len, nm, m, i, d, n, clip_left, clip_right) of SAM lines (value) of mapped reads."""
     f = F.split("value", "\t")
-    rows = lines.where(~F.col("value").startswith("@")).select(f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("rname"), f[3].cast("long").alias("pos"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"), F.regexp_extract("value", r"\tNM:i:(\d+)", 1).cast("long").alias("nm"))
-    return rows.where((F.col("flag").bitwiseAND(F.lit(4)) == 0) & (F.col("cigar") != "*")).select("*", cigar_counts(F.col("cigar")).alias("c")).select("qname", "flag", "rname", "pos", "mapq", "cigar", "nm", "c.*").withColumn("query_len", F.col("m") + F.col("i"))
+    rows = lines.where(~F.col("value").startswith("@")).select(*others, f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("rname"), f[3].cast("long").alias("pos"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"), F.regexp_extract("value", r"\tNM:i:(\d+)", 1).cast("long").alias("nm"))
+    return rows.where((F.col("flag").bitwiseAND(F.lit(4)) == 0) & (F.col("cigar") != "*")).select("*", cigar_counts(F.col("cigar")).alias("c")).select(*others, "qname", "flag", "rname", "pos", "mapq", "cigar", "nm", "c.*").withColumn("query_len", F.col("m") + F.col("i"))
 
 
 def identities(sam: DataFrame) -> DataFrame:
@@ -65,13 +65,92 @@ def identities(sam: DataFrame) -> DataFrame:
     return sam.where("nm IS NOT NULL").select("qname", ((q + d - nm) / (q + d)).alias("with_gaps"), ((q - i - (nm - i - d)) / (q - i)).alias("without_gaps"))
 
 
-def contig_breaks(sam: DataFrame, min_len: int = 150, min_mapq: int = 10, patch: int = 50) -> DataFrame:
-    """(qname, parts, breaks): how often each contig's mapped parts, in order on the reference, are not continued within `patch` bases."""
-    from pyspark.sql import Window
-
-    rows = sam.where((F.col("mapq") >= min_mapq) & (F.col("query_len") >= min_len))
-    order = Window.partitionBy("qname").orderBy("rname", "pos", "cigar")
-    stop = F.col("pos") + F.col("m") + F.col("d") + F.col("n")
-    placed = rows.withColumn("stop", stop).withColumn("prev_stop", F.lag("stop").over(order)).withColumn("prev_name", F.lag("rname").over(order))
-    broken = F.col("prev_name").isNotNull() & ((F.col("prev_name") != F.col("rname")) | (F.abs(F.col("pos") - F.col("prev_stop")) > patch))
-    return placed.groupBy("qname").agg(F.count("*").alias("parts"), F.count_if(broken).alias("breaks"))
+def remapped_text(contigs: DataFrame, hits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(value): a FASTQ record for each contig (contig, name, seq, and the rest of its comment), with its reads counted, its depth as qualities and, as a tag, the hits whose mate isn't placed with them."""
+    from strandloom.operators.coverage import depth, supporting_reads
+
+    runs = depth(hits.select("contig", "beg", "end"), 93)
+    shown = runs.groupBy("contig").agg(F.array_sort(F.collect_list(F.struct("beg", "end", "cov"))).alias("runs"))
+    gaps = F.transform("runs", lambda x, i: F.concat(F.repeat(F.lit("!"), (x["beg"] - F.when(i == 0, 0).otherwise(F.get(F.col("runs"), i - 1)["end"])).cast("int")), F.repeat(F.char(x["cov"] + 33), (x["end"] - x["beg"]).cast("int"))))
+    placed = pairs.select("contig", F.explode(F.array(F.col("pair") * 2, F.col("pair") * 2 + 1)).alias("read_id")).distinct()
+    alone = hits.join(placed, ["contig", "read_id"], "left_anti").groupBy("contig").agg(F.array_sort(F.collect_list(F.struct("read_id", "beg", "end"))).alias("ur"))
+    rows = contigs.join(shown, "contig", "left").join(supporting_reads(hits), "contig", "left").join(alone, "contig", "left")
+    qual = F.rpad(F.coalesce(F.array_join(gaps, ""), F.lit("")), F.length("seq"), "!")
+    tag = F.array_join(F.transform("ur", lambda x: F.concat_ws(",", x["read_id"].cast("string"), x["beg"].cast("string"), x["end"].cast("string"))), ";")
+    head = F.concat_ws("\t", F.concat(F.lit("@"), "name"), F.coalesce("n_supp", F.lit(0)).cast("string"), *(["rest"] if "rest" in contigs.columns else []), F.when(F.size("ur") > 0, F.concat(F.lit("UR:Z:"), tag, F.lit(";"))))
+    return rows.select(F.concat_ws("\n", head, "seq", F.lit("+"), qual).alias("value"))
+
+
+def parse_remapped(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(contigs, reads) of remapped FASTQ records (name, comment, seq, qual): (name, nsr, maxo, seq) and (name, read_id, beg, end).
+
+    Records without the tag of unpaired reads are left out. Ends that a single read covers are cut off, unless that is all, and the reads' places follow.
+    """
+    tagged = records.where(F.col("comment").contains("UR:Z:"))
+    size = F.length("seq")
+    beg = F.length("qual") - F.length(F.regexp_replace("qual", '^"+', ""))
+    end = F.length(F.regexp_replace("qual", '"+$', ""))
+    rows = tagged.withColumn("beg", F.when(beg >= end, 0).otherwise(beg)).withColumn("end", F.when(beg >= end, size).otherwise(end))
+    fields = F.split("comment", "\t")
+    overlaps = F.transform(F.regexp_extract_all(F.concat_ws("\t", F.get(fields, F.lit(1)), F.get(fields, F.lit(2))), F.lit(r"-?\d+,(\d+);"), F.lit(1)), lambda o: o.cast("long"))
+    contigs = rows.select("name", fields[0].cast("long").alias("nsr"), F.coalesce(F.array_max(overlaps), F.lit(0)).alias("maxo"), F.expr("substring(seq, beg + 1, end - beg)").alias("seq"))
+    each = rows.select("name", "beg", "end", F.explode(F.regexp_extract_all(F.regexp_extract("comment", r"UR:Z:([0-9,;]*)", 1), F.lit(r"(\d+,\d+,\d+)"), F.lit(1))).alias("u"))
+    u = F.split("u", ",")
+    reads = each.select("name", u[0].cast("long").alias("read_id"), F.greatest(u[1].cast("long") - F.col("beg"), F.lit(0)).alias("b"), F.least(u[2].cast("long") - F.col("beg"), F.col("end") - F.col("beg")).alias("e"))
+    return contigs, reads.select("name", "read_id", F.col("b").alias("beg"), F.col("e").alias("end"))
+
+
+CLASSES = (0, 0, 100, 200, 500)
+BREAKS = "qname string, kept long, dropped long, mapped long, " + ", ".join(f"{kind}{k} long" for kind in ("b", "g") for k in range(5))
+
+
+def part_breaks(parts: list[tuple], mask: float = 0.5, max_gap: int = 500, min_mapq: int = 10) -> list[int]:
+    """Counts of BREAKS for the mapped parts of one contig in file order: (rname, pos, reverse, mapq, query, reference, clip_left, clip_right) each.
+
+    A part goes where more than `mask` of it overlaps an earlier one on the contig. Breaks are parts less one: of all, then of sure ones of growing length; b before and
+    g after parts that follow each other on one strand with gaps below max_gap on both sides are joined.
+    """
+    kept: list[list] = []
+    for name, pos, reverse, mapq, query, reference, left, right in parts:
+        at = right if reverse else left
+        if not any(min(at + query, k[8] + k[4]) - max(at, k[8]) > query * mask for k in kept):
+            kept.append([name, pos, reverse, mapq, query, reference, left, right, at])
+
+    def counts(rows: list[list]) -> list[int]:
+        held = [len(rows), *(sum(r[3] >= min_mapq and r[4] >= size for r in rows) for size in CLASSES[1:])]
+        return [max(n - 1, 0) for n in held] if len(parts) > 1 else [0] * 5
+
+    found = [len(kept), len(parts) - len(kept), sum(r[4] for r in kept), *counts(kept)]
+    joined: list[list] = []
+    for row in sorted((list(r) for r in kept), key=lambda r: (r[0], r[1])):
+        last = joined[-1] if joined else None
+        if last and (last[0], last[2]) == (row[0], row[2]) and abs(row[1] - last[1] - last[5]) < max_gap and abs(row[6] - last[6] - last[4]) < max_gap:
+            row[4], row[6] = row[6] + row[4] - last[6], last[6]
+            row[5], row[1] = row[1] + row[5] - last[1], last[1]
+            joined.pop()
+        joined.append(row)
+    return [*found, *(counts(joined) if len(kept) > 1 else [0] * 5)]
+
+
+def contig_breaks(lines: DataFrame, min_len: int = 150, **rules) -> DataFrame:
+    """The columns of BREAKS for each contig of SAM lines (value, and ord, their order); contigs shorter than min_len, clipped ends included, are left out."""
+    import pandas as pd
+
+    sam = parse_sam(lines, "ord").where(F.col("clip_left") + F.col("clip_right") + F.col("query_len") >= min_len)
+    fields = ["rname", "pos", "reverse", "mapq", "query_len", "reference_len", "clip_left", "clip_right"]
+    rows = sam.select("qname", "ord", "rname", (F.col("pos") - 1).alias("pos"), (F.col("flag").bitwiseAND(F.lit(16)) > 0).alias("reverse"), "mapq", "query_len", (F.col("m") + F.col("d") + F.col("n")).alias("reference_len"), "clip_left", "clip_right")
+    whole = rows.groupBy("qname").agg(F.array_sort(F.collect_list(F.struct("ord", *fields))).alias("parts"))  # the parts of one contig
+
+    def run(batches):
+        for pdf in batches:
+            out = [(q, *part_breaks([tuple(x[c] for c in fields) for x in parts], **rules)) for q, parts in zip(pdf["qname"], pdf["parts"], strict=True)]
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in BREAKS.split(", ")])
+
+    return whole.mapInPandas(run, BREAKS)
+
+
+def break_stats(breaks: DataFrame) -> DataFrame:
+    """(metric, value): sums over contig_breaks."""
+    names = [f.split()[0] for f in BREAKS.split(", ")][1:]
+    one = breaks.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in names))).alias("x")).select("x.*")
