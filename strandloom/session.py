@@ -57,10 +57,10 @@ class Scratch:
     """Named tables of a loop in the shared folder.
 
     A table that takes the name of an older one replaces it, so disk holds one of each name. Shuffle files of
-    finished jobs are let go as well: Spark removes them once the driver collects its garbage, which is done every few seconds at most.
+    finished jobs are let go as well: Spark removes them once the driver collects its garbage, which is done twice a second at most.
     """
 
-    EVERY, last = 3.0, 0.0
+    EVERY, last = 0.5, 0.0
 
     def __init__(self, spark: SparkSession, title: str):
         self.spark, self.title, self.paths = spark, title, {}

@@ -54,7 +54,7 @@ def read_asqg(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def parse_sam(lines: DataFrame, *others: str) -> DataFrame:
     """(others, qname, flag, rname, pos, mapq, cigar, seq_len, nm, m, i, d, n, clip_left, clip_right) of SAM lines (value) of mapped reads."""
-    f = F.split("value", "\t")
+    f = [F.get(F.split("value", "\t"), F.lit(k)) for k in range(6)]
     rows = lines.where(~F.col("value").startswith("@")).select(*others, f[0].alias("qname"), f[1].cast("int").alias("flag"), f[2].alias("rname"), f[3].cast("long").alias("pos"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"), F.regexp_extract("value", r"\tNM:i:(\d+)", 1).cast("long").alias("nm"))
     return rows.where((F.col("flag").bitwiseAND(F.lit(4)) == 0) & (F.col("cigar") != "*")).select("*", cigar_counts(F.col("cigar")).alias("c")).select(*others, "qname", "flag", "rname", "pos", "mapq", "cigar", "nm", "c.*").withColumn("query_len", F.col("m") + F.col("i"))
 

@@ -221,8 +221,12 @@ def test_graph_text(spark, tmp_path):
 
 def test_sam_breaks(spark):
     line = lambda q, pos, cigar, flag=0: "\t".join([q, str(flag), "chr1", str(pos), "60", cigar, "*", "0", "0", "*", "*", "NM:i:0"])
-    lines = spark.createDataFrame([("@HD",), (line("a", 1, "200M"),), (line("a", 210, "200M"),), (line("a", 9000, "200M"),), (line("b", 1, "200M"),), (line("c", 1, "*", 4),)], "value string")
-    assert sorted(map(tuple, graph_text.contig_breaks(graph_text.parse_sam(lines)).collect())) == [("a", 3, 1), ("b", 1, 0)]
+    text = ["@HD", line("a", 1, "200M800S"), line("a", 210, "200S200M600S"), line("a", 9000, "600S200M200S"), line("a", 30_000, "620S180M200S"), line("b", 1, "200M"), line("c", 1, "*", 4), line("d", 1, "90M")]
+    lines = spark.createDataFrame(list(enumerate(text)), "ord long, value string")
+    # Of a's four parts the last lies on the third; the first two follow each other.
+    got = {r.qname: tuple(r)[1:] for r in graph_text.contig_breaks(lines).collect()}
+    assert got == {"a": (3, 1, 600, 2, 2, 2, 2, 0, 1, 1, 1, 1, 0), "b": (1, 0, 200, *[0] * 10)}
+    assert {r.metric: r.value for r in graph_text.break_stats(graph_text.contig_breaks(lines)).collect()}["mapped"] == 800
 
 
 def test_joined_records(spark):
