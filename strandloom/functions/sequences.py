@@ -11,8 +11,13 @@ def normalise(seq: Column) -> Column:
     return F.regexp_replace(F.upper(seq), "[^ACGT]", "N")
 
 
+#: Nucleotide codes that aren't their own complement (fixed values).
+CODES, PARTNERS = "ACGTRYKMBVDH", "TGCAYRMKVBHD"
+
+
 def complement(seq: Column) -> Column:
-    return F.translate(seq, "ACGTacgt", "TGCAtgca")
+    """The complement of every code in its own case; S, W, N and all else stay."""
+    return F.translate(seq, CODES + CODES.lower(), PARTNERS + PARTNERS.lower())
 
 
 def revcomp(seq: Column) -> Column:

@@ -13,7 +13,7 @@ from strandloom.operators.matches import smem
 from strandloom.operators.suffixes import both_strands
 from strandloom.plans.fixtures import duck, fixture
 from strandloom.session import cut_lineage, shared_path
-from strandloom.sources.graph_text import mag_text, read_mag
+from strandloom.sources.graph_text import mag_text, read_asqg, read_mag
 
 QUERIES, ORACLES = {}, {}
 H, G, EDGES, VERTICES, R = (duck(n) for n in ("H", "G", "EDGES", "VERTICES", "R"))
@@ -127,6 +127,33 @@ def amend_edges(spark, d):
     return Gr.amend_edges(edges.unionAll(back), ends)
 
 
+@query("ambiguous_ends", f"SELECT a AS end_id FROM ({EDGES}) e GROUP BY 1 HAVING count(*) > 1")
+def ambiguous_ends(spark, d):
+    """Order keys as ends that vertices, the order's lines, claim."""
+    return Gr.ambiguous_ends(_edges(spark, d).select(F.col("a").alias("end"))).select(F.col("end").alias("end_id"))
+
+
+GONE = "SELECT id * 2 + h AS v FROM (SELECT p_partkey AS id FROM part WHERE p_partkey % 7 = 3) p, (SELECT unnest([0, 1]) AS h) u"
+
+
+@query("vertex_delete", f"SELECT a, b, ovlp FROM ({EDGES}) e WHERE a NOT IN ({GONE}) AND b NOT IN ({GONE})")
+def vertex_delete(spark, d):
+    vertices = fixture(spark, d, "VERTICES")
+    return Gr.drop_vertices(vertices, _edges(spark, d), vertices.where("id % 7 = 3").select("id"))[1]
+
+
+@query("asqg_edges", f"SELECT concat('v', CAST(a AS VARCHAR)) AS a, concat('v', CAST(b AS VARCHAR)) AS b, ovlp, CASE WHEN a % 2 = 0 THEN 1 ELSE 0 END AS end_a, CASE WHEN b % 3 = 0 THEN 1 ELSE 0 END AS end_b FROM ({EDGES}) e WHERE (a + b) % 5 <> 4")
+def asqg_edges(spark, d):
+    """Edges as lines of an ASQG file in the shared folder, read back; overlaps inside a sequence are no edges."""
+    path = shared_path(spark, "asqg")
+    place = lambda at_end, n, size: F.concat_ws(" ", *(F.when(at_end, x).otherwise(y).cast("string") for x, y in ((size - n, F.lit(0)), (size - 1, n - 1))), size.cast("string"))
+    inside = F.concat_ws(" ", F.lit("5"), (F.col("ovlp") + 4).cast("string"), F.lit("200"))
+    first = F.when((F.col("a") + F.col("b")) % 5 == 4, inside).otherwise(place(F.col("a") % 2 == 0, F.col("ovlp"), F.lit(200)))
+    line = F.concat(F.lit("ED\t"), F.concat_ws(" ", F.concat(F.lit("v"), "a"), F.concat(F.lit("v"), "b"), first, place(F.col("b") % 3 == 0, F.col("ovlp"), F.lit(300)), F.lit("0 0")))
+    _edges(spark, d).select(line.alias("value")).write.text(path)
+    return read_asqg(spark, path)[1]
+
+
 @query("neighbor_cap", f"SELECT a, b, ovlp FROM (SELECT *, (SELECT 1) AS one, nth_value(ovlp, 4) OVER (PARTITION BY a ORDER BY ovlp DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS t FROM ({EDGES}) e) x WHERE t IS NULL OR ovlp > t")
 def neighbor_cap(spark, d):
     return Gr.neighbor_cap(_edges(spark, d), 3)
@@ -222,13 +249,13 @@ def sw_align(spark, d):
     return align(pairs).select("id", "score", "query_end", "target_end")
 
 
-@query("smem", f"SELECT rid AS query, 0 AS beg, 29 AS stop, 1::BIGINT AS n FROM ({H}) h UNION ALL SELECT rid, 30, 60, 1::BIGINT FROM ({H}) h2")
+@query("smem", f"SELECT rid AS query, 0 AS beg, 29 AS stop, 1::BIGINT AS n, w = 0 AS left_end, false AS right_end FROM ({H}) h UNION ALL SELECT rid, 30, 60, 1::BIGINT, false, false FROM ({H}) h2")
 def smem_query(spark, d):
     """Reads with base 30 changed against their genomes: a match on either side of it."""
     changed = F.concat(F.substring("s", 1, 29), F.translate(F.substring("s", 30, 1), "ACGT", "CGTA"), F.substring("s", 31, 30))
     queries = fixture(spark, d, "H").select(F.col("rid").alias("query"), changed.alias("seq"))
     strings = both_strands(fixture(spark, d, "G"), "id")
-    return smem(queries, strings, 19).select("query", "beg", F.col("end").alias("stop"), "n")
+    return smem(queries, strings, 19).select("query", "beg", F.col("end").alias("stop"), "n", "left_end", "right_end")
 
 
 @query("bubble_simple", f"SELECT id * 10 + 2 AS id FROM ({G}) g")

@@ -80,6 +80,24 @@ def end_offset_names(spark, d):
     return fastx.end_offset_names(rows, "rid").select("name", "seq")
 
 
+CODED = "SELECT rid, concat(translate(s, 'ACGT', 'RKBD'), lower(s), translate(s, 'ACGT', 'YMVH'), 'NSWnsw') AS s FROM {h} h"
+
+
+@query("complement_codes", f"SELECT rid AS read_id, translate(s, 'RKBDYMVHacgt', 'YMVHRKBDtgca') AS out FROM ({CODED.format(h=f'({H})')}) h")
+def complement_codes(spark, d):
+    """Sequences of ambiguity codes in both cases."""
+    return spark.sql(CODED.replace("{h} h", "{h}"), h=fixture(spark, d, "H")).select(F.col("rid").alias("read_id"), S.complement(F.col("s")).alias("out"))
+
+
+@query("default_quality", f"SELECT concat('r', CAST(rid AS VARCHAR)) AS name, CASE WHEN rid % 2 = 0 THEN q ELSE repeat('5', 60) END AS qual FROM ({HQ}) h")
+def default_quality(spark, d):
+    """Records with and without qualities through text, and 20 for every base that has none."""
+    path = shared_path(spark, "fastx")
+    rows = fixture(spark, d, "HQ").select(F.concat(F.lit("r"), F.col("rid").cast("string")).alias("name"), F.col("s").alias("seq"), F.when(F.col("rid") % 2 == 0, F.col("q")).alias("qual"))
+    fastx.write_fastx(rows, path)
+    return fastx.with_quality(fastx.read_fastx(spark, path)).select("name", "qual")
+
+
 PAL = "SELECT rid, CASE WHEN rid % 3 = 0 THEN concat(s, reverse(translate(s, 'ACGT', 'TGCA'))) ELSE s END AS s FROM ({}) h"
 
 
@@ -149,6 +167,12 @@ def unique_kmer_filter(spark, d):
     return K.unique_kmer_filter(fixture(spark, d, "E"), 17).select(F.col("rid").alias("read_id"))
 
 
+@query("unique_kmer_filter_pairs", f"WITH e AS ({E}), lost AS (SELECT rid // 2 AS p FROM e WHERE regexp_matches(s, '[^ACGT]') OR rid IN ({BAD})) SELECT rid AS read_id FROM e WHERE rid // 2 NOT IN (SELECT p FROM lost)")
+def unique_kmer_filter_pairs(spark, d):
+    rows = fixture(spark, d, "E").withColumn("pair", F.floor(F.col("rid") / 2))
+    return K.unique_kmer_filter(rows, 17, pair_col="pair").select(F.col("rid").alias("read_id"))
+
+
 def _kmers_sql(fix: str, k: int) -> str:
     return f"SELECT least(m, {RC.format('m')}) AS kmer, count(*) AS n FROM (SELECT substr(s, CAST(i AS BIGINT), {k}) AS m FROM (SELECT s, unnest(generate_series(1, length(s) - {k - 1})) AS i FROM ({fix}) f WHERE length(s) >= {k}) a) b GROUP BY 1"
 
