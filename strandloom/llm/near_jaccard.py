@@ -446,20 +446,18 @@ def linked_components(members: DataFrame, docs: DataFrame, scheme: Scheme, scrat
     if members.isEmpty():
         return None
     sets = scratch.put("sets", shingle_sets(picked(docs, members.select(F.col("doc_id").alias("wanted_id")).distinct(), "doc_id"), scheme.words))
-    marks = sets.select("doc_id", (F.octet_length("data") / 8).cast("int").alias("size"), *bits).distinct()
+    marks = sets.select("doc_id", *bits).distinct()
     turn, labels, tested = 0, None, None
     while not members.isEmpty():
         order = Window.partitionBy("sig").orderBy(F.desc("probe"), "lone", "doc_id")
         pivots = scratch.put("pivots", members.withColumn("rank", F.rank().over(order)).where(F.col("rank") <= PIVOTS[min(turn, len(PIVOTS) - 1)]).drop("rank"))
-        a, b = (t.select("sig", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "size", "lone", "probe", "comp"))) for t, k in ((pivots, "a"), (members, "b")))
+        # Sketches come to the members for this join alone, so that all others move narrow rows.
+        a, b = (t.join(marks, "doc_id").select("sig", *(F.col(c).alias(f"{c}_{k}") for c in ("doc_id", "size", "lone", "probe", "comp", *bits))) for t, k in ((pivots, "a"), (members, "b")))
         open_ = (F.col("doc_id_a") != F.col("doc_id_b")) & (F.col("comp_a") != F.col("comp_b")) & (F.col("probe_a") | F.col("probe_b"))
         near = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
         few = (F.least("size_a", "size_b") > single) | (F.col("lone_a") + F.col("lone_b") <= allowed(F.col("size_a") + F.col("size_b")))
-        pairs = b.join(a, "sig").where(open_ & near & few).select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
-        # Near copies share many signatures, so sketches come to the distinct pairs and not to the members.
-        first, second = (marks.select(F.col("doc_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("size", *bits))) for k in "ab")
         apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in bits), F.lit(0))
-        pairs = pairs.join(first, "a").join(second, "b").where(apart <= allowed(F.col("size_a") + F.col("size_b"))).select("a", "b").distinct()
+        pairs = b.join(a, "sig").where(open_ & near & few & (apart <= allowed(F.col("size_a") + F.col("size_b")))).select(F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.put(f"pairs{turn}", pairs)
