@@ -80,8 +80,8 @@ def break_contigs(contigs: DataFrame, runs: DataFrame, min_cov: int, skip: int)
     return rows.select("contig", beg.alias("beg"), end.alias("end")).select("contig", F.row_number().over(order).alias("part"), "beg", "end")
 
 
-def mate_links(places: DataFrame, max_dist: int) -> DataFrame:
-    """(end_a, end_b, n, total): read pairs that tie two contig ends.
+def end_reads(places: DataFrame, max_dist: int) -> DataFrame:
+    """(read_id, end_id, dist) of reads that point at a contig end.
 
     places: (contig, len, read_id, strand, beg, end) of reads whose mates aren't on the same contig. A forward read
     points at the right end (2 * contig + 1) from len - beg away, a reverse one at the left end (2 * contig) from end away. Reads
@@ -90,7 +90,12 @@ def mate_links(places: DataFrame, max_dist: int) -> DataFrame:
     once = places.withColumn("n", F.count("*").over(Window.partitionBy("read_id"))).where("n = 1")
     spot = F.when(F.col("strand") == 0, F.col("contig") * 2 + 1).otherwise(F.col("contig") * 2)
     away = F.when(F.col("strand") == 0, F.col("len") - F.col("beg")).otherwise(F.col("end"))
-    ends = once.select(F.col("read_id"), spot.alias("end_id"), away.cast("long").alias("dist")).where(F.col("dist") <= max_dist)
+    return once.select(F.col("read_id"), spot.alias("end_id"), away.cast("long").alias("dist")).where(F.col("dist") <= max_dist)
+
+
+def mate_links(places: DataFrame, max_dist: int) -> DataFrame:
+    """(end_a, end_b, n, total): read pairs that tie two contig ends; places are those of end_reads."""
+    ends = end_reads(places, max_dist)
     mate = ends.select(F.col("read_id").bitwiseXOR(F.lit(1).cast("long")).alias("read_id"), F.col("end_id").alias("end_b"), F.col("dist").alias("dist_b"))
     links = ends.join(mate, "read_id").where(F.floor(F.col("end_id") / 2) != F.floor(F.col("end_b") / 2))
     return links.groupBy(F.col("end_id").alias("end_a"), "end_b").agg(F.count("*").alias("n"), F.sum(F.col("dist") + F.col("dist_b")).alias("total"))

@@ -73,7 +73,7 @@ def scaftigs(contigs: DataFrame, links: DataFrame, insert: int, min_a: float = 2
 
     An end is 2 * contig for the left and 2 * contig + 1 for the right. A gap of insert - avg_dist bases is filled
     with N (one at least); of both directions of a path the one from its smaller end is kept. Where links have a P-value p or contigs an A-statistic a, links
-    below min_p and contigs below min_a join nothing; nsr, the contigs' reads, adds up, or is null where contigs have none.
+    below min_p and contigs below min_a join nothing; links with a patch of l bases are joined by it, or lose the -l bases that overlap; nsr, the contigs' reads, adds up, or is null where contigs have none.
     """
     if "p" in links.columns:
         links = links.where(F.col("p") >= min_p)
@@ -82,16 +82,21 @@ def scaftigs(contigs: DataFrame, links: DataFrame, insert: int, min_a: float = 2
         for end in ("end_a", "end_b"):
             links = links.join(sure.withColumnRenamed("contig", "sure"), F.floor(F.col(end) / 2) == F.col("sure"), "left_semi")
     contigs = contigs.select("contig", "seq", (F.col("nsr") if "nsr" in contigs.columns else F.lit(None)).cast("long").alias("nsr"))
-    both = links.select("end_a", "end_b", "avg_dist").unionAll(links.select(F.col("end_b").alias("end_a"), F.col("end_a").alias("end_b"), "avg_dist"))
     one = F.lit(1).cast("long")
+    for name, kind in (("avg_dist", "long"), ("l", "int"), ("patch", "string")):
+        if name not in links.columns:
+            links = links.withColumn(name, F.lit(None).cast(kind))
+    both = links.select("end_a", "end_b", "avg_dist", "l", "patch").unionAll(links.select(F.col("end_b").alias("end_a"), F.col("end_a").alias("end_b"), "avg_dist", "l", F.reverse(F.translate("patch", "ACGT", "TGCA"))))
     # Leaving by an end is walking the contig so that it comes last; entering by an end, so that it comes first.
-    walk = both.select(F.col("end_a").bitwiseXOR(one).alias("a"), F.col("end_b").alias("b"), F.greatest(insert - F.col("avg_dist"), F.lit(1)).alias("step"))
+    walk = both.select(F.col("end_a").bitwiseXOR(one).alias("a"), F.col("end_b").alias("b"), F.greatest(insert - F.col("avg_dist"), F.lit(1)).cast("long").alias("step"), "l", "patch")
     walk = cut_lineage(walk)
     placed = cut_lineage(chain_positions(walk))
-    gaps = walk.select(F.col("b").alias("node"), F.col("step").alias("gap"))
+    gaps = walk.select(F.col("b").alias("node"), F.col("step").alias("gap"), "l", "patch")
     rows = placed.join(gaps, "node", "left").join(contigs, F.floor(F.col("node") / 2) == F.col("contig"))
     turned = F.when(F.col("node") % 2 == 0, F.col("seq")).otherwise(F.reverse(F.translate("seq", "ACGT", "TGCA")))
-    part = F.concat(F.when(F.col("position") == 0, "").otherwise(F.repeat(F.lit("N"), F.coalesce(F.col("gap").cast("int"), F.lit(1)))), turned)
+    between = F.when(F.col("position") == 0, "").when(F.col("l").isNotNull(), F.coalesce("patch", F.lit(""))).otherwise(F.repeat(F.lit("N"), F.coalesce(F.col("gap").cast("int"), F.lit(1))))
+    own = F.when((F.col("position") > 0) & (F.col("l") < 0), F.expr("substring(turned, 1 - l)")).otherwise(F.col("turned"))
+    rows, part = rows.withColumn("turned", turned), F.concat(between, own)
     whole = rows.select("chain", "position", "node", "nsr", part.alias("part")).groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("position", "part"))).alias("parts"), F.max_by("node", "position").alias("last"), F.count("*").alias("n_unitigs"), F.sum("nsr").alias("nsr"))
     kept = whole.where(F.col("chain") < F.col("last").bitwiseXOR(one))
     joined = kept.select(F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("seq"), "n_unitigs", "nsr")

@@ -21,6 +21,8 @@ SQL = {
     "HQ": f"SELECT rid, s, substr(translate({_md5s('rid', 'q0 q1')}, {HEX}, '#$%&5555IIIIIIII'), 1, 60) AS q FROM ([H]) h",
     # Read pairs of insert 100.
     "HP": "SELECT id * 5 + w AS pid, id, w, substr(s, 1 + 4 * w, 40) AS r1, reverse(translate(substr(s, 61 + 4 * w, 40), 'ACGT', 'TGCA')) AS r2 FROM (SELECT id, s, [U]([SEQ](0, 4)) AS w FROM ([G]) g) x",
+    # Read pairs of inserts from 88 to 100 that start at every other base, so some lie over the middle.
+    "DP": "SELECT id * 15 + w AS pid, id, w, substr(s, 1 + 2 * w, 40) AS r1, reverse(translate(substr(s, 61 + 2 * w - 3 * ((w * 7) % 5), 40), 'ACGT', 'TGCA')) AS r2 FROM (SELECT id, s, [U]([SEQ](0, 14)) AS w FROM ([G]) g) x",
     # Dense reads, some with a substitution at base 30; s0 is the truth.
     "E": "SELECT id * 16 + w AS rid, id, w, CASE WHEN (id * 16 + w) % 17 = 0 THEN concat(substr(s0, 1, 29), translate(substr(s0, 30, 1), 'ACGT', 'CGTA'), substr(s0, 31, 30)) ELSE s0 END AS s, s0 FROM (SELECT id, w, substr(s, 1 + w * 4, 60) AS s0 FROM (SELECT id, s, [U]([SEQ](0, 15)) AS w FROM ([G]) g) x) y",
     # Genomes that branch (two haplotypes that part), close to a circle, or hold a repeat longer than a read, by turns.

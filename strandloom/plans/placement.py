@@ -98,6 +98,22 @@ def scaftigs(spark, d):
     return S.scaftigs(_halves(spark, d), C.reciprocal_best(_links(spark, d)), 100).select("seq", "n_unitigs")
 
 
+@query("patched_scaftigs", f"SELECT least(s, {RC.format('s')}) AS seq, 2::BIGINT AS n_unitigs FROM ({G}) g")
+def patched_scaftigs(spark, d):
+    """Half genomes joined through the bases that neither holds, which the reads around the gap give."""
+    from strandloom.operators.patching import patch_gaps
+    from strandloom.session import cut_lineage
+
+    halves = cut_lineage(_halves(spark, d))
+    ends = F.array(F.struct(F.lit(0).alias("e"), F.col("r1").alias("seq")), F.struct(F.lit(1).alias("e"), F.col("r2").alias("seq")))
+    reads = cut_lineage(fixture(spark, d, "DP").select("pid", F.explode(ends).alias("x")).select((F.col("pid") * 2 + F.col("x.e")).alias("read_id"), "x.seq"))
+    places = cut_lineage(C.full_length_hits(halves, reads, 31).join(halves.select("contig", F.length("seq").alias("len")), "contig"))
+    links = cut_lineage(C.reciprocal_best(C.best_links(C.mate_links(places, 1000))))
+    patches = patch_gaps(links, halves, C.end_reads(places, 1000), reads, 92.0, 10.0, 58, 40)
+    found = S.scaftigs(halves, links.join(patches.drop("p"), ["end_a", "end_b"], "left"), 100)
+    return found.select(F.least("seq", F.reverse(F.translate("seq", "ACGT", "TGCA"))).alias("seq"), "n_unitigs")
+
+
 SURE = f"SELECT id * 2 + h AS contig, CASE WHEN (id + h) % 5 = 0 THEN 19.5 ELSE 25.0 END AS a, 3 + id % 4 + h AS nsr, id FROM ({G}) g, (SELECT unnest([0, 1]) AS h) u"
 
 
