@@ -12,7 +12,10 @@ from strandloom.llm.content_sort import exact_groups
 from strandloom.llm.near_jaccard import near_components
 from strandloom.llm.packing import pack_documents
 from strandloom.llm.piece_model import decode_pieces, encode_pieces
+from strandloom.llm.prefix_trie import labelled_turns, prefix_nodes, with_openings
 from strandloom.llm.sharding import shard_rows
+from strandloom.llm.spelling import spelling_variants
+from strandloom.llm.suffix_dedup import without_repeats
 from strandloom.llm.token_blocks import read_token_blocks, write_token_blocks
 from strandloom.llm.token_counts import fill_cache, token_counts
 from strandloom.llm.toxicity import toxicity
@@ -115,6 +118,22 @@ def op10_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_blocks(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all conversations, which open like the first of their hundred."""
+    return prefix_nodes(*with_openings(labelled_turns(table(spark, sf_dir, "conversations"))))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the more frequent spelling that each is a variant of."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of 50 bytes and more that documents of smaller ids hold."""
+    found = without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_best_fit": op1_best_fit,
     "op2_pieces": op2_pieces,
@@ -126,7 +145,14 @@ QUERIES = {
     "op8_shard_ring": op8_shard_ring,
     "op9_transport_stream": op9_transport_stream,
     "op10_token_blocks": op10_token_blocks,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_spelling": op12_spelling,
+    "op13_repeats": op13_repeats,
 }
+#: The checksum of 32 bits over the code points below 256 of a text: a table by its rule, then byte by byte.
+CRC_TABLE = "crc_table AS (SELECT list(t ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS t FROM range(256) r(i)) x)"
+CRC_BYTES = "flatten(list_transform(string_split({0}, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END))"
+CRC = "xor(list_reduce(list_prepend(4294967295, " + CRC_BYTES + "), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
 ORACLES: dict[str, str] = {
     "op4_chat_examples": r"""
 WITH turns AS (
@@ -167,5 +193,58 @@ WITH texts AS (
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
   doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
 FROM texts
+""",
+    "op11_prefix_trie": f"""
+WITH {CRC_TABLE}, own AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS MATERIALIZED (SELECT conv_id, {CRC.format("conv_id::VARCHAR")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM own) x, crc_table),
+turns AS (
+  SELECT ids.conv_id, pos, role, text FROM ids JOIN own ON own.conv_id = ids.conv_id - ids.conv_id % 100 AND pos < h
+  UNION ALL SELECT own.conv_id, pos, role, text FROM ids JOIN own USING (conv_id) WHERE pos >= h
+), placed AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth, role || chr(10) || text AS label, length(text) AS chars FROM turns),
+prefixes AS MATERIALIZED (
+  SELECT conv_id, 0 AS depth, '' AS path, NULL AS above, 0 AS chars, (SELECT count(*) FROM placed p WHERE p.conv_id = ids.conv_id) AS size FROM ids
+  UNION ALL SELECT conv_id, depth, sha256(string_agg(length(label) || ':' || label, '') OVER w), CASE WHEN depth > 1 THEN sha256(string_agg(length(label) || ':' || label, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) ELSE '' END, chars, count(*) OVER (PARTITION BY conv_id)
+  FROM placed WINDOW w AS (PARTITION BY conv_id ORDER BY depth)
+), nodes AS MATERIALIZED (
+  SELECT depth, path, min(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars, sha256(coalesce(string_agg(CASE WHEN size = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM prefixes GROUP BY 1, 2
+), kids AS MATERIALIZED (SELECT above AS path, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+-- The sums of a subtree come from its nodes' smallest conversations, which hold all prefixes above.
+sums AS (
+  SELECT a.path, a.depth, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((b.n_convs - 1) * b.chars) AS saved_tokens
+  FROM nodes b LEFT JOIN kids k ON k.path = b.path AND k.depth = b.depth JOIN prefixes a ON a.conv_id = b.conv_id AND a.depth <= b.depth GROUP BY 1, 2
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, coalesce(k.n, 0)::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.path = n.above AND p.depth = n.depth - 1 LEFT JOIN kids k ON k.path = n.path AND k.depth = n.depth JOIN sums s ON s.path = n.path AND s.depth = n.depth
+""",
+    "op12_spelling": f"""
+WITH RECURSIVE {CRC_TABLE}, runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), hashed AS (SELECT run, length(run) AS size, count(*) AS times, {CRC.format("doc_id::VARCHAR || ':' || run")} AS h FROM (SELECT doc_id, run FROM runs WHERE length(run) >= 7) x, crc_table GROUP BY doc_id, run, t),
+words AS MATERIALIZED (
+  SELECT word, sum(times)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % size) || substr(run, h % size + 2) ELSE run END AS word, times FROM hashed) x
+  WHERE length(word) >= 7 GROUP BY 1 HAVING sum(times) >= 2
+), cuts AS MATERIALIZED (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words) x),
+near AS MATERIALIZED (
+  SELECT x.word, y.word AS other FROM cuts x JOIN cuts y USING (rest, i) WHERE x.word <> y.word
+  UNION SELECT cuts.word, words.word FROM cuts JOIN words ON words.word = rest UNION SELECT words.word, cuts.word FROM cuts JOIN words ON words.word = rest
+), best AS MATERIALIZED (
+  SELECT near.word, count(*) AS n_near, first(other ORDER BY w.n DESC, other) AS other, max(w.n) AS other_n FROM near JOIN words w ON w.word = near.other GROUP BY 1
+), formed AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n FROM words LEFT JOIN best USING (word)),
+far AS (SELECT word, form AS root FROM formed WHERE form IS NOT NULL UNION SELECT far.word, formed.form FROM far JOIN formed ON formed.word = far.root WHERE formed.form IS NOT NULL)
+SELECT word, form, coalesce((SELECT root FROM far JOIN formed f ON f.word = far.root AND f.form IS NULL WHERE far.word = formed.word), word) AS root, n, n_near, form_n FROM formed
+""",
+    "op13_repeats": """
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+wins AS MATERIALIZED (SELECT r, doc_id, i, substr(x, 2 * i + 1, 100) AS w FROM (SELECT r, doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM docs) y),
+hits AS MATERIALIZED (SELECT r, i, 1 AS hit FROM wins JOIN (SELECT w, min(doc_id) AS low FROM wins GROUP BY w) m USING (w) WHERE doc_id > low),
+places AS (SELECT r, i, substr(x, 2 * i + 1, 2) AS b FROM (SELECT r, x, unnest(range(0, length(x) // 2)) AS i FROM docs) y),
+gone AS (SELECT r, i, b, coalesce(i - max(CASE WHEN hit = 1 THEN i END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) < 50, false) AS g FROM places LEFT JOIN hits USING (r, i)),
+edges AS (SELECT *, g AND NOT coalesce(lag(g) OVER (PARTITION BY r ORDER BY i), false) AS opens FROM gone),
+found AS (SELECT r, count(*) FILTER (g) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(CASE WHEN NOT g THEN b END, '' ORDER BY i) AS kept FROM edges GROUP BY r)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM docs LEFT JOIN found USING (r)
 """,
 }
