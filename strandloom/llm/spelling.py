@@ -2,8 +2,8 @@
 
 Bigrams of all distinct words are ordered by frequency. An edit destroys two of a word's bigrams at most, so of two near words' three rarest
 ones (and those as rare as the third) at least one is common, at the same place or, where one word is longer, one further. Only these
-are joined, by bigram, length and place, and what meets is compared. Corpus texts are read once, words are counted before they are shuffled, and
-the order holds a row for each pair of letters.
+are joined, by bigram, length, place and the half of the word that an edit on the bigram's left or right leaves whole, and what meets is compared. Corpus texts are
+read once, words are counted before they are shuffled, and the order holds a row for each pair of letters.
 """
 
 from __future__ import annotations
@@ -54,14 +54,34 @@ def rarest_bigrams(words: DataFrame) -> DataFrame:
     return ranked.select("word", "n", "size", F.explode(kept).alias("g")).select("word", "n", "size", "g.gram", "g.at")
 
 
+def _halves(kind: int, size: Column, at: Column) -> list[Column]:
+    """Keys of a word that keeps a bigram at `at` of the shorter word of a pair, which has `size` letters, while an edit is right of it (kind 0) or left of it (kind 1).
+
+    What lies on the other side is equal, and of the edit's own side so is the half before or the half after the edit.
+    """
+    word = F.col("word")
+    if kind == 0:
+        half = F.floor((size - at - 2) / 2).cast("int")
+        return [F.xxhash64(F.lit(0), size, at, F.left(word, at + 2 + half)), F.xxhash64(F.lit(1), size, at, F.left(word, at + 2), F.right(word, size - at - 2 - half))]
+    half = F.floor(at / 2).cast("int")
+    return [F.xxhash64(F.lit(2), size, at, F.left(word, half), F.right(word, size - at)), F.xxhash64(F.lit(3), size, at, F.right(word, size - half))]
+
+
 def near_words(words: DataFrame) -> DataFrame:
-    """(word, n, near, near_n): words (word, n) that differ by exactly one inserted, deleted or replaced code point, in both directions."""
+    """(word, n, near, near_n): words (word, n) that differ by exactly one inserted, deleted or replaced code point, in both directions.
+
+    Rarest bigrams meet at places that an edit allows, together with the half of the word that the edit left whole.
+    """
     prefix = rarest_bigrams(words)
-    here = prefix.select("gram", "size", "at", F.col("word").alias("near"), F.col("n").alias("near_n"))
-    spots = F.array(F.struct(F.col("size"), F.col("at")), F.struct((F.col("size") + 1).alias("size"), F.col("at")), F.struct((F.col("size") + 1).alias("size"), (F.col("at") + 1).alias("at")))
-    there = prefix.select("gram", "word", "n", F.explode(spots).alias("s")).select("gram", "s.size", "s.at", "word", "n")
-    once = (F.char_length("near") > F.char_length("word")) | (F.col("word") < F.col("near"))
-    met = there.join(here, (there.gram == here.gram) & (there["size"] == here["size"]) & (there["at"] == here["at"]) & once & (F.levenshtein("word", "near", 1) == 1))
+    size, at = F.col("size"), F.col("at")
+    alike = F.concat(*(F.array(*_halves(kind, size, at)) for kind in (0, 1)))
+    # As the longer word of a pair: the bigram is one further where the edit is left of it.
+    right = F.when(at + 2 < size, F.array(*_halves(0, size - 1, at))).otherwise(F.array().cast("array<long>"))
+    left = F.when(at > 0, F.array(*_halves(1, size - 1, at - 1))).otherwise(F.array().cast("array<long>"))
+    short = prefix.select(F.explode(alike).alias("key"), "word", "n").distinct()
+    long = prefix.select(F.explode(F.concat(right, left)).alias("key"), F.col("word").alias("near"), F.col("n").alias("near_n"), F.lit(True).alias("longer")).distinct()
+    other = long.unionAll(short.select("key", F.col("word").alias("near"), F.col("n").alias("near_n"), F.lit(False)))
+    met = short.join(other, (short["key"] == other["key"]) & (F.col("longer") | (F.col("word") < F.col("near"))) & (F.levenshtein("word", "near", 1) == 1))
     pairs = met.select("word", "n", "near", "near_n").distinct()
     return pairs.unionAll(pairs.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
 
