@@ -36,7 +36,7 @@ HOT = 512
 #: Bytes of a long text that are looked at together, and of short ones.
 PIECE, CHUNK = 4 << 20, 1 << 18
 #: Hash buckets for each shuffle partition.
-BUCKETS = 16
+BUCKETS = 6
 #: The key of rows without an id.
 LAST = (1 << 63) - 1
 FLUSH = 1_500_000
@@ -442,23 +442,30 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     buckets, scratch = _bucket_count(n), Scratch(docs.sparkSession, "repeats")
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text_col).alias("text"))
-    blobs = rows.mapInArrow(_anchor_blobs(buckets), BLOB_SQL).select("bucket", "blob").repartition(n, "bucket").sortWithinPartitions("bucket")
+    bucket = F.pmod(F.coalesce("doc", F.lit(LAST)), F.lit(buckets)).cast("int")
+    none: Column = F.lit(None)
+    texts = rows.select(F.lit(TEXT).alias("kind"), bucket.alias("bucket"), none.cast("binary").alias("blob"), "doc", "text")
     met = shared_path(spark, "repeats-met")
-    blobs.mapInArrow(_meet(buckets, hot), BLOB_SQL).write.partitionBy("kind").parquet(met)
-    scratch.drop()
 
     def of_kind(kind: int) -> DataFrame:
         return spark.read.schema("bucket int, blob binary, kind int").parquet(met).where(F.col("kind") == kind).select("kind", "bucket", "blob")
 
-    none: Column = F.lit(None)
-    bucket = F.pmod(F.coalesce("doc", F.lit(LAST)), F.lit(buckets)).cast("int")
-    texts = rows.select(F.lit(TEXT).alias("kind"), bucket.alias("bucket"), none.cast("binary").alias("blob"), "doc", "text")
-
     def beside_texts(found: DataFrame) -> DataFrame:
         both = found.select("*", none.cast("long").alias("doc"), none.cast("string").alias("text")).unionAll(texts)
         return both.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
 
-    blocks = beside_texts(of_kind(ASKED)).mapInArrow(_blocks, BLOCK_SQL)
-    ordered = blocks.repartition(n, "key").sortWithinPartitions("key", "hot", "doc")
-    some = scratch.put("some", ordered.mapInArrow(_order(buckets), BLOB_SQL))
+    # No frame of a finished step is held, so that its shuffle can be let go.
+    def meet() -> None:
+        blobs = rows.mapInArrow(_anchor_blobs(buckets), BLOB_SQL).select("bucket", "blob").repartition(n, "bucket").sortWithinPartitions("bucket")
+        blobs.mapInArrow(_meet(buckets, hot), BLOB_SQL).write.partitionBy("kind").parquet(met)
+
+    def compare() -> DataFrame:
+        blocks = beside_texts(of_kind(ASKED)).mapInArrow(_blocks, BLOCK_SQL)
+        ordered = blocks.repartition(n, "key").sortWithinPartitions("key", "hot", "doc")
+        return scratch.put("some", ordered.mapInArrow(_order(buckets), BLOB_SQL))
+
+    meet()
+    scratch.drop()
+    some = compare()
+    scratch.drop()
     return beside_texts(of_kind(WHOLE).unionAll(some)).mapInArrow(_without, RESULT_SQL)
