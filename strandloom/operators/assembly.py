@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequences import auto_k
+from strandloom.operators import graph as Gr
 from strandloom.operators import overlaps as O
 from strandloom.operators.cleaning import Cleaning, clean, merge_graph
 from strandloom.operators.correct import correct_reads, keep_good
@@ -26,8 +27,7 @@ def read_graph(reads: DataFrame, min_overlap: int, *, id_col: str = "rid", seq_c
     # A read goes with both its strands: where either is held, so is the other by the other's mate.
     inside = O.contained_reads(both, min_overlap, group).select(F.shiftright("oriented_id", 1).alias("id")).distinct()
     own = scratch.put("own", both.join(inside, F.shiftright("oriented_id", 1) == F.col("id"), "left_anti"))
-    lengths = own.select("oriented_id", F.length("seq").alias("len"))
-    edges = scratch.put("edges", O.irreducible(O.longest_overlaps(O.overlaps(own, min_overlap, group)), lengths))
+    edges = scratch.put("edges", O.irreducible(O.longest_overlaps(O.overhangs(own, min_overlap, group))))
     vertices = own.where("oriented_id % 2 = 0").select(F.shiftright("oriented_id", 1).alias("id"), F.length("seq").cast("long").alias("len"), F.lit(1).cast("long").alias("nsr"), "seq", F.repeat(F.lit('"'), F.length("seq")).alias("cov"), *([group] if group else []))
     scratch.drop("both")
     return vertices, edges
@@ -50,14 +50,29 @@ def mag_records(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def mag_graph(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(vertices, edges) of MAG records, whatever their ends are called; a vertex takes its left end as its id. Neighbours that are no end of any record are left out."""
+    """(vertices, edges) of MAG records, whatever their ends are called; a vertex takes its left end as its id. Neighbours that are no end of any record, or of several, are left out."""
     vertices = records.select(F.col("k0").alias("id"), F.length("seq").cast("long").alias("len"), F.col("nsr").cast("long").alias("nsr"), "seq", F.coalesce("cov", F.repeat(F.lit('"'), F.length("seq"))).alias("cov"))
     ends = records.select(F.explode(F.array(*(F.struct(F.col(f"k{s}").alias("k"), (F.col("k0") * 2 + s).alias("enters")) for s in (0, 1)))).alias("e")).select("e.*")
+    ends = ends.join(Gr.ambiguous_ends(ends.select(F.col("k").alias("end"))), F.col("k") == F.col("end"), "left_anti")
     sides = F.array(*(F.struct((F.col("k0") * 2 + 1 - s).alias("a"), F.coalesce(f"nei{s}", F.array().cast(NEIGHBOURS)).alias("nei")) for s in (0, 1)))
     rows = records.select(F.explode(sides).alias("x")).select("x.a", F.explode("x.nei").alias("n")).select("a", F.col("n.k").alias("k"), F.col("n.ovlp").alias("ovlp"))
     return vertices, rows.join(ends, "k").select("a", F.col("enters").alias("b"), "ovlp")
 
 
+def load_graph(records: DataFrame, *, ratio: float = 0.7, most: int = 512, tip_len: int = 300, amend: bool = True) -> tuple[DataFrame, DataFrame]:
+    """mag_graph, pruned while it is read: overlaps below ratio of their end's second longest, of several to one end all but the longest, and of ends with more than
+    `most` those up to the first beyond; then short records of one read with a side without neighbours. With amend, an edge stays where its target answers with the same overlap."""
+    vertices, edges = mag_graph(records)
+    edges = Gr.neighbor_cap(Gr.dedupe_edges(Gr.relative_edges(edges, ratio)), most)
+    flat = Gr.tips(vertices, edges, tip_len, 2)
+    vertices, edges = Gr.drop_vertices(vertices, edges, flat)
+    if not amend:
+        return vertices, edges
+    one = F.lit(1).cast("long")
+    back = edges.select(F.col("b").bitwiseXOR(one).alias("a"), F.col("a").bitwiseXOR(one).alias("b"), "ovlp")
+    return vertices, edges.join(back, ["a", "b", "ovlp"], "left_semi").select("a", "b", "ovlp")
+
+
 def correct_all(reads: DataFrame, k: int = 19, min_occ: int = 3, *, id_col: str = "rid", seq_col: str = "s", qual_col: str | None = None, drop_bad: bool = False) -> DataFrame:
     """Reads corrected against their own k-mers, bad ones kept unless drop_bad: the whole of correction in one call."""
     solid = next_base_table(reads, k, min_occ, seq_col=seq_col)

@@ -149,26 +149,37 @@ def turned(node: Column, seq: Column) -> Column:
     return F.when(node % 2 == 0, seq).otherwise(F.reverse(F.translate(seq, "ACGT", "TGCA")))
 
 
-def pop_open(vertices: DataFrame, edges: DataFrame, max_len: int) -> tuple[DataFrame, DataFrame]:
-    """Without short dead ends that look like a sibling.
-
-    A vertex shorter than max_len with one edge in all, whose neighbour has others on that side, goes where its l bases beyond the overlap align to
-    the first 2 * l beyond the overlap of one of these: a score of 5 * l // 2 at least, and (5 * l - score) / 9 below 2.01 or below l / 10.
-    """
-    alone = edges.groupBy(F.shiftright("a", 1).alias("id")).agg(F.count("*").alias("n")).where("n = 1").select("id").join(vertices.where(F.col("len") < max_len).select("id"), "id", "left_semi")
+def _like_sibling(vertices: DataFrame, edges: DataFrame, short: DataFrame) -> DataFrame:
+    """(id, hub): of short (id), vertices with one edge in all that look like another neighbour of its hub, the oriented vertex it leaves."""
+    alone = edges.groupBy(F.shiftright("a", 1).alias("id")).agg(F.count("*").alias("n")).where("n = 1").select("id").join(short.select("id"), "id", "left_semi")
     # Seen from the neighbour: hub -> arm, the dead end, and hub -> sibling.
     arms = edges.select(F.col("a").alias("hub"), F.col("b").alias("arm"), F.col("ovlp").alias("o_arm"), F.shiftright("b", 1).alias("id")).join(alone, "id", "left_semi").where(F.shiftright("hub", 1) != F.col("id"))
-    pairs = cut_lineage(arms.join(edges.select(F.col("a").alias("hub"), F.col("b").alias("sibling"), F.col("ovlp").alias("o_sibling")), "hub").where("sibling <> arm"))
-    if pairs.isEmpty():
-        return vertices, edges
+    pairs = arms.join(edges.select(F.col("a").alias("hub"), F.col("b").alias("sibling"), F.col("ovlp").alias("o_sibling")), "hub").where("sibling <> arm")
     shown = vertices.select("id", "seq")
     rows = pairs.join(shown, "id").withColumn("query", turned(F.col("arm"), F.col("seq"))).withColumn("query", F.expr("substring(query, o_arm + 1)")).drop("seq")
     rows = rows.withColumn("l", F.length("query")).where("l > 0").join(shown.withColumnRenamed("id", "sibling_id"), F.shiftright("sibling", 1) == F.col("sibling_id"))
     rows = rows.withColumn("target", turned(F.col("sibling"), F.col("seq"))).withColumn("target", F.expr("substring(target, o_sibling + 1, 2 * l)"))
     n = (5 * F.col("l") - F.col("score")) / 9
     like = (F.col("score") >= F.floor(5 * F.col("l") / 2)) & ((n < 2.01) | (n / F.col("l") < 0.1))
-    gone = align(rows.select("id", "l", "query", "target"), match=5, mismatch=-4, gap_open=5, gap_extend=2).where(like).select("id").distinct()
-    return tuple(map(cut_lineage, Gr.drop_vertices(vertices, edges, gone)))
+    return align(rows.select("id", "hub", "l", "query", "target"), match=5, mismatch=-4, gap_open=5, gap_extend=2).where(like).select("id", "hub").distinct()
+
+
+def pop_open(vertices: DataFrame, edges: DataFrame, max_len: int) -> tuple[DataFrame, DataFrame]:
+    """Without short dead ends that look like a sibling.
+
+    A vertex shorter than max_len with one edge in all, whose neighbour has others on that side, goes where its l bases beyond the overlap align to
+    the first 2 * l beyond the overlap of one of these: a score of 5 * l // 2 at least, and (5 * l - score) / 9 below 2.01 or below l / 10. Dead ends of one
+    neighbour may be like each other: a round takes the first of each by (nsr, id), and the others are compared again with what is left.
+    """
+    scratch = Scratch(vertices.sparkSession, "open")
+    waiting = vertices.where(F.col("len") < max_len).select("id", "nsr")
+    while True:
+        like = scratch.put("like", _like_sibling(vertices, edges, waiting).join(vertices.select("id", "nsr"), "id"))
+        if like.isEmpty():
+            return vertices, edges
+        gone = scratch.put("gone", like.groupBy("hub").agg(F.min_by("id", F.struct("nsr", "id")).alias("id")).select("id"))
+        vertices, edges = map(cut_lineage, Gr.drop_vertices(vertices, edges, gone))
+        waiting = scratch.put("waiting", like.join(gone, "id", "left_anti").select("id", "nsr"))
 
 
 @dataclass
@@ -197,7 +208,7 @@ def settle(state: Ways, ready: list[int], arcs: pd.DataFrame, max_vertices: int,
         if b not in state.ways:
             state.ways[b], state.came[b] = [], 0
             state.waiting += 1
-        state.ways[b] = sorted([*state.ways[b], *own], key=lambda w: -w[0])[:2]
+        state.ways[b] = sorted([*state.ways[b], *own], key=lambda w: (-w[0], w[2], w[3]))[:2]  # of equal reads, by the vertex before
         state.came[b] += 1
         if state.came[b] == n_in:
             now.append(b)
@@ -218,22 +229,16 @@ def off_the_ways(state: Ways) -> list[int]:
     return sorted({v >> 1 for v in state.ways} - kept)
 
 
-def simplify_bubbles(vertices: DataFrame, edges: DataFrame, max_vertices: int = 64, max_dist: int = 512) -> tuple[DataFrame, DataFrame]:
-    """Without what lies off the two ways of most reads through a bubble of any shape.
-
-    From an end with two edges or more, vertices are settled once all their predecessors are, each with its best and second-best
-    number of reads, distance and way back. A bubble ends where one settled vertex is left and nothing waits; a dead end, a way back to the start, more
-    than max_vertices or a way longer than max_dist is none. All starts take a step at once: a join fetches the arcs of the vertices that are ready, and
-    each start's state, of max_vertices vertices at most, moves on. A bubble is found from both its ends; the smaller one decides.
-    """
-    starts = cut_lineage(edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select(F.col("a").alias("start")))
-    if starts.isEmpty():
-        return vertices, edges
+def find_bubbles(vertices: DataFrame, edges: DataFrame, starts: DataFrame, max_vertices: int, max_dist: int) -> DataFrame:
+    """(start, seen, gone) of the bubbles from starts (start) that their smaller end finds: all their vertices, and those off their two best ways."""
     scratch = Scratch(vertices.sparkSession, "bubbles")
     size = vertices.select(F.col("id").alias("of"), "len", "nsr")
-    arcs = edges.join(edges.groupBy("b").agg(F.count("*").alias("n_in")), "b").join(size, F.shiftright("a", 1) == F.col("of"))
+    # More than 2 * max_vertices arcs lead to more than max_vertices vertices: such a vertex is as good as a dead end, and its arcs are never fetched.
+    hubs = edges.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > 2 * max_vertices).select("a")
+    arcs = edges.join(edges.groupBy("b").agg(F.count("*").alias("n_in")), "b").join(hubs, "a", "left_anti").join(size, F.shiftright("a", 1) == F.col("of"))
     arcs = scratch.put("arcs", arcs.select("a", "b", F.col("ovlp").cast("long").alias("ovlp"), F.col("len").cast("long").alias("len"), F.col("nsr").cast("long").alias("nsr"), F.col("n_in").cast("long").alias("n_in")))
-    now = scratch.put("states", starts.select("start", F.lit(None).cast("binary").alias("state"), F.array("start").alias("ready"), F.array().cast("array<long>").alias("gone")))
+    none = F.array().cast("array<long>")
+    now = scratch.put("states", starts.select("start", F.lit(None).cast("binary").alias("state"), F.array("start").alias("ready"), none.alias("seen"), none.alias("gone")))
     arc = ["a", "b", "ovlp", "len", "nsr", "n_in"]
 
     def step(batches):
@@ -244,21 +249,46 @@ def simplify_bubbles(vertices: DataFrame, edges: DataFrame, max_vertices: int =
                 rows = pd.DataFrame([tuple(int(x[c]) for c in arc) for x in (found if found is not None else [])], columns=arc)
                 after = settle(own, [int(x) for x in ready], rows, max_vertices, max_dist)
                 bubble = own.sink is not None and own.start < own.sink ^ 1
-                out.append((start, pickle.dumps(own), [] if own.failed else after, off_the_ways(own) if bubble else []))
-            yield pd.DataFrame(out, columns=["start", "state", "ready", "gone"])
+                seen = sorted({v >> 1 for v in own.ways}) if bubble else []
+                out.append((start, pickle.dumps(own), [] if own.failed else after, seen, off_the_ways(own) if bubble else []))
+            yield pd.DataFrame(out, columns=["start", "state", "ready", "seen", "gone"])
 
-    turn, gone = 0, None
+    turn, found = 0, None
     while not now.isEmpty():
         front = now.select("start", F.explode("ready").alias("a")).join(arcs, "a").groupBy("start").agg(F.collect_list(F.struct(*arc)).alias("arcs"))
         rows = now.select("start", "state", "ready").join(front, "start", "left")
-        after = scratch.put(f"after{turn}", rows.mapInPandas(step, "start long, state binary, ready array<long>, gone array<long>"))
-        found = after.select(F.explode("gone").alias("id"))
-        gone = found if gone is None else gone.unionAll(found)
+        after = scratch.put(f"after{turn}", rows.mapInPandas(step, "start long, state binary, ready array<long>, seen array<long>, gone array<long>"))
+        ended = after.where(F.size("gone") > 0).select("start", "seen", "gone")
+        found = ended if found is None else found.unionAll(ended)
         now = scratch.put("states", after.where(F.size("ready") > 0))
         turn += 1
-    if gone is None:
-        return vertices, edges
-    return tuple(map(cut_lineage, Gr.drop_vertices(vertices, edges, gone.distinct())))
+    return found if found is not None else now.select("start", "seen", "gone")
+
+
+def simplify_bubbles(vertices: DataFrame, edges: DataFrame, max_vertices: int = 64, max_dist: int = 512) -> tuple[DataFrame, DataFrame]:
+    """Without what lies off the two ways of most reads through a bubble of any shape.
+
+    From an end with two edges or more, vertices are settled once all their predecessors are, each with its best and second-best
+    number of reads, distance and way back; of ways with equal reads that over the smaller vertex before is better. A bubble ends where one settled vertex is
+    left and nothing waits; a dead end, a way back to the start, more than max_vertices or a way longer than max_dist is none. All starts take a step
+    at once: a join fetches the arcs of the vertices that are ready, and each start's state, of max_vertices vertices at most, moves on. A bubble is found
+    from both its ends; the smaller one decides. Bubbles that hold a vertex that one of them would take conflict: of those the one of the fewest vertices, then of the
+    smallest start, goes first, and the others are searched again in what is left.
+    """
+    scratch = Scratch(vertices.sparkSession, "simplify")
+    starts = scratch.put("starts", edges.groupBy("a").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= 2 * max_vertices)).select(F.col("a").alias("start")))
+    while not starts.isEmpty():
+        found = scratch.put("found", find_bubbles(vertices, edges, starts, max_vertices, max_dist))
+        if found.isEmpty():
+            break
+        turn = F.struct(F.size("seen").alias("n"), F.col("start"))
+        held = found.select("start", turn.alias("turn"), F.explode("seen").alias("id"), "gone").withColumn("taken", F.array_contains("gone", F.col("id"))).drop("gone")
+        first = held.groupBy("id").agg(F.min("turn").alias("first"), F.max("taken").alias("wanted")).where("wanted")
+        behind = scratch.put("behind", held.join(first, "id").where("turn <> first").select("start").distinct())
+        gone = found.join(behind, "start", "left_anti").select(F.explode("gone").alias("id")).distinct()
+        vertices, edges = map(cut_lineage, Gr.drop_vertices(vertices, edges, gone))
+        starts = behind
+    return vertices, edges
 
 
 def drop_weak(vertices: DataFrame, edges: DataFrame, min_overlap: int, ratio: float, rules: Cleaning) -> DataFrame:

@@ -23,18 +23,46 @@ def full_length_hits(contigs: DataFrame, reads: DataFrame, seed: int) -> DataFra
     return found.join(reads.select("read_id", "seq"), "read_id").where(F.col("part") == turned).select("contig", "read_id", "strand", "beg", (F.col("beg") + F.col("size")).alias("end"))
 
 
+def read_places(hits: DataFrame) -> DataFrame:
+    """(contig, beg, end) where reads lie whole: equal reads in one place are one, and so are a read and the reverse complement of another."""
+    return hits.select("contig", "beg", "end").distinct()
+
+
 def supporting_reads(hits: DataFrame) -> DataFrame:
-    """(contig, n_supp): reads that lie in a contig whole; a read counts once for a contig, wherever and however often it lies there."""
-    return hits.groupBy("contig").agg(F.count_distinct("read_id").alias("n_supp"))
+    """(contig, n_supp): distinct reads in distinct places of a contig."""
+    return read_places(hits).groupBy("contig").agg(F.count("*").alias("n_supp"))
+
+
+def _paired_hits(hits: DataFrame, max_dist: int) -> DataFrame:
+    """hits with pair, the forward read the hit is about (own or mate's), opened: where that one was last found before it, and paired.
+
+    Along a contig, a forward hit opens and replaces what its read had open; a reverse hit nearer than max_dist to what its mate has open closes it. So of the reverse hits
+    after one forward hit and before the next, the first near enough makes a pair.
+    """
+    forward = F.col("strand") == 0
+    about = F.when(forward, F.col("read_id")).otherwise(F.col("read_id").bitwiseXOR(F.lit(1).cast("long")))
+    rows = hits.withColumn("about", about).withColumn("reverse", ~forward)
+    order = Window.partitionBy("contig", "about").orderBy("beg", "end", "reverse")
+    rows = rows.withColumn("turn", F.count_if(forward).over(order)).withColumn("opened", F.last(F.when(forward, F.col("beg")), ignorenulls=True).over(order))
+    near = F.coalesce(F.col("reverse") & (F.col("end") - F.col("opened") < max_dist), F.lit(False))
+    rows = rows.withColumn("near", near)
+    within = Window.partitionBy("contig", "about", "turn", "near").orderBy("beg", "end", "reverse")
+    return rows.withColumn("paired", F.col("near") & (F.row_number().over(within) == 1))
 
 
 def mate_pairs(hits: DataFrame, max_dist: int) -> DataFrame:
-    """(contig, pair, beg, end): a forward hit and its mate's reverse hit after it, nearer than max_dist. Mates are reads 2p and 2p + 1."""
-    pair = F.shiftright("read_id", 1)
-    fwd = hits.where("strand = 0").select("contig", pair.alias("pair"), F.col("read_id").alias("r1"), "beg")
-    rev = hits.where("strand = 1").select("contig", pair.alias("pair"), F.col("read_id").alias("r2"), "end")
-    size = F.col("end") - F.col("beg")
-    return fwd.join(rev, ["contig", "pair"]).where((F.col("r1") != F.col("r2")) & (size > 0) & (size < max_dist)).select("contig", "pair", "beg", "end")
+    """(contig, pair, beg, end): a forward hit and its mate's reverse hit after it, nearer than max_dist. Mates are reads 2p and 2p + 1; a hit is in one pair at most."""
+    rows = _paired_hits(hits, max_dist).where("paired")
+    return rows.select("contig", F.shiftright("read_id", 1).alias("pair"), F.col("opened").alias("beg"), "end")
+
+
+def unpaired_hits(hits: DataFrame, max_dist: int) -> DataFrame:
+    """(contig, read_id, beg, end): reverse hits that closed no pair, and of each read the last forward hit, if none closed it."""
+    rows = _paired_hits(hits, max_dist)
+    whole = Window.partitionBy("contig", "about")
+    rows = rows.withColumn("closed", F.max("paired").over(Window.partitionBy("contig", "about", "turn"))).withColumn("turns", F.max("turn").over(whole))
+    open_ = ~F.col("reverse") & (F.col("turn") == F.col("turns")) & ~F.col("closed")
+    return rows.where(open_ | (F.col("reverse") & ~F.col("paired"))).select("contig", "read_id", "beg", "end")
 
 
 def insert_stats(pairs: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandloom.session import Scratch
+
 LN2 = 0.6931471805599453
 
 
@@ -76,17 +78,36 @@ def drop_vertices(vertices: DataFrame, edges: DataFrame, gone: DataFrame) -> tup
     return vertices.join(ids, "id", "left_anti"), left.select("a", "b", "ovlp")
 
 
+def _apart(waiting: DataFrame, edges: DataFrame) -> DataFrame:
+    """Of waiting (id, nsr), those without a waiting neighbour that comes before them by (nsr, id)."""
+    near = edges.select(F.shiftright("a", 1).alias("id"), F.shiftright("b", 1).alias("other")).where("id <> other").distinct()
+    other = waiting.select(F.col("id").alias("other"), F.col("nsr").alias("other_nsr"))
+    pairs = near.join(waiting, "id").join(other, "other")
+    later = pairs.where(F.struct("other_nsr", "other") < F.struct("nsr", "id")).select("id").distinct()
+    return waiting.join(later, "id", "left_anti")
+
+
 def bridge_vertices(vertices: DataFrame, edges: DataFrame, gone: DataFrame, min_overlap: int) -> tuple[DataFrame, DataFrame]:
-    """drop_vertices, with edges from before to after a vertex where they would overlap by min_overlap at least."""
-    out = gone.select("id").distinct().join(vertices.select("id", "len"), "id")
-    oriented = out.select("len", F.explode(F.array(F.col("id") * 2, F.col("id") * 2 + 1)).alias("v"))
-    into = edges.select("a", F.col("b").alias("v"), F.col("ovlp").alias("o1")).join(oriented, "v")
-    past = edges.select(F.col("a").alias("v"), "b", F.col("ovlp").alias("o2"))
-    bridged = into.join(past, "v").select("a", "b", (F.col("o1") + F.col("o2") - F.col("len")).cast("int").alias("ovlp")).where((F.col("ovlp") >= min_overlap) & (F.col("a") != F.col("b")))
-    kept, left = drop_vertices(vertices, edges, gone)
-    ends = kept.select(F.explode(F.array(F.col("id") * 2, F.col("id") * 2 + 1)).alias("end"))
-    live = bridged.join(ends.select(F.col("end").alias("a")), "a", "left_semi").join(ends.select(F.col("end").alias("b")), "b", "left_semi")
-    return kept, dedupe_edges(left.unionAll(live.select("a", "b", "ovlp")))
+    """drop_vertices, with edges from before to after a vertex where they would overlap by min_overlap at least.
+
+    Neighbours don't go at once: each round takes those that come before all their neighbours by (nsr, id), until none is left, so a path over several of them
+    is bridged as one after the other would. Rounds are as many as the longest run of neighbours in that order.
+    """
+    scratch = Scratch(vertices.sparkSession, "bridges")
+    waiting = scratch.put("waiting", gone.select("id").distinct().join(vertices.select("id", "nsr", "len"), "id"))
+    kept = vertices.join(gone.select("id").distinct(), "id", "left_anti")
+    while not waiting.isEmpty():
+        now = scratch.put("now", _apart(waiting, edges))
+        oriented = now.select("len", F.explode(F.array(F.col("id") * 2, F.col("id") * 2 + 1)).alias("v"))
+        into = edges.select("a", F.col("b").alias("v"), F.col("ovlp").alias("o1")).join(oriented, "v")
+        past = edges.select(F.col("a").alias("v"), "b", F.col("ovlp").alias("o2"))
+        bridged = into.join(past, "v").select("a", "b", (F.col("o1") + F.col("o2") - F.col("len")).cast("int").alias("ovlp")).where((F.col("ovlp") >= min_overlap) & (F.col("a") != F.col("b")))
+        ends = oriented.select("v")
+        whole = edges.unionAll(bridged)
+        left = whole.join(ends.select(F.col("v").alias("a")), "a", "left_anti").join(ends.select(F.col("v").alias("b")), "b", "left_anti")
+        edges = scratch.put("edges", dedupe_edges(left.select("a", "b", "ovlp")))
+        waiting = scratch.put("waiting", waiting.join(now.select("id"), "id", "left_anti"))
+    return kept, dedupe_edges(edges)
 
 
 def likely_unique(vertices: DataFrame, floor: float = 20.0) -> DataFrame:

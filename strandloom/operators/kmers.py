@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequences import canonical, revcomp, windows
+from strandloom.session import Scratch
 
 
 def kmer_counts(reads: DataFrame, k: int, *, seq_col: str = "s", both: bool = True, dna_only: bool = True) -> DataFrame:
@@ -61,11 +62,44 @@ def unique_kmer_filter(reads: DataFrame, k: int, *, id_col: str = "rid", seq_col
     return reads.join(pairs, pair_col, "left_anti")
 
 
-def contrast(a: DataFrame, b: DataFrame, k: int, min_occ: int = 3) -> DataFrame:
+def _suffix_heads(collection: DataFrame, k: int, shortest: int) -> DataFrame:
+    """(oriented_id, w): the first k bases from each position that has `shortest` of them at least."""
+    long_ = collection.where(F.length("seq") >= shortest)
+    return long_.select("oriented_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - shortest + 1), lambda i: F.substring(F.col("seq"), i, F.lit(k)))).alias("w"))
+
+
+def _special_heads(a: DataFrame, b: DataFrame, k: int, min_occ: int, shortest: int) -> DataFrame:
+    """(sample, w): heads (w) that begin with a string that occurs min_occ times in one sample and never in the other.
+
+    Strings grow level by level: one of length l + 1 is counted only if its first l bases still occur in both samples, and min_occ times in one of them.
+    """
+    scratch = Scratch(a.sparkSession, "contrast")
+    every = a.select("w", F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(b.select("w", F.lit(0), F.lit(1)))
+    alive = scratch.put("alive", every.groupBy("w").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    out = None
+    for size in range(shortest, k + 1):
+        head = F.left("w", F.lit(size))
+        rows = alive.where(F.length("w") >= size)
+        counts = rows.groupBy(head.alias("head")).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b")).where(F.greatest("n_a", "n_b") >= min_occ)
+        told = scratch.put(f"level{size}", rows.join(counts, head == F.col("head")).select("w", "a", "b", "n_a", "n_b"))
+        found = told.where("n_a = 0 OR n_b = 0").select(F.when(F.col("n_b") == 0, "a").otherwise("b").alias("sample"), "w")
+        out = found if out is None else out.unionAll(found)
+        alive = told.where("n_a > 0 AND n_b > 0").select("w", "a", "b")
+        if alive.isEmpty():
+            break
+    return out
+
+
+def contrast(a: DataFrame, b: DataFrame, k: int, min_occ: int = 3, *, exact: bool = False, shortest: int = 4) -> DataFrame:
     """(sample, oriented_id): strings of one sample with a k-mer that occurs min_occ times there and never in the other.
 
-    a and b are collections (oriented_id, seq) that hold both strands.
+    a and b are collections (oriented_id, seq) that hold both strands. With exact, any string of `shortest` to k bases counts, not those of k alone.
     """
+    if exact:
+        heads = [_suffix_heads(x, k, shortest) for x in (a, b)]
+        special = _special_heads(*heads, k, min_occ, shortest)
+        hits = [own.join(special.where(F.col("sample") == name).select("w"), "w", "left_semi").select(F.lit(name).alias("sample"), "oriented_id").distinct() for name, own in zip("ab", heads, strict=True)]
+        return hits[0].unionAll(hits[1])
     counts = [kmer_counts(x, k, seq_col="seq", both=False) for x in (a, b)]
     out = None
     for sample, own, (mine, other) in (("a", a, counts), ("b", b, counts[::-1])):

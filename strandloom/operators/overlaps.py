@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +31,8 @@ def contained_reads(collection: DataFrame, seed: int, group: str | None = None)
     return with_strings(found, collection, "oriented_id", "seq").where("part = seq").select("oriented_id").distinct()
 
 
-def overlaps(collection: DataFrame, min_overlap: int, group: str | None = None) -> DataFrame:
-    """(a, b, ovlp): a suffix of string a is a prefix of string b, shorter than either.
+def overhangs(collection: DataFrame, min_overlap: int, group: str | None = None) -> DataFrame:
+    """(a, b, ovlp, rest): a suffix of string a is a prefix of string b, shorter than either; rest is what b adds to a.
 
     An equi-join on b's first min_overlap bases, verified on the rest; all overlaps of a pair are kept. With group, a column, only strings of one group meet.
     """
@@ -38,18 +41,37 @@ def overlaps(collection: DataFrame, min_overlap: int, group: str | None = None)
     spots = collection.select(*also, F.col("oriented_id").alias("a"), F.length("seq").alias("a_size"), F.posexplode(windows(F.col("seq"), min_overlap)).alias("at", "m")).where("at > 0")
     found = spots.join(heads, [*also, "m"]).where("a <> b AND a_size - at < b_size").select("a", "b", (F.col("a_size") - F.col("at")).alias("ovlp"))
     found = with_strings(found, collection, "a", "a_seq").select("a", "b", "ovlp", F.expr("right(a_seq, ovlp)").alias("part"))
-    return with_strings(found, collection, "b", "b_seq").where("part = left(b_seq, ovlp)").select("a", "b", F.col("ovlp").cast("int").alias("ovlp"))
+    return with_strings(found, collection, "b", "b_seq").where("part = left(b_seq, ovlp)").select("a", "b", F.col("ovlp").cast("int").alias("ovlp"), F.expr("substring(b_seq, ovlp + 1)").alias("rest"))
+
+
+def overlaps(collection: DataFrame, min_overlap: int, group: str | None = None) -> DataFrame:
+    """(a, b, ovlp) of overhangs."""
+    return overhangs(collection, min_overlap, group).drop("rest")
 
 
-def longest_overlaps(edges: DataFrame) -> DataFrame:
-    """One edge for each (a, b): the longest."""
-    return edges.groupBy("a", "b").agg(F.max("ovlp").alias("ovlp"))
+def longest_overlaps(found: DataFrame) -> DataFrame:
+    """One overlap for each (a, b): the longest."""
+    rest = [F.max_by("rest", "ovlp").alias("rest")] if "rest" in found.columns else []
+    return found.groupBy("a", "b").agg(F.max("ovlp").alias("ovlp"), *rest)
 
 
-def irreducible(edges: DataFrame, lengths: DataFrame) -> DataFrame:
-    """Edges a -> c that no a -> b -> c of the same spelling explains; lengths: (oriented_id, len)."""
-    first = edges.select("a", F.col("b").alias("via"), F.col("ovlp").alias("o1"))
-    second = edges.select(F.col("a").alias("via"), F.col("b").alias("c"), F.col("ovlp").alias("o2"))
-    size = lengths.select(F.col("oriented_id").alias("via"), "len")
-    implied = first.join(second, "via").join(size, "via").select("a", F.col("c").alias("b"), (F.col("o1") + F.col("o2") - F.col("len")).cast("int").alias("ovlp"))
-    return edges.join(implied.where("ovlp > 0").distinct(), ["a", "b", "ovlp"], "left_anti")
+def _fronts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows whose rest no shorter one of the same a begins. Rows come in order of a and rest, so the last row that stayed is the one to look at."""
+    now, front = None, ""
+    for pdf in batches:
+        stays = []
+        for a, rest in zip(pdf["a"], pdf["rest"], strict=True):
+            within = a == now and len(rest) > len(front) and rest.startswith(front)
+            if not within:
+                now, front = a, rest
+            stays.append(not within)
+        yield pdf.loc[stays, ["a", "b", "ovlp"]]
+
+
+def irreducible(found: DataFrame) -> DataFrame:
+    """(a, b, ovlp): overlaps a -> c of found (a, b, ovlp, rest) that no a -> b -> c of the same spelling explains; no string may hold another.
+
+    What a longer overlap adds to a then begins what c adds. In the order of these overhangs all that one begins follow it, so each end takes one ordered
+    pass over its overlaps: they are dealt out and sorted once, edges never meet edges, and a task holds one overhang.
+    """
+    return found.repartition("a").sortWithinPartitions("a", "rest").mapInPandas(_fronts, "a long, b long, ovlp int")

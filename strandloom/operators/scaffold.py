@@ -68,12 +68,12 @@ def link_p_values(distances: DataFrame, avg: float, std: float, reach: int, most
     return rows.select("end_a", "end_b", "n", student_p_column(t, F.least(F.col("n") - 1, F.lit(most_df)).cast("double")).alias("p"))
 
 
-def scaftigs(contigs: DataFrame, links: DataFrame, insert: int, min_a: float = 20.0, min_p: float = 1e-20) -> DataFrame:
+def scaftigs(contigs: DataFrame, links: DataFrame, insert: int, min_a: float = 20.0, min_p: float = 1e-20, *, patched_only: bool = False) -> DataFrame:
     """(seq, n_unitigs, nsr): contigs (contig, seq) joined along links (end_a, end_b, avg_dist) between their ends.
 
     An end is 2 * contig for the left and 2 * contig + 1 for the right. A gap of insert - avg_dist bases is filled
     with N (one at least); of both directions of a path the one from its smaller end is kept. Where links have a P-value p or contigs an A-statistic a, links
-    below min_p and contigs below min_a join nothing; links with a patch of l bases are joined by it, or lose the -l bases that overlap; nsr, the contigs' reads, adds up, or is null where contigs have none.
+    below min_p and contigs below min_a join nothing; links with a patch of l bases are joined by it, or lose the -l bases that overlap (walked backwards -back, where links have that); with patched_only no other link joins; nsr, the contigs' reads, adds up, or is null where contigs have none.
     """
     if "p" in links.columns:
         links = links.where(F.col("p") >= min_p)
@@ -83,10 +83,13 @@ def scaftigs(contigs: DataFrame, links: DataFrame, insert: int, min_a: float = 2
             links = links.join(sure.withColumnRenamed("contig", "sure"), F.floor(F.col(end) / 2) == F.col("sure"), "left_semi")
     contigs = contigs.select("contig", "seq", (F.col("nsr") if "nsr" in contigs.columns else F.lit(None)).cast("long").alias("nsr"))
     one = F.lit(1).cast("long")
-    for name, kind in (("avg_dist", "long"), ("l", "int"), ("patch", "string")):
+    for name, kind in (("avg_dist", "long"), ("l", "int"), ("back", "int"), ("patch", "string")):
         if name not in links.columns:
             links = links.withColumn(name, F.lit(None).cast(kind))
-    both = links.select("end_a", "end_b", "avg_dist", "l", "patch").unionAll(links.select(F.col("end_b").alias("end_a"), F.col("end_a").alias("end_b"), "avg_dist", "l", F.reverse(F.translate("patch", "ACGT", "TGCA"))))
+    if patched_only:
+        links = links.where("l IS NOT NULL")
+    back = F.coalesce("back", "l").alias("l")
+    both = links.select("end_a", "end_b", "avg_dist", "l", "patch").unionAll(links.select(F.col("end_b").alias("end_a"), F.col("end_a").alias("end_b"), "avg_dist", back, F.reverse(F.translate("patch", "ACGT", "TGCA"))))
     # Leaving by an end is walking the contig so that it comes last; entering by an end, so that it comes first.
     walk = both.select(F.col("end_a").bitwiseXOR(one).alias("a"), F.col("end_b").alias("b"), F.greatest(insert - F.col("avg_dist"), F.lit(1)).cast("long").alias("step"), "l", "patch")
     walk = cut_lineage(walk)

@@ -59,8 +59,7 @@ def contained_reads(spark, d):
 
 @query("irreducible_edges", f"WITH e AS ({OVL}) SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM e x JOIN e y ON x.b = y.a WHERE x.a = e.a AND y.b = e.b AND x.ovlp + y.ovlp - 60 = e.ovlp)")
 def irreducible_edges(spark, d):
-    both, edges = _overlaps(spark, d)
-    return O.irreducible(edges, both.select("oriented_id", F.length("seq").alias("len")))
+    return O.irreducible(O.overhangs(both_strands(fixture(spark, d, "H")), 31))
 
 
 #: Unitigs of the reads of R, walked step by step: overlaps, irreducible ones, unambiguous ones, paths from their heads, cycles from their smallest node.
@@ -219,8 +218,7 @@ def unique_unitigs(spark, d):
 
 def _line(spark, d):
     """A path of oriented vertices for each genome: six vertices of 60 bases with overlaps of 48."""
-    both, edges = _overlaps(spark, d)
-    lines = cut_lineage(O.irreducible(edges, both.select("oriented_id", F.length("seq").alias("len"))))
+    lines = cut_lineage(O.irreducible(O.overhangs(both_strands(fixture(spark, d, "H")), 31)))
     vertices = fixture(spark, d, "H").select(F.col("rid").alias("id"), F.lit(60).cast("long").alias("len"), F.lit(1).cast("long").alias("nsr"))
     return vertices, lines
 
@@ -239,6 +237,16 @@ def bridge_delete(spark, d):
     return Gr.bridge_vertices(vertices, edges, vertices.where("id % 6 = 2").select("id"), 30)[1]
 
 
+@query(
+    "bridge_adjacent",
+    f"SELECT a * 2 AS a, (a + step) * 2 AS b, CAST(60 - 12 * step AS INT) AS ovlp FROM (SELECT rid AS a, CASE rid % 6 WHEN 1 THEN 3 ELSE 1 END AS step FROM ({H}) h WHERE rid % 6 IN (0, 1, 4)) x UNION ALL SELECT (a + step) * 2 + 1, a * 2 + 1, CAST(60 - 12 * step AS INT) FROM (SELECT rid AS a, CASE rid % 6 WHEN 1 THEN 3 ELSE 1 END AS step FROM ({H}) h WHERE rid % 6 IN (0, 1, 4)) y",
+)
+def bridge_adjacent(spark, d):
+    """The third and fourth of six vertices in a row go: the second leads to the fifth."""
+    vertices, edges = _line(spark, d)
+    return Gr.bridge_vertices(vertices, edges, vertices.where("id % 6 IN (2, 3)").select("id"), 20)[1]
+
+
 @query("sw_align", f"SELECT id, CAST(CASE WHEN id % 2 = 0 THEN 5 * 59 - 4 ELSE 5 * 59 - 7 END AS INT) AS score, 59 AS query_end, CASE WHEN id % 2 = 0 THEN 59 ELSE 58 END AS target_end FROM ({G}) g")
 def sw_align(spark, d):
     """Each genome's first 60 bases against themselves with one substitution, or with base 30 left out."""
@@ -249,6 +257,14 @@ def sw_align(spark, d):
     return align(pairs).select("id", "score", "query_end", "target_end")
 
 
+@query("sw_align_whole", f"SELECT id, 300 AS score, 59 AS query_end, 20 + 59 AS target_end, 0 AS query_start, 20 AS target_start, 200 AS score2, 20 + 128 + 39 AS target_end2 FROM ({G}) g")
+def sw_align_whole(spark, d):
+    """Each genome's first 60 bases against a target that holds them after twenty Ns, and the first 40 of them again at its end: starts, ends and the second best."""
+    target = F.concat(F.repeat(F.lit("N"), F.lit(20)), F.substring("s", 1, 60), F.repeat(F.lit("N"), F.lit(68)), F.substring("s", 1, 40))
+    pairs = fixture(spark, d, "G").select("id", F.substring("s", 1, 60).alias("query"), target.alias("target"))
+    return align(pairs, whole=True).drop("query", "target")
+
+
 @query("smem", f"SELECT rid AS query, 0 AS beg, 29 AS stop, 1::BIGINT AS n, w = 0 AS left_end, false AS right_end FROM ({H}) h UNION ALL SELECT rid, 30, 60, 1::BIGINT, false, false FROM ({H}) h2")
 def smem_query(spark, d):
     """Reads with base 30 changed against their genomes: a match on either side of it."""
@@ -282,29 +298,69 @@ def _graph(g, parts, ties):
     return vertices, edges
 
 
-#: Reads of the inner vertices of a bubble of four ways: 0 -> 1 -> (2 | 3) -> 5, 0 -> 4 -> 5 and 0 -> 6 -> 5, then 7.
+#: Reads of the inner vertices of a bubble of four ways: 0 -> 1 -> (2 | 3) -> 5, 0 -> 4 -> 5 and 0 -> 6 -> 5, then 7. Of equal ways the one over the smaller last vertex is better.
 WAYS = """SELECT id, r1 + r2 AS n, [1, 2] AS way FROM b UNION ALL SELECT id, r1 + r3, [1, 3] FROM b UNION ALL SELECT id, r4, [4] FROM b UNION ALL SELECT id, r6, [6] FROM b"""
 READS = {k: f"(2 + (id * {m}) % {p})" for k, m, p in ((1, 7, 11), (2, 5, 13), (3, 3, 17), (4, 11, 23), (6, 13, 29))}
 
 
+def _ways_graph(spark, d, reads):
+    spot = lambda a, n: F.substring("s", a, n)
+    seqs = {0: spot(1, 40), 1: spot(11, 40), 2: spot(21, 50), 3: spot(22, 50), 4: spot(12, 60), 5: spot(41, 40), 6: spot(13, 60), 7: spot(61, 40)}
+    return _graph(fixture(spark, d, "G"), [(k, s, reads.get(k, F.lit(50))) for k, s in seqs.items()], [(0, 1, 30), (1, 2, 30), (1, 3, 30), (2, 5, 30), (3, 5, 30), (0, 4, 30), (4, 5, 30), (0, 6, 30), (6, 5, 30), (5, 7, 20)])
+
+
+def _off_the_ways_sql(reads: dict) -> str:
+    return (
+        f"WITH b AS (SELECT id, {', '.join(f'{v} AS r{k}' for k, v in reads.items())} FROM ({G}) g), w AS ({WAYS}), best AS (SELECT id, unnest(way) AS k FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, way[-1]) AS place FROM w) x WHERE place <= 2) "
+        "SELECT id * 16 + k AS id FROM (SELECT id, unnest([1, 2, 3, 4, 6]) AS k FROM b) a WHERE (id, k) NOT IN (SELECT (id, k) FROM best)"
+    )
+
+
+@query("bubble_complex", _off_the_ways_sql(READS))
+def bubble_complex(spark, d):
+    """What the two ways of most reads through a bubble leave over."""
+    vertices, edges = _ways_graph(spark, d, {k: F.expr(v) for k, v in READS.items()})
+    return vertices.select("id").join(simplify_bubbles(vertices, edges)[0].select("id"), "id", "left_anti")
+
+
+FEW = {k: f"(1 + (id // {m}) % 2)" for k, m in ((1, 1), (2, 2), (3, 4), (4, 8), (6, 16))}
+
+
+@query("bubble_ties", _off_the_ways_sql(FEW))
+def bubble_ties(spark, d):
+    """Bubbles whose ways have few reads, so that many are equal."""
+    vertices, edges = _ways_graph(spark, d, {k: F.expr(v.replace("//", "div")) for k, v in FEW.items()})
+    return vertices.select("id").join(simplify_bubbles(vertices, edges)[0].select("id"), "id", "left_anti")
+
+
+#: A bubble of three arms inside one of two: 0 -> 1 -> (2 | 3 | 4) -> 5 -> 7 and 0 -> 6 -> 7, then 8.
+NESTED = {k: f"(2 + (id * {m}) % {p})" for k, m, p in ((1, 3, 7), (2, 5, 11), (3, 7, 13), (4, 11, 17), (6, 13, 43))}
+
+
 @query(
-    "bubble_complex",
-    f"WITH b AS (SELECT id, {', '.join(f'{v} AS r{k}' for k, v in READS.items())} FROM ({G}) g), w AS ({WAYS}), best AS (SELECT id, unnest(way) AS k FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC) AS place, max(c) OVER (PARTITION BY id) AS most FROM (SELECT *, count(*) OVER (PARTITION BY id, n) AS c FROM w) y) x WHERE place <= 2) "
-    f"SELECT id * 16 + k AS id FROM (SELECT id, unnest([1, 2, 3, 4, 6]) AS k FROM b) a WHERE (id, k) NOT IN (SELECT (id, k) FROM best) AND id NOT IN (SELECT id FROM (SELECT id, n, count(*) AS c FROM w GROUP BY 1, 2) t WHERE c > 1)",
+    "bubble_nested",
+    f"WITH b AS (SELECT id, {', '.join(f'{v} AS r{k}' for k, v in NESTED.items())} FROM ({G}) g), arms AS (SELECT id, k, r1 + 9 + r AS n, row_number() OVER (PARTITION BY id ORDER BY r DESC, k) AS place, r6 FROM (SELECT *, unnest([2, 3, 4]) AS k, unnest([r2, r3, r4]) AS r FROM b) x), "
+    "outer_ AS (SELECT id, 5 AS last, k, n, place AS which FROM arms WHERE place <= 2 UNION ALL SELECT id, 6, 6, r6, 1 FROM b), best AS (SELECT id, k FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, last, which) AS place FROM outer_) y WHERE place <= 2) "
+    "SELECT id * 16 + k AS id FROM (SELECT id, unnest([2, 3, 4, 6]) AS k FROM b) z WHERE (id, k) NOT IN (SELECT (id, k) FROM best)",
 )
-def bubble_complex(spark, d):
-    """What the two ways of most reads through a bubble leave over; bubbles with ways of equal reads, whose choice is free, are not shown."""
-    g = fixture(spark, d, "G")
+def bubble_nested(spark, d):
+    """The inner bubble is decided first, then the outer one with what it left."""
     spot = lambda a, n: F.substring("s", a, n)
-    reads = {k: F.expr(v) for k, v in READS.items()}
-    seqs = {0: spot(1, 40), 1: spot(11, 40), 2: spot(21, 50), 3: spot(22, 50), 4: spot(12, 60), 5: spot(41, 40), 6: spot(13, 60), 7: spot(61, 40)}
-    vertices, edges = _graph(g, [(k, s, reads.get(k, F.lit(50))) for k, s in seqs.items()], [(0, 1, 30), (1, 2, 30), (1, 3, 30), (2, 5, 30), (3, 5, 30), (0, 4, 30), (4, 5, 30), (0, 6, 30), (6, 5, 30), (5, 7, 20)])
-    kept, _ = simplify_bubbles(vertices, edges)
-    n = {k: reads[k] for k in reads}
-    ways = F.array(n[1] + n[2], n[1] + n[3], n[4], n[6])
-    clear = g.where(F.size(F.array_distinct(ways)) == 4).select("id")
-    gone = vertices.select("id").join(kept.select("id"), "id", "left_anti")
-    return gone.join(clear.select(F.col("id").alias("of")), F.floor(F.col("id") / 16) == F.col("of"), "left_semi")
+    seqs = {0: spot(1, 40), 1: spot(11, 40), 2: spot(21, 50), 3: spot(22, 50), 4: spot(23, 50), 5: spot(41, 40), 6: spot(13, 80), 7: spot(51, 40), 8: spot(71, 40)}
+    reads = {k: F.expr(v) for k, v in NESTED.items()} | {5: F.lit(9)}
+    vertices, edges = _graph(fixture(spark, d, "G"), [(k, s, reads.get(k, F.lit(50))) for k, s in seqs.items()], [(0, 1, 30), (1, 2, 30), (1, 3, 30), (1, 4, 30), (2, 5, 30), (3, 5, 30), (4, 5, 30), (5, 7, 30), (0, 6, 30), (6, 7, 30), (7, 8, 20)])
+    return vertices.select("id").join(simplify_bubbles(vertices, edges)[0].select("id"), "id", "left_anti")
+
+
+@query("open_bubble_pair", f"SELECT id * 16 + CASE WHEN id % 3 = 1 THEN 1 ELSE 2 END AS id FROM ({G}) g UNION ALL SELECT id * 16 + 3 FROM ({G}) g2 WHERE id % 2 = 0")
+def open_bubble_pair(spark, d):
+    """Dead ends that are like each other and have no other sibling: two, or three, of which the one of most reads, or of the largest id, stays."""
+    g = fixture(spark, d, "G")
+    changed = lambda at: F.concat(F.expr(f"substring(s, 31, {at - 31})"), F.translate(F.substring("s", at, 1), "ACGT", "CGTA"), F.expr(f"substring(s, {at + 1}, {100 - at})"))
+    third = F.when(F.col("id") % 2 == 0, F.concat(changed(81))).otherwise(F.concat(F.substring("s", 31, 30), F.reverse(F.substring("s", 61, 40))))
+    parts = [(0, F.substring("s", 1, 60), F.lit(9)), (1, F.substring("s", 31, 70), F.when(F.col("id") % 3 == 0, 9).when(F.col("id") % 3 == 1, 2).otherwise(5)), (2, changed(91), F.when(F.col("id") % 3 == 0, 2).when(F.col("id") % 3 == 1, 9).otherwise(4)), (3, third, F.lit(1))]
+    vertices, edges = _graph(g, parts, [(0, 1, 30), (0, 2, 30), (0, 3, 30)])
+    return vertices.select("id").join(pop_open(vertices, edges, 98)[0].select("id"), "id", "left_anti")
 
 
 @query("open_bubble", f"SELECT id * 16 + 2 AS id FROM ({G}) g WHERE id % 3 < 2")

@@ -55,7 +55,7 @@ def _positions(runs):
 
 @query("coverage", f"SELECT id AS contig, pos, count(*) AS cov FROM (SELECT id, unnest(generate_series(4 * w, 4 * w + 39)) AS pos FROM ({HP}) p UNION ALL SELECT id, unnest(generate_series(60 + 4 * w, 99 + 4 * w)) FROM ({HP}) p2) x GROUP BY 1, 2")
 def coverage(spark, d):
-    return _positions(C.depth(_hits(spark, d)))
+    return _positions(C.depth(C.read_places(_hits(spark, d))))
 
 
 @query("pair_coverage", f"SELECT id AS contig, pos, count(*) AS cov FROM (SELECT id, unnest(generate_series(4 * w + 10, 4 * w + 89)) AS pos FROM ({HP}) p) x GROUP BY 1, 2")
@@ -69,6 +69,36 @@ def break_contigs(spark, d):
     return C.break_contigs(_contigs(spark, d), runs, 2, 10).withColumnRenamed("end", "stop")
 
 
+@query(
+    "equal_reads",
+    f"SELECT id AS contig, pos, cov, n_supp FROM (SELECT id, pos, count(*) AS cov FROM (SELECT id, unnest(generate_series(4 * w, 4 * w + 39)) AS pos FROM ({HP}) p UNION ALL SELECT id, unnest(generate_series(60 + 4 * w, 99 + 4 * w)) FROM ({HP}) p2) x GROUP BY 1, 2) c JOIN (SELECT id, 2 * count(*) AS n_supp FROM ({HP}) p3 GROUP BY 1) n USING (id)",
+)
+def equal_reads(spark, d):
+    """Depth and support of contigs where each read comes three times, once as its reverse complement: as much as of one copy."""
+    from strandloom.session import cut_lineage
+
+    reads = _reads(spark, d)
+    turned = F.reverse(F.translate("seq", "ACGT", "TGCA"))
+    copies = F.array(*(F.struct((F.col("read_id") * 3 + k).alias("read_id"), seq.alias("seq")) for k, seq in enumerate((F.col("seq"), F.col("seq"), turned))))
+    three = reads.select(F.explode(copies).alias("x")).select("x.*")
+    hits = cut_lineage(C.full_length_hits(_contigs(spark, d), three, 31))
+    return _positions(C.depth(C.read_places(hits))).join(C.supporting_reads(hits), "contig")
+
+
+#: Contigs with a stretch twice: what comes first again at the end, or at the start once more.
+TWICE = "SELECT id AS contig, CASE WHEN id % 2 = 0 THEN concat(s, substr(s, 1, 100)) ELSE concat(substr(s, 1, 60), s) END AS seq FROM {g}"
+
+
+@query(
+    "pairs_over_repeat",
+    f"SELECT id AS contig, pid AS pair, CASE WHEN id % 2 = 0 THEN 4 * w ELSE 60 + 4 * w END AS beg, CASE WHEN id % 2 = 0 THEN 100 + 4 * w ELSE 160 + 4 * w END AS stop FROM ({HP}) p UNION ALL SELECT id, pid, 128, 228 FROM ({HP}) p2 WHERE id % 2 = 0 AND w = 0",
+)
+def pairs_over_repeat(spark, d):
+    """Pairs on contigs where one or both mates lie twice: a reverse hit takes the last forward hit before it, and each once."""
+    contigs = spark.sql(TWICE, g=fixture(spark, d, "G"))
+    return C.mate_pairs(C.full_length_hits(contigs, _reads(spark, d), 31), 1000).withColumnRenamed("end", "stop")
+
+
 def _halves(spark, d):
     parts = F.array(F.struct(F.lit(0).alias("h"), F.substring("s", 1, 58).alias("seq")), F.struct(F.lit(1).alias("h"), F.substring("s", 61, 68).alias("seq")))
     return fixture(spark, d, "G").select("id", F.explode(parts).alias("x")).select((F.col("id") * 2 + F.col("x.h")).alias("contig"), "x.seq")
@@ -114,6 +144,26 @@ def patched_scaftigs(spark, d):
     return found.select(F.least("seq", F.reverse(F.translate("seq", "ACGT", "TGCA"))).alias("seq"), "n_unitigs")
 
 
+@query(
+    "overlap_scaftigs",
+    f"SELECT CASE WHEN id % 3 = 0 THEN concat(substr(s, 1, 74), translate(substr(s, 75, 1), 'ACGT', 'CGTA'), substr(s, 76)) ELSE s END AS seq, 2::BIGINT AS n_unitigs FROM ({G}) g WHERE id % 3 < 2 UNION ALL SELECT substr(s, 1, 75), 1::BIGINT FROM ({G}) g2 WHERE id % 3 = 2 UNION ALL SELECT reverse(substr(s, 56, 73)), 1::BIGINT FROM ({G}) g3 WHERE id % 3 = 2",
+)
+def overlap_scaftigs(spark, d):
+    """Two parts of each genome that overlap by twenty bases but for the left one's last, or the right one's first, or not at all, by turns; no read lies between them."""
+    from strandloom.operators.patching import overlap_patches
+
+    turn = F.col("id") % 3
+    other = lambda at: F.translate(F.substring("s", at, 1), "ACGT", "CGTA")
+    left = F.when(turn == 0, F.concat(F.substring("s", 1, 74), other(75))).otherwise(F.substring("s", 1, 75))
+    right = F.when(turn == 1, F.concat(other(56), F.substring("s", 57, 72))).when(turn == 2, F.reverse(F.substring("s", 56, 73))).otherwise(F.substring("s", 56, 73))
+    g = fixture(spark, d, "G")
+    contigs = g.select(F.explode(F.array(*(F.struct((F.col("id") * 2 + k).alias("contig"), s.alias("seq")) for k, s in enumerate((left, right))))).alias("x")).select("x.*")
+    links = g.select((F.col("id") * 4 + 1).alias("end_a"), (F.col("id") * 4 + 2).alias("end_b"), F.lit(120).cast("long").alias("avg_dist"))
+    distances = links.select("end_a", "end_b", F.explode(F.array(F.lit(116), F.lit(120), F.lit(124))).alias("dist"))
+    patches = overlap_patches(links, contigs, distances, 100.0, 10.0, 58, 40)
+    return S.scaftigs(contigs, links.join(patches.drop("p"), ["end_a", "end_b"], "left"), 100, patched_only=True).select("seq", "n_unitigs")
+
+
 SURE = f"SELECT id * 2 + h AS contig, CASE WHEN (id + h) % 5 = 0 THEN 19.5 ELSE 25.0 END AS a, 3 + id % 4 + h AS nsr, id FROM ({G}) g, (SELECT unnest([0, 1]) AS h) u"
 
 
@@ -233,7 +283,7 @@ def remap_roundtrip(spark, d):
     halves, path = _halves(spark, d), shared_path(spark, "remapped")
     hits = C.full_length_hits(halves, _reads(spark, d), 31)
     contigs = halves.select("contig", F.concat((F.col("contig") * 2).cast("string"), F.lit(":"), (F.col("contig") * 2 + 1).cast("string")).alias("name"), "seq", F.lit(".\t.").alias("rest"))
-    X.remapped_text(contigs, hits, C.mate_pairs(hits, 1000)).write.text(path)
+    X.remapped_text(contigs, hits, 1000).write.text(path)
     return X.parse_remapped(read_fastq(spark, path))[1].withColumnRenamed("end", "stop")
 
 

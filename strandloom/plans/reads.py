@@ -315,16 +315,25 @@ def sub_complement(spark, d):
     return both.join(_selections(both)[0], "oriented_id", "left_anti")
 
 
-def _contrast_sql() -> str:
-    km = "SELECT g, oid, substr(seq, CAST(i AS BIGINT), 31) AS m FROM (SELECT CASE WHEN id % 3 < 2 THEN 'a' ELSE 'b' END AS g, oid, seq, unnest(generate_series(1, length(seq) - 30)) AS i FROM s) x"
+def _contrast_sql(sizes: str = "SELECT 31 AS l") -> str:
+    km = f"SELECT g, oid, substr(seq, CAST(i AS BIGINT), l) AS m FROM (SELECT CASE WHEN id % 3 < 2 THEN 'a' ELSE 'b' END AS g, oid, seq, l, unnest(generate_series(1, length(seq) - l + 1)) AS i FROM s, ({sizes}) z) x"
     shared = "SELECT oid, seq, id FROM base UNION ALL SELECT oid + 1000000000, seq, id + 1 FROM base WHERE id % 3 = 1"
     return f"WITH base AS ({SAMPLES}), s AS ({shared}), km AS ({km}), c AS (SELECT m, count(*) FILTER (g = 'a') AS na, count(*) FILTER (g = 'b') AS nb FROM km GROUP BY 1) SELECT DISTINCT g AS sample, oid AS oriented_id FROM km JOIN c USING (m) WHERE (g = 'a' AND na >= 3 AND nb = 0) OR (g = 'b' AND nb >= 3 AND na = 0)"
 
 
-@query("contrast", _contrast_sql())
-def contrast(spark, d):
+def _samples(spark, d):
     both = _both(spark, d).withColumn("id", F.floor(F.col("oriented_id") / 12))
     a = both.where("id % 3 < 2").select("oriented_id", "seq")
     shared = both.where("id % 3 = 1").select((F.col("oriented_id") + 1000000000).alias("oriented_id"), "seq")
-    b = both.where("id % 3 = 2").select("oriented_id", "seq").unionAll(shared)
-    return K.contrast(a, b, 31)
+    return a, both.where("id % 3 = 2").select("oriented_id", "seq").unionAll(shared)
+
+
+@query("contrast", _contrast_sql())
+def contrast(spark, d):
+    return K.contrast(*_samples(spark, d), 31)
+
+
+@query("contrast_exact", _contrast_sql("SELECT unnest(generate_series(4, 14)) AS l"))
+def contrast_exact(spark, d):
+    """Strings with any string of 4 to 14 bases that is special to their sample."""
+    return K.contrast(*_samples(spark, d), 14, exact=True)

@@ -65,15 +65,14 @@ def identities(sam: DataFrame) -> DataFrame:
     return sam.where("nm IS NOT NULL").select("qname", ((q + d - nm) / (q + d)).alias("with_gaps"), ((q - i - (nm - i - d)) / (q - i)).alias("without_gaps"))
 
 
-def remapped_text(contigs: DataFrame, hits: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(value): a FASTQ record for each contig (contig, name, seq, and the rest of its comment), with its reads counted, its depth as qualities and, as a tag, the hits whose mate isn't placed with them."""
-    from strandloom.operators.coverage import depth, supporting_reads
+def remapped_text(contigs: DataFrame, hits: DataFrame, max_dist: int) -> DataFrame:
+    """(value): a FASTQ record for each contig (contig, name, seq, and the rest of its comment), with its reads counted, its depth as qualities and, as a tag, the hits without a mate nearer than max_dist."""
+    from strandloom.operators.coverage import depth, read_places, supporting_reads, unpaired_hits
 
-    runs = depth(hits.select("contig", "beg", "end"), 93)
+    runs = depth(read_places(hits), 93)
     shown = runs.groupBy("contig").agg(F.array_sort(F.collect_list(F.struct("beg", "end", "cov"))).alias("runs"))
     gaps = F.transform("runs", lambda x, i: F.concat(F.repeat(F.lit("!"), (x["beg"] - F.when(i == 0, 0).otherwise(F.get(F.col("runs"), i - 1)["end"])).cast("int")), F.repeat(F.char(x["cov"] + 33), (x["end"] - x["beg"]).cast("int"))))
-    placed = pairs.select("contig", F.explode(F.array(F.col("pair") * 2, F.col("pair") * 2 + 1)).alias("read_id")).distinct()
-    alone = hits.join(placed, ["contig", "read_id"], "left_anti").groupBy("contig").agg(F.array_sort(F.collect_list(F.struct("read_id", "beg", "end"))).alias("ur"))
+    alone = unpaired_hits(hits, max_dist).groupBy("contig").agg(F.array_sort(F.collect_list(F.struct("read_id", "beg", "end"))).alias("ur"))
     rows = contigs.join(shown, "contig", "left").join(supporting_reads(hits), "contig", "left").join(alone, "contig", "left")
     qual = F.rpad(F.coalesce(F.array_join(gaps, ""), F.lit("")), F.length("seq"), "!")
     tag = F.array_join(F.transform("ur", lambda x: F.concat_ws(",", x["read_id"].cast("string"), x["beg"].cast("string"), x["end"].cast("string"))), ";")

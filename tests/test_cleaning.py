@@ -17,8 +17,7 @@ def canonical(s):
 def graph(spark, reads, min_overlap):
     frame = spark.createDataFrame([(k, s) for k, s in enumerate(reads)], "rid long, s string")
     both = both_strands(frame)
-    lengths = both.select("oriented_id", F.length("seq").alias("len"))
-    edges = O.irreducible(O.overlaps(both, min_overlap), lengths)
+    edges = O.irreducible(O.overhangs(both, min_overlap))
     vertices = frame.select(F.col("rid").alias("id"), F.length("s").cast("long").alias("len"), F.lit(3).cast("long").alias("nsr"), F.col("s").alias("seq"))
     return vertices, edges
 
