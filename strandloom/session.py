@@ -53,6 +53,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession, pause: float = 0.4) -> None:
+    """Lets Spark remove the shuffles of frames that are no longer held, once after a large step: one collection frees their plans, a second one the shuffles behind them."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
+
+
 class Scratch:
     """Named tables of a loop in the shared folder.
 
