@@ -8,9 +8,9 @@ from pathlib import Path
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.session import Scratch, cut_lineage, shared_path, table, written
+from strandloom.session import Scratch, cut_lineage, let_go, shared_path, table, written
 
-__all__ = ["Scratch", "cut_lineage", "partitions", "shared_path", "table", "text_or_empty", "tokenizer_file", "written"]
+__all__ = ["Scratch", "cut_lineage", "let_go", "partitions", "shared_path", "table", "text_or_empty", "tokenizer_file", "written"]
 
 
 def partitions(spark: SparkSession) -> int:

@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import Scratch, text_or_empty
+from strandloom.llm.common import Scratch, let_go, text_or_empty
 
 #: Letters of words: maximal runs of these.
 LETTERS = "A-Za-zÀ-ÿ"
@@ -67,19 +67,20 @@ def _halves(kind: int, size: Column, at: Column) -> list[Column]:
     return [F.xxhash64(F.lit(2), size, at, F.left(word, half), F.right(word, size - at)), F.xxhash64(F.lit(3), size, at, F.right(word, size - half))]
 
 
-def near_words(words: DataFrame) -> DataFrame:
+def near_words(words: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(word, n, near, near_n): words (word, n) that differ by exactly one inserted, deleted or replaced code point, in both directions.
 
     Rarest bigrams meet at places that an edit allows, together with the half of the word that the edit left whole.
     """
-    prefix = rarest_bigrams(words)
+    scratch = scratch or Scratch(words.sparkSession, "near")
+    prefix = scratch.put("rarest", rarest_bigrams(words))
     size, at = F.col("size"), F.col("at")
     alike = F.concat(*(F.array(*_halves(kind, size, at)) for kind in (0, 1)))
     # As the longer word of a pair: the bigram is one further where the edit is left of it.
     right = F.when(at + 2 < size, F.array(*_halves(0, size - 1, at))).otherwise(F.array().cast("array<long>"))
     left = F.when(at > 0, F.array(*_halves(1, size - 1, at - 1))).otherwise(F.array().cast("array<long>"))
-    short = prefix.select(F.explode(alike).alias("key"), "word", "n").distinct()
-    long = prefix.select(F.explode(F.concat(right, left)).alias("key"), F.col("word").alias("near"), F.col("n").alias("near_n"), F.lit(True).alias("longer")).distinct()
+    short = prefix.select(F.explode(alike).alias("key"), "word", "n")
+    long = prefix.select(F.explode(F.concat(right, left)).alias("key"), F.col("word").alias("near"), F.col("n").alias("near_n"), F.lit(True).alias("longer"))
     other = long.unionAll(short.select("key", F.col("word").alias("near"), F.col("n").alias("near_n"), F.lit(False)))
     met = short.join(other, (short["key"] == other["key"]) & (F.col("longer") | (F.col("word") < F.col("near"))) & (F.levenshtein("word", "near", 1) == 1))
     pairs = met.select("word", "n", "near", "near_n").distinct()
@@ -112,8 +113,9 @@ def spelling_variants(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         raise ValueError("shorter words have too few bigrams")
     scratch = Scratch(docs.sparkSession, "spelling")
     words = scratch.put("words", word_counts(docs, id_col, text_col, length, least))
+    let_go(docs.sparkSession)
     best = F.min(F.struct((-F.col("near_n")).alias("order"), F.col("near")))
-    near = near_words(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
+    near = near_words(words, scratch).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
     joined = words.join(near, "word", "left").withColumn("near_n", -F.col("best.order"))
     likely = F.col("near_n") >= times * F.col("n")
     formed = scratch.put("forms", joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(likely, F.col("best.near")).alias("form"), F.when(likely, F.col("near_n")).alias("form_n")))
