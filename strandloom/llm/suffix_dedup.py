@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import Scratch, partitions, shared_path, text_or_empty
+from strandloom.llm.common import Scratch, let_go, partitions, shared_path, text_or_empty
 from strandloom.llm.suffix_order import spans, suffix_orders
 from strandloom.llm.word_ids import chunks, utf8
 
@@ -465,7 +465,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return scratch.put("some", ordered.mapInArrow(_order(buckets), BLOB_SQL))
 
     meet()
-    scratch.drop()
+    let_go(spark)
     some = compare()
-    scratch.drop()
+    let_go(spark)
     return beside_texts(of_kind(WHOLE).unionAll(some)).mapInArrow(_without, RESULT_SQL)
