@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequences import canonical, revcomp, windows
+from strandloom.operators import packed as P
 from strandloom.session import Scratch
 
 
 def kmer_counts(reads: DataFrame, k: int, *, seq_col: str = "s", both: bool = True, dna_only: bool = True) -> DataFrame:
-    """(kmer, n); with both strands as one, a k-mer stands for its reverse complement too."""
+    """(kmer, n); with both strands as one, a k-mer stands for its reverse complement too. With dna_only, k-mers of A, C, G and T alone."""
+    if dna_only and k <= P.MOST:
+        return P.packed_counts(reads, k, seq_col=seq_col, both=both).select(P.shown(F.col("code"), k).alias("kmer"), "n")
     kmers = reads.select(F.explode(windows(F.col(seq_col), k)).alias("kmer"))
     if dna_only:
         kmers = kmers.where(~F.col("kmer").contains("N"))
@@ -24,6 +27,10 @@ def spectrum(counts: DataFrame) -> DataFrame:
 
 def extensions(reads: DataFrame, w: int, *, seq_col: str = "s") -> DataFrame:
     """(kmer, a, c, g, t, n_total): how often each base follows a w-mer on either strand. n_total also counts N and read ends."""
+    if w < P.MOST_NEXT:
+        rows = P.packed_extensions(reads, w, seq_col=seq_col)
+        tally = [F.sum(F.when(F.col("next") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate("acgt")]
+        return rows.groupBy("code").agg(*tally, F.sum("n").alias("n_total")).select(P.shown(F.col("code"), w).alias("kmer"), "a", "c", "g", "t", "n_total")
     strands = reads.select(F.explode(F.array(F.col(seq_col), revcomp(F.col(seq_col)))).alias("s"))
     padded = F.concat("s", F.lit("$"))
     rows = strands.select(F.explode(windows(padded, w + 1)).alias("x")).select(F.substring("x", 1, w).alias("kmer"), F.substring("x", w + 1, 1).alias("next")).where(~F.col("kmer").contains("N"))
@@ -54,8 +61,8 @@ def solid_stats(solid: DataFrame, min_occ: int = 3) -> DataFrame:
 
 def unique_kmer_filter(reads: DataFrame, k: int, *, id_col: str = "rid", seq_col: str = "s", pair_col: str | None = None) -> DataFrame:
     """Reads of A, C, G and T alone whose forward k-mers all occur twice or more; with pair_col a pair stays or goes together."""
-    once = kmer_counts(reads, k, seq_col=seq_col, both=False, dna_only=False).where("n = 1").select("kmer")
-    bad = reads.select(id_col, F.explode(windows(F.col(seq_col), k)).alias("kmer")).join(once, "kmer", "left_semi").select(id_col).unionAll(reads.where(F.col(seq_col).rlike("[^ACGT]")).select(id_col))
+    once = P.packed_counts(reads, k, seq_col=seq_col, both=False).where("n = 1").select("code")
+    bad = P.packed_rows(reads, k, id_col, seq_col=seq_col).join(once, "code", "left_semi").select(id_col).unionAll(reads.where(F.col(seq_col).rlike("[^ACGT]")).select(id_col))
     if pair_col is None:
         return reads.join(bad.distinct(), id_col, "left_anti")
     pairs = reads.join(bad.distinct(), id_col, "left_semi").select(pair_col).distinct()
@@ -100,10 +107,15 @@ def contrast(a: DataFrame, b: DataFrame, k: int, min_occ: int = 3, *, exact: boo
         special = _special_heads(*heads, k, min_occ, shortest)
         hits = [own.join(special.where(F.col("sample") == name).select("w"), "w", "left_semi").select(F.lit(name).alias("sample"), "oriented_id").distinct() for name, own in zip("ab", heads, strict=True)]
         return hits[0].unionAll(hits[1])
-    counts = [kmer_counts(x, k, seq_col="seq", both=False) for x in (a, b)]
+    if k <= P.MOST:
+        counts, key = [P.packed_counts(x, k, seq_col="seq", both=False) for x in (a, b)], "code"
+        rows = [P.packed_rows(x, k, "oriented_id", seq_col="seq") for x in (a, b)]
+    else:
+        counts, key = [kmer_counts(x, k, seq_col="seq", both=False) for x in (a, b)], "kmer"
+        rows = [x.select("oriented_id", F.explode(windows(F.col("seq"), k)).alias("kmer")) for x in (a, b)]
     out = None
-    for sample, own, (mine, other) in (("a", a, counts), ("b", b, counts[::-1])):
-        special = mine.where(F.col("n") >= min_occ).join(other, "kmer", "left_anti").select("kmer")
-        hits = own.select("oriented_id", F.explode(windows(F.col("seq"), k)).alias("kmer")).join(special, "kmer", "left_semi").select(F.lit(sample).alias("sample"), "oriented_id").distinct()
+    for sample, own, (mine, other) in (("a", rows[0], counts), ("b", rows[1], counts[::-1])):
+        special = mine.where(F.col("n") >= min_occ).join(other, key, "left_anti").select(key)
+        hits = own.join(special, key, "left_semi").select(F.lit(sample).alias("sample"), "oriented_id").distinct()
         out = hits if out is None else out.unionAll(hits)
     return out

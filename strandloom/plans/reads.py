@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import sequences as S
 from strandloom.operators import kmers as K
 from strandloom.operators import suffixes as X
+from strandloom.operators.packed import packed_counts
 from strandloom.plans.fixtures import duck, fixture
 from strandloom.session import shared_path
 from strandloom.sources import fastx
@@ -179,7 +180,7 @@ def _kmers_sql(fix: str, k: int) -> str:
 
 @query("kmer_spectrum", f"SELECT n AS multiplicity, count(*) AS n FROM ({_kmers_sql(T, 21)}) c GROUP BY 1")
 def kmer_spectrum(spark, d):
-    return K.spectrum(K.kmer_counts(fixture(spark, d, "T"), 21))
+    return K.spectrum(packed_counts(fixture(spark, d, "T"), 21))
 
 
 @query("kmer_counts", _kmers_sql(H, 15))
