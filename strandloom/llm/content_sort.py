@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import partitions, text_or_empty, written
+from strandloom.llm.common import lean, partitions, text_or_empty, written
 
 #: Characters of a text that a splitter holds.
 LEAD = 48
@@ -86,7 +86,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     splitter = [F.substring("norm", 1, LEAD), F.xxhash64("norm"), F.col("doc_id").asc_nulls_last(), F.col("tag")]
     order = [F.substring("norm", 1, LEAD), F.xxhash64("norm"), F.col("norm"), F.col("doc_id").asc_nulls_last(), F.col("tag")]
     ordered = rows.repartitionByRange(partitions(docs.sparkSession), *splitter).sortWithinPartitions(*order)
-    runs = written(ordered.select("doc_id", "tag", "norm", F.sha2("norm", 256).alias("sha")).mapInArrow(_runs, RUN_SCHEMA), "content-sort")
+    runs = written(ordered.select("doc_id", "tag", "norm", F.sha2("norm", 256).alias("sha")).mapInArrow(lean(_runs), RUN_SCHEMA), "content-sort")
     heads = runs.where("edge_text IS NOT NULL")
     whole = heads.groupBy("edge_text").agg(
         F.min(F.struct(F.col("keep_id").isNull().alias("no_id"), "keep_id", "keep_tag")).alias("keep"), F.sum("group_size").alias("size")

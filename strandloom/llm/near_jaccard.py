@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import Scratch, partitions, text_or_empty
+from strandloom.llm.common import Scratch, lean, partitions, text_or_empty
 from strandloom.llm.word_ids import chunks
 from strandloom.llm.words import BLANK, Words, mix
 from strandloom.operators.components import connected_components
@@ -287,8 +287,8 @@ def signature_meetings(docs: DataFrame, scheme: Scheme, finest: bool) -> DataFra
             if found is not None:
                 yield found
 
-    dealt = docs.mapInArrow(emit, "bucket int, data binary, doc_id long, print long, print2 long, size int, spare int").repartition(buckets, "bucket")
-    return dealt.mapInArrow(meet, MET)
+    dealt = docs.mapInArrow(lean(emit), "bucket int, data binary, doc_id long, print long, print2 long, size int, spare int").repartition(buckets, "bucket")
+    return dealt.mapInArrow(lean(meet), MET)
 
 
 def _units(kind, of, size, spare, sig, seg, large, n_exact, n_deleted) -> tuple[np.ndarray, np.ndarray]:
@@ -366,7 +366,7 @@ def candidates(met: DataFrame) -> DataFrame:
             yield from done(pa.Table.from_batches(held))
 
     rows = met.where("doc_id IS NOT NULL").drop("print2").repartition(partitions(met.sparkSession), "doc_id").sortWithinPartitions("doc_id", "print", "kind")
-    return rows.mapInArrow(choose, "sig long, doc_id long, size int, lone int, probe boolean")
+    return rows.mapInArrow(lean(choose), "sig long, doc_id long, size int, lone int, probe boolean")
 
 
 def picked(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
@@ -396,7 +396,7 @@ def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left, right = (picked(sets, pairs.select(F.col(k).alias("wanted_id")).distinct(), "doc_id").select(F.col("doc_id").alias(k), F.col("data").alias(f"set_{k}")) for k in "ab")
     if (left.agg(F.sum(F.octet_length("set_a"))).first()[0] or 0) <= BROADCAST_BYTES:
         left = F.broadcast(left)
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(verify, "a long, b long").distinct()
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(lean(verify), "a long, b long").distinct()
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
@@ -415,7 +415,7 @@ def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
                 marks = np.array([sketch(s) for s in sets]).reshape(len(sets), SKETCH)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sets)), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), *(pa.array(np.ascontiguousarray(marks[:, i])) for i in range(SKETCH))], ["doc_id", "data", *bits])
 
-    return docs.mapInArrow(build, "doc_id long, data binary, " + ", ".join(f"{b} long" for b in bits))
+    return docs.mapInArrow(lean(build), "doc_id long, data binary, " + ", ".join(f"{b} long" for b in bits))
 
 
 def linked_components(members: DataFrame, docs: DataFrame, scheme: Scheme, scratch: Scratch) -> DataFrame | None:

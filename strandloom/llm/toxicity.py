@@ -12,11 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import text_or_empty
+from strandloom.llm.common import lean, text_or_empty
 from strandloom.llm.word_ids import chunks
 from strandloom.llm.words import NOT_LETTER, Words, mix
 
@@ -110,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", sample_
         at = np.flatnonzero(w)
         return pa.table({"coordinate": pa.array(at, pa.int64()), "weight": pa.array(w[at])})
 
-    dealt = dealt.mapInArrow(hashed, "shard int, doc_id long, _label int, at binary")
+    dealt = dealt.mapInArrow(lean(hashed), "shard int, doc_id long, _label int, at binary")
     found = dealt.groupBy("shard").applyInArrow(fit_shard, "coordinate long, weight double")
     mean = found.groupBy("coordinate").agg((F.sum("weight") / shards).alias("weight"))
     return [(r.coordinate, r.weight) for r in mean.collect()]  # 2**BITS + 1 rows at most, and few after L1
@@ -125,15 +126,17 @@ def score(docs: DataFrame, model: list[tuple[int, float]], *, text_col: str = "t
         weights[shipped.value[0]] = shipped.value[1]
         for batch in batches:
             out = np.full(batch.num_rows, weights[-1])
-            for row, size, owner, spot in features(batch.column(1)):
+            texts = pc.struct_field(batch.column(0), at)
+            for row, size, owner, spot in features(texts.fill_null("") if texts.null_count else texts):
                 live = weights[spot] != 0
                 owner, spot = distinct_rows(owner[live], spot[live])
                 out[row : row + size] += np.bincount(owner, weights[spot], size)
             value = 1 / (1 + np.exp(-np.clip(out, -35, 35)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(value)], ["row", "score"])
 
-    rows = docs.select(F.struct("*").alias("row"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(apply, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    at = docs.columns.index(text_col)  # texts are read within the rows, so that a batch holds them once
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.mapInArrow(lean(apply), T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id"):
