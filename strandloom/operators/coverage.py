@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.functions.sequences import revcomp, windows
+from strandloom.functions.sequences import revcomp
+from strandloom.operators.seeds import whole_candidates
+from strandloom.session import cut_lineage
+
+#: Bases of a contig's piece.
+PIECE = 4096
 
 
 def full_length_hits(contigs: DataFrame, reads: DataFrame, seed: int) -> DataFrame:
     """(contig, read_id, strand, beg, end): reads (read_id, seq) found whole in contigs (contig, seq), 0-based half-open.
 
-    An equi-join on a read's first `seed` bases, verified on the rest, for both strands.
+    A join on a read's first `seed` bases, with longer pieces where many reads begin with them (seeds.py), verified on the rest, for both strands. Contigs are
+    cut into pieces that overlap by the longest read, so candidates of a long contig meet a piece of it and no key holds it whole.
     """
     strands = reads.select("read_id", F.posexplode(F.array("seq", revcomp(F.col("seq")))).alias("strand", "seq")).where(F.length("seq") >= seed)
-    heads = strands.select("read_id", "strand", F.length("seq").alias("size"), F.substring("seq", 1, seed).alias("m"))
-    spots = contigs.select("contig", F.length("seq").alias("whole"), F.posexplode(windows(F.col("seq"), seed)).alias("beg", "m"))
-    # Candidates carry ids and places; strings come in by id to be compared, the contig's cut to the read's length at once.
-    found = spots.join(heads, "m").where("beg + size <= whole").select("contig", "read_id", "strand", "beg", "size")
-    found = found.join(contigs.select("contig", F.col("seq").alias("contig_seq")), "contig").select("contig", "read_id", "strand", "beg", "size", F.expr("substring(contig_seq, beg + 1, size)").alias("part"))
+    longest = reads.agg(F.max(F.length("seq"))).first()[0] or 0
+    step = max(PIECE, longest)
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.length("seq") - 1) / step).cast("int")), lambda j: F.struct((j * step).alias("from"), F.substring("seq", j * step + 1, F.lit(step + longest - 1)).alias("seq")))
+    pieces = cut_lineage(contigs.where("length(seq) > 0").select("contig", F.explode(cuts).alias("x")).select("contig", "x.from", "x.seq"))
+    found = whole_candidates(strands, pieces, seed, ["contig", "from"]).where(F.col("at") < step).select("contig", "from", "read_id", "strand", "at", "size")
+    found = found.join(pieces.withColumnRenamed("seq", "piece"), ["contig", "from"]).select("contig", "read_id", "strand", (F.col("from") + F.col("at")).alias("beg"), "size", F.expr("substring(piece, at + 1, size)").alias("part"))
     turned = F.when(F.col("strand") == 0, F.col("seq")).otherwise(revcomp(F.col("seq")))
     return found.join(reads.select("read_id", "seq"), "read_id").where(F.col("part") == turned).select("contig", "read_id", "strand", "beg", (F.col("beg") + F.col("size")).alias("end"))
 

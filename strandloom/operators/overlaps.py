@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.sequences import windows
+from strandloom.operators.seeds import overlap_candidates, whole_candidates
+from strandloom.session import cut_lineage
 
 
 def with_strings(rows: DataFrame, strings: DataFrame, id_col: str, name: str) -> DataFrame:
@@ -19,29 +20,27 @@ def with_strings(rows: DataFrame, strings: DataFrame, id_col: str, name: str) ->
 def contained_reads(collection: DataFrame, seed: int, group: str | None = None) -> DataFrame:
     """(oriented_id): strings that are part of a longer one, and all but the first of equal strings.
 
-    A string's first `seed` bases are looked up among all positions of the others (an equi-join), then the rest is
-    compared. Strings shorter than the seed must be looked up with a smaller one. With group, a column, only strings of one group meet.
+    Of equal strings the first alone is looked up: its first `seed` bases among all positions of the others, with longer pieces where many strings
+    begin with them (seeds.py), then the rest is compared. Strings shorter than the seed must be looked up with a smaller one. With group, a column, only strings of one group meet.
     """
     also = [group] if group else []
-    heads = collection.where(F.length("seq") >= seed).select(*also, "oriented_id", F.length("seq").alias("size"), F.substring("seq", 1, seed).alias("m"))
-    spots = collection.select(*also, F.col("oriented_id").alias("in_id"), F.length("seq").alias("in_size"), F.posexplode(windows(F.col("seq"), seed)).alias("at", "m"))
-    longer = (F.col("in_size") > F.col("size")) | ((F.col("in_size") == F.col("size")) & (F.col("in_id") < F.col("oriented_id")))
-    found = heads.join(spots, [*also, "m"]).where(longer & (F.col("at") + F.col("size") <= F.col("in_size"))).select("oriented_id", "in_id", "at", "size")
-    found = with_strings(found, collection, "in_id", "in_seq").select("oriented_id", F.expr("substring(in_seq, at + 1, size)").alias("part"))
-    return with_strings(found, collection, "oriented_id", "seq").where("part = seq").select("oriented_id").distinct()
+    strings = collection.where(F.length("seq") >= seed)
+    firsts = cut_lineage(strings.groupBy(*also, "seq").agg(F.min("oriented_id").alias("oriented_id")))
+    equal = strings.select("oriented_id").join(firsts, "oriented_id", "left_anti")
+    named = firsts.withColumnRenamed("oriented_id", "in_id")
+    found = whole_candidates(firsts, named, seed, ["in_id"], also).where("in_size > size").select("oriented_id", "in_id", "at", "size")
+    found = with_strings(found, firsts, "in_id", "in_seq").select("oriented_id", F.expr("substring(in_seq, at + 1, size)").alias("part"))
+    return with_strings(found, firsts, "oriented_id", "seq").where("part = seq").select("oriented_id").distinct().unionAll(equal)
 
 
 def overhangs(collection: DataFrame, min_overlap: int, group: str | None = None) -> DataFrame:
     """(a, b, ovlp, rest): a suffix of string a is a prefix of string b, shorter than either; rest is what b adds to a.
 
-    An equi-join on b's first min_overlap bases, verified on the rest; all overlaps of a pair are kept. With group, a column, only strings of one group meet.
+    A join on b's first min_overlap bases, with longer pieces where many strings begin with them (seeds.py), verified on the rest; all overlaps of a pair are kept. With group, a column, only strings of one group meet.
     """
-    also = [group] if group else []
-    heads = collection.where(F.length("seq") > min_overlap).select(*also, F.col("oriented_id").alias("b"), F.length("seq").alias("b_size"), F.substring("seq", 1, min_overlap).alias("m"))
-    spots = collection.select(*also, F.col("oriented_id").alias("a"), F.length("seq").alias("a_size"), F.posexplode(windows(F.col("seq"), min_overlap)).alias("at", "m")).where("at > 0")
-    found = spots.join(heads, [*also, "m"]).where("a <> b AND a_size - at < b_size").select("a", "b", (F.col("a_size") - F.col("at")).alias("ovlp"))
+    found = overlap_candidates(collection, min_overlap, [group] if group else [])
     found = with_strings(found, collection, "a", "a_seq").select("a", "b", "ovlp", F.expr("right(a_seq, ovlp)").alias("part"))
-    return with_strings(found, collection, "b", "b_seq").where("part = left(b_seq, ovlp)").select("a", "b", F.col("ovlp").cast("int").alias("ovlp"), F.expr("substring(b_seq, ovlp + 1)").alias("rest"))
+    return with_strings(found, collection, "b", "b_seq").where("part = left(b_seq, ovlp)").select("a", "b", "ovlp", F.expr("substring(b_seq, ovlp + 1)").alias("rest"))
 
 
 def overlaps(collection: DataFrame, min_overlap: int, group: str | None = None) -> DataFrame:
