@@ -9,7 +9,7 @@ from strandloom.operators import overlaps as O
 from strandloom.operators.align import align
 from strandloom.operators import assembly as A
 from strandloom.operators.cleaning import Cleaning, clean, merge_graph, pop_bubbles, pop_open, simplify_bubbles
-from strandloom.operators.matches import smem
+from strandloom.operators.matches import all_matches, smem
 from strandloom.operators.suffixes import both_strands
 from strandloom.plans.fixtures import duck, fixture
 from strandloom.session import cut_lineage, shared_path
@@ -274,6 +274,25 @@ def smem_query(spark, d):
     return smem(queries, strings, 19).select("query", "beg", F.col("end").alias("stop"), "n", "left_end", "right_end")
 
 
+_SHORT = f"""WITH c AS (SELECT substr(s, 1, 24) AS s FROM ({G}) g UNION ALL SELECT substr(s, 60, 6) FROM ({G}) g2 WHERE id % 5 = 0),
+q AS (SELECT id AS query, concat(substr(s, 9, 10), substr(s, 41, 14), substr(s, 12, 9)) AS s FROM ({G}) g3),
+w AS (SELECT substr(s, i, l) AS m, count(*) AS n, bool_or(i = 1) AS left_end, bool_or(i + l - 1 = length(s)) AS right_end, count(*) FILTER (WHERE i = 1 AND l = length(s)) AS whole
+  FROM (SELECT s, i, unnest(generate_series(1, length(s) - i + 1)) AS l FROM (SELECT s, unnest(generate_series(1, length(s))) AS i FROM c) x) y GROUP BY 1),
+f AS (SELECT query, i - 1 AS beg, i + l - 1 AS stop, w.* FROM (SELECT query, s, i, unnest(generate_series(1, least(24, length(s) - i + 1))) AS l FROM (SELECT query, s, unnest(generate_series(1, length(s))) AS i FROM q) x) y JOIN w ON m = substr(s, i, l)),
+r AS (SELECT *, coalesce(stop > max(stop) OVER (PARTITION BY query ORDER BY beg, stop DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS maximal FROM f)
+SELECT query, beg, stop, CASE WHEN maximal THEN n ELSE whole END AS n, NOT maximal OR left_end AS left_end, NOT maximal OR right_end AS right_end FROM r WHERE maximal OR whole > 0"""
+
+
+@query("all_matches", _SHORT)
+def all_matches_query(spark, d):
+    """Patched pieces of each genome against the beginnings of all genomes and some short strings: matches of every length, with seeds from 9 bases on."""
+    g = fixture(spark, d, "G")
+    queries = g.select(F.col("id").alias("query"), F.concat(F.substring("s", 9, 10), F.substring("s", 41, 14), F.substring("s", 12, 9)).alias("seq"))
+    strings = g.select((F.col("id") * 2).alias("oriented_id"), F.substring("s", 1, 24).alias("seq")).unionAll(g.where("id % 5 = 0").select(F.col("id") * 2 + 1, F.substring("s", 60, 6)))
+    found = all_matches(queries, strings, 9)
+    return found.select("query", F.col("beg").cast("long").alias("beg"), F.col("end").cast("long").alias("stop"), "n", "left_end", "right_end")
+
+
 @query("bubble_simple", f"SELECT id * 10 + 2 AS id FROM ({G}) g")
 def bubble_simple(spark, d):
     """Two haplotypes of each genome that differ in a base: the arm with fewer reads goes."""
