@@ -164,6 +164,18 @@ def overlap_scaftigs(spark, d):
     return S.scaftigs(contigs, links.join(patches.drop("p"), ["end_a", "end_b"], "left"), 100, patched_only=True).select("seq", "n_unitigs")
 
 
+@query("reads_to_scaftigs", f"SELECT least(x, {RC.format('x')}) AS seq, 2::BIGINT AS n_unitigs, 30::BIGINT AS nsr FROM (SELECT substr(s, 1, 123) AS x FROM ({G}) g) h")
+def reads_to_scaftigs(spark, d):
+    """Pairs in one call to scaftigs: the first and the second mates of a genome give a contig each, and both overlap by fewer bases than unitigs ask for."""
+    from strandloom.operators.whole_run import Rules, reads_to_scaftigs
+
+    ends = F.array(F.struct(F.lit(0).alias("e"), F.col("r1").alias("s")), F.struct(F.lit(1).alias("e"), F.col("r2").alias("s")))
+    reads = fixture(spark, d, "DP").select("pid", F.explode(ends).alias("x")).select((F.col("pid") * 2 + F.col("x.e")).alias("rid"), "x.s")
+    rules = Rules(min_overlap=31, correct=False, cleaning=(), insert=(92.0, 10.0), min_a=None, skip=5)
+    found = reads_to_scaftigs(reads, rules)
+    return found.select(F.least("seq", F.reverse(F.translate("seq", "ACGT", "TGCA"))).alias("seq"), "n_unitigs", "nsr")
+
+
 SURE = f"SELECT id * 2 + h AS contig, CASE WHEN (id + h) % 5 = 0 THEN 19.5 ELSE 25.0 END AS a, 3 + id % 4 + h AS nsr, id FROM ({G}) g, (SELECT unnest([0, 1]) AS h) u"
 
 
