@@ -94,12 +94,16 @@ def patch_gaps(links: DataFrame, contigs: DataFrame, attached: DataFrame, reads:
     distances = pairs.where("end_id = end_a").select("end_a", "end_b", (F.col("dist") + F.col("mate_dist")).alias("dist"))
     done = None
     for least, ids in ((1e-5, pairs.select("end_a", "read_id")), (1e-10, at_end.select("end_a", F.explode(F.array("read_id", "mate")).alias("read_id")))):
-        left = ends if done is None else ends.join(done.select("end_a"), "end_a", "left_anti")
+        left = ends if done is None else scratch.put("left", ends.join(done.select("end_a"), "end_a", "left_anti"))
+        if left.isEmpty():
+            break
         around = ids.distinct().join(left.select("end_a"), "end_a", "left_semi").join(reads, "read_id").select("end_a", "seq")
         found = scratch.put(f"found{least}", local_patches(left, around, min_overlap, reach))
         p = link_p_values(distances.join(found.select("end_a", F.col("l").alias("patch")), "end_a"), avg, std, read_len)
         sure = found.join(p.select("end_a", "p"), "end_a").where(F.col("p") > least).withColumn("back", F.col("l")).select(*PATCHES)
         done = sure if done is None else done.unionAll(sure)
+    if done is None:
+        return links.select("end_a", "end_b", F.lit(0).alias("l"), F.lit(0).alias("back"), F.lit("").alias("patch"), F.lit(None).cast("double").alias("p")).limit(0)
     if told:
         done = scratch.put("assembled", done)
         done = done.unionAll(overlap_patches(links.join(done.select("end_a"), "end_a", "left_anti"), contigs, distances, avg, std, reach, read_len))
