@@ -10,7 +10,7 @@ from strandloom.operators import suffixes as X
 from strandloom.operators.packed import packed_counts
 from strandloom.plans.fixtures import duck, fixture
 from strandloom.session import shared_path
-from strandloom.sources import fastx
+from strandloom.sources import fastx, fastx_format
 
 QUERIES, ORACLES = {}, {}
 H, HQ, HP, E, T, TN, G = (duck(n) for n in ("H", "HQ", "HP", "E", "T", "TN", "G"))
@@ -75,6 +75,30 @@ def fasta_scan(spark, d):
     return fastx.read_fasta(spark, path).select("name", "comment", "seq")
 
 
+CUT = ["substring(s, 1, cast(rid % 61 AS int)) AS seq", "substring(q, 1, cast(rid % 61 AS int)) AS qual"]
+
+
+@query("fastx_format", f"SELECT concat('r', CAST(rid AS VARCHAR)) AS name, concat('w', CAST(rid % 7 AS VARCHAR)) AS comment, {', '.join(CUT)}, CAST(rid % 61 AS INT) AS length FROM ({HQ}) h")
+def fastx_format_(spark, d):
+    """Reads of 0 to 60 bases written as FASTQ of lines of 23 bases by the format's writer, and read back from ranges of 64 KB."""
+    fastx_format.register(spark)
+    path = shared_path(spark, "fastx")
+    rows = fixture(spark, d, "HQ").selectExpr("concat('r', rid) AS name", "concat('w', rid % 7) AS comment", *CUT)
+    rows.write.format("fastx").mode("append").option("lineWidth", 23).save(path)
+    return spark.read.format("fastx").option("splitBytes", 1 << 16).load(path).select("name", "comment", "seq", "qual", "length")
+
+
+@query("mate_files", f"SELECT (row_number() OVER (PARTITION BY mate ORDER BY pid) - 1) * 2 + mate AS ord, concat('p', CAST(pid AS VARCHAR)) AS name, mate, CASE mate WHEN 0 THEN r1 ELSE r2 END AS seq FROM ({HP}) h, (VALUES (0), (1)) m(mate)")
+def mate_files(spark, d):
+    """Pairs written as two folders of FASTA, mates in one order, and put together again by their places."""
+    fastx_format.register(spark)
+    pairs, paths = fixture(spark, d, "HP"), [shared_path(spark, f"mates{k}") for k in (1, 2)]
+    for k, path in enumerate(paths, 1):
+        mates = pairs.orderBy("pid").selectExpr(f"concat('p', pid, '/{k}') AS name", f"r{k} AS seq")
+        mates.write.format("fastx").mode("append").save(path)
+    return fastx_format.read_mates(spark, *paths, splitBytes=1 << 16).select("ord", "name", "mate", "seq")
+
+
 @query("end_offset_names", f"SELECT CAST(sum(length(s) + 1) OVER (ORDER BY rid) AS VARCHAR) AS name, s AS seq FROM ({DUPS_EARLY}) h")
 def end_offset_names(spark, d):
     rows = fixture(spark, d, "H").select("rid", F.expr("substring(s, 1, cast(20 + rid % 41 AS int))").alias("seq"))
