@@ -44,7 +44,11 @@ def next_base_table(reads: DataFrame, w: int, min_occ: int = 3, *, seq_col: str
     The first of A, C, G, T wins ties. rest counts the other bases; ratio is best over rest (best alone
     without a rest), at most 31 and rounded; full_ratio is unrounded.
     """
-    ext = extensions(reads, w, seq_col=seq_col)
+    return next_bases(extensions(reads, w, seq_col=seq_col), min_occ)
+
+
+def next_bases(ext: DataFrame, min_occ: int = 3) -> DataFrame:
+    """next_base_table of a table of extensions."""
     best_n = F.greatest("a", "c", "g", "t")
     best = F.when(F.col("a") == best_n, "A").when(F.col("c") == best_n, "C").when(F.col("g") == best_n, "G").otherwise("T")
     rest = F.col("a") + F.col("c") + F.col("g") + F.col("t") - best_n
@@ -59,9 +63,12 @@ def solid_stats(solid: DataFrame, min_occ: int = 3) -> DataFrame:
     return solid.agg(F.count_if(good).alias("informative"), F.count_if(~good).alias("ambiguous"))
 
 
-def unique_kmer_filter(reads: DataFrame, k: int, *, id_col: str = "rid", seq_col: str = "s", pair_col: str | None = None) -> DataFrame:
-    """Reads of A, C, G and T alone whose forward k-mers all occur twice or more; with pair_col a pair stays or goes together."""
-    once = P.packed_counts(reads, k, seq_col=seq_col, both=False).where("n = 1").select("code")
+def unique_kmer_filter(reads: DataFrame, k: int, *, id_col: str = "rid", seq_col: str = "s", pair_col: str | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Reads of A, C, G and T alone whose forward k-mers all occur twice or more; with pair_col a pair stays or goes together.
+
+    counts: (code, n) of a larger collection that holds the reads, such as a kept table; without it the reads are counted.
+    """
+    once = (counts if counts is not None else P.packed_counts(reads, k, seq_col=seq_col, both=False)).where("n = 1").select("code")
     bad = P.packed_rows(reads, k, id_col, seq_col=seq_col).join(once, "code", "left_semi").select(id_col).unionAll(reads.where(F.col(seq_col).rlike("[^ACGT]")).select(id_col))
     if pair_col is None:
         return reads.join(bad.distinct(), id_col, "left_anti")

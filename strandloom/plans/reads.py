@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandloom.functions import sequences as S
 from strandloom.operators import kmers as K
 from strandloom.operators import suffixes as X
+from strandloom.operators.kmer_store import NEXT, KmerStore
 from strandloom.operators.packed import packed_counts
 from strandloom.plans.fixtures import duck, fixture
 from strandloom.session import shared_path
@@ -212,6 +213,20 @@ def kmer_counts(spark, d):
     return K.kmer_counts(fixture(spark, d, "H"), 15)
 
 
+def _in_batches(store: KmerStore, reads) -> KmerStore:
+    """All reads in three batches, the first of them twice, as after a run that was cut off."""
+    for k in (0, 1, 2, 0):
+        store.add(reads.where(F.col("rid") % 3 == k), f"b{k}")
+    return store
+
+
+@query("kmer_store", _kmers_sql(E, 21))
+def kmer_store(spark, d):
+    """Counts of three batches of reads, kept in buckets and merged into a second store."""
+    store = _in_batches(KmerStore(spark, shared_path(spark, "kmers"), 21), fixture(spark, d, "E"))
+    return store.merged_into(shared_path(spark, "kmers")).shown()
+
+
 EXT = f"""SELECT kmer, count(*) FILTER (nx = 'A') AS a, count(*) FILTER (nx = 'C') AS c, count(*) FILTER (nx = 'G') AS g, count(*) FILTER (nx = 'T') AS t, count(*) AS n_total
   FROM (SELECT substr(s, CAST(i AS BIGINT), 17) AS kmer, substr(s, CAST(i + 17 AS BIGINT), 1) AS nx FROM (SELECT concat(s, '$') AS s, unnest(generate_series(1, length(s) - 16)) AS i FROM (SELECT s FROM ({E}) e1 UNION ALL SELECT {RC.format('s')} FROM ({E}) e2) u) a) b GROUP BY 1"""
 SOLID = f"""SELECT kmer, CASE WHEN a = m THEN 'A' WHEN c = m THEN 'C' WHEN g = m THEN 'G' ELSE 'T' END AS best, m AS best_n, a + c + g + t - m AS all_rest,
@@ -228,6 +243,21 @@ def next_base_table(spark, d):
     return K.next_base_table(fixture(spark, d, "E"), 17).select("kmer", "best", "best_n", "rest", "ratio")
 
 
+@query("next_base_store", ORACLES["next_base_table"])
+def next_base_store(spark, d):
+    """The table of next bases from three kept batches."""
+    store = _in_batches(KmerStore(spark, shared_path(spark, "kmers"), 17, kind=NEXT), fixture(spark, d, "E"))
+    return store.next_base_table().select("kmer", "best", "best_n", "rest", "ratio")
+
+
+@query("unique_filter_store", ORACLES["unique_kmer_filter"])
+def unique_filter_store(spark, d):
+    """Reads whose k-mers all occur twice in three kept batches."""
+    reads = fixture(spark, d, "E")
+    store = _in_batches(KmerStore(spark, shared_path(spark, "kmers"), 17, both=False), reads)
+    return store.unique_filter(reads).select(F.col("rid").alias("read_id"))
+
+
 @query("solid_stats", f"SELECT count(*) FILTER (all_rest <= 7 AND r >= 3) AS informative, count(*) FILTER (NOT (all_rest <= 7 AND r >= 3)) AS ambiguous FROM ({SOLID}) z")
 def solid_stats(spark, d):
     return K.solid_stats(K.next_base_table(fixture(spark, d, "E"), 17))
