@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.sequences import revcomp, windows
+from strandloom.operators import packed as P
 from strandloom.session import Scratch
 
 #: Penalties of the search (fixed values): per unit of difference, for a ratio, for a context that isn't known; states held; score gap.
@@ -114,18 +115,41 @@ def correct_one(seq: str, qual: str | None, solid: dict, w: int, max_changed: fl
 def correct_reads(reads: DataFrame, solid: DataFrame, w: int, *, id_col: str = "rid", seq_col: str = "s", qual_col: str | None = None, max_changed: float = 0.3, default_quality: int = 15) -> DataFrame:
     """(read_id, seq, qual, n_changed, quality_sum, difference, bad) of every read.
 
-    solid: (kmer, best, ratio, rest). The table stays where it is, whatever its size: the contexts of each read, on both strands, are
-    joined to it, and the read is searched with what was found. A read whose search meets a context that it has not
-    looked up, because of a changed base, asks for it and is searched again, until no read asks. A read without a sequence is bad.
+    solid: (kmer, best, ratio, rest). The table stays where it is, whatever its size. A read whose every base is the best one after its context, on
+    both strands, stays as it is, which one join of packed pieces tells. The contexts of the others are joined to the table, and the read is searched
+    with what was found. A read whose search meets a context that it has not looked up, because of a changed base, asks for it and is searched again,
+    until no read asks. A read without a sequence is bad.
     """
     out = "read_id long, seq string, qual string, n_changed int, quality_sum int, difference int, bad boolean"
     scratch, names = Scratch(reads.sparkSession, "correct"), [f.split()[0] for f in out.split(", ")]
     held = "array<struct<kmer: string, best: string, ratio: int, rest: int>>"
+    packed = w < P.MOST
+    key = F.when(F.col("kmer").rlike(f"^[ACGT]{{{w}}}$"), P.number(F.col("kmer"))) if packed else F.col("kmer")
     rows = reads.select(F.col(id_col).cast("long").alias("read_id"), F.col(seq_col).alias("seq"), (F.col(qual_col) if qual_col else F.lit(None).cast("string")).alias("qual"))
     rows = scratch.put("rows", rows.select(F.monotonically_increasing_id().alias("row"), "*"))
-    table = scratch.put("table", solid.select("kmer", "best", F.col("ratio").cast("int").alias("ratio"), F.col("rest").cast("int").alias("rest")))
+    table = scratch.put("table", solid.select(key.alias("key"), "kmer", "best", F.col("ratio").cast("int").alias("ratio"), F.col("rest").cast("int").alias("rest")))
     upper = F.upper(F.coalesce("seq", F.lit("")))
-    own = rows.select("row", F.explode(F.array_distinct(F.concat(windows(upper, w), windows(revcomp(upper), w)))).alias("kmer")).where(~F.col("kmer").contains("N"))
+
+    def strands(some: DataFrame) -> DataFrame:
+        return some.select("row", F.explode(F.array(upper, revcomp(upper))).alias("s"))
+
+    def contexts(some: DataFrame) -> DataFrame:
+        """(row, key): the contexts of reads, on both strands."""
+        if packed:
+            return P.packed_rows(strands(some), w, "row").withColumnRenamed("code", "key")
+        return strands(some).select("row", F.explode(F.array_distinct(windows(F.col("s"), w))).alias("key")).where(~F.col("key").contains("N"))
+
+    settled_rows = None
+    if packed:
+        best = table.select((F.col("key") * 4 + F.instr(F.lit("ACGT"), F.col("best")) - 1).alias("code"))
+        odd = P.packed_rows(strands(rows), w + 1, "row").join(best, "code", "left_anti").select("row").distinct()
+        plain = upper.rlike("^[ACGT]+$") & (F.length("seq") > w)
+        plain &= (F.coalesce(F.length("qual"), F.lit(0)) == 0) | ((F.length("qual") == F.length("seq")) & F.col("qual").rlike(r"^[\x00-\x7e]*$"))
+        told = scratch.put("told", rows.join(odd.withColumn("odd", F.lit(True)), "row", "left").withColumn("odd", F.coalesce("odd", F.lit(False)) | ~F.coalesce(plain, F.lit(False))))
+        own_quality = F.coalesce(F.when(F.length("qual") > 0, F.col("qual")), F.repeat(F.lit(chr(default_quality + 33)), F.length("seq")))
+        unchanged = [F.lit(0).alias("n_changed"), F.lit(0).alias("quality_sum"), F.lit(GAP).alias("difference"), F.lit(max_changed < 0).alias("bad")]
+        settled_rows = told.where("NOT odd").select("read_id", upper.alias("seq"), own_quality.alias("qual"), *unchanged)
+        rows = told.where("odd").drop("odd")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,23 +165,28 @@ def correct_reads(reads: DataFrame, solid: DataFrame, w: int, *, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(1), *fixed, batch.column(0), pa.array(asked, pa.list_(pa.string()))], [*names, "row", "asks"])
 
     shown = F.collect_list(F.struct("kmer", "best", "ratio", "rest")).cast(held)
-    open_reads = rows.join(own.join(table, "kmer").groupBy("row").agg(shown.alias("known")), "row", "left")
-    done, turn = None, 0
+
+    def looked_up(some: DataFrame) -> DataFrame:
+        known = contexts(some).join(table, "key").groupBy("row").agg(shown.alias("known"))
+        return some.join(known, "row", "left")
+
+    open_reads, done, turn = looked_up(rows), settled_rows, 0
     while True:
         if turn:
             open_reads = scratch.put("open", open_reads)
         tried = scratch.put(f"tried{turn}", open_reads.mapInArrow(run, f"{out}, row long, asks array<string>"))
         settled = tried.where(F.size("asks") == 0).select(*names)
         done = settled if done is None else done.unionAll(settled)
-        asks = tried.where(F.size("asks") > 0).select("row", F.explode("asks").alias("kmer"))
-        if asks.isEmpty():
+        asking = tried.where(F.size("asks") > 0)
+        if asking.isEmpty():
             scratch.drop("rows", "table", "open")
             return done
+        asks = scratch.put("asks", asking.select("row", F.explode("asks").alias("kmer")))
         if not turn:  # what the reads that go on have found so far
-            open_reads = rows.join(asks.select("row").distinct(), "row", "left_semi")
-            first = own.join(asks.select("row").distinct(), "row", "left_semi").join(table, "kmer").groupBy("row").agg(shown.alias("known"))
-            open_reads = open_reads.join(first, "row", "left").withColumn("known", F.coalesce("known", F.array().cast(held)))
-        more = asks.join(table, "kmer", "left").groupBy("row").agg(shown.alias("more"))
+            open_reads = looked_up(rows.join(asking.select("row"), "row", "left_semi")).withColumn("known", F.coalesce("known", F.array().cast(held)))
+        # The table is on the side that a few asks are broadcast to, where Spark finds them small; what it doesn't hold is kept as looked up.
+        answers = table.drop("key").join(asks.select("kmer").distinct(), "kmer")
+        more = asks.join(answers, "kmer", "left").groupBy("row").agg(shown.alias("more"))
         open_reads = open_reads.join(more, "row").select("row", "read_id", "seq", "qual", F.concat("known", "more").alias("known"))
         turn += 1
 

@@ -24,6 +24,11 @@ def shown(code: Column, k: int) -> Column:
     return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
+def number(kmer: Column) -> Column:
+    """The number of a k-mer of A, C, G and T."""
+    return F.conv(F.translate(kmer, "ACGT", "0123"), 4, 10).cast("long")
+
+
 def _strings(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, base codes, bounds) of strings of about `limit` bytes together; a longer string alone."""
     if len(column) and column.null_count:
