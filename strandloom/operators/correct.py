@@ -162,32 +162,27 @@ def correct_reads(reads: DataFrame, solid: DataFrame, w: int, *, id_col: str = "
                 found.append(correct_one(s, q, here, w, max_changed, default_quality, asks))
                 asked.append(list(asks))
             fixed = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *fixed, batch.column(0), pa.array(asked, pa.list_(pa.string()))], [*names, "row", "asks"])
+            again = pa.array([k if asks else None for k, asks in enumerate(asked)], pa.int32())  # what reads that ask are searched with next time
+            yield pa.RecordBatch.from_arrays([batch.column(1), *fixed, batch.column(0), pa.array(asked, pa.list_(pa.string())), *(c.take(again) for c in batch.columns[2:])], [*names, "row", "asks", "own_seq", "own_qual", "known"])
 
     shown = F.collect_list(F.struct("kmer", "best", "ratio", "rest")).cast(held)
 
-    def looked_up(some: DataFrame) -> DataFrame:
-        known = contexts(some).join(table, "key").groupBy("row").agg(shown.alias("known"))
-        return some.join(known, "row", "left")
-
-    open_reads, done, turn = looked_up(rows), settled_rows, 0
+    known = contexts(rows).join(table, "key").groupBy("row").agg(shown.alias("known"))
+    open_reads, done, turn = rows.join(known, "row", "left"), settled_rows, 0
     while True:
-        if turn:
-            open_reads = scratch.put("open", open_reads)
-        tried = scratch.put(f"tried{turn}", open_reads.mapInArrow(run, f"{out}, row long, asks array<string>"))
+        tried = scratch.put(f"tried{turn}", open_reads.mapInArrow(run, f"{out}, row long, asks array<string>, own_seq string, own_qual string, known {held}"))
         settled = tried.where(F.size("asks") == 0).select(*names)
         done = settled if done is None else done.unionAll(settled)
         asking = tried.where(F.size("asks") > 0)
         if asking.isEmpty():
-            scratch.drop("rows", "table", "open")
+            scratch.drop("rows", "table")
             return done
-        asks = scratch.put("asks", asking.select("row", F.explode("asks").alias("kmer")))
-        if not turn:  # what the reads that go on have found so far
-            open_reads = looked_up(rows.join(asking.select("row"), "row", "left_semi")).withColumn("known", F.coalesce("known", F.array().cast(held)))
+        asks = asking.select("row", F.explode("asks").alias("kmer"))
         # The table is on the side that a few asks are broadcast to, where Spark finds them small; what it doesn't hold is kept as looked up.
         answers = table.drop("key").join(asks.select("kmer").distinct(), "kmer")
         more = asks.join(answers, "kmer", "left").groupBy("row").agg(shown.alias("more"))
-        open_reads = open_reads.join(more, "row").select("row", "read_id", "seq", "qual", F.concat("known", "more").alias("known"))
+        before = asking.select("row", "read_id", F.col("own_seq").alias("seq"), F.col("own_qual").alias("qual"), F.coalesce("known", F.array().cast(held)).alias("known"))
+        open_reads = before.join(more, "row").select("row", "read_id", "seq", "qual", F.concat("known", "more").alias("known"))
         turn += 1
 
 
