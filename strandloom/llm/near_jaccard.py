@@ -14,8 +14,10 @@ documents that aren't yet in one component are compared, so a large group of nea
 as many comparisons as it has members. What all members of a signature have to know of each other
 is aggregated before the shuffle, and the join with its pivots can be split, so none needs one task.
 
-Signatures are packed in NumPy arrays, one for each reducer and chunk of texts. A signature keeps 40
-bits beside its bucket: a clash costs a comparison and changes no result. Shingles are compared as
+Signatures are packed in NumPy arrays, one for each reducer and chunk of texts. A signature keeps 32
+bits beside its bucket: a clash costs a comparison and changes no result. With many buckets nearly every
+signature of a set goes to a bucket of its own and takes the set's name along, so names are kept short: a
+first pass finds which sets and ids come more than once, and only those name their set beside the id. Shingles are compared as
 64-bit hashes of their words, so a pair of s distinct shingles is misjudged with a probability below
 s * s / 2**64; equal sets are told by their size and 128 bits of their hashes' sums.
 """
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import Scratch, lean, partitions, text_or_empty
+from strandloom.llm.common import Scratch, lean, let_go, partitions, text_or_empty
 from strandloom.llm.word_ids import chunks
 from strandloom.llm.words import BLANK, Words, mix
 from strandloom.operators.components import connected_components
@@ -44,6 +46,12 @@ MET = "kind int, doc_id long, print long, print2 long, size int, spare int, sig
 FIELDS = [f.split()[0] for f in MET.split(", ")]
 #: Up to so many ids are broadcast to pick their documents; beyond, the documents are shuffled.
 BROADCAST_IDS = 200_000
+#: Bytes of a signature beside its bucket.
+SIGNATURE_BYTES = 4
+#: Bits of the filter for each set or id that comes more than once, and the most it has: a fuller one lets more sets be named than need it.
+FILTER_BITS, FILTER_MOST = 32, 1 << 26
+#: Bits of one of Spark's bitmaps.
+BITMAP = 1 << 15
 #: Words of 64 bits in a set's sketch.
 SKETCH = 8
 #: And so many bytes of shingle sets are broadcast to verify their pairs.
@@ -103,13 +111,13 @@ def word_runs(texts: pa.Array, size: int) -> Words:
     return words
 
 
-def _five(values: np.ndarray) -> bytes:
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _low_bytes(values: np.ndarray, width: int) -> bytes:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _from_five(data: memoryview, n: int, at: int) -> np.ndarray:
+def _from_low_bytes(data: memoryview, n: int, width: int, at: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8, 5 * n, at).reshape(n, 5)
+    out[:, :width] = np.frombuffer(data, np.uint8, width * n, at).reshape(n, width)
     return out.reshape(-1).view("<u8")
 
 
@@ -165,10 +173,15 @@ def signatures(sets: list[np.ndarray], small: np.ndarray, scheme: Scheme, finest
     return entry[rows], ~as_small[rows], sig, segment, deleted, of_set
 
 
-def pack(ids, prints, rows, large, sig, segment, deleted, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Rows of a chunk by bucket: heads (a set in one role, with or without neighbourhoods) and five bytes for each signature, more for those with a neighbourhood.
+def _from_bits(data: memoryview, n: int, at: int) -> tuple[np.ndarray, int]:
+    size = -(-n // 8)
+    return np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n).astype(bool), at + size
 
-    Ids are stored less the smallest of the blob, by as few bytes as they need, so a blob stays small when buckets are many.
+
+def pack(ids, prints, rows, large, sig, segment, deleted, buckets: int, width: int = 5) -> Iterator[tuple[int, bytes]]:
+    """Rows of a chunk by bucket: heads (a set in one role, with or without neighbourhoods) and `width` bytes for each signature, more for those with a neighbourhood.
+
+    Ids are stored less the smallest of the blob, by as few bytes as they need, and prints of 0 not at all, so a blob stays small when buckets are many.
     """
     bucket = (sig % np.uint64(buckets)).astype(np.int64)
     plain = segment < 0
@@ -184,11 +197,11 @@ def pack(ids, prints, rows, large, sig, segment, deleted, buckets: int) -> Itera
     for b in np.flatnonzero(np.diff(edges)):
         own, head, n = slice(edges[b], edges[b + 1]), heads[at[b] : at[b + 1]], counts[at[b] : at[b + 1]]
         n_plain, doc = int(plain[own].sum()), rows[head]
-        low = int(ids[doc].min())
+        low, named = int(ids[doc].min()), prints[doc] != 0
         yield int(b), b"".join([
-            np.array([len(head), n_plain, edges[b + 1] - edges[b] - n_plain], "<u4").tobytes(), np.array([low], "<i8").tobytes(),
-            _narrow(ids[doc].view(np.uint64) - np.array([low]).view(np.uint64)), _narrow(n.astype(np.uint64)), prints[doc].astype("<u8").tobytes(), np.packbits(large[head]).tobytes(),
-            _five(sig[own]), segment[own][n_plain:].astype("<u4").tobytes(), deleted[own][n_plain:].astype(np.uint8).tobytes(),
+            np.array([len(head), n_plain, edges[b + 1] - edges[b] - n_plain], "<u4").tobytes(), np.array([low], "<i8").tobytes(), bytes([width]),
+            _narrow(ids[doc].view(np.uint64) - np.array([low]).view(np.uint64)), _narrow(n.astype(np.uint64)), np.packbits(named).tobytes(), prints[doc][named].astype("<u8").tobytes(), np.packbits(large[head]).tobytes(),
+            _low_bytes(sig[own], width), _narrow(segment[own][n_plain:].astype(np.uint64)), np.packbits(deleted[own][n_plain:]).tobytes(),
         ])
 
 
@@ -196,22 +209,23 @@ def unpack(data: memoryview) -> list[np.ndarray]:
     """Signature, segment, deleted?, id, print and large? of each row of a blob."""
     docs, n_plain, n_near = (int(x) for x in np.frombuffer(data, "<u4", 3))
     low = np.frombuffer(data, "<i8", 1, 12)
-    ids, at = _from_narrow(data, docs, 20)
+    width = data[20]
+    ids, at = _from_narrow(data, docs, 21)
     counts, at = _from_narrow(data, docs, at)
-    prints = np.frombuffer(data, "<u8", docs, at)
-    at += 8 * docs
-    large = np.unpackbits(np.frombuffer(data, np.uint8, -(-docs // 8), at), count=docs).astype(bool)
-    at += -(-docs // 8)
+    named, at = _from_bits(data, docs, at)
+    prints = np.zeros(docs, np.uint64)
+    prints[named] = np.frombuffer(data, "<u8", int(named.sum()), at)
+    large, at = _from_bits(data, docs, at + 8 * int(named.sum()))
     n, which = n_plain + n_near, np.repeat(np.arange(docs), counts.astype(np.int64))
-    sig = _from_five(data, n, at)
-    at += 5 * n
-    segment = np.concatenate((np.full(n_plain, -1, np.int64), np.frombuffer(data, "<u4", n_near, at).astype(np.int64)))
-    deleted = np.concatenate((np.zeros(n_plain, bool), np.frombuffer(data, np.uint8, n_near, at + 4 * n_near).astype(bool)))
+    sig = _from_low_bytes(data, n, width, at)
+    near, at = _from_narrow(data, n_near, at + width * n)
+    segment = np.concatenate((np.full(n_plain, -1, np.int64), near.astype(np.int64)))
+    deleted = np.concatenate((np.zeros(n_plain, bool), _from_bits(data, n_near, at)[0]))
     return [sig, segment, deleted, (ids + low.view(np.uint64)).view(np.int64)[which], prints[which], large[which]]
 
 
 def meetings(bucket: int, blobs: list[memoryview], buckets: int) -> pa.RecordBatch | None:
-    """MET rows of the signatures of a bucket that documents with different sets share. Equal sets stand for one: the smallest id."""
+    """MET rows of the signatures of a bucket that documents with different sets share. Equal sets with a print stand for one: the smallest id."""
     sig, segment, deleted, ids, prints, large = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
     order = np.argsort(sig, kind="stable")
     sig = sig[order]
@@ -224,7 +238,7 @@ def meetings(bucket: int, blobs: list[memoryview], buckets: int) -> pa.RecordBat
     order = np.lexsort((ids, deleted, prints, sig))
     sig, segment, deleted, ids, prints, large = (x[order] for x in (sig, segment, deleted, ids, prints, large))
     first = np.ones(len(sig), bool)
-    first[1:] = (sig[1:] != sig[:-1]) | (prints[1:] != prints[:-1]) | (deleted[1:] != deleted[:-1])
+    first[1:] = (sig[1:] != sig[:-1]) | (prints[1:] != prints[:-1]) | (deleted[1:] != deleted[:-1]) | (prints[1:] == 0) & (ids[1:] != ids[:-1])
     sig, segment, deleted, ids, prints, large = (x[first] for x in (sig, segment, deleted, ids, prints, large))
     if not len(sig):
         return None
@@ -247,12 +261,52 @@ def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield row, [shingles(words, i, size) for i in range(len(part))]
 
 
-def signature_meetings(docs: DataFrame, scheme: Scheme, finest: bool) -> DataFrame:
-    """(doc_id, text, small) to MET rows: kind -1 for each input row, 0 or 1 for its exact or deleted signatures that others share."""
+def _prints(sets: list[np.ndarray], of=lambda s: s) -> np.ndarray:
+    """A number for each set that equal sets share."""
+    return mix(np.fromiter((of(s).sum(dtype=np.uint64) for s in sets), np.uint64, len(sets)) + np.fromiter(map(len, sets), np.uint64, len(sets)))
+
+
+def _id_keys(ids: np.ndarray) -> np.ndarray:
+    return mix(ids.view(np.uint64) ^ ODD)
+
+
+def repeated_keys(docs: DataFrame, scheme: Scheme, scratch: Scratch) -> np.ndarray:
+    """A bitmap of the prints and id keys, by their low bits, that more than one row of (doc_id, text) has."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            number = batch.column(0).to_numpy()
+            for row, sets in _sets(batch.column(1), scheme.words):
+                held = np.fromiter(map(len, sets), np.int64, len(sets)) > 0
+                keys = np.concatenate((_prints(sets)[held], _id_keys(number[row : row + len(sets)])))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
+
+    keys = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(lean(emit), "key long")
+    found = scratch.put("repeated", keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    bits = min(FILTER_MOST, max(BITMAP, 1 << (FILTER_BITS * found.count()).bit_length()))
+    spot = found.select((F.col("key").bitwiseAND(F.lit(bits - 1)) + 1).alias("spot"))
+    parts = spot.groupBy(F.bitmap_bucket_number("spot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits")).collect()
+    out = np.zeros((bits // BITMAP, BITMAP // 8), np.uint8)
+    for r in parts:
+        out[r.part - 1] = np.frombuffer(r.bits, np.uint8)
+    scratch.drop("repeated")
+    return out.reshape(-1)
+
+
+def _in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    spot = keys & np.uint64(8 * len(bitmap) - 1)
+    return (bitmap[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def signature_meetings(docs: DataFrame, scheme: Scheme, finest: bool, repeated: np.ndarray) -> DataFrame:
+    """(doc_id, text, small) to MET rows: kind -1 for each input row, 0 or 1 for its exact or deleted signatures that others share.
+
+    Signatures have a print where the set or its id may come again by `repeated`, else 0, as the id tells the set; rows of kind -1 have it as sig.
+    """
     buckets = partitions(docs.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "data", "doc_id", "print", "print2", "size", "spare"]
+        names = ["bucket", "data", "doc_id", "print", "print2", "size", "spare", "mark"]
         for batch in batches:
             ids = batch.column(0)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
@@ -261,14 +315,15 @@ def signature_meetings(docs: DataFrame, scheme: Scheme, finest: bool) -> DataFra
             for row, sets in _sets(batch.column(1), scheme.words):
                 part = slice(row, row + len(sets))
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-                prints, second = (mix(np.fromiter((f(s).sum(dtype=np.uint64) for s in sets), np.uint64, len(sets)) + sizes.astype(np.uint64)) for f in (lambda s: s, lambda s: mix(s ^ ODD)))
+                prints, second = _prints(sets), _prints(sets, lambda s: mix(s ^ ODD))
+                marks = np.where(_in_bitmap(repeated, prints) | _in_bitmap(repeated, _id_keys(number[part])), prints, np.uint64(0))
                 linked = [s if known[row + i] else s[:0] for i, s in enumerate(sets)]
                 rows, large, sig, segment, deleted, of_set = signatures(linked, small[part], scheme, finest)
                 where = (mix(number[part].view(np.uint64) + prints) % np.uint64(buckets)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(where), pa.nulls(len(sets), pa.binary()), ids.slice(row, len(sets)), pa.array(prints.view(np.int64)), pa.array(second.view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(of_set.astype(np.int32))], names)
-                blobs = list(pack(number[part], prints, rows, large, sig, segment, deleted, buckets))
+                yield pa.RecordBatch.from_arrays([pa.array(where), pa.nulls(len(sets), pa.binary()), ids.slice(row, len(sets)), pa.array(prints.view(np.int64)), pa.array(second.view(np.int64)), pa.array(sizes.astype(np.int32)), pa.array(of_set.astype(np.int32)), pa.array(marks.view(np.int64))], names)
+                blobs = list(pack(number[part], marks, rows, large, sig, segment, deleted, buckets, SIGNATURE_BYTES))
                 if blobs:
-                    empty = [pa.nulls(len(blobs), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+                    empty = [pa.nulls(len(blobs), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())]
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blobs], pa.int32()), pa.array([d for _, d in blobs], pa.binary()), *empty], names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +332,8 @@ def signature_meetings(docs: DataFrame, scheme: Scheme, finest: bool) -> DataFra
             data = batch.column(1)
             rows = batch.filter(data.is_null())
             if n := rows.num_rows:
-                none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(-1, pa.int32()), n), *(rows.column(k) for k in range(2, 7)), *none], FIELDS)
+                none = [pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.int32(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(-1, pa.int32()), n), *(rows.column(k) for k in range(2, 8)), *none], FIELDS)
             packed = batch.filter(data.is_valid())
             for bucket, blob in zip(packed.column(0).to_pylist(), packed.column(1), strict=True):
                 held.setdefault(bucket, []).append(memoryview(blob.as_buffer()))
@@ -287,7 +342,7 @@ def signature_meetings(docs: DataFrame, scheme: Scheme, finest: bool) -> DataFra
             if found is not None:
                 yield found
 
-    dealt = docs.mapInArrow(lean(emit), "bucket int, data binary, doc_id long, print long, print2 long, size int, spare int").repartition(buckets, "bucket")
+    dealt = docs.mapInArrow(lean(emit), "bucket int, data binary, doc_id long, print long, print2 long, size int, spare int, mark long").repartition(buckets, "bucket")
     return dealt.mapInArrow(lean(meet), MET)
 
 
@@ -365,7 +420,8 @@ def candidates(met: DataFrame) -> DataFrame:
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    rows = met.where("doc_id IS NOT NULL").drop("print2").repartition(partitions(met.sparkSession), "doc_id").sortWithinPartitions("doc_id", "print", "kind")
+    mark = F.when(F.col("kind") < 0, F.col("sig")).otherwise(F.col("print"))
+    rows = met.where("doc_id IS NOT NULL").drop("print2").withColumn("print", mark).repartition(partitions(met.sparkSession), "doc_id").sortWithinPartitions("doc_id", "print", "kind")
     return rows.mapInArrow(lean(choose), "sig long, doc_id long, size int, lone int, probe boolean")
 
 
@@ -462,6 +518,8 @@ def linked_components(members: DataFrame, docs: DataFrame, scheme: Scheme, scrat
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.put(f"pairs{turn}", pairs)
         tested = pairs if tested is None else tested.unionAll(pairs)
+        if not turn:
+            let_go(scratch.spark)  # the first round's joins and its verification are the largest
         links = scratch.put("links", similar(pairs, sets, percent))
         if not links.isEmpty():
             known = links if labels is None else links.unionAll(labels.select("node", "component"))
@@ -486,7 +544,9 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     scratch = Scratch(docs.sparkSession, "near")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    met = scratch.put("met", signature_meetings(own.withColumn("small", F.lit(True)), scheme, finest=False))
+    repeated = repeated_keys(own, scheme, scratch)
+    met = scratch.put("met", signature_meetings(own.withColumn("small", F.lit(True)), scheme, finest=False, repeated=repeated))
+    let_go(scratch.spark)
     meta = scratch.put("meta", met.where("kind < 0").select("doc_id", "print", "print2", "size", "spare"))
     members = scratch.put("candidates", candidates(met))
     scratch.drop("met")
@@ -499,7 +559,7 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         again = meta.where("size > 0 AND doc_id IS NOT NULL").withColumn("class", of_size).join(F.broadcast(sizes), "class", "left_semi")
         again = again.groupBy(F.col("doc_id").alias("again_id")).agg(F.max(F.col("spare") < 0).alias("small"))
         marked = own.join(again, own.doc_id == again.again_id).select("doc_id", "text", "small")
-        met = scratch.put("met", signature_meetings(marked, scheme, finest=True))
+        met = scratch.put("met", signature_meetings(marked, scheme, finest=True, repeated=repeated))
         members = scratch.put("both", members.unionAll(candidates(met)))
         scratch.drop("met", "candidates")
     labels = linked_components(members, own, scheme, scratch)

@@ -133,3 +133,32 @@ def test_rows_of_one_id_are_one_node(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (7, 3), (8, 8), (9, 8), (9, 8), (11, 11)]
     same = N.near_components(spark.createDataFrame([(5, one), (5, two), (3, two)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.component_id) for r in same) == [(3, 3), (5, 3), (5, 3)]
+
+
+def test_names_of_lone_sets_stay_short():
+    """With many buckets a signature mostly travels alone; a set that comes once must not add its print to each."""
+    rng, buckets = np.random.default_rng(3), 3000
+    sets = [np.unique(rng.integers(0, 1 << 62, 200).astype(np.uint64)) for _ in range(400)]
+    rows, large, sig, segment, deleted, _ = N.signatures(sets, np.ones(len(sets), bool), N.Scheme())
+    prints = np.zeros(len(sets), np.uint64)
+    prints[::50] = sig[: len(prints[::50])]
+    blobs = list(N.pack(np.arange(len(sets)), prints, rows, large, sig, segment, deleted, buckets, N.SIGNATURE_BYTES))
+    assert sum(len(blob) for _, blob in blobs) < 10 * len(sig)
+    got = [(b, *x) for b, blob in blobs for x in zip(*(c.tolist() for c in N.unpack(memoryview(blob))), strict=True)]
+    low = (1 << 8 * N.SIGNATURE_BYTES) - 1
+    want = [(s % buckets, s // buckets & low, g, d, r, int(prints[r]), o) for r, o, s, g, d in zip(*(c.tolist() for c in (rows, large, sig, segment, deleted)), strict=True)]
+    assert sorted(got) == sorted(want)
+
+
+def test_only_sets_or_ids_that_repeat_have_prints(spark):
+    text = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(1, text("x", 40)), (2, text("x", 40).upper()), (3, text("y", 40)), (3, ""), (4, text("z", 40)), (5, text("z", 40) + " zz"), (6, text("w", 40)), (None, text("w", 40)), (7, text("x", 39))]
+    docs = spark.createDataFrame([(*r, True) for r in rows], "doc_id long, text string, small boolean")
+    repeated = N.repeated_keys(docs, N.Scheme(), N.Scratch(spark, "near"))
+    met = N.signature_meetings(docs, N.Scheme(), False, repeated).collect()
+    marks = {(r.doc_id, r.size): r.sig == r["print"] for r in met if r.kind < 0 and r.doc_id is not None}
+    assert {r.sig for r in met if r.kind < 0 and not marks.get((r.doc_id, r.size), True)} == {0}
+    assert {k for k, marked in marks.items() if marked} == {(1, 36), (2, 36), (3, 36), (3, 0)}
+    # Texts 1 and 2 stand for one, so they and 7 have two rows of each shingle that 7 shares with them.
+    assert {r.doc_id for r in met if r.kind == 0} == {1, 4, 5, 7}
+    assert {(r.doc_id, r["print"] == 0) for r in met if r.kind == 0} == {(1, False), (4, True), (5, True), (7, True)}
