@@ -21,7 +21,7 @@ def usual(spark):
 
 
 #: Queries over customers whose joins were broadcast by the size of the customers' file.
-QUERIES = ["full_length_hits"]
+QUERIES = ["full_length_hits", "all_matches"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
