@@ -21,7 +21,7 @@ def usual(spark):
 
 
 #: Queries over customers whose joins were broadcast by the size of the customers' file.
-QUERIES = ["full_length_hits", "all_matches", "insert_stats", "links_top2", "pair_coverage", "pairs_over_repeat"]
+QUERIES = ["full_length_hits", "all_matches", "insert_stats", "links_top2", "pair_coverage", "pairs_over_repeat", "supporting_reads"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
