@@ -5,6 +5,8 @@ from __future__ import annotations
 import gzip
 import io
 from collections.abc import Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,27 +47,75 @@ def records(text: io.TextIOBase) -> Iterator[tuple[str, str, str, str | None]]:
             line = text.readline()
 
 
-def read_fastx(spark: SparkSession, path: str) -> DataFrame:
-    """(name, comment, seq, qual, file, ord) of all records under a path, plain or gzipped, read by Spark's own reader; a file is a task."""
+#: Bytes of a file that a task holds at once; a larger file is read line by line.
+WHOLE = 16 << 20
 
-    def parse(batches):
-        import pandas as pd
 
-        for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"], strict=True):
-                raw = gzip.open(io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+class _Lines:
+    """Lines of bytes without their ends as a text to read from."""
+
+    def __init__(self, lines: Iterator[bytes]):
+        self.lines = lines
+
+    def readline(self) -> str:
+        line = next(self.lines, None)
+        return "" if line is None else line.decode("latin-1") + "\n"
+
+
+def _shown(texts: Iterator[tuple[str, io.TextIOBase]]) -> Iterator:
+    """Frames of the records of texts with the file and place of each."""
+    import pandas as pd
+
+    columns = ["name", "comment", "seq", "qual", "file", "ord"]
+    for file, text in texts:
+        held = []
+        for k, record in enumerate(records(text)):
+            held.append((*record, file, k))
+            if len(held) == 20_000:
+                yield pd.DataFrame(held, columns=columns)
                 held = []
-                for k, record in enumerate(records(io.TextIOWrapper(raw, "latin-1", newline=None))):
-                    held.append((*record, file, k))
-                    if len(held) == 20_000:
-                        yield pd.DataFrame(held, columns=["name", "comment", "seq", "qual", "file", "ord"])
-                        held = []
-                yield pd.DataFrame(held, columns=["name", "comment", "seq", "qual", "file", "ord"])
+        yield pd.DataFrame(held, columns=columns)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, f"{SCHEMA}, file string, ord long")
 
+def read_fastx(spark: SparkSession, path: str) -> DataFrame:
+    """(name, comment, seq, qual, file, ord) of all records under a path, plain or gzipped, read by Spark's own reader; a file is a task.
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    Files of more than WHOLE bytes come as sorted lines, so no task holds one; gzipped ones of that size are told by their name, .gz.
+    """
+
+    def parse(batches):
+        def texts():
+            for pdf in batches:
+                for file, content in zip(pdf["path"], pdf["content"], strict=True):
+                    raw = gzip.open(io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+                    yield file, io.TextIOWrapper(raw, "latin-1", newline=None)
+
+        return _shown(texts())
+
+    def parse_lines(batches):
+        rows = (row for pdf in batches for row in zip(pdf["file"], pdf["line"], pdf["value"], strict=True))
+
+        def texts():
+            for file, own in groupby(rows, key=itemgetter(0)):
+                first = next(own)
+                if first[2][:2] == b"\x1f\x8b":
+                    raise ValueError(f"{file} is gzipped and larger than {WHOLE} bytes, but its name doesn't end with .gz")
+                yield names[file], _Lines(bytes(row[2]) for row in chain([first], own))
+
+        return _shown(texts())
+
+    schema, files = f"{SCHEMA}, file string, ord long", spark.read.format("binaryFile").load(path)
+    large = [r.path for r in files.where(F.col("length") > WHOLE).select("path").collect()]
+    small = files.where(F.col("length") <= WHOLE).select("path", "content").mapInPandas(parse, schema)
+    if not large:
+        return small
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    names = {at(p).toUri().toString(): p for p in large}  # as _metadata has them
+    lines = numbered_lines(spark, large).select("file", "line", F.col("value").cast("binary").alias("value"))
+    return small.unionAll(lines.repartition("file").sortWithinPartitions("file", "line").mapInPandas(parse_lines, schema))
+
+
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line, value): the lines of text files, counted from 0 in each. Files are split like any text: a split counts its own lines, and starts after those of the splits before it."""
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
     rows = cut_lineage(spark.read.text(path).select(place.alias("p"), "value", F.monotonically_increasing_id().alias("at")).select("p.*", "value", "at"))
