@@ -21,7 +21,7 @@ def usual(spark):
 
 
 #: Queries over customers whose joins were broadcast by the size of the customers' file.
-QUERIES = ["full_length_hits", "all_matches", "insert_stats", "links_top2", "pair_coverage", "pairs_over_repeat", "supporting_reads", "smem", "contained_reads", "contrast", "coverage", "equal_reads", "scaftigs", "unique_kmer_filter_pairs", "open_bubble", "open_bubble_pair", "bubble_complex", "bubble_ties"]
+QUERIES = ["full_length_hits", "all_matches", "insert_stats", "links_top2", "pair_coverage", "pairs_over_repeat", "supporting_reads", "smem", "contained_reads", "contrast", "coverage", "equal_reads", "scaftigs", "unique_kmer_filter_pairs", "open_bubble", "open_bubble_pair", "bubble_complex", "bubble_ties", "clean"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
